@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswell.llm._shared import staged, whole_text
@@ -166,7 +166,7 @@ def _compare(size: int, num: int, den: int, detail: bool):
                     for k, i in enumerate(ids):
                         texts.setdefault((column, i), part.column(column)[k].as_py().encode())
                 sets = dict(zip(texts, shingle_sets(list(texts.values()), size)))
-                linked, shared, extra = [], [], []
+                linked, shared, enough, extra = [], [], [], []
                 for i, j in zip(a, b):
                     x, y = sets[2, i], sets[3, j]
                     held = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
@@ -175,12 +175,12 @@ def _compare(size: int, num: int, den: int, detail: bool):
                     shared.append(both)
                     if detail:
                         # z with |y & z| >= num/den |y| shares more than these with y outside x if |y & z & x| is not enough.
-                        need = max(1, -(-num * len(y) // den) - both)
                         own = y[~held]
-                        extra.append(own[: max(0, len(own) - need + 1)].view(np.int64))
+                        enough.append(max(0, len(own) + 1 - max(1, -(-num * len(y) // den) - both)))
+                        extra.append(own.view(np.int64))
                 if detail:
                     n = [pa.array([len(sets[c, i]) for i in ids], pa.int64()) for c, ids in ((2, a), (3, b))]
-                    yield pa.record_batch([part.column(0), part.column(1), *n, pa.array(shared, pa.int64()), pa.array(linked), pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "shared", "linked", "extra"])
+                    yield pa.record_batch([part.column(0), part.column(1), *n, pa.array(shared, pa.int64()), pa.array(linked), pa.array(enough, pa.int64()), pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "shared", "linked", "enough", "extra"])
                 else:
                     yield part.filter(pa.array(linked, pa.bool_())).select([0, 1])
 
@@ -198,9 +198,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: tuple[in
 
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """Each pair with the sizes of both full sets, what they share, whether they are linked, and extra: shingles of
-    b that a lacks, so many that any third set linked with b shares one of them unless both lie close to a."""
-    return _with_texts(pairs, texts).mapInArrow(_compare(size, *similarity, True), "a long, b long, na long, nb long, shared long, linked boolean, extra array<long>")
+    """Each pair with the sizes of both full sets, what they share, whether they are linked, and extra: the shingles of
+    b that a lacks. A third set linked with b holds one of any `enough` of them, unless both lie close to a."""
+    return _with_texts(pairs, texts).mapInArrow(_compare(size, *similarity, True), "a long, b long, na long, nb long, shared long, linked boolean, enough long, extra array<long>")
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -229,50 +229,110 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
     return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("label"))
 
 
-#: Groups up to this size are compared pair by pair, larger ones by way of a leader.
-SMALL = 16
+#: A group is compared pair by pair if that makes no more than this many pairs a member.
+DIRECT = 16
+#: A group of up to this many shingles in all its sets is joined in one task.
+IN_TASK = 1 << 21
+
+
+def _join_group(size: int, num: int, den: int):
+    """Links of a bounded group: an exact join by prefix and length filters over full sets; pairs that are connected
+    already (by label or by the links found here) are not looked at."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
+        sets = shingle_sets([t.encode() for t in table["text"].to_pylist()], size)
+        root: dict = {}
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+        rarity = np.argsort(np.lexsort((tokens, count)), kind="stable")
+        index: dict = {}
+        a, b = [], []
+        for k in sorted(range(len(sets)), key=lambda k: len(sets[k])):
+            own, n = sets[k], len(sets[k])
+            prefix = np.sort(rarity[np.searchsorted(tokens, own)])[: n - -(-num * n // den) + 1].tolist()
+            near = {j for t in prefix for j in index.get(t, ())}
+            for t in prefix:
+                index.setdefault(t, []).append(k)
+            for j in sorted(near):
+                x, y = find(labels[j]), find(labels[k])
+                if x != y and den * len(sets[j]) >= num * n:
+                    both = len(np.intersect1d(own, sets[j], assume_unique=True))
+                    if den * both >= num * (n + len(sets[j]) - both):
+                        root[x] = y
+                        a.append(nodes[j])
+                        b.append(nodes[k])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    return run
+
+
+def _regroup(seen: DataFrame) -> DataFrame:
+    """(key, node): nodes compared with leader a meet by a shingle that a lacks. Of each node's such shingles the `enough`
+    rarest among the leader's company will do: an exact prefix filter, ordered by frequency."""
+    extra = seen.select("a", "b", "enough", F.explode("extra").alias("s"))
+    common = extra.groupBy("a", "s").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "s"))
+    rarest = extra.join(common, ["a", "s"]).withColumn("rank", rank).where("rank <= enough AND f > 1")
+    return rarest.select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("node"))
 
-def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) of sets (node, bands, n, regs): links join all that are linked by verified pairs.
 
-    Groups start as the band buckets. In a group of up to SMALL nodes, pairs of different components are estimated
-    and verified. In a larger one each node is compared with a leader, the node with most company; a pair of other members can be
-    linked only if (1) both hold a shingle that the leader lacks, so that they meet again in the group of
-    (leader, shingle), or (2) both share so much with the leader that |y| + |z| <= (1 + den/num) min(shared). Groups
-    whose nodes are connected already are left; so the work follows the members of a group, not its pairs.
+def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """node, label of sets (node, bands, n, regs): nodes with one label are joined by verified links.
+
+    Groups start as the band buckets; those whose nodes are connected already are left. Where pairs of different
+    components are few for the group's size, they are estimated and verified. In other groups each node is compared with
+    a leader, the node with most company; a pair of the rest can be linked only if (1) both hold a shingle that the leader
+    lacks, so that they meet again by such a shingle, or (2) both share so much with the leader that
+    |y| + |z| <= (1 + den/num) min(shared). What meets again is mostly small enough to be joined in one
+    task; else it goes by another leader. So the work follows the members of a group, not its pairs.
     """
     num, den = similarity
     groups = staged(sets.select(F.explode("bands").alias("key"), "node"), "bands")
     labels = sets.select("node", F.col("node").alias("label"))
-    links = None
+    links, n_links, again = None, 0, False
+
+    def joined(*found: DataFrame):
+        nonlocal links, labels, n_links
+        for more in found:
+            more = staged(more, "links")
+            links = more if links is None else links.unionAll(more)
+        if (n := links.count()) > n_links:
+            n_links, labels = n, staged(components(sets.select("node"), links), "labels")
+
     while True:
-        held = groups.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        members = groups.join(held, "key").join(labels, "node")
-        open_ = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        members = staged(members.join(open_, "key", "left_semi"), "members")
-        few = members.where(F.col("c") <= SMALL).select("key", "node", "label")
+        labelled = groups.join(labels, "node").join(sets.select("node", "n"), "node")
+        parts = labelled.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("key")
+        spread = parts.agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+        way = F.when(F.col("c") * F.col("c") - F.col("squares") <= 2 * DIRECT * F.col("c"), "pairs").when(F.lit(again) & (F.col("n") <= IN_TASK), "task").otherwise("leader")
+        members = staged(labelled.drop("n").join(spread.select("key", "c", way.alias("way")), "key"), "members")
+        few = members.where("way = 'pairs'").select("key", "node", "label")
         other = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
         direct = few.join(other, "key").where("node < b AND label <> lb").select(F.col("node").alias("a"), "b")
-        many = members.where(F.col("c") > SMALL)
+        found = [verified(plausible(direct.distinct(), sets, similarity), texts, size, similarity)]
+        if again:
+            bounded = members.where("way = 'task'").select("key", "node", "label").join(texts, "node")
+            found.append(bounded.groupBy("key").applyInArrow(_join_group(size, num, den), "a long, b long"))
+        many = members.where("way = 'leader'")
         company = many.groupBy("node").agg(F.sum("c").alias("company"))
         ranked = many.join(company, "node").select("key", "node", F.struct("company", (-F.col("node")).alias("k")).alias("r"))
         leaders = ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", (-F.col("r.k")).alias("a"))
         star = many.join(leaders, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
         seen = staged(compared(star, texts, size, similarity), "stars")
-        found = seen.where("linked").select("a", "b")
-        found = found.unionAll(verified(plausible(direct.distinct(), sets, similarity), texts, size, similarity))
-        links = staged(found if links is None else links.unionAll(found), "links")
-        labels = staged(components(sets.select("node"), links), "labels")
+        joined(*found, seen.where("linked").select("a", "b"))
         if seen.isEmpty():
-            return links, labels
+            return labels
         close = seen.where(den * F.col("shared") >= num * F.col("nb")).join(labels.withColumnRenamed("node", "b"), "b").select("a", "b", "nb", "shared", "linked", "label")
         partner = close.select("a", F.col("b").alias("c"), F.col("nb").alias("nc"), F.col("shared").alias("sc"), F.col("label").alias("lc"))
         pairs = close.where("NOT linked").join(partner, "a").where((F.col("label") != F.col("lc")) & (num * (F.col("nb") + F.col("nc")) <= (num + den) * F.least("shared", "sc")))
         pairs = pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-        links = staged(links.unionAll(verified(plausible(pairs, sets, similarity), texts, size, similarity)), "links")
-        labels = staged(components(sets.select("node"), links), "labels")
-        groups = staged(seen.select(F.explode("extra").alias("s"), "a", "b").select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("node")), "groups")
+        joined(verified(plausible(pairs, sets, similarity), texts, size, similarity))
+        groups, again = staged(_regroup(seen), "groups"), True
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,7 +355,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     shared = crowded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     busy = staged(crowded.join(shared, "key").select("node").distinct(), "busy")
     texts = staged(rows.join(busy, "node", "left_semi"), "texts")
-    _, labels = similar_links(sets.join(busy, "node", "left_semi"), texts, size, similarity)
+    labels = similar_links(sets.join(busy, "node", "left_semi"), texts, size, similarity)
     by_set = sets.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     marked = every.select("node", "n", "digest").join(by_set, "digest", "left")
     component = F.coalesce("label", "node")
