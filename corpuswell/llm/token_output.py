@@ -25,6 +25,8 @@ from corpuswell.llm.bpe import squeeze, text_blocks, unsqueeze
 
 SCALE, LANES, SEGMENT, SEGMENTS = 20, 32, 512, 4
 BLOCK = LANES * SEGMENT * SEGMENTS
+#: Characters of a frame's texts, or one text if that is longer.
+FRAME = 3 << 20
 _LOW = np.uint64(1 << 31)
 _U = np.uint64
 
@@ -45,7 +47,7 @@ def word_model(path: str):
 class WordCache:
     """Ids of pre-tokens by hash. It lives as long as a Python worker and starts anew above `most` entries."""
 
-    def __init__(self, encode, most: int = 1 << 21):
+    def __init__(self, encode, most: int = 1 << 20):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -89,7 +91,7 @@ STAGED = "part int, seq int, doc_ids array<long>, doc_words binary, codes binary
 def _tokenise(path: str, end_id: int):
     def run(batches):
         part, cache = TaskContext.get().partitionId(), _cache(path)
-        for seq, (_, doc_ids, block) in enumerate(text_blocks(batches)):
+        for seq, (_, doc_ids, block) in enumerate(text_blocks(batches, FRAME)):
             lengths, ids = cache.look_up(block.hashes, block.words)
             row = [part, seq, doc_ids.to_pylist(), squeeze(block.counts), squeeze(block.codes), squeeze(lengths), squeeze(ids)]
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
