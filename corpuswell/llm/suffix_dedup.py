@@ -24,6 +24,8 @@ from corpuswell.llm.bpe import squeeze, unsqueeze
 SPAN, GRAM = 100, 50
 LEFT = SPAN - GRAM
 CHUNK, BLOCK = 1 << 20, 6 << 20
+#: Shares of the contexts for each partition of a shuffle: a share is sorted in memory, at about 1 KB a context.
+SHARES = 4
 _U = np.uint64
 
 
@@ -405,11 +407,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
     everything from SPAN bytes on; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    buckets = partitions(docs.sparkSession)
+    buckets, shares = partitions(docs.sparkSession), SHARES * partitions(docs.sparkSession)
     repeats = rows.mapInArrow(_send_grams(buckets), PACKS).repartitionById(buckets, F.col("bucket")).mapInArrow(_find_repeats, PACKS)
     texts = rows.mapInArrow(_send_texts, PACKS)
-    contexts = staged(texts.unionAll(repeats).groupBy("block").applyInArrow(_send_contexts(buckets), PACKS), "contexts")
-    sorted_ = contexts.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_sort_contexts, PACKS)
+    contexts = staged(texts.unionAll(repeats).groupBy("block").applyInArrow(_send_contexts(shares), PACKS), "contexts")
+    sorted_ = contexts.where("bucket >= 0").repartitionById(shares, F.col("bucket")).mapInArrow(_sort_contexts, PACKS)
     spans = contexts.where("bucket < 0").unionAll(sorted_)
     return texts.unionAll(spans).groupBy("block").applyInArrow(
         _remove(whole_characters), "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
