@@ -47,10 +47,15 @@ _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
 
 
-def space_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without ASCII white space."""
+#: Lower-case ASCII letters, digits, and all bytes of other characters.
+LETTER_BYTE = np.zeros(256, bool)
+LETTER_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def space_words(buffer: bytes, word_byte: np.ndarray = _WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of word bytes; by default of those without ASCII white space."""
     inside = np.zeros(len(buffer) + 2, np.int8)
-    inside[1:-1] = _WORD_BYTE[np.frombuffer(buffer, np.uint8)]
+    inside[1:-1] = word_byte[np.frombuffer(buffer, np.uint8)]
     edge = np.diff(inside)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswell.llm import bpe, chat, near_dedup, quality, sharding, suffix_dedup, token_output
+from corpuswell.llm import bpe, chat, license_scan, near_dedup, quality, sharding, suffix_dedup, token_output, topk
 from corpuswell.llm._shared import whole_text
 
 
@@ -38,6 +38,23 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    base, own = F.col("places.label"), F.col("matches.label")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    n_base = F.size("places")
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        n_base.cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, own)).alias("labels"),
+        F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0))).alias("score"),
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_output.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -48,6 +65,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = whole_text().cast("binary")
     docs = _table(spark, sf_dir, "documents").select(
@@ -62,8 +83,10 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_format": op3_chat_format,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op8_exact_topk": op8_exact_topk,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
 }
 
@@ -120,4 +143,13 @@ ORACLE = {
             AND wl <= wl3 + greatest(6 * (wl3 - wl1), 1.5) AS kept
         FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS bad FROM r) r
         JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source""",
+    "op8_exact_topk": r"""
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id))
+        WHERE rank <= 5""",
 }
