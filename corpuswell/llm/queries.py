@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswell.llm import bpe, chat, license_scan, near_dedup, quality, sharding, suffix_dedup, token_output, topk
+from corpuswell.llm import bpe, chat, license_scan, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, topk
 from corpuswell.llm._shared import whole_text
 
 
@@ -69,6 +69,14 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    labelled = labels.select("doc_id", mixing.label_domains(labels).alias("domain"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), labelled, [0.90, 0.08, 0.02])
+    p = F.col("posteriors")
+    return mixed.select("doc_id", "n_tokens", p[0].alias("p_clean"), p[1].alias("p_low"), p[2].alias("p_toxic"), "rate", "copies")
+
+
 def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = whole_text().cast("binary")
     docs = _table(spark, sf_dir, "documents").select(
@@ -87,6 +95,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_topk": op8_exact_topk,
+    "op9_mixing": op9_mixing,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
 }
 
