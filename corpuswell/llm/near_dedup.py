@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswell.llm._shared import staged, whole_text
@@ -275,7 +275,7 @@ def _join_group(size: int, num: int, den: int):
 def _regroup(seen: DataFrame) -> DataFrame:
     """(key, node): nodes compared with leader a meet by a shingle that a lacks. Of each node's such shingles the `enough`
     rarest among the leader's company will do: an exact prefix filter, ordered by frequency."""
-    extra = seen.select("a", "b", "enough", F.explode("extra").alias("s"))
+    extra = seen.repartition("a", "b").select("a", "b", "enough", F.explode("extra").alias("s"))
     common = extra.groupBy("a", "s").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "s"))
     rarest = extra.join(common, ["a", "s"]).withColumn("rank", rank).where("rank <= enough AND f > 1")
@@ -335,8 +335,13 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: tupl
         groups, again = staged(_regroup(seen), "groups"), True
 
 
+def document_node(key: str = "doc_id", text: str = "text") -> Column:
+    """What identifies a document: its doc_id, or a stand-in above all doc_ids, from the text, where that is null."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(whole_text(text)), 2))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles (size of its shingle set), component_id and kept.
+    """Per row of docs: doc_id, n_shingles (size of its shingle set), component_id, kept and node (document_node).
 
     Two documents are linked if their sets of `size`-word shingles reach the Jaccard similarity; component_id is the smallest
     doc_id that links reach, and kept marks the rows with doc_id = component_id. Equal sets are one node from the
@@ -346,8 +351,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     take part and come last: their component_id is null if only such are linked, and kept is false then unless
     the row is alone. Repeated rows give a row each; an empty table gives none; other columns are not read.
     """
-    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), stand_in).alias("node"), whole_text(text).alias("text"))
+    rows = docs.select(document_node(key, text).alias("node"), whole_text(text).alias("text"))
     every = staged(sketches(rows, size), "sketches")
     sets = every.where("n > 0").groupBy("digest").agg(F.min("node").alias("own"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
     sets = staged(sets.withColumnRenamed("own", "node"), "sets")
@@ -361,5 +365,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     component = F.coalesce("label", "node")
     real = lambda c: F.when(c < F.lit(1 << 62), c)
     return marked.select(
-        real(F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("node") == component).alias("kept")
+        real(F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("node") == component).alias("kept"), "node"
     )

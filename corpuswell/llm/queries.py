@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, similarity=(85, 100))
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, similarity=(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
