@@ -207,29 +207,31 @@ def covered_windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray) -
     return least, most
 
 
-PACKS = "block long, bucket int, payload binary, more binary, doc_ids array<long>"
-_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+PACKS = "block long, bucket int, payload binary, more binary, doc_ids array<long>, carried array<string>"
+_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string())]
 _NAMES = [c.split()[0] for c in PACKS.split(", ")]
 
 
 def _row(*values) -> pa.RecordBatch:
+    values = (*values, *[None] * (len(_TYPES) - len(values)))
     return pa.record_batch([pa.array([v], t) for v, t in zip(values, _TYPES)], _NAMES)
 
 
 def _blocks(batches):
-    """(number, doc ids, texts as bytes) of a task's rows (doc_id, text)."""
-    ids, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 32
+    """(number, doc ids, texts as bytes, carried columns as JSON) of a task's rows (doc_id, text, carried)."""
+    ids, texts, carried, size, number = [], [], [], 0, TaskContext.get().partitionId() << 32
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+        for i, t, c in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
             t = t.as_py()
             ids.append(i)
             texts.append(t)
+            carried.append(c)
             size += len(t)
             if size >= BLOCK:
-                yield number, ids, texts
-                ids, texts, size, number = [], [], 0, number + 1
+                yield number, ids, texts, carried
+                ids, texts, carried, size, number = [], [], [], 0, number + 1
     if ids:
-        yield number, ids, texts
+        yield number, ids, texts, carried
 
 
 def _block_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +257,7 @@ def _send_grams(buckets: int):
     """Per block and bucket the distinct gram hashes, sorted, 6 bytes each."""
 
     def run(batches):
-        for number, _, texts in _blocks(batches):
+        for number, _, texts, _ in _blocks(batches):
             grams = np.unique(_block_anchors(texts)[2])
             ends = _shares(grams, buckets)
             for b in range(buckets):
@@ -283,8 +285,8 @@ def _find_repeats(batches):
 
 def _send_texts(batches):
     """Per block, in the bucket -1, its documents and texts."""
-    for number, ids, texts in _blocks(batches):
-        yield _row(number, -1, zstandard.compress(b"".join(texts), 3), squeeze(np.array([len(t) for t in texts])), ids)
+    for number, ids, texts, carried in _blocks(batches):
+        yield _row(number, -1, zstandard.compress(b"".join(texts), 3), squeeze(np.array([len(t) for t in texts])), ids, carried)
 
 
 def _unpack_texts(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -387,13 +389,13 @@ def _remove(whole_characters: bool):
         kept_cuts = np.append(0, np.cumsum(~gone))[cuts].astype(np.int32)
         texts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(kept_cuts), pa.py_buffer(kept)])
         sizes = pa.array(np.diff(cuts), pa.int64())
-        return pa.table([pa.array(own["doc_ids"], pa.int64()), sizes, pa.ListArray.from_arrays(pa.array(per_doc.astype(np.int32)), spans), texts], ["doc_id", "n_bytes", "spans", "kept"])
+        return pa.table([pa.array(own["doc_ids"], pa.int64()), sizes, pa.ListArray.from_arrays(pa.array(per_doc.astype(np.int32)), spans), texts, pa.array(own["carried"], pa.string())], ["doc_id", "n_bytes", "spans", "kept", "carried"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, spans (array of begin, end: the maximal removed runs) and kept (binary).
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, spans (array of begin, end: the maximal removed runs), kept (binary) and carried.
 
     A byte goes if a string of SPAN bytes that covers it also starts earlier: in a document with a smaller doc_id (null
     first), in a row stored before of the same doc_id, or earlier in the same text. Strings are judged on the input.
@@ -404,9 +406,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
     equal contexts. docs must give the same rows each time it is read (a table does).
 
     Null and empty texts, and those under SPAN bytes, lose nothing; of repeated rows all but the first lose
-    everything from SPAN bytes on; an empty table gives no rows; other columns are not read.
+    everything from SPAN bytes on; an empty table gives no rows. Columns named in carry come along as a JSON
+    object in carried (else null), so that texts need not be joined with them; others are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    carried = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"), carried.alias("carried"))
     buckets, shares = partitions(docs.sparkSession), SHARES * partitions(docs.sparkSession)
     repeats = rows.mapInArrow(_send_grams(buckets), PACKS).repartitionById(buckets, F.col("bucket")).mapInArrow(_find_repeats, PACKS)
     texts = rows.mapInArrow(_send_texts, PACKS)
@@ -414,5 +418,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
     sorted_ = contexts.where("bucket >= 0").repartitionById(shares, F.col("bucket")).mapInArrow(_sort_contexts, PACKS)
     spans = contexts.where("bucket < 0").unionAll(sorted_)
     return texts.unionAll(spans).groupBy("block").applyInArrow(
-        _remove(whole_characters), "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
+        _remove(whole_characters), "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary, carried string"
     )
