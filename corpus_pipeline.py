@@ -47,12 +47,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes clean and toxic documents to the weights 1 and 0: rates are at most 1, the clean tokens give the total.
 
-    A document stays if its rate is one half or more, so that clean documents are not left to chance.
+    A document stays if its rate is one half or more or if it is more likely clean than not, so that clean documents
+    are not left to chance.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic IS NOT NULL")
     labelled = labels.select("doc_id", F.col("toxic").alias("domain"))
     mixed = mixing.mix(_keyed(docs), labelled, [1.0, 0.0], key=_NODE, keep=0, most=1.0)
-    dropped = mixed.where("rate < 0.5").select(F.col("doc_id").alias(_NODE)).distinct()
+    dropped = mixed.where("rate < 0.5 AND posteriors[0] < 0.5").select(F.col("doc_id").alias(_NODE)).distinct()
     return _keyed(docs).join(dropped, _NODE, "left_anti").select(docs.columns)
 
 
