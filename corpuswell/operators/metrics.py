@@ -20,7 +20,9 @@ def relevance(hits: DataFrame, gold_docs: DataFrame, similarity: DataFrame | Non
     else:
         best = similarity.groupBy("query_id", "rank").agg(F.max("similarity").alias("_s"))
         graded = graded.join(best, ["query_id", "rank"], "left")
-        grade = F.coalesce("_g", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_s")), F.lit(0.0))
+        # greatest and least pass over nulls, so a missing similarity is looked at first.
+        near = F.when(F.col("_s").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_s")))
+        grade = F.coalesce("_g", near, F.lit(0.0))
     return graded.withColumn("grade", grade).withColumn("relevant", F.col("grade") >= S.relevance).drop("_g", "_s")
 
 
