@@ -276,9 +276,9 @@ def _regroup(seen: DataFrame) -> DataFrame:
     """(key, node): nodes compared with leader a meet by a shingle that a lacks. Of each node's such shingles the `enough`
     rarest among the leader's company will do: an exact prefix filter, ordered by frequency."""
     extra = seen.repartition("a", "b").select("a", "b", "enough", F.explode("extra").alias("s"))
-    common = extra.groupBy("a", "s").agg(F.count("*").alias("f"))
+    counted = extra.withColumn("f", F.count("*").over(Window.partitionBy("a", "s")))
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "s"))
-    rarest = extra.join(common, ["a", "s"]).withColumn("rank", rank).where("rank <= enough AND f > 1")
+    rarest = counted.withColumn("rank", rank).where("rank <= enough AND f > 1")
     return rarest.select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("node"))
 
 
