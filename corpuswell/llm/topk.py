@@ -10,57 +10,62 @@ from pyspark.sql import functions as F
 
 from corpuswell.llm._shared import partitions
 
-#: Vectors of a candidate block and of a query block; entries of each list that are read in a round.
-CANDIDATES, QUERIES, ROUND = 4096, 256, 256
+#: Vectors of a candidate block and of a query block; rounds in which the lists are read.
+CANDIDATES, QUERIES, ROUNDS = 4096, 128, 3
 
 
 class SortedLists:
-    """For each component the vectors of a block in ascending order of its values."""
+    """For each component the vectors of a block in ascending (0) and in descending (1) order of its values."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids = ids
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64)
+        up = np.argsort(vectors, axis=0, kind="stable").T
+        values = np.take_along_axis(vectors.T, up, axis=1).astype(np.float64)
+        self.order = np.stack([up, up[:, ::-1]])
+        self.values = np.stack([values, values[:, ::-1]])
 
 
-def no_random_access(lists: SortedLists, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, scores) of the k best vectors for a query, other than that with id `own`; ties to smaller ids.
+def no_random_access(lists: SortedLists, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (places, scores) of the k best vectors other than those with its own id; ties to smaller ids.
 
-    The list of a component is read from its best end. What is not read yet lies between the last value read
-    and the list's worst, which bounds each score. Vectors whose upper bound is below the k-th best lower
-    bound leave; once no outsider can qualify, or few are left, the rest of the lists gives
-    the final scores of those left, again in the lists' order.
+    All queries read the lists side by side, each from the end that is best for it. What a query has not read yet of a
+    vector lies between the last value read and the list's worst, which bounds its score. Vectors whose upper
+    bound is below the k-th best lower bound leave the query, and what has left all queries is read no more; those that
+    remain at the end of the lists have their final scores. Reading stops where no vector remains to be told apart.
     """
-    n = len(lists.ids)
-    used = np.flatnonzero(query[: len(lists.order)])
-    weights = query[used].astype(np.float64)[:, None]
-    order, values = lists.order[used], lists.values[used] * weights
-    turned = weights[:, 0] > 0
-    order[turned], values[turned] = order[turned, ::-1], values[turned, ::-1]
-    known, unread = np.zeros(n), np.ones((n, len(used)), np.float32)
-    worst = values[:, -1] if n else np.zeros(len(used))
-    left = np.ones(n, bool)
-    left[lists.ids == own] = False
-    at = 0
-    while at < n:
-        ids, gains = order[:, at : at + ROUND], values[:, at : at + ROUND]
-        known += np.bincount(ids.ravel(), gains.ravel(), minlength=n)
-        unread[ids, np.arange(len(used))[:, None]] = 0
-        at += ROUND
-        if at >= n:
-            break
-        low, high = known + unread @ worst, known + unread @ values[:, at - 1]
-        inside = low[left]
-        bar = np.partition(inside, len(inside) - k)[-k] if len(inside) > k else -np.inf
-        left &= high >= bar
-        if left.sum() <= 4 * k:
-            break
-    if at < n:
-        rest = left[order[:, at:]]
-        known += np.bincount(order[:, at:][rest], values[:, at:][rest], minlength=n)
-    places = np.flatnonzero(left)
-    best = places[np.lexsort((lists.ids[places], -known[places]))][:k]
-    return best, known[best].astype(np.int64)
+    n, width = len(lists.ids), min(lists.order.shape[1], queries.shape[1])
+    w = queries.T[:width].astype(np.float64)
+    ends = ((1, np.maximum(w, 0)), (0, np.minimum(w, 0)))
+    known, component = np.zeros((n, len(queries))), np.arange(width)[:, None]
+    unread = np.ones((2, n, width))
+    left = lists.ids[:, None] != own[None, :]
+    rows, at, size = np.flatnonzero(left.any(axis=1)), 0, max(1, -(-n // ROUNDS))
+    while at < n and len(rows):
+        end = min(n, at + size)
+        for way, weights in ends:
+            # The entries that this round reads, by vector: their products with the weights are what scores gain.
+            ids, entries = lists.order[way, :width, at:end], np.zeros((n, width))
+            entries[ids, component] = lists.values[way, :width, at:end]
+            unread[way, ids, component] = 0
+            known[rows] += entries[rows] @ weights
+        at = end
+        if at < n and n > k:
+            low = known[rows]
+            high = low.copy()
+            for way, weights in ends:
+                open_ = unread[way, rows]
+                low += open_ @ (lists.values[way, :width, -1:] * weights)
+                high += open_ @ (lists.values[way, :width, at - 1 : at] * weights)
+            low[~left[rows]] = -np.inf
+            if len(rows) > k:
+                left[rows] &= high >= np.partition(low, len(rows) - k, axis=0)[len(rows) - k]
+            rows = rows[left[rows].any(axis=1)]
+    found = []
+    for q in range(len(queries)):
+        rows = np.flatnonzero(left[:, q])
+        best = rows[np.lexsort((lists.ids[rows], -known[rows, q]))][:k]
+        found.append((best, known[best, q].astype(np.int64)))
+    return found
 
 
 def _blocks(size: int):
@@ -99,7 +104,7 @@ def _search(k: int):
                     held, lists = row["number"], SortedLists(ids, np.frombuffer(row["vectors"], "<i4").reshape(len(ids), -1))
                 queries = np.frombuffer(row["q_ids"], "<i8")
                 vectors = np.frombuffer(row["q_vectors"], "<i4").reshape(len(queries), -1)
-                found = [no_random_access(lists, v, i, k) for i, v in zip(queries.tolist(), vectors)]
+                found = no_random_access(lists, vectors, queries, k)
                 sizes = [len(p) for p, _ in found]
                 yield pa.record_batch(
                     [pa.array(np.repeat(queries, sizes)), pa.array(lists.ids[np.concatenate([p for p, _ in found])]), pa.array(np.concatenate([s for _, s in found]))],

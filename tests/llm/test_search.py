@@ -44,7 +44,7 @@ def test_licenses_as_brute_force(spark, odd, none):
 
 def test_top_k_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 50)
-    monkeypatch.setattr(topk, "ROUND", 8)
+    monkeypatch.setattr(topk, "ROUNDS", 9)
     rng = np.random.default_rng(4)
     vectors = [(k, [float(x) for x in rng.choice([-0.5, -0.1, 0.0, 0.3, 0.7], 12)]) for k in range(230)]
     vectors += [(300, None), (350, [float("nan")] * 12), (400, [None] * 12), (450, [1.0] * 5), (451, []), (500, [float("inf")] * 12)]
