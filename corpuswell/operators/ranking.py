@@ -35,8 +35,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     """
     tokens = docs.select("doc_id", F.explode(words(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     postings = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select("doc_id", F.size(words(F.coalesce(F.col("text"), F.lit("")))).alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    total = lengths.agg(F.sum("dl").alias("words"))
+    corpus = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row each
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
     idf = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean"))
@@ -65,7 +66,7 @@ def mmr(scores: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: float =
     """
     few = scores.groupBy("query_id").agg((F.count("*") <= k).alias("few"))
     state = scores.join(few, "query_id").select("query_id", "vec_id", "score", "few", F.lit(0.0).alias("near"))
-    state = state.join(vectors.select("vec_id", "embedding"), "vec_id")
+    state = state.join(vectors.select("vec_id", "embedding"), "vec_id").persist()  # a round reads the one before twice
     chosen = None
     for rank in range(1, k + 1):
         value = F.round(weight * F.col("score") - (1 - weight) * F.col("near"), 9) if rank > 1 else F.col("score")
@@ -76,7 +77,7 @@ def mmr(scores: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: float =
         if rank < k:
             last = best.join(vectors.select(F.col("vec_id").alias("pick"), F.col("embedding").alias("_p")), "pick").select("query_id", "pick", "_p")
             near = cosine(F.col("embedding"), F.col("_p"))
-            state = state.join(last, "query_id").where("vec_id <> pick").withColumn("near", F.greatest("near", near) if rank > 1 else near).drop("pick", "_p")
+            state = state.join(last, "query_id").where("vec_id <> pick").withColumn("near", F.greatest("near", near) if rank > 1 else near).drop("pick", "_p").persist()
     return chosen.select("query_id", "rank", F.col("pick").alias("vec_id"))
 
 

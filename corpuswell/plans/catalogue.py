@@ -199,7 +199,7 @@ def rerank_topk(spark, sf):
 
 
 def _chunk_hits(spark, sf):
-    chunks = chunkers.index_chunks(_docs(spark, sf), "FIXED_WINDOW_OVERLAP").select("doc_id", "position", "section", "chunk_id", "chunk_text")
+    chunks = chunkers.index_chunks(_docs(spark, sf), "FIXED_WINDOW_OVERLAP").select("doc_id", "position", "section", "chunk_id", "chunk_text").persist()
     scores = ranking.bm25(_items(spark, sf), chunks.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text")))
     top = ranking.ranked(scores, 3, "doc_id").select("query_id", "rank", F.col("doc_id").alias("chunk_id"))
     return top.join(chunks.select("chunk_id", "doc_id", "position"), "chunk_id"), chunks
@@ -418,7 +418,30 @@ def _mmr_sql(k: int) -> str:
     return "".join(parts) + chosen
 
 
+_STRUCTURED = f"""
+  WITH l AS (
+    SELECT doc_id, i, type, section, subsection, text FROM (
+      SELECT doc_id, unnest([
+        {{'i': 0, 'type': 'body', 'section': NULL, 'subsection': NULL, 'text': 'Preamble of ' || source}},
+        {{'i': 1, 'type': 'abstract', 'section': 'Abstract', 'subsection': NULL, 'text': 'In short, 1.1.1 deep' || chr(10) || lang}},
+        {{'i': 2, 'type': 'subsection', 'section': NULL, 'subsection': 'Early', 'text': 'early text'}},
+        {{'i': 3, 'type': 'section', 'section': 'Introduction', 'subsection': NULL, 'text': {_STRIP.format("list_aggregate(list_transform(string_split(text, chr(10)), lambda x: " + _STRIP.format("x") + "), 'string_agg', chr(10))")}}},
+        {{'i': 4, 'type': 'subsection', 'section': 'Method', 'subsection': 'Data', 'text': 'rows' || chr(10) || '5. Not a heading' || chr(10) || 'Conclusion'}},
+        {{'i': 5, 'type': 'conclusion', 'section': 'Conclusion', 'subsection': NULL, 'text': 'the end'}}], recursive := true) FROM documents)
+    WHERE text <> '')
+"""
+_PARAS = "list_filter(list_transform(string_split(t, @), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
+
 ORACLE = {
+    "point_ids": """SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(('0x' || h[17])::INT % 4) + 1] || h[18:20] || '-' || h[21:32] AS point_id
+        FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('FIXED_WINDOW_OVERLAP_' || doc_id || '_' || text[:50])) AS h FROM documents)""",
+    "parse_hierarchy": _STRUCTURED + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS block_no, type AS block_type, section, subsection, md5(text) AS digest FROM l",
+    "text_without_abstract": _STRUCTURED + "SELECT doc_id, md5(t) AS digest, length(t) AS n FROM (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS t FROM l WHERE type <> 'abstract' GROUP BY doc_id)",
+    "chunk_section_level": f"""WITH b AS (SELECT doc_id, {_STRIP.format("list_aggregate(list_transform(string_split(text, chr(10)), lambda x: " + _STRIP.format("x") + "), 'string_agg', chr(10))")} AS t FROM documents),
+        p AS (SELECT doc_id, t, CASE WHEN len(a) <= 1 AND length(t) > 500 THEN l ELSE a END AS p FROM (SELECT doc_id, t, {_PARAS.replace("@", "chr(10) || chr(10)")} AS a, {_PARAS.replace("@", "chr(10)")} AS l FROM b WHERE t <> '')),
+        c AS (SELECT doc_id, unnest(c) AS chunk, unnest(range(0, len(c))) AS position FROM (SELECT doc_id, CASE WHEN length(t) // 4 > 1500 AND len(p) > 1
+          THEN [array_to_string(p[:len(p) // 2], chr(10) || chr(10)), array_to_string(p[len(p) // 2 + 1:], chr(10) || chr(10))] ELSE [t] END AS c FROM p))
+        SELECT doc_id, 'SECTION_LEVEL_CHUNKING' AS strategy, position::INT AS position, length(chunk) AS n, md5(chunk) AS digest FROM c""",
     "papers_topic_search": """SELECT doc_id, 'the "of the"' AS query FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'of the') ORDER BY doc_id LIMIT 20""",
     "topics_to_search": f"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(concat_ws(',', lang, '  ' || text[:12] || ' ', ' ', source), ','),
         lambda t: {_STRIP.format("t")}), lambda t: t <> ''), lambda t: CASE WHEN contains(t, ' ') THEN '"' || t || '"' ELSE t END), ' ') AS query FROM documents""",
