@@ -23,7 +23,7 @@ from corpuswell.llm.bpe import squeeze, unsqueeze
 
 SPAN, GRAM = 100, 50
 LEFT = SPAN - GRAM
-CHUNK, BLOCK = 1 << 20, 6 << 20
+CHUNK, BLOCK = 1 << 20, 3 << 20
 #: Shares of the contexts for each partition of a shuffle: a share is sorted in memory, at about 1 KB a context.
 SHARES = 4
 _U = np.uint64
