@@ -109,15 +109,18 @@ def _expand(row: dict, end_id: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_ids(end_id: int):
+    """Counts of ids: a pre-token's ids count as often as it stands; end_id once for each document."""
+
     def run(batches):
-        total = np.zeros(1, np.int64)
+        total = np.zeros(end_id + 1, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, _ = _expand(row, end_id)
-                counts = np.bincount(ids)
-                if len(counts) > len(total):
-                    counts, total = total, counts
-                total[: len(counts)] += counts
+                lengths = unsqueeze(row["word_tokens"]).astype(np.int64)
+                places = np.bincount(unsqueeze(row["codes"]), minlength=len(lengths))
+                counts = np.bincount(unsqueeze(row["word_ids"]), np.repeat(places, lengths), minlength=len(total)).astype(np.int64)
+                counts[: len(total)] += total
+                total = counts
+                total[end_id] += len(row["doc_ids"])
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
