@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
@@ -23,9 +23,9 @@ def assemble_context(hits: DataFrame, most: int = 10) -> DataFrame:
     hits: query_id, rank, paper_id, title, section, chunk_text.
     """
     top = hits.where(F.col("rank") <= most)
-    n = top.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
+    counted = top.withColumn("n_chunks", F.count("*").over(Window.partitionBy("query_id")))  # `most` rows a query
     piece = F.concat(source_line(F.col("title"), F.col("paper_id").cast("string"), F.col("section")), F.lit("\n"), truncated(F.col("chunk_text"), chunk_budget(F.col("n_chunks"))))
-    pieces = top.join(n, "query_id").select("query_id", "n_chunks", F.struct("rank", piece.alias("piece")).alias("p"))
+    pieces = counted.select("query_id", "n_chunks", F.struct("rank", piece.alias("piece")).alias("p"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "\n\n")
     return pieces.groupBy("query_id", "n_chunks").agg(truncated(joined, CONTEXT_CHARS, "...(truncated)").alias("context"))
 

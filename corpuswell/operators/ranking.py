@@ -95,8 +95,8 @@ def word_overlap(query: Column, text: Column) -> Column:
 
 def rerank(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int = S.top_k, scorer: Callable[[Column, Column], Column] = word_overlap) -> DataFrame:
     """The k best of each query's pool by `scorer`; texts are fetched for the pool only."""
-    n = scores.groupBy("query_id").agg(F.count("*").alias("n"))
-    pool = ranked(scores.join(n, "query_id"), pool_size(k, F.col("n")), "doc_id").select("query_id", "doc_id")
+    # A rank is never above the number of candidates, so that bound of the pool need not be counted.
+    pool = ranked(scores, pool_size(k, F.lit(S.pool_most)), "doc_id").select("query_id", "doc_id")
     texts = pool.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
     return ranked(texts.select("query_id", "doc_id", F.round(scorer(F.col("_q"), F.col("_t")), 9).alias("score")), k, "doc_id")
 
