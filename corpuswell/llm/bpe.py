@@ -18,7 +18,7 @@ from corpuswell.llm._shared import partitions, whole_text
 from corpuswell.llm._textkernels import pretoken_starts, ragged_take, segment_hashes
 
 #: Characters whose pre-tokens are found at once, and characters of a block.
-CHUNK, BLOCK = 1 << 20, 12 << 20
+CHUNK, BLOCK = 1 << 20, 4 << 20
 
 
 @lru_cache(2)
