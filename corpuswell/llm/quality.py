@@ -12,6 +12,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rates of a document that have an adaptive upper fence, with the least width of the fence.
 FENCES = {"symbol_rate": 0.5, "dup_line_rate": 0.5, "word_length": 1.5}
 
+#: The same for nested fences: a small tolerance, so that spreads of zero do not make each deviation a failure.
+TOLERANCES = {"symbol_rate": 0.05, "dup_line_rate": 0.05, "word_length": 0.1}
+
+#: Counts of which one occurrence fails no document under nested fences, with what they are a share of.
+COUNTS = {"symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines")}
+
+#: Rows from which a group has quartiles of its own under nested fences.
+LEAST_ROWS = 20
+
 
 def _windows(hashed: Column) -> Column:
     """A hash of each five consecutive words. hashed is a column, not an expression: each window reads it."""
@@ -72,8 +81,27 @@ def adaptive_fences(measured: DataFrame, by: list[str], spread: float = 6.0, acc
     return _rates(measured).groupBy(*by).agg(*quartiles).select(*by, *[fence(m, w).alias(f"max_{m}") for m, w in FENCES.items()])
 
 
+def nested_fences(measured: DataFrame, by: list[str], spread: float = 6.0, accuracy: int = 10_000) -> DataFrame:
+    """Per group the tightest of its own upper fence and those of the groups around it, which leave out the last names
+    of by one after the other; the outermost is all rows. A fence is the upper quartile plus `spread` interquartile ranges,
+    or plus the width of TOLERANCES where that is more. Groups of fewer than LEAST_ROWS rows have no fence
+    of their own, all rows always do. Each level merges the same kind of sketch as adaptive_fences.
+    """
+    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in TOLERANCES]
+    levels = _rates(measured).rollup(*by).agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quartiles)
+    enough = (F.col("_n") >= LEAST_ROWS) | (F.col("_level") == 2 ** len(by) - 1)
+    fence = lambda m, least: F.when(enough, F.col(m)[1] + F.greatest((F.col(m)[1] - F.col(m)[0]) * spread, F.lit(least)))
+    levels = staged(levels.select(*by, "_level", *[fence(m, w).alias(f"max_{m}") for m, w in TOLERANCES.items()]), "fences")
+    found = levels.where("_level = 0").drop("_level")
+    for k in range(len(by)):
+        around = levels.where(F.col("_level") == 2 ** (len(by) - k) - 1).select(*[F.col(c).alias(f"_around{c}") for c in by[:k]], *[F.col(f"max_{m}").alias(f"_max_{m}") for m in TOLERANCES])
+        same = [F.col(c).eqNullSafe(F.col(f"_around{c}")) for c in by[:k]] or F.lit(True)
+        found = found.join(around, same).select(*by, *[F.least(f"max_{m}", f"_max_{m}").alias(f"max_{m}") for m in TOLERANCES])
+    return found
+
+
 def judge_quality(
-    docs: DataFrame, by: list[str] = ["lang", "source"], text: str = "text", spread: float = 6.0, carry: list[str] | None = None  # noqa: B006
+    docs: DataFrame, by: list[str] = ["lang", "source"], text: str = "text", spread: float = 6.0, carry: list[str] | None = None, nested: bool = False  # noqa: B006
 ) -> DataFrame:
     """Every row of docs with its measures, base_failed, failed_by (names of the failed rules) and kept.
 
@@ -81,6 +109,9 @@ def judge_quality(
     in repeated windows) and no rate of it is above the fence of its language and source. Null language
     or source make groups of their own. Null or empty texts fail the base rule; repeated rows are judged
     each; an empty table gives no rows; columns of docs with the name of a measure are replaced.
+
+    With nested, fences are those of nested_fences: neither the size of a group nor a share of junk in it lets its worst
+    rows pass. One symbol or one repeated line alone is then no reason: shares are judged without the first occurrence.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
     names = [f"_by{k}" for k in range(len(by))]
@@ -88,9 +119,12 @@ def judge_quality(
     body = docs.select(F.struct(*carry).alias("_body"), F.col(text).alias("_text"), *[F.col(c).alias(n) for c, n in zip(by, names)])
     # The texts are measured once; what the sketches and the verdicts read is narrow if carry is.
     measured = staged(measures(body, "_text").drop("_text"), "measures")
-    fences = adaptive_fences(measured, names, spread).withColumnsRenamed({n: f"{n}g" for n in names})
+    fences = (nested_fences if nested else adaptive_fences)(measured, names, spread).withColumnsRenamed({n: f"{n}g" for n in names})
     same = [F.col(n).eqNullSafe(F.col(f"{n}g")) for n in names]
     joined = _rates(measured).join(fences, same, "left")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    over = F.filter(F.array(*[F.when(F.col(m) > F.col(f"max_{m}"), F.lit(m)) for m in FENCES]), lambda x: x.isNotNull())
+    above = {m: F.col(m) > F.col(f"max_{m}") for m in FENCES}
+    if nested:
+        above |= {m: F.col(n) - 1 > F.col(f"max_{m}") * F.col(of) for m, (n, of) in COUNTS.items()}
+    over = F.filter(F.array(*[F.when(x, F.lit(m)) for m, x in above.items()]), lambda x: x.isNotNull())
     return joined.select("_body.*", *made, base.alias("base_failed"), over.alias("failed_by"), (~base & (F.size(over) == 0)).alias("kept"))

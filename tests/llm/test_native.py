@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpuswell.llm import chat, quality, sharding
 from tests.llm.conftest import key
 
@@ -41,6 +42,14 @@ def test_fences_follow_the_group(spark):
     assert not kept.pop(50) and all(kept.values())
 
 
+def test_pipeline_rejects_labelled_junk(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL")
+    kept = corpus_pipeline.quality_rules(spark, docs, sf).join(labels, "doc_id").groupBy("quality").count().collect()
+    kept = {r.quality: r["count"] for r in kept}
+    assert kept.get(0, 0) == 0 and kept[1] >= 0.9 * labels.where("quality = 1").count()
+
+
 def test_shards(spark, odd, none):
     docs = spark.range(1003).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     a = sharding.shuffle_into_shards(docs, 16, rows_per_partition=100).collect()
