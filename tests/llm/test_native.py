@@ -42,6 +42,18 @@ def test_fences_follow_the_group(spark):
     assert not kept.pop(50) and all(kept.values())
 
 
+def test_nested_fences_reject_what_small_and_bad_groups_hide(spark):
+    clean = [(k, f"plain words of number {k} stand here in a row of some length", "en", f"s{k % 3}") for k in range(150)]
+    navigation = [(200 + k, f"home | about us | news | contact | all pages | help | page {k} | next", "en", f"s{k % 3}") for k in range(6)]
+    alone = [(300, "a ## b ## c ## d ## e ## f ##", "en", "alone"), (301, "a ## b ## c ## d ## e ## f ##", "xx", None), (302, clean[0][1], "en", None), (303, clean[0][1], None, None)]
+    bad = [(400 + k, "w ## x ## y ## z ## a ## b ##" if k % 2 else clean[k][1], "en", "bad") for k in range(24)]
+    one = [(500, "one line & no more of them stands in this short text", "en", "s0"), (501, "\n".join(["the first line", "a middle line of words", "the first line", "then an end of words"]), "en", "s0")]
+    docs = spark.createDataFrame([*clean, *navigation, *alone, *bad, *one], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(docs, nested=True).collect()}
+    junk = {*range(200, 206), 300, 301, *range(401, 424, 2)}
+    assert len(kept) == docs.count() and {k for k, v in kept.items() if not v} == junk
+
+
 def test_pipeline_rejects_labelled_junk(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL")
