@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers as P
 import tiktoken
 
@@ -39,3 +41,19 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
             table = cp.staged(stage(spark, table, SF), "t")
             assert table.columns == docs.columns
         assert cp.STAGES[-1][1](spark, table, SF).count() == table.count()
+
+
+def test_toxic_documents_leave_a_small_table(spark, tmp_path):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    insults = ["scumbag", "vermin", "halfwit"]
+    rows = []
+    for k in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(30, 60))]
+        if k % 8 == 0:
+            words[7] = insults[k // 8 % 3]
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(96)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r.doc_id for r in cp.mixing_to_targets(spark, docs, str(tmp_path)).collect()}
+    assert left == {k for k, _ in rows if k % 8}
