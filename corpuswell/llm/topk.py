@@ -69,25 +69,27 @@ def no_random_access(lists: SortedLists, queries: np.ndarray, own: np.ndarray, k
 
 
 def _blocks(size: int):
-    """Rows of a task as blocks: number, ids, vectors (32-bit, padded with zeros to the longest), their width."""
+    """Rows of a task (id, vector, copy) as blocks: number, ids, copies, vectors (32-bit, padded with zeros to the longest), their width."""
 
     def run(batches):
-        number, ids, vectors = TaskContext.get().partitionId() << 32, [], []
+        number, ids, copies, vectors = TaskContext.get().partitionId() << 32, [], [], []
 
         def block():
             width = max(map(len, vectors))
             packed = np.zeros((len(vectors), width), "<i4")
             for row, v in zip(packed, vectors):
                 row[: len(v)] = v
-            return pa.record_batch([pa.array([number], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([packed.tobytes()]), pa.array([width], pa.int32())], ["number", "ids", "vectors", "width"])
+            keys = [pa.array([np.array(x, "<i8").tobytes()]) for x in (ids, copies)]
+            return pa.record_batch([pa.array([number], pa.int64()), *keys, pa.array([packed.tobytes()]), pa.array([width], pa.int32())], ["number", "ids", "copies", "vectors", "width"])
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, v, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ids.append(i)
+                copies.append(c)
                 vectors.append(v.values.to_numpy())
                 if len(ids) == size:
                     yield block()
-                    number, ids, vectors = number + 1, [], []
+                    number, ids, copies, vectors = number + 1, [], [], []
         if ids:
             yield block()
 
@@ -107,8 +109,8 @@ def _search(k: int):
                 found = no_random_access(lists, vectors, queries, k)
                 sizes = [len(p) for p, _ in found]
                 yield pa.record_batch(
-                    [pa.array(np.repeat(queries, sizes)), pa.array(lists.ids[np.concatenate([p for p, _ in found])]), pa.array(np.concatenate([s for _, s in found]))],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat(queries, sizes)), pa.array(np.repeat(np.frombuffer(row["q_copies"], "<i8"), sizes)), pa.array(lists.ids[np.concatenate([p for p, _ in found])]), pa.array(np.concatenate([s for _, s in found]))],
+                    ["query_id", "copy", "vec_id", "score"],
                 )
 
     return run
@@ -130,16 +132,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     the quantised vectors, so they are exact. Ties go to the smaller id.
 
     Null vectors, null or non-finite components and null keys take no part; a shorter vector counts as padded
-    with zeros; an empty vector scores 0; rows that repeat an id are candidates each, but not for their own id;
-    an empty table gives no rows; other columns are not read.
+    with zeros; an empty vector scores 0; rows that repeat an id are candidates each, but not for their own id, and
+    queries each: query_id then has k rows for each of its query rows, of equal or of different vectors; an empty table gives no rows; other columns are not read.
     """
     groups = groups or partitions(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(vector).alias("v"), is_query.alias("q")).where("v IS NOT NULL AND id IS NOT NULL")
-    schema = "number long, ids binary, vectors binary, width int"
-    blocks = rows.select("id", "v").mapInArrow(_blocks(CANDIDATES), schema).withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int"))
-    queries = rows.where("q").select("id", "v").mapInArrow(_blocks(QUERIES), schema).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    schema = "number long, ids binary, copies binary, vectors binary, width int"
+    blocks = rows.select("id", "v", F.lit(0).cast("long")).mapInArrow(_blocks(CANDIDATES), schema).withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int"))
+    # Query rows of one id are told apart by number; which of equal rows has which does not matter.
+    copy = F.row_number().over(Window.partitionBy("id").orderBy("v")).cast("long")
+    queries = rows.where("q").select("id", "v", copy).mapInArrow(_blocks(QUERIES), schema).select(F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("vectors").alias("q_vectors"))
     everywhere = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    both = blocks.join(everywhere, "g").select("number", "ids", "vectors", "q_ids", "q_vectors")
-    found = both.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    both = blocks.join(everywhere, "g").select("number", "ids", "vectors", "q_ids", "q_copies", "q_vectors")
+    found = both.mapInArrow(_search(k), "query_id long, copy long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

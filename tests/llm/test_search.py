@@ -61,6 +61,20 @@ def test_top_k_as_brute_force(spark, monkeypatch):
     assert topk.top_k(few.where("false"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_of_repeated_query_rows(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(k, rng.normal(size=6).astype(np.float32).tolist()) for k in range(120)]
+    vectors += [vectors[50]] * 4 + [vectors[7]] + [(100, vectors[3][1])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    ints = [(k, [int(np.floor(256 * float(x))) for x in v]) for k, v in vectors]
+    want = []
+    for q, a in ints:
+        if q % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in ints if c != q)
+            want += [(q, r, c, -s) for r, (s, c) in enumerate(scores[:5], 1)]
+    assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0, 5, groups=3).collect())) == sorted(want)
+
+
 def labelled_docs(spark, n=400):
     rng = random.Random(7)
     word = lambda: rng.choice("alpha beta gamma delta house tree river stone".split())
