@@ -42,37 +42,68 @@ def test_licenses_as_brute_force(spark, odd, none):
     assert ls.scan_licenses(none).collect() == []
 
 
+def brute_top_k(vectors, every=50, k=5):
+    """Of each query row the best other rows; vectors that hold what is not finite take no part."""
+    ints = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for own, (q, a) in enumerate(ints):
+        if q % every == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for place, (c, b) in enumerate(ints) if place != own)
+            want += [(q, r, c, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, c) in enumerate(scores[:k], 1)]
+    return sorted(want)
+
+
+def found_top_k(table, **options):
+    return sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0, 5, **options).collect()))
+
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
 def test_top_k_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 50)
-    monkeypatch.setattr(topk, "ROUNDS", 9)
     rng = np.random.default_rng(4)
     vectors = [(k, [float(x) for x in rng.choice([-0.5, -0.1, 0.0, 0.3, 0.7], 12)]) for k in range(230)]
-    vectors += [(300, None), (350, [float("nan")] * 12), (400, [None] * 12), (450, [1.0] * 5), (451, []), (500, [float("inf")] * 12)]
-    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
-    got = topk.top_k(table, F.col("vec_id") % 50 == 0, 5, groups=3).collect()
-    ints = {k: [int(np.floor(256 * float(np.float32(x)))) for x in v] for k, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for q in (k for k in ints if k % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)
-        want += [(q, r, c, -s) for r, (s, c) in enumerate(scores[:5], 1)]
-    assert sorted(map(tuple, got)) == sorted(want)
-    few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>")
+    vectors += [(300, None), (350, [float("nan")] * 12), (400, [None] * 12), (450, [1.0] * 5), (451, []), (500, [float("inf")] * 12), (None, [1.0] * 12)]
+    table = spark.createDataFrame(vectors, SCHEMA).repartition(3)
+    assert found_top_k(table, groups=3) == brute_top_k(vectors)
+    few = spark.createDataFrame(vectors[:3], SCHEMA)
     assert topk.top_k(few, F.col("vec_id") % 50 == 0).count() == 2
     assert topk.top_k(few.where("false"), F.col("vec_id") % 50 == 0).collect() == []
+    assert topk.top_k(few, F.lit(None).cast("boolean")).collect() == []
 
 
-def test_top_k_of_repeated_query_rows(spark):
+def test_top_k_of_repeated_rows(spark):
     rng = np.random.default_rng(4)
     vectors = [(k, rng.normal(size=6).astype(np.float32).tolist()) for k in range(120)]
-    vectors += [vectors[50]] * 4 + [vectors[7]] + [(100, vectors[3][1])]
-    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
-    ints = [(k, [int(np.floor(256 * float(x))) for x in v]) for k, v in vectors]
-    want = []
-    for q, a in ints:
-        if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in ints if c != q)
-            want += [(q, r, c, -s) for r, (s, c) in enumerate(scores[:5], 1)]
-    assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0, 5, groups=3).collect())) == sorted(want)
+    vectors += [vectors[50]] * 8 + [vectors[7]] + [(100, vectors[3][1]), (0, vectors[0][1])]
+    assert found_top_k(spark.createDataFrame(vectors, SCHEMA).repartition(3), groups=3) == brute_top_k(vectors)
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(k, (rng.normal(size=4) * 10.0 ** rng.integers(0, 5)).astype(np.float32).tolist()) for k in range(110)]
+    vectors += [(110, [1e8, 3.0, -1e8, 0.5]), (150, [1e8, -7.0, -1e8, 2.0]), (151, [2.0**23, 1.0, 0.0, 0.0])]
+    assert found_top_k(spark.createDataFrame(vectors, SCHEMA)) == brute_top_k(vectors)
+    assert found_top_k(spark.createDataFrame([*vectors, (200, [3e38] * 4)], SCHEMA)) == brute_top_k([*vectors, (200, [3e38] * 4)])
+
+
+def test_top_k_stops_before_the_end_of_the_lists():
+    rng = np.random.default_rng(8)
+    vectors = np.floor(256 * rng.pareto(1.5, (4000, 16)))
+    ids = np.arange(4000)
+    lists = topk.SortedLists(ids, np.zeros(4000, int), vectors)
+    queries = np.zeros((6, 16))
+    queries[np.arange(6), rng.integers(0, 16, 6)] = 256
+    found, read = topk.no_random_access(lists, queries, np.full(6, -1), np.ones(6, int), 5, np.full(6, -np.inf))
+    assert read < 0.5 * vectors.size
+    for (places, scores), q in zip(found, queries):
+        every = vectors @ q
+        best = np.lexsort((ids, -every))[:5]
+        assert places.tolist() == best.tolist() and scores == every[best].astype(int).tolist()
+    # What other blocks gave lets a block without a good vector go sooner.
+    sooner = topk.no_random_access(lists, queries, np.full(6, -1), np.ones(6, int), 5, np.full(6, 1e9))
+    assert sooner[1] <= read and all(not scores for _, scores in sooner[0])
 
 
 def labelled_docs(spark, n=400):
