@@ -9,17 +9,14 @@ from corpuswell.llm._shared import staged, whole_text
 
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rates of a document that have an adaptive upper fence, with the least width of the fence.
-FENCES = {"symbol_rate": 0.5, "dup_line_rate": 0.5, "word_length": 1.5}
+#: Measures of a document that have an adaptive upper fence. Rates count per word.
+MEASURES = ["symbol_rate", "dup_line_rate", "word_length"]
 
-#: The same for nested fences: a small tolerance, so that spreads of zero do not make each deviation a failure.
-TOLERANCES = {"symbol_rate": 0.05, "dup_line_rate": 0.05, "word_length": 0.1}
+#: Rows that a group's parent counts as when the fence of a group is drawn towards that of its parent.
+PARENT_ROWS = 20
 
-#: Counts of which one occurrence fails no document under nested fences, with what they are a share of.
-COUNTS = {"symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines")}
-
-#: Rows from which a group has quartiles of its own under nested fences.
-LEAST_ROWS = 20
+#: By how much of a fence an estimate may be above it, as equal figures differ by rounding.
+ROUNDING = 1e-9
 
 
 def _windows(hashed: Column) -> Column:
@@ -64,54 +61,53 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _rates(measured: DataFrame) -> DataFrame:
-    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return measured.withColumns(
-        {"symbol_rate": rate("n_symbols", "n_words"), "dup_line_rate": rate("n_dup_lines", "n_lines"), "word_length": rate("word_chars", "n_words")}
-    )
+def _bounds(measured: DataFrame) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(upper, lower) estimates of each measure: a count plus one and less one, as a text shows its rate no finer than that."""
+    words, some = F.col("n_words"), F.greatest("n_words", F.lit(1))
+    length = F.col("word_chars") / some
+    counts = {"symbol_rate": F.col("n_symbols"), "dup_line_rate": F.col("n_dup_lines")}
+    upper = {m: (c + 1) / (words + 1) for m, c in counts.items()} | {"word_length": length}
+    lower = {m: (c - 1) / some for m, c in counts.items()} | {"word_length": length}
+    return upper, lower
 
 
 def adaptive_fences(measured: DataFrame, by: list[str], spread: float = 6.0, accuracy: int = 10_000) -> DataFrame:
-    """Per group an upper fence for each rate: the upper quartile plus `spread` interquartile ranges, or plus
-    the least width of FENCES where that is more. Quartiles come from Greenwald-Khanna sketches,
-    which Spark merges from map-side parts: a group with a third of all rows costs no more than another.
-    """
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in FENCES]
-    fence = lambda m, least: F.col(m)[1] + F.greatest((F.col(m)[1] - F.col(m)[0]) * spread, F.lit(least))
-    return _rates(measured).groupBy(*by).agg(*quartiles).select(*by, *[fence(m, w).alias(f"max_{m}") for m, w in FENCES.items()])
+    """Per group of `by` an upper fence for each measure, max_ and its name.
 
+    Groups nest: leaving out the last names of `by` one after the other gives their parents, the outermost being all rows. A
+    level's fence is the upper quartile of the upper estimates plus `spread` interquartile ranges, drawn towards the parent's as a
+    geometric mean: the group counts with its rows, the parent with PARENT_ROWS. The tightest fence of a group and its parents holds, so
+    that neither a small group nor one that is mostly junk lets its worst rows pass. No width is fixed: where
+    most texts have no symbol at all, quartiles still tell how finely texts of such lengths show a rate.
 
-def nested_fences(measured: DataFrame, by: list[str], spread: float = 6.0, accuracy: int = 10_000) -> DataFrame:
-    """Per group the tightest of its own upper fence and those of the groups around it, which leave out the last names
-    of by one after the other; the outermost is all rows. A fence is the upper quartile plus `spread` interquartile ranges,
-    or plus the width of TOLERANCES where that is more. Groups of fewer than LEAST_ROWS rows have no fence
-    of their own, all rows always do. Each level merges the same kind of sketch as adaptive_fences.
+    Quartiles come from Greenwald-Khanna sketches, which Spark merges from map-side parts: a group with a third of
+    all rows costs no more than another.
     """
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in TOLERANCES]
-    levels = _rates(measured).rollup(*by).agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quartiles)
-    enough = (F.col("_n") >= LEAST_ROWS) | (F.col("_level") == 2 ** len(by) - 1)
-    fence = lambda m, least: F.when(enough, F.col(m)[1] + F.greatest((F.col(m)[1] - F.col(m)[0]) * spread, F.lit(least)))
-    levels = staged(levels.select(*by, "_level", *[fence(m, w).alias(f"max_{m}") for m, w in TOLERANCES.items()]), "fences")
-    found = levels.where("_level = 0").drop("_level")
-    for k in range(len(by)):
-        around = levels.where(F.col("_level") == 2 ** (len(by) - k) - 1).select(*[F.col(c).alias(f"_around{c}") for c in by[:k]], *[F.col(f"max_{m}").alias(f"_max_{m}") for m in TOLERANCES])
-        same = [F.col(c).eqNullSafe(F.col(f"_around{c}")) for c in by[:k]] or F.lit(True)
-        found = found.join(around, same).select(*by, *[F.least(f"max_{m}", f"_max_{m}").alias(f"max_{m}") for m in TOLERANCES])
+    upper = measured.select(*by, *[c.alias(m) for m, c in _bounds(measured)[0].items()])
+    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in MEASURES]
+    own = [(F.col(m)[1] + (F.col(m)[1] - F.col(m)[0]) * spread).alias(m) for m in MEASURES]
+    levels = staged(upper.rollup(*by).agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quartiles).select(*by, "_level", "_n", *own), "fences")
+    found = None
+    for depth in range(len(by) + 1):
+        level = levels.where(F.col("_level") == 2 ** (len(by) - depth) - 1).select(*by[:depth], "_n", *MEASURES)
+        if found is None:
+            found = level.select(*[F.col(m).alias(f"max_{m}") for m in MEASURES])
+            continue
+        parent = found.select(*[F.col(c).alias(f"_p{c}") for c in by[: depth - 1]], *[F.col(f"max_{m}").alias(f"_p{m}") for m in MEASURES])
+        same = [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in by[: depth - 1]] or F.lit(True)
+        weight = F.col("_n") / (F.col("_n") + PARENT_ROWS)
+        drawn = lambda m: F.pow(m, weight) * F.pow(f"_p{m}", 1 - weight)
+        found = level.join(parent, same).select(*by[:depth], *[F.least(drawn(m), f"_p{m}").alias(f"max_{m}") for m in MEASURES])
     return found
 
 
-def judge_quality(
-    docs: DataFrame, by: list[str] = ["lang", "source"], text: str = "text", spread: float = 6.0, carry: list[str] | None = None, nested: bool = False  # noqa: B006
-) -> DataFrame:
+def judge_quality(docs: DataFrame, by: list[str] = ["lang", "source"], text: str = "text", spread: float = 6.0, carry: list[str] | None = None) -> DataFrame:  # noqa: B006
     """Every row of docs with its measures, base_failed, failed_by (names of the failed rules) and kept.
 
     A document is kept if it passes the base rules (10 words or more; no more than a fifth of the words
-    in repeated windows) and no rate of it is above the fence of its language and source. Null language
-    or source make groups of their own. Null or empty texts fail the base rule; repeated rows are judged
-    each; an empty table gives no rows; columns of docs with the name of a measure are replaced.
-
-    With nested, fences are those of nested_fences: neither the size of a group nor a share of junk in it lets its worst
-    rows pass. One symbol or one repeated line alone is then no reason: shares are judged without the first occurrence.
+    in repeated windows) and no lower estimate of it is above the adaptive fence of its language and source, so that one symbol or one
+    repeated line alone is no reason. Null language or source make groups of their own. Null or empty texts fail the base
+    rule; repeated rows are judged each; an empty table gives no rows; columns of docs with the name of a measure are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
     names = [f"_by{k}" for k in range(len(by))]
@@ -119,12 +115,9 @@ def judge_quality(
     body = docs.select(F.struct(*carry).alias("_body"), F.col(text).alias("_text"), *[F.col(c).alias(n) for c, n in zip(by, names)])
     # The texts are measured once; what the sketches and the verdicts read is narrow if carry is.
     measured = staged(measures(body, "_text").drop("_text"), "measures")
-    fences = (nested_fences if nested else adaptive_fences)(measured, names, spread).withColumnsRenamed({n: f"{n}g" for n in names})
+    fences = adaptive_fences(measured, names, spread).withColumnsRenamed({n: f"{n}g" for n in names})
     same = [F.col(n).eqNullSafe(F.col(f"{n}g")) for n in names]
-    joined = _rates(measured).join(fences, same, "left")
+    joined = measured.join(fences, same, "left")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    above = {m: F.col(m) > F.col(f"max_{m}") for m in FENCES}
-    if nested:
-        above |= {m: F.col(n) - 1 > F.col(f"max_{m}") * F.col(of) for m, (n, of) in COUNTS.items()}
-    over = F.filter(F.array(*[F.when(x, F.lit(m)) for m, x in above.items()]), lambda x: x.isNotNull())
+    over = F.filter(F.array(*[F.when(c > F.col(f"max_{m}") * (1 + ROUNDING), F.lit(m)) for m, c in _bounds(measured)[1].items()]), lambda x: x.isNotNull())
     return joined.select("_body.*", *made, base.alias("base_failed"), over.alias("failed_by"), (~base & (F.size(over) == 0)).alias("kept"))

@@ -134,25 +134,26 @@ ORACLE = {
             coalesce(n, 0)::BIGINT AS n_repeat_words
           FROM w LEFT JOIN cov USING (rid)),
         r AS (
-          SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS sr,
-            CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dr,
-            CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS wl
-          FROM m),
+          SELECT *, (n_symbols + 1) / (n_words + 1) AS sr, (n_dup_lines + 1) / (n_words + 1) AS dr, word_chars / greatest(n_words, 1) AS wl FROM m),
         q AS (
-          SELECT lang, source,
-            min(sr) FILTER (s1 >= 0.25 * n) AS sr1, min(sr) FILTER (s1 >= 0.75 * n) AS sr3,
-            min(dr) FILTER (s2 >= 0.25 * n) AS dr1, min(dr) FILTER (s2 >= 0.75 * n) AS dr3,
-            min(wl) FILTER (s3 >= 0.25 * n) AS wl1, min(wl) FILTER (s3 >= 0.75 * n) AS wl3
-          FROM (
-            SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY sr) AS s1,
-              row_number() OVER (g ORDER BY dr) AS s2, row_number() OVER (g ORDER BY wl) AS s3
-            FROM r WINDOW g AS (PARTITION BY lang, source))
-          GROUP BY lang, source)
+          SELECT lang, source, grouping(lang) + grouping(source) AS level, count(*) AS n,
+            list(sr ORDER BY sr) AS s, list(dr ORDER BY dr) AS d, list(wl ORDER BY wl) AS w
+          FROM r GROUP BY ROLLUP (lang, source)),
+        f AS (
+          SELECT lang, source, level, n, s[hi] + 6 * (s[hi] - s[lo]) AS s, d[hi] + 6 * (d[hi] - d[lo]) AS d, w[hi] + 6 * (w[hi] - w[lo]) AS w
+          FROM (SELECT *, ceil(0.25 * n)::BIGINT AS lo, ceil(0.75 * n)::BIGINT AS hi FROM q)),
+        f1 AS (
+          SELECT c.lang, least(pow(c.s, c.n / (c.n + 20)) * pow(p.s, 20 / (c.n + 20)), p.s) AS s, least(pow(c.d, c.n / (c.n + 20)) * pow(p.d, 20 / (c.n + 20)), p.d) AS d,
+            least(pow(c.w, c.n / (c.n + 20)) * pow(p.w, 20 / (c.n + 20)), p.w) AS w
+          FROM f c, f p WHERE c.level = 1 AND p.level = 2),
+        f0 AS (
+          SELECT c.lang, c.source, least(pow(c.s, c.n / (c.n + 20)) * pow(p.s, 20 / (c.n + 20)), p.s) AS s, least(pow(c.d, c.n / (c.n + 20)) * pow(p.d, 20 / (c.n + 20)), p.d) AS d,
+            least(pow(c.w, c.n / (c.n + 20)) * pow(p.w, 20 / (c.n + 20)), p.w) AS w
+          FROM f c JOIN f1 p ON c.lang IS NOT DISTINCT FROM p.lang WHERE c.level = 0)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed,
-          NOT bad AND sr <= sr3 + greatest(6 * (sr3 - sr1), 0.5) AND dr <= dr3 + greatest(6 * (dr3 - dr1), 0.5)
-            AND wl <= wl3 + greatest(6 * (wl3 - wl1), 1.5) AS kept
+          NOT bad AND (n_symbols - 1) / greatest(n_words, 1) <= s * (1 + 1e-9) AND (n_dup_lines - 1) / greatest(n_words, 1) <= d * (1 + 1e-9) AND wl <= w * (1 + 1e-9) AS kept
         FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS bad FROM r) r
-        JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source""",
+        JOIN f0 ON r.lang IS NOT DISTINCT FROM f0.lang AND r.source IS NOT DISTINCT FROM f0.source""",
     "op8_exact_topk": r"""
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings

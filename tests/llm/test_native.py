@@ -34,6 +34,53 @@ def test_measures_and_base_rule(spark, odd, none):
     assert quality.judge_quality(none).collect() == []
 
 
+def plain_fences(rows, spread=6, parent_rows=20):
+    """(lang, source) -> fences, from rows (lang, source, upper estimates)."""
+
+    def own(values):
+        v = sorted(values)
+        lo, hi = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+        return hi + spread * (hi - lo)
+
+    out = {}
+    for lang, source in {r[:2] for r in rows}:
+        nested = [rows, [r for r in rows if r[0] == lang], [r for r in rows if r[:2] == (lang, source)]]
+        fences = [own(r[2 + k] for r in rows) for k in range(3)]
+        for level in nested[1:]:
+            n = len(level)
+            fences = [min((own(r[2 + k] for r in level) ** n * f**parent_rows) ** (1 / (n + parent_rows)), f) for k, f in enumerate(fences)]
+        out[lang, source] = fences
+    return out
+
+
+def upper_estimates(r):
+    return (r.n_symbols + 1) / (r.n_words + 1), (r.n_dup_lines + 1) / (r.n_words + 1), r.word_chars / max(r.n_words, 1)
+
+
+def noisy_docs(spark, symbols=1, length=1):
+    rng = random.Random(9)
+    rows = []
+    for k in range(160):
+        source = k % 4
+        words = ["w" * length * rng.randint(2, 5) for _ in range(rng.randint(20, 60))]
+        words += ["#" * symbols for _ in range(rng.randint(source, 3 * source + 3))]
+        rows.append((k, " ".join(words), "en" if k % 8 < 6 else None, f"s{source}"))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_fences_as_plain_python_and_in_proportion_to_what_is_measured(spark):
+    fences = {}
+    for symbols, length in ((1, 1), (50, 1), (1, 10)):
+        measured = quality.measures(noisy_docs(spark, symbols, length)).withColumnsRenamed({"lang": "_by0", "source": "_by1"})
+        found = {(r[0], r[1]): tuple(r)[2:] for r in quality.adaptive_fences(measured, ["_by0", "_by1"]).collect()}
+        want = plain_fences([(r["_by0"], r["_by1"], *upper_estimates(r)) for r in measured.collect()])
+        assert set(found) == set(want) and all(found[g] == pytest.approx(want[g]) for g in want)
+        fences[symbols, length] = found
+    for g, (rate, _, length) in fences[1, 1].items():
+        assert 25 * rate < fences[50, 1][g][0] < 55 * rate  # one symbol more or less counts for little among many
+        assert 5 * length < fences[1, 10][g][2] < 12 * length  # the symbols' own words stay as they are, so lengths spread more
+
+
 def test_fences_follow_the_group(spark):
     clean = [(k, f"plain words of number {k} stand here in a row of some length", "en", "a") for k in range(40)]
     noisy = [(100 + k, f"a # b # c # d # e # f # g # h # i # j # {k}", "en", "b") for k in range(40)]
@@ -42,14 +89,14 @@ def test_fences_follow_the_group(spark):
     assert not kept.pop(50) and all(kept.values())
 
 
-def test_nested_fences_reject_what_small_and_bad_groups_hide(spark):
+def test_fences_reject_what_small_and_bad_groups_hide(spark):
     clean = [(k, f"plain words of number {k} stand here in a row of some length", "en", f"s{k % 3}") for k in range(150)]
     navigation = [(200 + k, f"home | about us | news | contact | all pages | help | page {k} | next", "en", f"s{k % 3}") for k in range(6)]
     alone = [(300, "a ## b ## c ## d ## e ## f ##", "en", "alone"), (301, "a ## b ## c ## d ## e ## f ##", "xx", None), (302, clean[0][1], "en", None), (303, clean[0][1], None, None)]
     bad = [(400 + k, "w ## x ## y ## z ## a ## b ##" if k % 2 else clean[k][1], "en", "bad") for k in range(24)]
     one = [(500, "one line & no more of them stands in this short text", "en", "s0"), (501, "\n".join(["the first line", "a middle line of words", "the first line", "then an end of words"]), "en", "s0")]
     docs = spark.createDataFrame([*clean, *navigation, *alone, *bad, *one], "doc_id long, text string, lang string, source string")
-    kept = {r.doc_id: r.kept for r in quality.judge_quality(docs, nested=True).collect()}
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(docs).collect()}
     junk = {*range(200, 206), 300, 301, *range(401, 424, 2)}
     assert len(kept) == docs.count() and {k for k, v in kept.items() if not v} == junk
 
