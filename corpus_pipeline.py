@@ -17,8 +17,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the documents that fail a base rule or the tightest adaptive threshold of their source, language and all rows."""
-    return quality.judge_quality(docs, nested=True).where("kept").select(docs.columns)
+    """Leaves the documents that fail a base rule or the tightest adaptive fence of their source, language and all rows."""
+    return quality.judge_quality(docs).where("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
