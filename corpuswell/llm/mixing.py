@@ -64,12 +64,34 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _sample_features(batches):
-    for batch in batches:
-        owner, slot, _, dense = _features([t.as_py() for t in batch.column(1).cast(pa.binary())])
-        cuts = np.searchsorted(owner, np.arange(len(batch) + 1))
-        slots = [slot[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        yield pa.record_batch([batch.column(0), pa.array(slots, pa.binary()), pa.array(dense.tolist(), pa.list_(pa.float64()))], ["domain", "slots", "dense"])
+def _slot_counts(domains: int):
+    """Of a task's rows (domain, text): in how many documents of each domain each word slot stands."""
+
+    def run(batches):
+        seen = np.zeros((domains, 1 << SLOT_BITS), np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                owner, slot, _, _ = _features([t.as_py() for t in part.column(1).cast(pa.binary())])
+                np.add.at(seen, (part.column(0).to_numpy()[owner], slot), 1)
+        domain, slot = np.nonzero(seen)
+        yield pa.record_batch([pa.array(slot, pa.int32()), pa.array(domain, pa.int32()), pa.array(seen[domain, slot])], ["slot", "domain", "n"])
+
+    return run
+
+
+def _sample_features(index: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                owner, slot, _, dense = _features([t.as_py() for t in part.column(1).cast(pa.binary())])
+                owner, kept = owner[index[slot] >= 0], index[slot][index[slot] >= 0]
+                cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+                words = [kept[a:b].astype("<u2").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.record_batch([part.column(0), pa.array(words, pa.binary()), pa.array(dense.tolist(), pa.list_(pa.float64()))], ["domain", "words", "dense"])
+
+    return run
 
 
 def _chance(total: np.ndarray, seen: np.ndarray, rows: int, own: int) -> tuple[np.ndarray, float]:
@@ -103,32 +125,37 @@ def _chance(total: np.ndarray, seen: np.ndarray, rows: int, own: int) -> tuple[n
 def train(sample: DataFrame, domains: int, row_steps: int = 4_000_000, ridge: float = 1e-4) -> Classifier:
     """Fits a Classifier on a bounded sample (domain int, text). Words count that stand in more documents of a domain
     than chance explains for the numbers of labels and of words there are, at most KEPT. Domains without a row get a low prior; without rows all are alike. A fit takes row_steps / rows steps, from 200
-    to 3000."""
-    rows = sample.mapInArrow(_sample_features, "domain int, slots binary, dense array<double>").collect()
-    index, empty = np.full(1 << SLOT_BITS, -1, np.int32), np.zeros((DENSE, domains))
-    if not rows:
+    to 3000. The driver gets a count for each slot and domain, then at most KEPT numbers of two bytes for each row of the sample, whatever
+    the length of its text."""
+    counted = sample.groupBy("domain").count().collect()  # a row for each domain
+    per_domain = np.zeros(domains, np.int64)
+    for r in counted:
+        per_domain[r["domain"]] = r["count"]
+    n, index, empty = int(per_domain.sum()), np.full(1 << SLOT_BITS, -1, np.int32), np.zeros((DENSE, domains))
+    if not n:
         return Classifier(index, np.zeros(DENSE), np.ones(DENSE), empty, np.zeros(domains))
-    y = np.array([r["domain"] for r in rows])
-    slots = [np.frombuffer(r["slots"], "<u4").astype(np.int64) for r in rows]
-    owner, slot = np.repeat(np.arange(len(rows)), [len(s) for s in slots]), np.concatenate(slots)
-    per_domain = np.bincount(y, minlength=domains)
-    seen = np.stack([np.bincount(slot[y[owner] == k], minlength=1 << SLOT_BITS) for k in range(domains)])
-    share = seen.sum(axis=0) / len(rows)
+    slots = sample.mapInArrow(_slot_counts(domains), "slot int, domain int, n long").groupBy("slot", "domain").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros((domains, 1 << SLOT_BITS), np.int64)
+    seen[slots["domain"].to_numpy(), slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    share = seen.sum(axis=0) / n
     words = np.flatnonzero(share)
     rank = np.zeros(len(words))
     for k in np.flatnonzero(per_domain):
-        log_p, bound = _chance(seen[:, words].sum(axis=0), seen[k, words], len(rows), int(per_domain[k]))
+        log_p, bound = _chance(seen[:, words].sum(axis=0), seen[k, words], n, int(per_domain[k]))
         rank = np.minimum(rank, np.where(log_p <= bound, log_p, 0))
     best = np.argsort(rank, kind="stable")[:KEPT]
     best = np.sort(words[best[rank[best] < 0]])
     index[best] = np.arange(len(best))
+    rows = sample.mapInArrow(_sample_features(index), "domain int, words binary, dense array<double>").collect()  # bounded, as above
+    y = np.array([r["domain"] for r in rows])
+    held = [np.frombuffer(r["words"], "<u2").astype(np.int64) for r in rows]
+    owner, word = np.repeat(np.arange(n), [len(w) for w in held]), np.concatenate(held)
     ridge = max(ridge, PRIOR / len(rows))
     dense = np.array([r["dense"] for r in rows])
     centre, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-6) / 4
     x = np.zeros((len(rows), len(best) + DENSE), np.float32)
-    own = index[slot] >= 0
     lift = np.minimum(1 / np.sqrt(np.maximum(share * (1 - share), 1e-9)), 10)[best].astype(np.float32)  # rare words learn as fast
-    x[owner[own], index[slot[own]]] = lift[index[slot[own]]]
+    x[owner, word] = lift[word]
     x[:, len(best) :] = (dense - centre) / scale
     hot = np.eye(domains, dtype=np.float32)[y]
     w, b = np.zeros((x.shape[1], domains), np.float32), np.log((per_domain + 0.5) / (len(rows) + 0.5 * domains)).astype(np.float32)
@@ -166,84 +193,124 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: int, sample
     training only. All texts are then read once and scored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    chosen = labelled.select("doc_id", "domain").where("doc_id IS NOT NULL AND domain IS NOT NULL").orderBy(F.xxhash64("doc_id"), "domain").limit(sample_rows)
-    sample = rows.join(F.broadcast(chosen), "doc_id").select(F.col("domain").cast("int"), "text")  # at most sample_rows
+    known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("int").alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL").distinct()
+    chosen = known.orderBy(F.xxhash64("doc_id"), "domain").limit(sample_rows)
+    # At most sample_rows rows: of documents that repeat a doc_id the least text stands for all.
+    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text")
+    sample = staged(sample, "sample")
     return rows.mapInArrow(_score(train(sample, domains)), "doc_id long, n_tokens long, posteriors array<double>")
 
 
-def _rates(p: np.ndarray, history: list, step: float, pull: float, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, look-ahead rates) after the gradient steps of a history of (errors per domain, momentum)."""
-    r = ahead = np.ones(len(p))
+STATE = "doc_id long, n_tokens long, posteriors array<double>, rate double, ahead double"
+
+
+@dataclass
+class _Problem:
+    """Numbers that all steps share: tokens in all, what an error in a domain weighs, domains' tokens, the pull to 1 and the cap."""
+
+    total: float
+    weights: np.ndarray
+    have: np.ndarray
+    pull: float
+    most: float
+
+
+def _step(problem: _Problem, n: np.ndarray, p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, history: list) -> tuple:
+    """(rate, ahead, sums of the last step) after the steps of a history of (errors per domain, momentum).
+
+    A document's step is the gradient over its share of the curvature, a bound of the whole by its diagonal. The sums tell
+    whether the momentum leads uphill, and how far the documents' tokens moved.
+    """
+    curve = p @ (problem.weights * problem.have) / problem.total + problem.pull
+    uphill = moved = 0.0
     for errors, momentum in history:
-        new = np.clip(ahead - step * (p @ errors + pull * (ahead - 1)), 0, most)
-        ahead, r = new + momentum * (new - r), new
-    return r, ahead
+        new = np.clip(ahead - (p @ (problem.weights * errors) + problem.pull * (ahead - 1)) / curve, 0, problem.most)
+        uphill, moved = float((n * curve * (ahead - new)) @ (new - rate)), float(n @ (new - ahead) ** 2)
+        rate, ahead = new, new + momentum * (new - rate)
+    return rate, ahead, uphill, moved
 
 
-def _columns(batch) -> tuple[np.ndarray, np.ndarray]:
+def _columns(batch) -> tuple[np.ndarray, ...]:
     n = batch.column(1).to_numpy().astype(float)
-    return n, batch.column(2).flatten().to_numpy().reshape(len(n), -1) if len(n) else np.zeros((0, 1))
+    p = batch.column(2).flatten().to_numpy().reshape(len(n), -1) if len(n) else np.zeros((0, 1))
+    return n, p, batch.column(3).to_numpy(), batch.column(4).to_numpy()
 
 
-def _totals(history, step, pull, most):
+def _sums(problem: _Problem, history: list):
     def run(batches):
         for batch in batches:
-            n, p = _columns(batch)
-            if len(n):
-                _, ahead = _rates(p, history, step, pull, most)
-                sums = [*(n * ahead) @ p, *((p * n[:, None]).T @ p).ravel()]
+            if len(batch):
+                n, p, rate, ahead = _columns(batch)
+                rate, ahead, *last = _step(problem, n, p, rate, ahead, history)
+                sums = [*(n * ahead) @ p, *(n * rate) @ p, *last]
                 yield pa.record_batch([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums, pa.float64())], ["k", "v"])
 
     return run
 
 
-def _apply(history, step, pull, most):
+def _advance(problem: _Problem, history: list):
     def run(batches):
         for batch in batches:
-            n, p = _columns(batch)
-            rates = _rates(p, history, step, pull, most)[0] if len(n) else n
-            yield pa.record_batch([*batch.columns, pa.array(rates)], [*batch.schema.names, "rate"])
+            if len(batch):
+                rate, ahead, _, _ = _step(problem, *_columns(batch), history)
+                yield pa.record_batch([*batch.columns[:3], pa.array(rate), pa.array(ahead)], batch.schema.names)
 
     return run
 
 
-def mixing_rates(scored: DataFrame, targets: list[float], keep: int | None = None, most: float = float("inf"), pull: float = 1e-3, steps: int = 60, close: float = 1e-4) -> DataFrame:
-    """scored (doc_id, n_tokens, posteriors) with a rate for each document.
+def mixing_rates(
+    scored: DataFrame, targets: list[float], keep: int | None = None, most: float = float("inf"), weights: list[float] | None = None, pull: float = 1e-4, steps: int = 400, close: float = 1e-4, stage: int = 25
+) -> DataFrame:
+    """scored (doc_id, n_tokens, posteriors) with rate for each document, and for all of them converged and target_gap.
+
+    Minimises the squared distances of expected domain tokens, the sum of n_tokens * posterior * rate, from their targets, as shares
+    of all tokens and each times the weight of its domain, with a small pull of rates towards 1; rates stay between 0 and `most`.
+    Expected totals aim at the tokens in docs by the normed targets; with keep, the total is such that domain `keep` is to have as
+    many tokens as it has. An aim above what `most` allows is lowered to that.
 
-    Minimises the squared distances of expected domain tokens, the sum of n_tokens * posterior * rate, from their
-    targets, each relative to the domain's size, with a small pull of rates towards 1; rates stay between
-    0 and `most`. Expected totals aim at the tokens in docs by the normed targets; with keep, the total is such
-    that domain `keep` is to have as many tokens as it has. Each step is one job over staged numbers that
-    gives a sum per domain; rates themselves follow from the sums so far and are never stored in between.
+    Projected gradient with momentum, which starts anew where it leads uphill. Each step is one job over staged numbers that gives
+    some sums; the driver holds no more than these. Rates follow from the sums, and every `stage` steps they are staged, so that no
+    step repeats more than that many. converged tells whether a step moved rates by less than `close`, as the
+    root of the mean square over tokens, before `steps` were made. target_gap is the largest distance of a domain's expected tokens from
+    its aim as a share of all tokens: 0 where rates can meet the targets, more where posteriors or bounds forbid it.
     """
-    scored, k = staged(scored, "scored"), len(targets)
+    one = F.lit(1.0)
+    state, k = staged(scored.select("doc_id", "n_tokens", "posteriors", one.alias("rate"), one.alias("ahead")), "scored"), len(targets)
     goal = np.array(targets, float) / sum(targets)
-
-    def totals(history, step):
-        found = scored.mapInArrow(_totals(history, step, pull, most), "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
-        sums = np.zeros(k + k * k)
-        for row in found.collect():  # k + k * k numbers
-            sums[row["k"]] = row["v"]
-        return sums[:k], sums[k:].reshape(k, k)
-
-    have, moments = totals([], 0)
-    n = have.sum()
-    if not n:
-        return scored.withColumn("rate", F.lit(1.0))
-    aim = goal * (have[keep] / goal[keep] if keep is not None else n)
-    size = np.maximum(np.maximum(aim, have), 1e-6 * n)
-    step = 1 / (float(np.linalg.eigvalsh(moments / np.sqrt(np.outer(size, size))).max()) + pull)
-    history: list = []
-    for t in range(1, steps + 1):
-        now = have if t == 1 else totals(history, step)[0]
-        history.append(((now - aim) / size, (t - 1) / (t + 2)))
-        if np.abs(now - aim).max() < close * n:
+    problem = _Problem(1.0, np.ones(k) if weights is None else np.array(weights, float), np.zeros(k), pull, most)
+
+    def sums(history):
+        found = state.mapInArrow(_sums(problem, history), "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
+        out = np.zeros(2 * k + 2)
+        for row in found.collect():  # 2 * k + 2 numbers
+            out[row["k"]] = row["v"]
+        return out[:k], out[k : 2 * k], out[2 * k], out[2 * k + 1]
+
+    have = sums([])[0]
+    total = have.sum()
+    out = lambda converged, gap: state.select("doc_id", "n_tokens", "posteriors", "rate", F.lit(converged).alias("converged"), F.lit(float(gap)).alias("target_gap"))
+    if not total:
+        return out(True, 0)
+    aim = goal * (have[keep] / goal[keep] if keep is not None else total)
+    aim = np.minimum(aim, most * have) if np.isfinite(most) else aim
+    problem = _Problem(total, problem.weights, have, pull, most)
+    history, ahead, expected, momentum, converged = [], have, have, 0, False
+    for _ in range(steps):
+        history.append(((ahead - aim) / total, momentum / (momentum + 3)))
+        ahead, expected, uphill, moved = sums(history)
+        momentum = 0 if uphill > 0 else momentum + 1
+        converged = bool(np.sqrt(moved / total) < close)
+        if converged or len(history) == stage:
+            state, history = staged(state.mapInArrow(_advance(problem, history), STATE), "rates"), []
+        if converged:
             break
-    return scored.mapInArrow(_apply(history, step, pull, most), "doc_id long, n_tokens long, posteriors array<double>, rate double")
+    if history:
+        state = staged(state.mapInArrow(_advance(problem, history), STATE), "rates")
+    return out(converged, np.abs(expected - aim).max() / total)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: list[float], seed: int = 42, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, n_tokens, posteriors, rate and copies of each row of docs: how often it is to be taken.
+    """doc_id, n_tokens, posteriors, rate, converged, target_gap and copies of each row of docs: how often it is to be taken.
 
     copies is rate rounded up or down by a hash of doc_id, so that its expectation is the rate. Null and empty texts have no tokens and
     the prior's posteriors; null keys take part; repeated rows get the same figures each; an empty table gives no
@@ -255,5 +322,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: list[float], seed: int =
 
 
 def label_domains(labels: DataFrame) -> Column:
-    """Domains of the labels table: 0 clean, 1 of low quality, 2 toxic; null where nothing is known."""
-    return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) | (F.col("toxic") == 0), 0)
+    """Domains of the labels table: 0 clean, 1 of low quality, 2 toxic; null where nothing is known. A column that is not there tells nothing."""
+    quality, toxic = (F.col(c) if c in labels.columns else F.lit(None).cast("int") for c in ("quality", "toxic"))
+    return F.when(toxic == 1, 2).when(quality == 0, 1).when((quality == 1) | (toxic == 0), 0)

@@ -75,7 +75,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = labels.select("doc_id", mixing.label_domains(labels).alias("domain"))
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), labelled, [0.90, 0.08, 0.02])
     p = F.col("posteriors")
-    return mixed.select("doc_id", "n_tokens", p[0].alias("p_clean"), p[1].alias("p_low"), p[2].alias("p_toxic"), "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", p[0].alias("p_clean"), p[1].alias("p_low"), p[2].alias("p_toxic"), "rate", "copies", "converged", "target_gap")
 
 
 def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ LEFT = SPAN - GRAM
 CHUNK, BLOCK = 1 << 20, 3 << 20
 #: Shares of the contexts for each partition of a shuffle: a share is sorted in memory, at about 1 KB a context.
 SHARES = 4
+#: How carried columns are written as JSON, so that times lose no digit.
+CARRIED = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 _U = np.uint64
 
 
@@ -409,7 +411,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
     everything from SPAN bytes on; an empty table gives no rows. Columns named in carry come along as a JSON
     object in carried (else null), so that texts need not be joined with them; others are not read.
     """
-    carried = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    carried = F.to_json(F.struct(*carry), CARRIED) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"), carried.alias("carried"))
     buckets, shares = partitions(docs.sparkSession), SHARES * partitions(docs.sparkSession)
     repeats = rows.mapInArrow(_send_grams(buckets), PACKS).repartitionById(buckets, F.col("bucket")).mapInArrow(_find_repeats, PACKS)

@@ -132,6 +132,53 @@ def test_mixing_meets_targets_and_tells_domains(spark):
     assert all((r.rate > 0.5) == (r.domain == 0) for r in kept)
 
 
+def plain_rates(n, p, aim, most, weights, pull):
+    """Minimises the same sum one document after the other, in closed form, until nothing moves."""
+    total, rates = n.sum(), np.ones(len(n))
+    errors = (n * rates @ p - aim) / total
+    for _ in range(20_000):
+        moved = 0.0
+        for i in np.flatnonzero(n):
+            slope = (p[i] * weights) @ errors + pull * (rates[i] - 1)
+            curve = n[i] / total * (p[i] ** 2 @ weights) + pull
+            new = min(max(rates[i] - slope / curve, 0), most)
+            errors += n[i] / total * p[i] * (new - rates[i])
+            moved, rates[i] = max(moved, abs(new - rates[i])), new
+        if moved < 1e-9:
+            return rates
+    raise AssertionError("not settled")
+
+
+def test_rates_as_plain_least_squares(spark):
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 400, 60)
+    p = rng.dirichlet([0.4, 0.2, 0.1], 60)
+    scored = spark.createDataFrame([(k, int(a), b.tolist()) for k, (a, b) in enumerate(zip(n, p))], "doc_id long, n_tokens long, posteriors array<double>").repartition(3)
+    have = n @ p
+    for targets, keep, most, weights in (([0.5, 0.3, 0.2], None, float("inf"), None), ([0.9, 0.1, 0.0], 0, 1.0, [5.0, 1.0, 1.0]), ([0.2, 0.2, 0.6], None, 2.0, None)):
+        aim = np.array(targets) * (n.sum() if keep is None else have[keep] / targets[keep])
+        aim = np.minimum(aim, most * have) if most < 1e9 else aim
+        want = plain_rates(n, p, aim, most, np.ones(3) if weights is None else np.array(weights), 1e-2)
+        rows = mixing.mixing_rates(scored, targets, keep, most, weights, pull=1e-2, close=1e-7, steps=1000, stage=40).collect()
+        assert all(r.converged for r in rows)
+        assert max(abs(r.rate - want[r.doc_id]) for r in rows if n[r.doc_id]) < 1e-3
+        gap = np.abs(n * want @ p - aim).max() / n.sum()
+        assert all(abs(r.target_gap - gap) < 1e-3 for r in rows)
+    assert not any(r.converged for r in mixing.mixing_rates(scored, [0.5, 0.3, 0.2], steps=2).collect())
+
+
+def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mixing, "train", lambda sample, domains: seen.append(sample.count()) or (_ for _ in ()).throw(StopIteration))
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(50)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(k % 3, 0) for k in range(9)], "doc_id long, domain int")
+    try:
+        mixing.domain_posteriors(docs, labelled, 2, sample_rows=2)
+    except StopIteration:
+        pass
+    assert seen == [2]
+
+
 def test_mixing_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 0), (6, 1), (None, 1), (8, None)], "doc_id long, domain int")
     rows = mixing.mix(odd, labels, [0.5, 0.5]).collect()
