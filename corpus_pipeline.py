@@ -7,13 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswell.llm import bpe, mixing, near_dedup, quality, suffix_dedup
-from corpuswell.llm._shared import staged
+from corpuswell.llm._shared import staged, whole_text
 
-_NODE = "_document_node"
+#: Shares of the tokens that clean, low-quality and toxic documents are to have, and how much an error in each counts.
+TARGETS, WEIGHTS = [0.98, 0.02, 0.0], [5.0, 1.0, 1.0]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_NODE, near_dedup.document_node())
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each document, and the name of its column: the doc_id, or a stand-in above all doc_ids, from the text, where it is null.
+
+    Of rows that share a doc_id but not their text, those of the least text hash keep the doc_id as number; others have a
+    stand-in from both. So rows have one number only if doc_id and text are equal.
+    """
+    node = "_document_node"
+    while node in docs.columns:
+        node += "_"
+    own, digest = near_dedup.document_node(), F.xxhash64(whole_text())
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).where("least <> most")
+    if several.isEmpty():
+        return docs.withColumn(node, own), node
+    several = several.select(F.col("doc_id").alias(f"{node}i"), F.col("least").alias(f"{node}h"))
+    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", whole_text()), 2)
+    other = F.col(f"{node}h").isNotNull() & (digest != F.col(f"{node}h"))
+    joined = docs.join(several, docs["doc_id"] == several[f"{node}i"], "left")
+    return joined.withColumn(node, F.when(other, stand_in).otherwise(own)).select(*docs.columns, node), node
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,37 +41,43 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group linked by five-word shingles at 0.8.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id are told apart by their text.
+    Rows of equal doc_id and different texts are documents of their own; of rows with equal doc_id and text that with the
+    least hash of all columns stays; rows without doc_id are told apart by their text.
     """
-    marked = staged(near_dedup.near_duplicates(docs, 5, (80, 100)).select("node", "kept"), "marked")
-    dropped = marked.where("NOT kept").select(F.col("node").alias(_NODE)).distinct()
-    rest = _keyed(docs).join(dropped, _NODE, "left_anti")
+    keyed, node = _keyed(docs)
+    marked = staged(near_dedup.near_duplicates(keyed, 5, (80, 100), key=node).select("node", "kept"), "marked")
+    dropped = marked.where("NOT kept").select(F.col("node").alias(node)).distinct()
+    rest = keyed.join(dropped, node, "left_anti")
     if not marked.where("kept").groupBy("node").count().where("count > 1").isEmpty():
-        rest = rest.dropDuplicates([_NODE])
+        rest = rest.groupBy(node).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
     return rest.select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts whole characters of strings of 100 bytes that stand earlier too; texts of which nothing is left go."""
+    keyed, node = _keyed(docs)
     rest = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    cut = suffix_dedup.remove_repeats(_keyed(docs), key=_NODE, whole_characters=True, carry=rest)
+    cut = suffix_dedup.remove_repeats(keyed, key=node, whole_characters=True, carry=rest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
     text = F.decode("kept", "UTF-8")
-    whole = cut.where((F.octet_length("kept") > 0) | (F.size("spans") == 0)).select(F.from_json("carried", schema).alias("c"), text.alias("text"))
-    return whole.select("c.*", "text", F.length("text").cast("long").alias("n_chars")).select(docs.columns)
+    carried = F.from_json("carried", schema, suffix_dedup.CARRIED)
+    whole = cut.where((F.octet_length("kept") > 0) | (F.size("spans") == 0)).select(carried.alias("c"), text.alias("text"))
+    size = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
+    return whole.select("c.*", "text", *size).select(docs.columns)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes clean and toxic documents to the weights 1 and 0: rates are at most 1, the clean tokens give the total.
+    """Mixes the domains of the labels to TARGETS: a document stays if its fitted rate, rounded by a hash of its id, is 1.
 
-    A document stays if its rate is one half or more or if it is more likely clean than not, so that clean documents
-    are not left to chance.
+    Rates are at most 1, so that the clean tokens there are give the total, and no document comes twice; an error in clean
+    tokens counts most, as clean documents are to stay. Rows of equal doc_id and text go or stay together.
     """
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic IS NOT NULL")
-    labelled = labels.select("doc_id", F.col("toxic").alias("domain"))
-    mixed = mixing.mix(_keyed(docs), labelled, [1.0, 0.0], key=_NODE, keep=0, most=1.0)
-    dropped = mixed.where("rate < 0.5 AND posteriors[0] < 0.5").select(F.col("doc_id").alias(_NODE)).distinct()
-    return _keyed(docs).join(dropped, _NODE, "left_anti").select(docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labelled = labels.select("doc_id", mixing.label_domains(labels).alias("domain"))
+    keyed, node = _keyed(docs)
+    mixed = mixing.mix(keyed, labelled, TARGETS, key=node, keep=0, most=1.0, weights=WEIGHTS)
+    dropped = mixed.where("copies < 1").select(F.col("doc_id").alias(node)).distinct()
+    return keyed.join(dropped, node, "left_anti").select(docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
