@@ -2,32 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import chunk_id, paragraphs, strip, token_count, without_references
-from corpuswell.operators.structure import parse_blocks, text_without_abstract
-from corpuswell.operators.vectors import hash_embedding
+from corpuswell.operators.structure import text_without_abstract, with_blocks
+from corpuswell.operators.vectors import dot, hash_embedding
 
 _OUT = ["doc_id", "strategy", "position", "section", "subsection", "chunk_text"]
+_PIECES = "array<struct<text: string, tokens: bigint, fresh: boolean>>"
+#: Counts the tokens of each paragraph of each block: array<array<string>> to array<array<bigint>>.
+Counter = Callable[[Column], Column]
+
+
+def counts_by_length(paragraphs: Column) -> Column:
+    return F.transform(paragraphs, lambda own: F.transform(own, token_count))
+
+
+def _exploded(docs: DataFrame, strategy: str, chunks: Column) -> DataFrame:
+    """A row for each of an array of (section, subsection, chunk_text); positions are places in the array."""
+    out = docs.select("doc_id", F.posexplode(chunks).alias("position", "c"))
+    return out.select("doc_id", F.lit(strategy).alias("strategy"), "position", "c.section", "c.subsection", "c.chunk_text")
+
+
+def _chunk(text: Column, section: Column | None = None, subsection: Column | None = None) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct((null if section is None else section).alias("section"), (null if subsection is None else subsection).alias("subsection"), text.alias("chunk_text"))
+
 
+def _blocks(docs: DataFrame, key: str, text: str, skip_abstract: bool, count: Counter) -> DataFrame:
+    """doc_id, blocks, paras (of each block) and counts (tokens of each paragraph)."""
+    parsed = with_blocks(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    if skip_abstract:
+        parsed = parsed.withColumn("blocks", F.filter("blocks", lambda b: b["block_type"] != "abstract"))
+    paras = parsed.withColumn("paras", F.transform("blocks", lambda b: paragraphs(b["text"])))
+    return paras.withColumn("counts", count(F.col("paras")))
 
-def _numbered(chunks: DataFrame, strategy: str, *order: str) -> DataFrame:
-    position = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
-    return chunks.withColumns({"strategy": F.lit(strategy), "position": position.cast("int")}).select(_OUT)
 
+def fixed_window(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int | None = None, overlap: int | None = None, windows: Callable[[Column, int, int], Column] | None = None) -> DataFrame:
+    """Windows of 700 tokens that overlap by 150, over the text without references and abstract. Blank windows take no position.
 
-def fixed_window(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int | None = None, overlap: int | None = None) -> DataFrame:
-    """Windows of 700 tokens that overlap by 150, over the text without references and abstract. Blank windows take no position."""
-    size = (S.window_tokens if window is None else window) * S.chars_per_token
-    step = size - (S.overlap_tokens if overlap is None else overlap) * S.chars_per_token
+    A token is four characters, unless windows (text, window, step in tokens) cuts a text to an array otherwise, as tokens.token_windows does.
+    """
+    size, step = (S.window_tokens if window is None else window), S.overlap_tokens if overlap is None else overlap
+    step = size - step
     body = text_without_abstract(docs.select(F.col(key).alias("doc_id"), without_references(F.coalesce(F.col(text), F.lit(""))).alias("text")))
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int"))
-    pieces = body.where(F.length("text") > 0).select("doc_id", "text", F.explode(starts).alias("i"))
-    pieces = pieces.select("doc_id", "i", strip(F.substring("text", F.col("i") * step + 1, F.lit(size))).alias("chunk_text")).where("chunk_text <> ''")
-    empty = F.lit(None).cast("string")
-    return _numbered(pieces.withColumns({"section": empty, "subsection": empty}), "FIXED_WINDOW_OVERLAP", "i")
+    if windows is None:
+        size, step = size * S.chars_per_token, step * S.chars_per_token
+        starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int"))
+        cut = F.when(F.length("text") > 0, F.transform(starts, lambda i: F.substring("text", i * step + 1, F.lit(size))))
+    else:
+        cut = windows(F.col("text"), size, step)
+    pieces = F.filter(F.transform(cut, strip), lambda c: c != "")
+    return _exploded(body, "FIXED_WINDOW_OVERLAP", F.transform(pieces, lambda c: _chunk(c)))
 
 
 def _packed(pieces: Column, carry: bool) -> Column:
@@ -39,7 +69,7 @@ def _packed(pieces: Column, carry: bool) -> Column:
     limit, spare = S.pack_tokens, S.carry_tokens
     total = lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda n, p: n + p["tokens"])
     joined = lambda run: F.array_join(F.transform(run, lambda p: p["text"]), "\n\n")
-    none = F.filter(pieces, lambda p: F.lit(False))
+    none = F.array().cast(_PIECES)
 
     def kept(run: Column) -> Column:
         if not carry:
@@ -60,50 +90,61 @@ def _packed(pieces: Column, carry: bool) -> Column:
     return F.aggregate(pieces, start, step, lambda s: F.when(F.size(s["run"]) > 0, F.concat(s["done"], F.array(joined(s["run"])))).otherwise(s["done"]))
 
 
-def structure_aware(docs: DataFrame, key: str = "doc_id", text: str = "text", skip_abstract: bool = True) -> DataFrame:
+def structure_aware(docs: DataFrame, key: str = "doc_id", text: str = "text", skip_abstract: bool = True, count: Counter = counts_by_length) -> DataFrame:
     """Abstracts and conclusions stand alone; the paragraphs of other blocks are packed, with a carried overlap."""
-    blocks = parse_blocks(docs, key, text)
-    if skip_abstract:
-        blocks = blocks.where("block_type <> 'abstract'")
-    pieces = F.transform(paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), token_count(p).alias("tokens"), F.lit(False).alias("fresh")))
-    chunks = F.when(F.col("block_type").isin("abstract", "conclusion"), F.array("text")).otherwise(_packed(F.col("pieces"), True))
-    out = blocks.withColumn("pieces", pieces).select("doc_id", "block_no", "section", "subsection", F.posexplode(chunks).alias("k", "chunk_text"))
-    return _numbered(out, "STRUCTURE_AWARE_OVERLAP", "block_no", "k")
+    parsed = _blocks(docs, key, text, skip_abstract, count)
+    piece = lambda p, n: F.struct(p.alias("text"), n.alias("tokens"), F.lit(False).alias("fresh"))
+    pieces = F.transform("blocks", lambda b, i: F.zip_with(F.get("paras", i), F.get("counts", i), piece).cast(_PIECES))
+    packed = parsed.withColumn("pieces", pieces).withColumn("packed", F.transform("pieces", lambda p: _packed(p, True)))
+
+    def of(b: Column, i: Column) -> Column:
+        own = F.when(b["block_type"].isin("abstract", "conclusion"), F.array(b["text"])).otherwise(F.get("packed", i))
+        return F.transform(own, lambda c: _chunk(c, b["section"], b["subsection"]))
 
+    return _exploded(packed, "STRUCTURE_AWARE_OVERLAP", F.flatten(F.transform("blocks", of)))
 
-def semantic_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = S.semantic_similarity) -> DataFrame:
-    """Consecutive paragraphs stay together while their hashed embeddings are similar, up to 900 tokens.
+
+def semantic_paragraphs(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = S.semantic_similarity, skip_abstract: bool = True, count: Counter = counts_by_length,
+    embed: Callable[[Column], Column] | None = hash_embedding, embed_all: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Consecutive paragraphs stay together while their embeddings are similar, up to 900 tokens.
 
     With more than five paragraphs, those from the first that names references or bibliography in its first 100
-    characters are left off, unless nothing would remain. Only neighbours are compared.
+    characters are left off, unless nothing would remain. Only neighbours are compared. embed gives a paragraph's unit vector; a model
+    that takes many at a time is embed_all (array<string> to array of vectors). Without either, chunks are structure_aware's, under its name.
     """
-    body = text_without_abstract(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    listed = body.select("doc_id", paragraphs(F.col("text")).alias("paras"))
-    ends = F.filter(F.transform("paras", lambda p, i: F.when(F.rlike(F.lower(F.left(p, F.lit(100))), F.lit("references|bibliography")), i)), lambda i: i.isNotNull())
-    cut = F.when((F.size("paras") > 5) & (F.size(ends) > 0) & (F.array_min(ends) > 0), F.slice("paras", 1, F.array_min(ends))).otherwise(F.col("paras"))
-    paras = listed.select("doc_id", F.posexplode(cut).alias("pos", "para"))
-    vector = hash_embedding(F.col("para"))
-    before = F.lag("v").over(Window.partitionBy("doc_id").orderBy("pos"))
-    seen = paras.withColumn("v", vector).withColumn("before", before)
-    dot = F.aggregate(F.zip_with("v", "before", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    seen = seen.select("doc_id", "pos", F.struct("pos", F.col("para").alias("text"), token_count(F.col("para")).alias("tokens"), F.coalesce(F.round(dot, 9) < similarity, F.lit(False)).alias("fresh")).alias("p"))
-    grouped = seen.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(p["text"], p["tokens"], p["fresh"])).alias("pieces"))
-    empty = F.lit(None).cast("string")
-    out = grouped.select("doc_id", F.posexplode(_packed(F.col("pieces"), False)).alias("k", "chunk_text")).withColumns({"section": empty, "subsection": empty})
-    return _numbered(out, "SEMANTIC_PARAGRAPH_GROUPING", "k")
-
-
-def section_level(docs: DataFrame, key: str = "doc_id", text: str = "text", skip_abstract: bool = True) -> DataFrame:
+    if embed is None and embed_all is None:
+        return structure_aware(docs, key, text, skip_abstract, count)
+    body = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    listed = (text_without_abstract(body) if skip_abstract else body).select("doc_id", paragraphs(F.col("text")).alias("paras"))
+    named = lambda p, i: F.when(F.rlike(F.lower(F.left(p, F.lit(100))), F.lit("references|bibliography")), i)
+    ended = listed.withColumn("end", F.array_min(F.transform("paras", named)))
+    cut = F.when((F.size("paras") > 5) & (F.col("end") > 0), F.slice("paras", F.lit(1), F.col("end"))).otherwise(F.col("paras"))
+    clean = ended.select("doc_id", cut.alias("paras"))
+    vectors = embed_all(F.col("paras")) if embed_all else F.transform("paras", lambda p: embed(p))
+    seen = clean.withColumn("vectors", vectors).withColumn("counts", F.get(count(F.array("paras")), F.lit(0)))
+    before = lambda i: F.get("vectors", i - 1)
+    fresh = lambda i: F.when(i > 0, F.round(dot(F.get("vectors", i), before(i)), 9) < similarity).otherwise(F.lit(False))
+    pieces = F.transform("paras", lambda p, i: F.struct(p.alias("text"), F.get("counts", i).alias("tokens"), fresh(i).alias("fresh"))).cast(_PIECES)
+    packed = seen.withColumn("pieces", pieces).withColumn("packed", _packed(F.col("pieces"), False))
+    return _exploded(packed, "SEMANTIC_PARAGRAPH_GROUPING", F.transform("packed", lambda c: _chunk(c)))
+
+
+def section_level(docs: DataFrame, key: str = "doc_id", text: str = "text", skip_abstract: bool = True, count: Counter = counts_by_length) -> DataFrame:
     """A chunk per block; one above 1500 tokens is halved by number of paragraphs."""
-    blocks = parse_blocks(docs, key, text)
-    if skip_abstract:
-        blocks = blocks.where("block_type <> 'abstract'")
-    blocks = blocks.withColumn("paras", paragraphs(F.col("text"))).withColumn("half", F.floor(F.size("paras") / 2).cast("int"))
+    parsed = _blocks(docs, key, text, skip_abstract, count)
+    sizes = parsed.withColumn("sizes", F.get(count(F.array(F.transform("blocks", lambda b: b["text"]))), F.lit(0)))
     joined = lambda a: F.array_join(a, "\n\n")
-    halves = F.array(joined(F.slice("paras", F.lit(1), F.col("half"))), joined(F.slice("paras", F.col("half") + 1, F.size("paras"))))
-    parts = F.when((token_count(F.col("text")) > S.section_tokens) & (F.size("paras") > 1), halves).otherwise(F.array("text"))
-    out = blocks.select("doc_id", "block_no", "section", "subsection", F.posexplode(parts).alias("k", "chunk_text"))
-    return _numbered(out, "SECTION_LEVEL_CHUNKING", "block_no", "k")
+
+    def of(b: Column, i: Column) -> Column:
+        own = F.get("paras", i)
+        half = F.floor(F.size(own) / 2).cast("int")
+        halves = F.array(joined(F.slice(own, F.lit(1), half)), joined(F.slice(own, half + 1, F.size(own))))
+        parts = F.when((F.get("sizes", i) > S.section_tokens) & (F.size(own) > 1), halves).otherwise(F.array(b["text"]))
+        return F.transform(parts, lambda c: _chunk(c, b["section"], b["subsection"]))
+
+    return _exploded(sizes, "SECTION_LEVEL_CHUNKING", F.flatten(F.transform("blocks", of)))
 
 
 CHUNKERS = {

@@ -382,11 +382,9 @@ _FIXED = (
     + _STRIP.format("substr(t2, i * 2200 + 1, 2800)")
     + " AS chunk_text FROM (SELECT doc_id, "
     + _STRIP.format("t2")
-    + " AS t2 FROM (SELECT doc_id, list_aggregate(list_transform(string_split(t2, chr(10)), lambda x: "
-    + _STRIP.format("x")
-    + "), 'string_agg', chr(10)) AS t2 FROM "
+    + " AS t2 FROM "
     + _REFS.format(src="SELECT doc_id, coalesce(text, '') AS t FROM documents")
-    + ")) b, range(0, (length(t2) - 1) // 2200 + 1) AS r(i) WHERE length(t2) > 0) WHERE chunk_text <> '')"
+    + ") b, range(0, (length(t2) - 1) // 2200 + 1) AS r(i) WHERE length(t2) > 0) WHERE chunk_text <> '')"
 )
 _FIXED_INDEX = "WITH " + _FIXED + ", x AS (SELECT *, doc_id || '_FIXED_WINDOW_OVERLAP_' || position AS chunk_id FROM c WHERE length(chunk_text) >= 50)"
 _HITS = (
@@ -418,30 +416,115 @@ def _mmr_sql(k: int) -> str:
     return "".join(parts) + chosen
 
 
-_STRUCTURED = f"""
-  WITH l AS (
-    SELECT doc_id, i, type, section, subsection, text FROM (
-      SELECT doc_id, unnest([
-        {{'i': 0, 'type': 'body', 'section': NULL, 'subsection': NULL, 'text': 'Preamble of ' || source}},
-        {{'i': 1, 'type': 'abstract', 'section': 'Abstract', 'subsection': NULL, 'text': 'In short, 1.1.1 deep' || chr(10) || lang}},
-        {{'i': 2, 'type': 'subsection', 'section': NULL, 'subsection': 'Early', 'text': 'early text'}},
-        {{'i': 3, 'type': 'section', 'section': 'Introduction', 'subsection': NULL, 'text': {_STRIP.format("list_aggregate(list_transform(string_split(text, chr(10)), lambda x: " + _STRIP.format("x") + "), 'string_agg', chr(10))")}}},
-        {{'i': 4, 'type': 'subsection', 'section': 'Method', 'subsection': 'Data', 'text': 'rows' || chr(10) || '5. Not a heading' || chr(10) || 'Conclusion'}},
-        {{'i': 5, 'type': 'conclusion', 'section': 'Conclusion', 'subsection': NULL, 'text': 'the end'}}], recursive := true) FROM documents)
-    WHERE text <> '')
-"""
+def _parse_sql(source: str) -> str:
+    """CTEs that end in `block` (rid, doc_id, block_no, block_type, section, subsection, text), from (doc_id, text) rows."""
+    section, subsection, subsubsection = (rf"'(?i)(?:\\{n}\s*\{{{{([^}}}}]+)\}}}}|{d}\s+(.+))'".replace("{{", "{").replace("}}", "}") for n, d in (("section", r"\d+"), ("subsection", r"\d+\.\d+"), ("subsubsection", r"\d+\.\d+\.\d+")))
+    name = lambda p: f"trim(regexp_extract(line, {p}, 1) || regexp_extract(line, {p}, 2))"
+    return f"""
+      line AS (
+        SELECT rid, doc_id, i, raw, {_STRIP.format("raw")} AS line FROM (
+          SELECT rid, doc_id, unnest(range(0, len(a))) AS i, unnest(a) AS raw FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM ({source})))),
+      kinds AS (
+        SELECT *, CASE WHEN regexp_full_match(line, '(?i)References?|Bibliography') THEN 'references' WHEN regexp_full_match(line, '(?i)Abstract') THEN 'abstract'
+          WHEN regexp_full_match(line, {section}) THEN 'section' WHEN regexp_full_match(line, {subsection}) THEN 'subsection' WHEN regexp_full_match(line, {subsubsection}) THEN 'subsubsection' END AS kind
+        FROM line),
+      before AS (SELECT *, max((kind = 'references')::INT) OVER (PARTITION BY rid ORDER BY i) AS ended FROM kinds),
+      inner_ AS (
+        SELECT *, coalesce(last_value(CASE WHEN kind IN ('abstract', 'section', 'subsection') THEN kind END IGNORE NULLS)
+          OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'abstract', false) AS inside
+        FROM before WHERE coalesce(ended, 0) = 0),
+      heads AS (SELECT *, CASE WHEN inside AND kind IN ('abstract', 'subsubsection') THEN NULL ELSE kind END AS head FROM inner_),
+      numbered AS (
+        SELECT *, count(head) OVER (PARTITION BY rid ORDER BY i) AS n,
+          last_value(CASE WHEN head = 'abstract' THEN 'Abstract' WHEN head = 'section' THEN {name(section)} WHEN inside AND head = 'subsection' THEN '' END IGNORE NULLS) OVER (PARTITION BY rid ORDER BY i) AS sec,
+          CASE WHEN head = 'subsection' THEN {name(subsection)} WHEN head = 'subsubsection' THEN {name(subsubsection)} END AS title
+        FROM heads),
+      grouped AS (
+        SELECT rid, doc_id, n, max(head) AS head, nullif(max(sec), '') AS section, max(title) AS subsection,
+          {_STRIP.format("string_agg(raw, chr(10) ORDER BY i) FILTER (head IS NULL)")} AS text
+        FROM numbered GROUP BY rid, doc_id, n),
+      block AS (
+        SELECT rid, doc_id, (row_number() OVER (PARTITION BY rid ORDER BY n) - 1)::INT AS block_no, section, subsection, text,
+          CASE WHEN head IS NULL THEN 'body' WHEN head = 'abstract' THEN head WHEN head = 'section' THEN CASE WHEN regexp_full_match(section, '(?i)Conclusions?') THEN 'conclusion' ELSE head END ELSE 'subsection' END AS block_type
+        FROM grouped WHERE text <> '')"""
+
+
+_STRUCTURED = "WITH " + _parse_sql("""SELECT doc_id, 'Preamble of ' || source || chr(10) || 'Abstract' || chr(10) || 'In short, ' || '1.1.1 deep' || chr(10) || lang || chr(10) || '1.1 Early' || chr(10) || 'early text' || chr(10)
+    || '1 Introduction' || chr(10) || text || chr(10) || '\\section{Method}' || chr(10) || '2.1 Data' || chr(10) || 'rows' || chr(10) || '5. Not a heading' || chr(10) || 'Conclusion' || chr(10) || '6 Conclusion' || chr(10)
+    || 'the end' || chr(10) || 'References' || chr(10) || '[1] gone' AS text FROM documents""")
 _PARAS = "list_filter(list_transform(string_split(t, @), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
 
+_PARSED = _parse_sql("SELECT doc_id, text FROM documents")
+
+
+def _cut_sql(text: str) -> str:
+    """The paragraphs of a text as a list."""
+    a, l = (_PARAS.replace("@", by).replace("(t,", f"({text},") for by in ("chr(10) || chr(10)", "chr(10)"))
+    return f"CASE WHEN len({a}) <= 1 AND length({text}) > 500 THEN {l} ELSE {a} END"
+
+
+_SECTIONS = _PARSED + f""",
+  section_chunk AS (
+    SELECT doc_id, (row_number() OVER (PARTITION BY rid ORDER BY block_no, k) - 1)::INT AS position, chunk_text FROM (
+      SELECT rid, doc_id, block_no, unnest(c) AS chunk_text, unnest(range(0, len(c))) AS k FROM (
+        SELECT rid, doc_id, block_no, CASE WHEN length(text) // 4 > 1500 AND len(p) > 1
+          THEN [array_to_string(p[:len(p) // 2], chr(10) || chr(10)), array_to_string(p[len(p) // 2 + 1:], chr(10) || chr(10))] ELSE [text] END AS c
+        FROM (SELECT *, {_cut_sql("text")} AS p FROM block WHERE block_type <> 'abstract'))))"""
+
+
+def _pack_sql(name: str, source: str, carry: bool) -> str:
+    """Greedy packing of lists p (paragraphs) with f (whether one starts anew) of rows (rid, doc_id, block_no): a step for each paragraph.
+
+    A run is the paragraphs s to k - 1. A step may send it off (from s to k - 1) and may send paragraph k alone.
+    """
+    total = lambda a, b: f"(cum[{b}] - cum[{a}])"  # noqa: E731  tokens of paragraphs a to b - 1
+    start = f"list_min(list_filter(range(s, k + 1), lambda j: {total('j', 'k')} <= 78))" if carry else "k"
+    over = f"(s < k AND ({total('s', 'k')} + tok[k] > 900 OR f[k]))"
+    return f"""
+      {name}_in AS (
+        SELECT *, list_transform(range(1, len(p) + 2), lambda j: coalesce(list_sum(tok[1:j - 1]), 0)) AS cum FROM (SELECT *, list_transform(p, lambda x: length(x) // 4) AS tok FROM ({source}))),
+      {name}_walk AS (
+        SELECT rid, block_no, 1::BIGINT AS k, 1::BIGINT AS s, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS alone FROM {name}_in
+        UNION ALL
+        SELECT rid, block_no, k + 1, CASE WHEN tok[k] > 900 THEN k + 1 WHEN {over} THEN {start} ELSE s END,
+          CASE WHEN s < k AND (tok[k] > 900 OR {over}) THEN s END, CASE WHEN s < k AND (tok[k] > 900 OR {over}) THEN k - 1 END, CASE WHEN tok[k] > 900 THEN k END
+        FROM {name}_walk JOIN {name}_in USING (rid, block_no) WHERE k <= len(p)),
+      {name}_out AS (
+        SELECT rid, block_no, k * 2 AS o, a, b FROM {name}_walk WHERE a IS NOT NULL
+        UNION ALL SELECT rid, block_no, k * 2 + 1, alone, alone FROM {name}_walk WHERE alone IS NOT NULL
+        UNION ALL SELECT rid, block_no, k * 2 + 2, s, k - 1 FROM {name}_walk JOIN {name}_in USING (rid, block_no) WHERE k = len(p) + 1 AND s < k),
+      {name}_chunk AS (
+        SELECT doc_id, (row_number() OVER (PARTITION BY rid ORDER BY block_no, o) - 1)::INT AS position, array_to_string(p[a:b], chr(10) || chr(10)) AS chunk_text
+        FROM {name}_out JOIN {name}_in USING (rid, block_no))"""
+
+
+_AWARE = _PARSED + "," + _pack_sql("aware", f"""SELECT rid, doc_id, block_no, p, list_transform(p, lambda x: false) AS f FROM (
+    SELECT rid, doc_id, block_no, CASE WHEN block_type = 'conclusion' THEN [text] ELSE {_cut_sql("text")} END AS p FROM block WHERE block_type <> 'abstract')""", True)
+_SEMANTIC = _PARSED + f""",
+  joined AS (SELECT rid, doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS t FROM block WHERE block_type <> 'abstract' GROUP BY rid, doc_id),
+  paras AS (SELECT rid, doc_id, {_cut_sql("t")} AS p FROM joined),
+  ends AS (SELECT *, list_min(list_filter(range(1, len(p) + 1), lambda j: regexp_matches(lower(p[j][:100]), 'references|bibliography'))) AS e FROM paras),
+  clean AS (SELECT rid, doc_id, CASE WHEN len(p) > 5 AND e > 1 THEN p[:e - 1] ELSE p END AS p FROM ends),
+  slots AS (SELECT rid, j, {_SLOT} AS slot, count(*)::DOUBLE AS n FROM (SELECT rid, j, unnest({_WORDS.format("x")}) AS w FROM (SELECT rid, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS j FROM clean)) GROUP BY ALL),
+  norms AS (SELECT rid, j, sqrt(sum(n * n)) AS norm FROM slots GROUP BY ALL),
+  near AS (
+    SELECT a.rid, a.j, sum(a.n / x.norm * (b.n / y.norm)) AS dot FROM slots a JOIN slots b ON b.rid = a.rid AND b.j = a.j - 1 AND b.slot = a.slot
+    JOIN norms x ON x.rid = a.rid AND x.j = a.j JOIN norms y ON y.rid = a.rid AND y.j = b.j GROUP BY ALL),
+  likely AS (
+    SELECT rid, list(coalesce(round(dot, 9), 0) < 0.75 AND j > 1 ORDER BY j) AS f FROM (SELECT rid, unnest(range(1, len(p) + 1)) AS j FROM clean) LEFT JOIN near USING (rid, j) GROUP BY rid),""" + _pack_sql("semantic", "SELECT rid, doc_id, 0 AS block_no, p, f FROM clean JOIN likely USING (rid)", False)
+
 ORACLE = {
     "point_ids": """SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(('0x' || h[17])::INT % 4) + 1] || h[18:20] || '-' || h[21:32] AS point_id
         FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('FIXED_WINDOW_OVERLAP_' || doc_id || '_' || text[:50])) AS h FROM documents)""",
-    "parse_hierarchy": _STRUCTURED + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS block_no, type AS block_type, section, subsection, md5(text) AS digest FROM l",
-    "text_without_abstract": _STRUCTURED + "SELECT doc_id, md5(t) AS digest, length(t) AS n FROM (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS t FROM l WHERE type <> 'abstract' GROUP BY doc_id)",
-    "chunk_section_level": f"""WITH b AS (SELECT doc_id, {_STRIP.format("list_aggregate(list_transform(string_split(text, chr(10)), lambda x: " + _STRIP.format("x") + "), 'string_agg', chr(10))")} AS t FROM documents),
-        p AS (SELECT doc_id, t, CASE WHEN len(a) <= 1 AND length(t) > 500 THEN l ELSE a END AS p FROM (SELECT doc_id, t, {_PARAS.replace("@", "chr(10) || chr(10)")} AS a, {_PARAS.replace("@", "chr(10)")} AS l FROM b WHERE t <> '')),
-        c AS (SELECT doc_id, unnest(c) AS chunk, unnest(range(0, len(c))) AS position FROM (SELECT doc_id, CASE WHEN length(t) // 4 > 1500 AND len(p) > 1
-          THEN [array_to_string(p[:len(p) // 2], chr(10) || chr(10)), array_to_string(p[len(p) // 2 + 1:], chr(10) || chr(10))] ELSE [t] END AS c FROM p))
-        SELECT doc_id, 'SECTION_LEVEL_CHUNKING' AS strategy, position::INT AS position, length(chunk) AS n, md5(chunk) AS digest FROM c""",
+    "parse_hierarchy": _STRUCTURED + "SELECT doc_id, block_no, block_type, section, subsection, md5(text) AS digest FROM block",
+    "text_without_abstract": _STRUCTURED + "SELECT doc_id, md5(t) AS digest, length(t) AS n FROM (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS t FROM block WHERE block_type <> 'abstract' GROUP BY rid, doc_id)",
+    "chunk_section_level": "WITH " + _SECTIONS + " SELECT doc_id, 'SECTION_LEVEL_CHUNKING' AS strategy, position, length(chunk_text) AS n, md5(chunk_text) AS digest FROM section_chunk",
+    "chunk_structure_aware": "WITH RECURSIVE " + _AWARE + " SELECT doc_id, 'STRUCTURE_AWARE_OVERLAP' AS strategy, position, length(chunk_text) AS n, md5(chunk_text) AS digest FROM aware_chunk",
+    "chunk_semantic": "WITH RECURSIVE " + _SEMANTIC + " SELECT doc_id, 'SEMANTIC_PARAGRAPH_GROUPING' AS strategy, position, length(chunk_text) AS n, md5(chunk_text) AS digest FROM semantic_chunk",
+    "chunk_all_strategies": "WITH RECURSIVE " + _FIXED + ", " + _SECTIONS + ", " + _AWARE.replace(_PARSED + ",", "", 1) + ", " + _SEMANTIC.replace(_PARSED + ",", "", 1) + """
+        SELECT strategy, count(*) AS chunks, count(DISTINCT doc_id) AS papers, sum(length(chunk_text))::BIGINT AS chars FROM (
+          SELECT 'FIXED_WINDOW_OVERLAP' AS strategy, doc_id, chunk_text FROM c UNION ALL SELECT 'SECTION_LEVEL_CHUNKING', doc_id, chunk_text FROM section_chunk
+          UNION ALL SELECT 'STRUCTURE_AWARE_OVERLAP', doc_id, chunk_text FROM aware_chunk UNION ALL SELECT 'SEMANTIC_PARAGRAPH_GROUPING', doc_id, chunk_text FROM semantic_chunk) GROUP BY strategy""",
     "papers_topic_search": """SELECT doc_id, 'the "of the"' AS query FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'of the') ORDER BY doc_id LIMIT 20""",
     "topics_to_search": f"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(concat_ws(',', lang, '  ' || text[:12] || ' ', ' ', source), ','),
         lambda t: {_STRIP.format("t")}), lambda t: t <> ''), lambda t: CASE WHEN contains(t, ' ') THEN '"' || t || '"' ELSE t END), ' ') AS query FROM documents""",

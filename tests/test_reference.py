@@ -79,6 +79,16 @@ def test_parser(spark):
     assert rest[2] == "just text" and rest[3] == "" and rest[1].startswith("preamble line\n\nearly text")
 
 
+def test_parser_keeps_lines_and_rows(spark):
+    code = "  code:\n    x = 1\n  \n    y = 2"
+    docs = spark.createDataFrame([(1, code), (1, "alpha\nbeta"), (1, "gamma\ndelta"), (None, "Abstract\na\n1 X\nb"), (None, "Abstract\nc")], "doc_id long, text string")
+    assert sorted(r.text for r in structure.parse_blocks(docs).where("doc_id = 1").collect()) == sorted([code.strip(), "alpha\nbeta", "gamma\ndelta"])
+    assert sorted(r.text for r in structure.text_without_abstract(docs).where("doc_id IS NULL").collect()) == ["Abstract\nc", "b"]
+    fixed = chunkers.chunk(docs, "FIXED_WINDOW_OVERLAP").collect()
+    assert len(fixed) == 5 and {r.position for r in fixed} == {0}
+    assert "Exchange" not in chunkers.chunk(docs, "SECTION_LEVEL_CHUNKING")._jdf.queryExecution().executedPlan().toString()
+
+
 def pack(paras, carry):
     done, run = [], []
     size = lambda r: sum(len(p) // 4 for p in r)
