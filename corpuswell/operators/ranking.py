@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import words
-from corpuswell.operators.vectors import cosine
+from corpuswell.operators.vectors import cosine_scores
+
+#: Distinct query words that are broadcast at most.
+BROADCAST_TERMS = 500_000
 
 
 def ranked(scores: DataFrame, k: Column | int, item: str = "vec_id") -> DataFrame:
@@ -30,23 +35,27 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     """query_id, doc_id, score of documents that share a word with a query (others score 0).
 
     queries: query_id, text; docs: doc_id, text. Okapi weights; a negative idf becomes epsilon times the mean idf of
-    the vocabulary; words that a query repeats count as often. Postings are pre-aggregated per document
-    and word, and only those of query words are joined, so a common word costs its postings once.
+    the vocabulary; words that a query repeats count as often. One pass over the texts counts in how many each word stands; a
+    second counts the words of queries, which are broadcast up to BROADCAST_TERMS, by count, and else joined.
     """
-    tokens = docs.select("doc_id", F.explode(words(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
-    postings = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    total = lengths.agg(F.sum("dl").alias("words"))
-    corpus = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row each
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
+    listed = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    total = docs.agg(F.count("*").alias("n"))
+    lengths = listed.agg(F.sum(F.size("words")).alias("words"))
+    corpus = total.crossJoin(lengths).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row each
+    df = listed.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
     idf = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    weights = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.join(weights, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = postings.join(wanted, "term").join(lengths, "doc_id")
-    return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+    own = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    few = own.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hint = F.broadcast if few else (lambda x: x)
+    # Of the vocabulary only its mean and the words of queries are needed: one row, and a row for each such word.
+    part = idf.join(hint(own), "term", "left").groupBy(F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("raw").alias("raw"), F.count("*").alias("c"), F.first("avgdl").alias("avgdl"))
+    means = part.agg((F.sum("raw") / F.sum("c")).alias("mean"))
+    weights = part.where("term IS NOT NULL").crossJoin(F.broadcast(means)).select("term", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    found = listed.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(hint(own.select("term")), "term")
+    postings = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    share = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return postings.join(hint(asked.join(weights, "term")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(share), 9).alias("score"))
 
 
 def hybrid(dense: DataFrame, lexical: DataFrame, weight: float = S.hybrid_weight, item: str = "doc_id") -> DataFrame:
@@ -57,28 +66,63 @@ def hybrid(dense: DataFrame, lexical: DataFrame, weight: float = S.hybrid_weight
     return d.join(x, ["query_id", item]).select("query_id", item, F.round(weight * F.col("_d") + (1 - weight) * F.col("_l"), 9).alias("score"))
 
 
-def mmr(scores: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: float = S.mmr_lambda) -> DataFrame:
+def _greedy(k: int, weight: float, pool: int):
+    """The choices within a query's pool, with exact: whether no row outside it could have been chosen."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id", ignore_index=True)
+        ids, score = rows["vec_id"].to_numpy(), rows["score"].to_numpy(float)
+        outside = -np.inf
+        if len(rows) > pool:  # the worst by bound stands for all that are not here
+            worst = rows["bound"].to_numpy(float).argmin()
+            outside = rows["bound"][worst]
+        if len(rows) <= k:
+            picks, exact = list(range(len(rows))), True
+        else:
+            v = np.stack([np.nan_to_num(np.array(x, float)) for x in rows["embedding"]])
+            v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+            near, picks, exact = None, [], True
+            for _ in range(k):
+                value = score.copy() if near is None else np.round(weight * score - (1 - weight) * near, 9)
+                value[picks] = -np.inf
+                best = int(value.argmax())
+                exact &= near is None or value[best] > outside
+                picks.append(best)
+                similar = np.round(v @ v[best], 9)
+                near = similar if near is None else np.maximum(near, similar)
+        return pd.DataFrame({"query_id": rows["query_id"][0], "rank": range(1, len(picks) + 1), "vec_id": ids[picks], "exact": exact})
+
+    return run
+
+
+def mmr(scores: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: float = S.mmr_lambda, pool: int = 256) -> DataFrame:
     """query_id, rank, vec_id: maximal marginal relevance, k items from all candidates of each query.
 
-    A round per item: each candidate's largest similarity to what is chosen is updated by the item chosen
-    last, and the best candidate is an aggregate; so no task holds a query's candidates. Ties go to the smaller
-    vec_id; a query with k candidates or fewer keeps them in the order of vec_id, as storage does.
+    The first choice is the most relevant item. What an item is worth later is at most its worth after that choice, as its
+    largest similarity to what is chosen only grows. So the `pool` items with the best such bounds of each query go to a task, which chooses
+    among them; where the last choice is not worth more than the best bound outside, the query is done again with a pool four times
+    as large, so the result is exact. Ties go to the smaller vec_id; a query with k candidates or fewer keeps them in the
+    order of vec_id, as storage does.
     """
-    few = scores.groupBy("query_id").agg((F.count("*") <= k).alias("few"))
-    state = scores.join(few, "query_id").select("query_id", "vec_id", "score", "few", F.lit(0.0).alias("near"))
-    state = state.join(vectors.select("vec_id", "embedding"), "vec_id").persist()  # a round reads the one before twice
-    chosen = None
-    for rank in range(1, k + 1):
-        value = F.round(weight * F.col("score") - (1 - weight) * F.col("near"), 9) if rank > 1 else F.col("score")
-        value = F.when(F.col("few"), F.lit(0.0)).otherwise(value)
-        best = state.groupBy("query_id").agg(F.max(F.struct(value.alias("v"), (-F.col("vec_id")).alias("i"))).alias("b"))
-        best = best.select("query_id", (-F.col("b.i")).alias("pick")).withColumn("rank", F.lit(rank))
-        chosen = best if chosen is None else chosen.unionAll(best)
-        if rank < k:
-            last = best.join(vectors.select(F.col("vec_id").alias("pick"), F.col("embedding").alias("_p")), "pick").select("query_id", "pick", "_p")
-            near = cosine(F.col("embedding"), F.col("_p"))
-            state = state.join(last, "query_id").where("vec_id <> pick").withColumn("near", F.greatest("near", near) if rank > 1 else near).drop("pick", "_p").persist()
-    return chosen.select("query_id", "rank", F.col("pick").alias("vec_id"))
+    own = vectors.select("vec_id", "embedding")
+    first = scores.groupBy("query_id").agg(F.max_by("vec_id", F.struct("score", -F.col("vec_id"))).alias("pick"))
+    picked = first.join(own.withColumnRenamed("vec_id", "pick"), "pick").select(F.col("query_id").alias("vec_id"), "embedding")
+    near = cosine_scores(picked, own).withColumnRenamed("score", "near")
+    bounded = scores.select("query_id", "vec_id", "score").join(near, ["query_id", "vec_id"]).join(first, "query_id")
+    # The first choice is always in the pool: its bound is above all others'.
+    bound = F.when(F.col("vec_id") == F.col("pick"), F.lit(float("inf"))).otherwise(F.round(weight * F.col("score") - (1 - weight) * F.col("near"), 9))
+    bounded = bounded.select("query_id", "vec_id", "score", bound.alias("bound"))
+    done, size = None, max(pool, k)
+    while True:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id"))
+        pools = bounded.withColumn("_n", place).where(F.col("_n") <= size + 1).drop("_n").join(own, "vec_id")
+        found = pools.groupBy("query_id").applyInPandas(_greedy(k, weight, size), "query_id long, rank int, vec_id long, exact boolean").persist()
+        again = found.where("NOT exact").select("query_id").distinct()
+        good = found.where("exact").select("query_id", "rank", "vec_id")
+        done = good if done is None else done.unionByName(good)
+        if again.isEmpty():
+            return done
+        bounded, size = bounded.join(again, "query_id", "left_semi"), 4 * size
 
 
 def pool_size(k: Column | int, n: Column) -> Column:

@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from corpuswell.config import SETTINGS as S
 
 
+#: Numbers that a task draws at a time.
+DRAWN = 1 << 22
+
+
 def _means(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    picks = np.random.default_rng(seed).integers(0, len(values), size=(resamples, len(values)))
-    return values[picks].mean(axis=1)
+    """Means of resamples. Some resamples are drawn at a time from one generator, which gives the same picks as all at once."""
+    rng, n = np.random.default_rng(seed), len(values)
+    some = max(1, DRAWN // n)
+    return np.concatenate([values[rng.integers(0, n, size=(min(some, resamples - at), n))].mean(axis=1) for at in range(0, resamples, some)])
 
 
 def bootstrap_ci(scores: DataFrame, by: list[str], value: str = "value", order: str = "example_id", resamples: int = S.resamples, seed: int = S.seed, alpha: float = 0.05) -> DataFrame:
@@ -61,11 +67,12 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
 
     Equal sizes share their mean rank. Groups without a difference have statistic 0 and z null (p is 1).
     """
+    wide = lambda c: F.col(c).cast("double")  # noqa: E731  third powers of counts are beyond a long
     d = pairs.withColumn("d", F.col("a") - F.col("b")).where("abs(d) > 1e-12").withColumn("m", F.round(F.abs("d"), 12))
     tied = d.groupBy(*by, "m").agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = tied.withColumn("r", before + (F.col("t") + 1) / 2)
-    sums = rank.groupBy(*by).agg(F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * F.col("t")).alias("all"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    sums = rank.groupBy(*by).agg(F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * F.col("t")).alias("all"), F.sum(wide("t")).alias("n"), F.sum(wide("t") * wide("t") * wide("t") - wide("t")).alias("ties"))
     statistic = F.least("plus", F.col("all") - F.col("plus"))
     spread = F.sqrt((F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) - F.col("ties") / 2) / 24)
     groups = pairs.select(*by).distinct()

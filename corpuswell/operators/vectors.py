@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,62 @@ def against_all(queries: DataFrame, rows: DataFrame, most: int = BROADCAST_QUERI
     return rows.withColumn("_g", F.pmod(F.xxhash64(*rows.columns), F.lit(groups)).cast("int")).join(dealt, "_g").drop("_g")
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """query_id, vec_id, score of each query with all vectors (rounded to 9 digits, so that ties are the same everywhere)."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    pairs = against_all(q, vectors.select("vec_id", "embedding"))
-    if exclude_self:
-        pairs = pairs.where("vec_id <> query_id")
-    return pairs.select("query_id", "vec_id", F.round(cosine(F.col("_q"), F.col("embedding")), 9).alias("score"))
+#: Rows of a block of vectors, and bytes of query vectors that are broadcast at most.
+BLOCK, BROADCAST_BYTES = 1024, 64 << 20
+_BLOCKS = "ids array<bigint>, vectors binary, width int"
+
+
+def _pack(batches):
+    """Rows (id, vector) as blocks of unit vectors; a null vector is zero, a shorter one is filled up with zeros."""
+    for batch in batches:
+        for lo in range(0, len(batch), BLOCK):
+            part = batch.slice(lo, BLOCK)
+            rows = [np.nan_to_num(np.array(v.as_py() or [], float)) for v in part.column(1)]
+            packed = np.zeros((len(rows), max(map(len, rows))))
+            for row, v in zip(packed, rows):
+                row[: len(v)] = v
+            packed /= np.maximum(np.sqrt((packed * packed).sum(axis=1, keepdims=True)), 1e-300)
+            yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([packed.tobytes()]), pa.array([packed.shape[1]], pa.int32())], ["ids", "vectors", "width"])
+
+
+def _multiply(exclude_self: bool, k: int | None):
+    def run(batches):
+        for batch in batches:
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]
+                ids, asked = np.array(row["ids"]), np.array(row["q_ids"])
+                v, q = (np.frombuffer(row[c]).reshape(len(i), -1) for c, i in (("vectors", ids), ("q_vectors", asked)))
+                width = min(v.shape[1], q.shape[1])
+                scores = np.round(q[:, :width] @ v[:, :width].T, 9) + 0.0
+                for lo in range(0, len(asked), 64):
+                    own = scores[lo : lo + 64]
+                    take = ids[None, :] != asked[lo : lo + 64, None] if exclude_self else np.ones(own.shape, bool)
+                    if k is not None and len(ids) > k:
+                        best = np.zeros(own.shape, bool)
+                        order = np.lexsort((np.broadcast_to(ids, own.shape), -np.where(take, own, -np.inf)), axis=1)[:, :k]
+                        np.put_along_axis(best, order, True, axis=1)
+                        take &= best
+                    who, which = np.nonzero(take)
+                    yield pa.record_batch([pa.array(asked[lo + who]), pa.array(ids[which]), pa.array(own[who, which])], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def cosine_scores(queries: DataFrame, vectors: DataFrame, exclude_self: bool = False, k: int | None = None) -> DataFrame:
+    """query_id, vec_id, score of each query with all vectors (rounded to 9 digits, so that ties are the same everywhere).
+
+    Vectors are scaled to length 1 once and multiplied block by block. With k a block of vectors gives no more than
+    its k best for each query, ties to the smaller vec_id, so that little is shuffled where only the best are asked for. Query blocks are broadcast up to
+    BROADCAST_QUERIES rows and BROADCAST_BYTES, by measure; more are dealt to groups by a shuffle.
+    """
+    wide = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL")
+    asked = wide(queries).mapInArrow(_pack, _BLOCKS).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors", "width": "q_width"})
+    blocks = wide(vectors).mapInArrow(_pack, _BLOCKS)
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")).first()
+    if size["n"] <= BROADCAST_QUERIES and 8 * size["n"] * size["width"] <= BROADCAST_BYTES:
+        pairs = blocks.crossJoin(F.broadcast(asked))
+    else:
+        groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = asked.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        pairs = blocks.withColumn("_g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(dealt, "_g").drop("_g")
+    return pairs.mapInArrow(_multiply(exclude_self, k), "query_id long, vec_id long, score double")

@@ -32,8 +32,8 @@ def _items(spark, sf):
     return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _scores(spark, sf):
-    return vectors.cosine_scores(_queries(spark, sf), _vectors(spark, sf), exclude_self=True)
+def _scores(spark, sf, k=None):
+    return vectors.cosine_scores(_queries(spark, sf), _vectors(spark, sf), exclude_self=True, k=k)
 
 
 def _structured(spark, sf):
@@ -159,7 +159,7 @@ def cosine_scores(spark, sf):
 
 
 def dense_topk(spark, sf):
-    return ranking.ranked(_scores(spark, sf), S.top_k).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return ranking.ranked(_scores(spark, sf, S.top_k), S.top_k).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 def minmax_norm(spark, sf):
@@ -167,7 +167,7 @@ def minmax_norm(spark, sf):
 
 
 def mmr_topk(spark, sf):
-    return ranking.mmr(_scores(spark, sf), _vectors(spark, sf), 4)
+    return ranking.mmr(_scores(spark, sf), _vectors(spark, sf), S.top_k)
 
 
 def bm25_scores(spark, sf):
@@ -199,9 +199,9 @@ def rerank_topk(spark, sf):
 
 
 def _chunk_hits(spark, sf):
-    chunks = chunkers.index_chunks(_docs(spark, sf), "FIXED_WINDOW_OVERLAP").select("doc_id", "position", "section", "chunk_id", "chunk_text").persist()
+    chunks = chunkers.index_chunks(_docs(spark, sf), "FIXED_WINDOW_OVERLAP").select("doc_id", "position", "section", "chunk_id", "chunk_text")
     scores = ranking.bm25(_items(spark, sf), chunks.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text")))
-    top = ranking.ranked(scores, 3, "doc_id").select("query_id", "rank", F.col("doc_id").alias("chunk_id"))
+    top = ranking.ranked(scores, S.top_k, "doc_id").select("query_id", "rank", F.col("doc_id").alias("chunk_id"))
     return top.join(chunks.select("chunk_id", "doc_id", "position"), "chunk_id"), chunks
 
 
@@ -239,7 +239,7 @@ def _gold(spark, sf):
 
 def _graded(spark, sf, k=S.top_k):
     v, gold = _gold(spark, sf)
-    hits = ranking.ranked(_scores(spark, sf), k).join(v.select("vec_id", F.col("label").alias("paper_id")), "vec_id")
+    hits = ranking.ranked(_scores(spark, sf, k), k).join(v.select("vec_id", F.col("label").alias("paper_id")), "vec_id")
     return metrics.relevance(hits, gold), gold
 
 
@@ -261,7 +261,7 @@ def mean_metrics(spark, sf):
 
 def _sweep(spark, sf):
     v, gold = _gold(spark, sf)
-    return experiments.dense_sweep(_scores(spark, sf), v, gold, (3, 5, 8, 10))
+    return experiments.dense_sweep(_scores(spark, sf, 10), v, gold, (3, 5, 8, 10))
 
 
 def config_sweep(spark, sf):
@@ -391,7 +391,7 @@ _HITS = (
     _FIXED_INDEX
     + ", "
     + _bm25_sql("SELECT chunk_id, chunk_text AS text FROM x", "chunk_id")
-    + ", hit AS (SELECT query_id, rank, chunk_id, doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bm) JOIN x USING (chunk_id) WHERE rank <= 3)"
+    + ", hit AS (SELECT query_id, rank, chunk_id, doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bm) JOIN x USING (chunk_id) WHERE rank <= 8)"
 )
 _SLOT = "(('0x' || md5(w)[:8])::BIGINT % 64)"
 _VEC = """(SELECT {id}, list(v ORDER BY slot) AS vec FROM (
@@ -407,8 +407,8 @@ def _mmr_sql(k: int) -> str:
     parts = [_OTHERS, ", p1 AS (SELECT query_id, 1 AS rank, arg_min(vec_id, (-score, vec_id)) AS vec_id FROM s GROUP BY query_id)"]
     chosen = "SELECT * FROM p1"
     for r in range(2, k + 1):
-        parts.append(f""", c{r} AS (SELECT * FROM ({chosen})),
-          p{r} AS (SELECT query_id, {r} AS rank, arg_min(vec_id, (-v, vec_id)) AS vec_id FROM (
+        parts.append(f""", c{r} AS MATERIALIZED (SELECT * FROM ({chosen})),
+          p{r} AS MATERIALIZED (SELECT query_id, {r} AS rank, arg_min(vec_id, (-v, vec_id)) AS vec_id FROM (
             SELECT s.query_id, s.vec_id, round(0.7 * any_value(s.score) - 0.3 * max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS v
             FROM s JOIN embeddings a USING (vec_id) JOIN c{r} c ON c.query_id = s.query_id JOIN embeddings b ON b.vec_id = c.vec_id
             WHERE (s.query_id, s.vec_id) NOT IN (SELECT (query_id, vec_id) FROM c{r}) GROUP BY ALL) GROUP BY query_id)""")
@@ -550,7 +550,7 @@ ORACLE = {
     "dense_topk": _OTHERS + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM h WHERE rank <= 8",
     "minmax_norm": _OTHERS + """SELECT query_id, vec_id, round(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo + 1e-12) END, 6) AS score
         FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM s)""",
-    "mmr_topk": _mmr_sql(4),
+    "mmr_topk": _mmr_sql(8),
     "bm25_scores": _BM25 + " SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM bm) WHERE rank <= 8",
     "hybrid_topk": _BM25 + ", dv AS " + _VEC.format(id="doc_id", table="documents", words=_WORDS.format("text")) + ", qv AS " + _VEC.format(id="item_id", table="benchmark", words=_WORDS.format("text")) + """,
         b AS (SELECT item_id AS query_id, dv.doc_id, round(list_inner_product(qv.vec, dv.vec), 9) AS d, coalesce(bm.score, 0) AS l FROM qv, dv LEFT JOIN bm ON bm.query_id = qv.item_id AND bm.doc_id = dv.doc_id),

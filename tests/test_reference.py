@@ -196,6 +196,56 @@ def test_statistics_reach_published_figures(spark):
     assert ci["p34"].lo == 0 and round(ci["p34"].hi, 4) == 0.0612
 
 
+def test_statistics_at_size(spark, monkeypatch):
+    import numpy as np
+
+    many = spark.range(3_000_000).select(F.lit("g").alias("name"), F.col("id").alias("example_id"), (F.col("id") % 3 == 0).cast("double").alias("a"), F.lit(0.5).alias("b"))
+    row = stats.wilcoxon(many, ["name"]).first()
+    assert row.statistic == pytest.approx(1e6 * (3e6 + 1) / 2) and row.z < -100
+    values = np.random.default_rng(1).normal(size=37)
+    picks = np.random.default_rng(42).integers(0, 37, size=(1000, 37))
+    monkeypatch.setattr(stats, "DRAWN", 100)
+    assert (stats._means(values, 1000, 42) == values[picks].mean(axis=1)).all()
+
+
+def plain_mmr(rel, v, k, weight):
+    picks = [max(rel, key=lambda i: (rel[i], -i))]
+    while len(picks) < k:
+        value = lambda i: round(weight * rel[i] - (1 - weight) * max(round(float(v[i] @ v[p]), 9) for p in picks), 9)
+        picks.append(max((i for i in rel if i not in picks), key=lambda i: (value(i), -i)))
+    return picks
+
+
+@pytest.mark.parametrize("pool", [8, 256])
+def test_mmr_as_brute_force(spark, pool):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(150, 6))
+    v[100:] = v[:50] + 0.05 * rng.normal(size=(50, 6))  # near copies, which diversity has to pass over
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    scores = vectors.cosine_scores(table.where("vec_id < 5"), table, exclude_self=True)
+    got = {}
+    for r in ranking.mmr(scores, table, 8, 0.3, pool).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: plain_mmr({i: round(float(v[q] @ v[i]), 9) for i in range(150) if i != q}, v, 8, 0.3) for q in range(5)}
+    assert got == want
+
+
+def test_block_scores_keep_the_best(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.choice([0.0, 0.5, 1.0], 4).tolist()) for k in range(60)] + [(60, None), (61, [0.0] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    every = vectors.cosine_scores(table.where("vec_id < 7"), table, True)
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 2)
+    best = vectors.cosine_scores(table.where("vec_id < 7"), table, True, 5)
+    top = lambda df: sorted(map(tuple, ranking.ranked(df, 5).collect()))
+    assert every.count() == 7 * 61 and top(every) == top(best)
+
+
 def test_manifest_and_dataset(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"topics": " t ", "question": "q1"}\n\n{"id": "x", "topics": "u", "question": "q2", "gold_passages": ["p"]}\n')
     rows = datasets.read_dataset(spark, str(tmp_path / "d.jsonl"))
