@@ -75,7 +75,7 @@ def truncated(c: Column, n: Column | int, suffix: str = "...") -> Column:
 
 
 def source_line(title: Column, paper: Column, section: Column) -> Column:
-    return F.concat(F.lit("[Source: "), F.coalesce(title, F.lit("")), F.lit(" (arxiv.org/abs/"), paper, F.lit("), Section: "), F.coalesce(F.nullif(section, F.lit("")), F.lit("-")), F.lit("]"))
+    return F.concat(F.lit("[Source: "), F.coalesce(title, F.lit("Unknown")), F.lit(" (arxiv.org/abs/"), paper, F.lit("), Section: "), F.coalesce(F.nullif(section, F.lit("")), F.lit("-")), F.lit("]"))
 
 
 def html_escaped(c: Column) -> Column:
@@ -95,3 +95,36 @@ def page_text(html: Column) -> Column:
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(plain))
     return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
+
+
+def committed_topics(value: Column) -> Column:
+    """The topics before the last comma of an input, trimmed; none without a comma."""
+    at = F.length(value) - F.instr(F.reverse(value), ",")
+    head = F.when(F.instr(value, ",") > 0, F.left(value, at.cast("int"))).otherwise(F.lit(""))
+    return F.filter(F.transform(F.split(head, ","), strip), lambda t: t != "")
+
+
+def topics_value(committed: Column, current: Column) -> Column:
+    """The input that holds committed topics and the one that is being written."""
+    own, listed = strip(current), F.array_join(committed, ", ")
+    with_own = F.array_join(F.concat(committed, F.array(own)), ", ")
+    return F.when(own != "", with_own).when(F.size(committed) > 0, F.concat(listed, F.lit(","))).otherwise(F.lit(""))
+
+
+def step_line(step: Column, message: Column, **extra: Column) -> Column:
+    """A line of a log: the number of a step, what it is, and figures (name=value) in brackets."""
+    figures = F.concat_ws(" - ", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in extra.items()])
+    return F.concat(step.cast("string"), F.lit(". "), message, F.when(figures != "", F.concat(F.lit(" ("), figures, F.lit(")"))).otherwise(F.lit("")))
+
+
+def payload(chunk: dict[str, Column]) -> Column:
+    """A chunk as the index holds it: what is missing is empty, section and subsection null, position 0."""
+    null, empty = F.lit(None).cast("string"), F.lit("")
+    texts = {c: F.coalesce(chunk.get(c, null), empty) for c in ("chunk_id", "chunk_text", "paper_id", "title", "strategy")}
+    fields = texts | {"section": chunk.get("section", null), "subsection": chunk.get("subsection", null), "position": F.coalesce(chunk.get("position", F.lit(0)), F.lit(0)).cast("int")}
+    return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+
+def page_of(page: Column, n: Column) -> Column:
+    """A page number within 0 to n - 1."""
+    return F.greatest(F.lit(0), F.least(page, n - 1))

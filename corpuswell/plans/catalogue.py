@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
 from corpuswell.config import STRATEGIES
 from corpuswell.functions import text as T
-from corpuswell.operators import chunkers, metrics, prompting, ranking, stats, structure, vectors
-from corpuswell.plans import experiments
+from corpuswell.operators import chunkers, metrics, prompting, ranking, stats, structure, tokens, vectors
+from corpuswell.plans import experiments, reporting
+from corpuswell.sources import index
+from corpuswell.staging import staged
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -176,9 +180,9 @@ def bm25_scores(spark, sf):
 
 
 def _dense_docs(spark, sf):
-    q = _items(spark, sf).select("query_id", vectors.hash_embedding(F.col("text")).alias("_q"))
-    d = _docs(spark, sf).select("doc_id", vectors.hash_embedding(F.col("text")).alias("_v"))
-    return vectors.against_all(q, d).select("query_id", "doc_id", F.round(vectors.dot(F.col("_q"), F.col("_v")), 9).alias("score"))
+    q = _items(spark, sf).select(F.col("query_id").alias("vec_id"), vectors.hash_embedding(F.col("text")).alias("embedding"))
+    d = _docs(spark, sf).select(F.col("doc_id").alias("vec_id"), vectors.hash_embedding(F.col("text")).alias("embedding"))
+    return vectors.cosine_scores(q, d).withColumnRenamed("vec_id", "doc_id")
 
 
 def hybrid_topk(spark, sf):
@@ -186,6 +190,91 @@ def hybrid_topk(spark, sf):
     return ranking.ranked(ranking.hybrid(_dense_docs(spark, sf), lexical), S.top_k, "doc_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def _contained(spark, sf):
+    """Documents that hold an item's text are its gold papers. Items are few, and every document is looked at for each."""
+    items = _items(spark, sf).select("query_id", F.col("text").alias("item"))
+    found = vectors.against_all(items, _docs(spark, sf).select("doc_id", "text")).where(F.contains("text", "item"))
+    return found.select("query_id", F.col("doc_id").alias("paper_id")).distinct()
+
+
+def gold_passage_contains(spark, sf):
+    return _contained(spark, sf)
+
+
+def graded_passages(spark, sf):
+    """Hits graded by gold papers, else by their similarity to the gold passage under another embedder than that of the search."""
+    docs = _docs(spark, sf).select("doc_id", "text")
+    hits = ranking.ranked(_dense_docs(spark, sf), S.top_k, "doc_id").join(docs, "doc_id").withColumnRenamed("doc_id", "paper_id")
+    judge = lambda c: vectors.hash_embedding(c, 32)
+    similar = metrics.passage_similarity(hits, _items(spark, sf).withColumnRenamed("text", "passage"), judge)
+    graded = metrics.relevance(hits, _contained(spark, sf), similar)
+    return graded.select("query_id", "rank", F.col("paper_id").alias("doc_id"), F.round("grade", 6).alias("grade"), "relevant")
+
+
+def _phase2(spark, sf):
+    docs, dense = _docs(spark, sf).select("doc_id", "text"), _dense_docs(spark, sf)
+    scores = {"dense": dense, "hybrid": ranking.hybrid(dense, ranking.bm25(_items(spark, sf), docs))}
+    return experiments.phase2_sweep(scores, _items(spark, sf), docs, staged(_contained(spark, sf), "gold"))
+
+
+def phase2_sweep(spark, sf):
+    return _phase2(spark, sf).groupBy("config_id", "metric").agg(F.round(F.avg("value"), 6).alias("value"))
+
+
+def significance_preregistered(spark, sf):
+    pairs = staged(experiments.preregistered_pairs(_phase2(spark, sf)), "pairs")
+    by = ["name", "metric", "a_config", "b_config"]
+    means = pairs.groupBy(*by).agg(F.round(F.avg("a"), 6).alias("a_mean"), F.round(F.avg("b"), 6).alias("b_mean"), F.count("*").alias("n"))
+    signed = stats.wilcoxon(pairs, by).select(*by, F.round("statistic", 1).alias("statistic"), F.round("z", 6).alias("z"))
+    return means.join(signed, by)
+
+
+def phase2_table(spark, sf):
+    wide = _phase2(spark, sf).groupBy("config_id", "ord").pivot("metric", metrics.METRICS).agg(F.round(F.avg("value"), 6))
+    part = F.split("config_id", "_")
+    settings = wide.withColumns({"top_k": F.substring(part[2], F.lit(2), F.length(part[2])).cast("int"), "retrieval_type": part[0], "re_ranking": part[1] == "rerank"})
+    return reporting.phase2_table(settings)
+
+
+def token_characters(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(tokens.characters(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(tokens.characters(F.col("text")), "|")).alias("digest"))
+
+
+def committed_topics(spark, sf):
+    value = F.concat_ws(", ", "source", "lang", F.col("text"))
+    listed = T.committed_topics(value)
+    return _docs(spark, sf).select("doc_id", F.size(listed).cast("long").alias("n"), F.md5(T.topics_value(listed, F.col("lang"))).alias("value"))
+
+
+def stage_counts(spark, sf):
+    """What is left of the documents at each step, as the lines of a log."""
+    docs = _docs(spark, sf)
+    chunks = chunkers.index_chunks(docs, "SECTION_LEVEL_CHUNKING")
+    steps = [docs.agg(F.count("*").alias("n")), docs.where(F.length(T.strip(F.col("text"))) > 0).agg(F.count("*")), chunks.agg(F.count_distinct("doc_id")), chunks.agg(F.count("*"))]
+    names = ["Search", "Read", "Chunked", "Stored"]
+    rows = [df.toDF("n").select(F.lit(k).alias("step"), T.step_line(F.lit(k), F.lit(name), found=F.col("n")).alias("line")) for k, (df, name) in enumerate(zip(steps, names), 1)]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def result_pages(spark, sf):
+    """Where paging to the next result and to the one before ends."""
+    n = F.col("doc_id") % 5 + 1
+    return _docs(spark, sf).select("doc_id", T.page_of(F.col("doc_id") % 7 + 1, n).alias("next"), T.page_of(F.col("doc_id") % 7 - 3, n).alias("before"))
+
+
+def payloads(spark, sf):
+    """Chunks as the index holds them; titles are not known here."""
+    chunks = chunkers.index_chunks(_docs(spark, sf), "FIXED_WINDOW_OVERLAP")
+    given = {"chunk_id": F.col("chunk_id"), "chunk_text": F.md5("chunk_text"), "paper_id": F.col("doc_id").cast("string"), "strategy": F.col("strategy"), "position": F.col("position"), "section": F.col("section")}
+    return chunks.select(T.payload(given).alias("p")).select("p.*")
+
+
+def paper_store(spark, sf):
+    """Papers under their point ids; a later row of a paper replaces the one before."""
+    papers = _docs(spark, sf).select(F.col("source").alias("paper_id"), "lang", F.col("doc_id").alias("seen"))
+    return index.save_papers(None, papers, "seen").select("point_id", "paper_id", "lang", "seen")
+
+
 def rerank_pool(spark, sf):
     scores = ranking.bm25(_items(spark, sf), _docs(spark, sf).select("doc_id", "text"))
     n = scores.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -328,6 +417,12 @@ def corpus_union(spark, sf):
     return experiments.corpus_papers(listed)
 
 
+def source_list(spark, sf):
+    """Sources as a transcript lists them: the section stands there unless it is the abstract."""
+    section = F.when(F.col("doc_id") % 3 == 0, "Abstract").when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    return _docs(spark, sf).select("doc_id", prompting.source_item(F.col("source"), section, F.concat(F.lit("https://arxiv.org/abs/"), F.col("doc_id").cast("string"))).alias("html"))
+
+
 _DENSE = """
   WITH s AS (
     SELECT q.vec_id AS query_id, v.vec_id, q.label AS gold, v.label AS paper_id,
@@ -454,6 +549,37 @@ _STRUCTURED = "WITH " + _parse_sql("""SELECT doc_id, 'Preamble of ' || source ||
     || 'the end' || chr(10) || 'References' || chr(10) || '[1] gone' AS text FROM documents""")
 _PARAS = "list_filter(list_transform(string_split(t, @), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
 
+def _both_sql(width: str = "64") -> str:
+    """b (query_id, doc_id, d: dense, l: lexical score) and n (f: fused) of all pairs of items and documents."""
+    dv, qv = (_VEC.format(id=i, table=t, words=_WORDS.format("text")) for i, t in (("doc_id", "documents"), ("item_id", "benchmark")))
+    return _BM25 + f""", dv AS {dv}, qv AS {qv},
+      b AS (SELECT item_id AS query_id, dv.doc_id, round(list_inner_product(qv.vec, dv.vec), 9) AS d, coalesce(bm.score, 0) AS l FROM qv, dv LEFT JOIN bm ON bm.query_id = qv.item_id AND bm.doc_id = dv.doc_id),
+      n AS (SELECT query_id, doc_id, d AS dense, CASE WHEN max(d) OVER w - min(d) OVER w < 1e-12 THEN 1.0 ELSE (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w + 1e-12) END AS d,
+        CASE WHEN max(l) OVER w - min(l) OVER w < 1e-12 THEN 1.0 ELSE (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w + 1e-12) END AS l FROM b WINDOW w AS (PARTITION BY query_id)),
+      gold AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text))"""
+
+
+_PHASE2 = _both_sql() + f""",
+      scored AS (SELECT 'dense' AS kind, 0 AS place, query_id, doc_id, dense AS score FROM n UNION ALL SELECT 'hybrid', 1, query_id, doc_id, round(0.5 * d + 0.5 * l, 9) FROM n),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY kind, query_id ORDER BY score DESC, doc_id) AS r FROM scored QUALIFY r <= 64),
+      likened AS (SELECT kind, place, query_id, placed.doc_id, r, round(2.0 * len(list_intersect(q, t)) / (len(q) + len(t)), 9) AS overlap FROM (
+        SELECT placed.*, list_distinct({_WORDS.format("b.text")}) AS q, list_distinct({_WORDS.format("d.text")}) AS t
+        FROM placed JOIN documents d ON d.doc_id = placed.doc_id JOIN benchmark b ON b.item_id = query_id) AS placed),
+      hit AS (
+        SELECT kind || '_plain_k' || k AS config_id, (4 * i + 2 * place) AS ord, k, query_id, doc_id, r AS rank FROM likened, (VALUES (3, 0), (5, 1), (10, 2)) AS c(k, i) WHERE r <= k
+        UNION ALL
+        SELECT config_id, ord, k, query_id, doc_id, rank FROM (
+          SELECT kind || '_rerank_k' || k AS config_id, (4 * i + 2 * place + 1) AS ord, k, query_id, doc_id, row_number() OVER (PARTITION BY kind, k, query_id ORDER BY overlap DESC, doc_id) AS rank
+          FROM likened, (VALUES (3, 0, 16), (5, 1, 20), (10, 2, 40)) AS c(k, i, p) WHERE r <= p) WHERE rank <= k),
+      graded AS (SELECT hit.*, gold.doc_id IS NOT NULL AS rel, sum((gold.doc_id IS NOT NULL)::INT) OVER (PARTITION BY config_id, query_id ORDER BY rank) AS cum FROM hit LEFT JOIN gold USING (query_id, doc_id)),
+      size AS (SELECT query_id, count(*) AS g FROM gold GROUP BY query_id),
+      m AS (
+        SELECT config_id, ord, query_id, max(rel::INT)::DOUBLE AS hit_at_k, CASE WHEN any_value(g) IS NULL THEN 1.0 ELSE count(DISTINCT doc_id) FILTER (rel) / any_value(g) END AS paper_coverage,
+          sum(rel::INT) / any_value(k) AS precision_at_k, coalesce(1.0 / min(rank) FILTER (rel), 0) AS mrr, coalesce(avg(cum / rank) FILTER (rel), 0) AS average_precision
+        FROM graded LEFT JOIN size USING (query_id) GROUP BY config_id, ord, query_id),
+      l AS (UNPIVOT m ON hit_at_k, paper_coverage, precision_at_k, mrr, average_precision INTO NAME metric VALUE value)"""
+_CELL = "CASE WHEN abs({0} - max({0}) OVER ()) <= 1e-12 THEN '\\textbf{{' || printf('%.4f', {0}) || '}}' ELSE printf('%.4f', {0}) END"
+
 _PARSED = _parse_sql("SELECT doc_id, text FROM documents")
 
 
@@ -525,6 +651,46 @@ ORACLE = {
         SELECT strategy, count(*) AS chunks, count(DISTINCT doc_id) AS papers, sum(length(chunk_text))::BIGINT AS chars FROM (
           SELECT 'FIXED_WINDOW_OVERLAP' AS strategy, doc_id, chunk_text FROM c UNION ALL SELECT 'SECTION_LEVEL_CHUNKING', doc_id, chunk_text FROM section_chunk
           UNION ALL SELECT 'STRUCTURE_AWARE_OVERLAP', doc_id, chunk_text FROM aware_chunk UNION ALL SELECT 'SEMANTIC_PARAGRAPH_GROUPING', doc_id, chunk_text FROM semantic_chunk) GROUP BY strategy""",
+    "gold_passage_contains": "SELECT DISTINCT item_id AS query_id, doc_id AS paper_id FROM benchmark b, documents d WHERE contains(d.text, b.text)",
+    "graded_passages": _both_sql() + ", jd AS " + _VEC.format(id="doc_id", table="documents", words=_WORDS.format("text")).replace("% 64", "% 32").replace("range(64)", "range(32)")
+        + ", jq AS " + _VEC.format(id="item_id", table="benchmark", words=_WORDS.format("text")).replace("% 64", "% 32").replace("range(64)", "range(32)") + """,
+        top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id)::INT AS rank FROM n QUALIFY rank <= 8),
+        g AS (SELECT top.*, CASE WHEN gold.doc_id IS NOT NULL THEN 1.0 ELSE greatest(0, least(1, coalesce(round(list_inner_product(jd.vec, jq.vec), 9), 0))) END AS grade
+          FROM top LEFT JOIN gold USING (query_id, doc_id) JOIN jd ON jd.doc_id = top.doc_id JOIN jq ON jq.item_id = query_id)
+        SELECT query_id, rank, doc_id, round(grade, 6) AS grade, grade >= 0.8 AS relevant FROM g""",
+    "phase2_sweep": _PHASE2 + " SELECT config_id, metric, round(avg(value), 6) AS value FROM l GROUP BY ALL",
+    "significance_preregistered": _PHASE2 + """,
+        means AS (SELECT config_id, ord, row_number() OVER (ORDER BY round(avg(hit_at_k), 9) DESC, round(avg(mrr), 9) DESC, round(avg(precision_at_k), 9) DESC, ord) AS p FROM m GROUP BY config_id, ord),
+        named AS (
+          SELECT 'phase2_best_vs_second_hit' AS name, a.config_id AS a_config, b.config_id AS b_config FROM means a, means b WHERE a.p = 1 AND b.p = 2
+          UNION ALL SELECT 'phase2_dense_vs_hybrid_topk10_hit', 'dense_plain_k10', 'hybrid_plain_k10'),
+        pair AS (SELECT name, a_config, b_config, a.query_id, a.hit_at_k AS a, b.hit_at_k AS b FROM named JOIN m a ON a.config_id = a_config JOIN m b ON b.config_id = b_config AND b.query_id = a.query_id),
+        tied AS (SELECT name, round(abs(a - b), 12) AS v, count(*) AS t, sum((a > b)::INT) AS up FROM pair WHERE abs(a - b) > 1e-12 GROUP BY ALL),
+        ranked AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY name ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS r FROM tied),
+        sums AS (SELECT name, least(sum(r * up), sum(r * t) - sum(r * up)) AS w, sum(t)::DOUBLE AS c, sum(t::DOUBLE * t * t - t) AS ties FROM ranked GROUP BY name)
+        SELECT name, 'hit_at_k' AS metric, a_config, b_config, round(avg(a), 6) AS a_mean, round(avg(b), 6) AS b_mean, count(*) AS n, coalesce(round(any_value(w), 1), 0.0) AS statistic,
+          round((any_value(w) - any_value(c) * (any_value(c) + 1) / 4) / sqrt((any_value(c) * (any_value(c) + 1) * (2 * any_value(c) + 1) - any_value(ties) / 2) / 24), 6) AS z
+        FROM pair LEFT JOIN sums USING (name) GROUP BY name, a_config, b_config""",
+    "phase2_table": _PHASE2 + """,
+        w AS (SELECT config_id, ord, round(avg(hit_at_k), 6) AS a, round(avg(paper_coverage), 6) AS b, round(avg(precision_at_k), 6) AS c, round(avg(mrr), 6) AS d, round(avg(average_precision), 6) AS e FROM m GROUP BY ALL),
+        rows_ AS (SELECT ord, substr(split_part(config_id, '_', 3), 2) || ' & ' || split_part(config_id, '_', 1) || ' & ' || CASE WHEN contains(config_id, 'rerank') THEN 'yes' ELSE 'no' END || ' & ' || """
+        + " || ' & ' || ".join(_CELL.format(x) for x in "abcde") + """ || ' \\\\' AS line FROM w)
+        SELECT '\\begin{table}[htbp]' || chr(10) || '\\centering' || chr(10) || '\\caption{Phase 2: retrieval-configuration sweep on the winning chunker.}' || chr(10) || '\\label{tab:phase2}' || chr(10)
+          || '\\begin{tabular}{lccccccc}' || chr(10) || '\\toprule' || chr(10) || 'top-$k$ & Retrieval & Rerank & Hit@k & Coverage@k & P@k & MRR & MAP \\\\' || chr(10) || '\\midrule' || chr(10)
+          || string_agg(line, chr(10) ORDER BY ord) || chr(10) || '\\bottomrule' || chr(10) || '\\end{tabular}' || chr(10) || '\\end{table}' || chr(10) AS latex FROM rows_""",
+    "token_characters": "SELECT doc_id, length(text) AS n, md5(array_to_string(regexp_extract_all(text, '(?s).'), '|')) AS digest FROM documents",
+    "committed_topics": f"""WITH v AS (SELECT doc_id, lang, source || ', ' || lang || ', ' || text AS v FROM documents),
+        l AS (SELECT doc_id, lang, list_filter(list_transform(string_split(v, ',')[:-2], lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS l FROM v)
+        SELECT doc_id, len(l) AS n, md5(array_to_string(list_append(l, lang), ', ')) AS value FROM l""",
+    "stage_counts": "WITH " + _SECTIONS + f""", s AS (SELECT * FROM section_chunk WHERE length(chunk_text) >= 50)
+        SELECT 1 AS step, '1. Search (found=' || count(*) || ')' AS line FROM documents UNION ALL SELECT 2, '2. Read (found=' || count(*) || ')' FROM documents WHERE {_STRIP.format("text")} <> ''
+        UNION ALL SELECT 3, '3. Chunked (found=' || count(DISTINCT doc_id) || ')' FROM s UNION ALL SELECT 4, '4. Stored (found=' || count(*) || ')' FROM s""",
+    "result_pages": "SELECT doc_id, greatest(0, least(doc_id % 7 + 1, doc_id % 5))::BIGINT AS next, greatest(0, least(doc_id % 7 - 3, doc_id % 5))::BIGINT AS before FROM documents",
+    "payloads": _FIXED_INDEX + " SELECT chunk_id, md5(chunk_text) AS chunk_text, doc_id::VARCHAR AS paper_id, '' AS title, 'FIXED_WINDOW_OVERLAP' AS strategy, NULL::VARCHAR AS section, NULL::VARCHAR AS subsection, position::INT AS position FROM x",
+    "paper_store": """WITH last AS (SELECT source AS paper_id, lang, doc_id::VARCHAR AS seen FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1)
+        SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(('0x' || h[17])::INT % 4) + 1] || h[18:20] || '-' || h[21:32] AS point_id, paper_id, lang, seen
+        FROM (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('paper_' || paper_id)) AS h FROM last)""",
+    "source_list": "SELECT doc_id, '<a href=\"https://arxiv.org/abs/' || doc_id || '\" target=\"_blank\" rel=\"noopener noreferrer\" class=\"source-link\">' || source || CASE WHEN doc_id % 3 = 1 THEN ' <span class=\"source-section\">(' || lang || ')</span>' ELSE '' END || '</a>' AS html FROM documents",
     "papers_topic_search": """SELECT doc_id, 'the "of the"' AS query FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'of the') ORDER BY doc_id LIMIT 20""",
     "topics_to_search": f"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(concat_ws(',', lang, '  ' || text[:12] || ' ', ' ', source), ','),
         lambda t: {_STRIP.format("t")}), lambda t: t <> ''), lambda t: CASE WHEN contains(t, ' ') THEN '"' || t || '"' ELSE t END), ' ') AS query FROM documents""",
@@ -601,6 +767,7 @@ QUERIES = {
         chunk_section_level, chunk_all_strategies, abstract_chunk_union, index_upsert_dedupe, strategy_scan, hash_embed, cosine_scores, dense_topk,
         minmax_norm, mmr_topk, bm25_scores, hybrid_topk, rerank_pool, rerank_topk, neighbor_expand, distinct_sources, context_budget, context_assembly,
         transcript_html, relevance_grades, retrieval_metrics, mean_metrics, config_sweep, phase_winner, report_cells, wilcoxon_stat, significance_pairs,
-        bootstrap_ci, paired_bootstrap, wilcoxon_p_values, manifest_join, corpus_union,
+        bootstrap_ci, paired_bootstrap, wilcoxon_p_values, manifest_join, corpus_union, gold_passage_contains, graded_passages, phase2_sweep,
+        significance_preregistered, phase2_table, token_characters, committed_topics, stage_counts, result_pages, payloads, paper_store, source_list,
     )
 }

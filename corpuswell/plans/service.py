@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
 from corpuswell.config import STRATEGIES
 from corpuswell.functions.text import strategy_label, strip
 from corpuswell.operators import chunkers, metrics, prompting, ranking, vectors
+from corpuswell.staging import staged
 
 
 def first_sentence(prompt: Column, context: Column) -> Column:
@@ -25,63 +27,167 @@ def validate(queries: DataFrame) -> None:
         raise ValueError(f"query and topics are needed: {[r['query_id'] for r in bad]}")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = S.top_k, kind: str = "dense", diverse: bool = True, rerank: bool = False, expand: bool = True, embed: Callable[[Column], Column] = vectors.hash_embedding) -> DataFrame:
-    """query_id, rank and chunk columns. queries: query_id, text; chunks: doc_id, position, section, chunk_text.
+def chunk_number(doc: Column, position: Column) -> Column:
+    """A number that orders chunks by document and position, which breaks ties as an index does that keeps them so; documents without a number
+    order by a hash."""
+    return F.shiftleft(doc.cast("long"), 20) + position + 1
 
-    Re-ranking goes before fusion, fusion before diversity, and neighbours are added to what remains.
-    """
-    ids = F.xxhash64("doc_id", "position", "chunk_text")
-    items = chunks.withColumn("vec_id", ids).withColumn("embedding", embed(F.col("chunk_text")))
+
+def _items(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    numbered = dict(chunks.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    number = chunk_number(F.col("doc_id"), F.col("position")) if numbered else F.xxhash64("doc_id", "position", "chunk_text")
+    return chunks.withColumns({"vec_id": number, "embedding": embed(F.col("chunk_text"))})
+
+
+def _kind_scores(queries: DataFrame, items: DataFrame, kind: str, embed: Callable[[Column], Column], papers: DataFrame | None) -> DataFrame:
+    """query_id, vec_id, score of dense or hybrid search, over all items or those of each query's own papers."""
     asked = queries.select(F.col("query_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
-    scores = vectors.cosine_scores(asked, items)
-    texts = items.select(F.col("vec_id").alias("doc_id"), F.col("chunk_text").alias("text"))
+    if papers is None:
+        scores = vectors.cosine_scores(asked, items)
+    else:
+        own = papers.join(items.select("doc_id", "vec_id", "embedding"), "doc_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
+        scores = own.select("query_id", "vec_id", F.round(vectors.cosine(F.col("_q"), F.col("embedding")), 9).alias("score"))
     if kind == "hybrid":
-        fused = ranking.hybrid(scores.withColumnRenamed("vec_id", "doc_id"), ranking.bm25(queries.select("query_id", "text"), texts))
-        scores = fused.withColumnRenamed("doc_id", "vec_id")
+        texts = items.select(F.col("vec_id").alias("doc_id"), F.col("chunk_text").alias("text"))
+        scores = ranking.hybrid(scores.withColumnRenamed("vec_id", "doc_id"), ranking.bm25(queries.select("query_id", "text"), texts)).withColumnRenamed("doc_id", "vec_id")
+    return scores
+
+
+def _chosen(scores: DataFrame, queries: DataFrame, items: DataFrame, k: int, kind: str, diverse: bool, rerank: bool) -> DataFrame:
+    """query_id, rank, vec_id of the k hits: re-ranked from the pool that belongs to k, or diverse (dense search only), or simply the best."""
     if rerank:
+        texts = items.select(F.col("vec_id").alias("doc_id"), F.col("chunk_text").alias("text"))
         hits = ranking.rerank(scores.withColumnRenamed("vec_id", "doc_id"), queries, texts, k).withColumnRenamed("doc_id", "vec_id")
     elif kind == "dense" and diverse:
         hits = ranking.mmr(scores, items, k)
     else:
         hits = ranking.ranked(scores, k)
-    found = hits.select("query_id", "rank", "vec_id").join(items.drop("embedding"), "vec_id").drop("vec_id")
+    return hits.select("query_id", "rank", "vec_id")
+
+
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, k: int = S.top_k, kind: str = "dense", diverse: bool = True, rerank: bool = False, expand: bool = True,
+    embed: Callable[[Column], Column] = vectors.hash_embedding, papers: DataFrame | None = None,
+) -> DataFrame:
+    """query_id, rank and chunk columns. queries: query_id, text; chunks: doc_id, position, section, chunk_text; papers: query_id, doc_id
+    where each query is to see its own papers only.
+
+    Re-ranking goes before fusion, fusion before diversity, and neighbours are added to what remains. Chunks are embedded once, and their vectors staged.
+    """
+    items = staged(_items(chunks, embed), "items")
+    scores = staged(_kind_scores(queries, items, kind, embed, papers), "scores")
+    found = _chosen(scores, queries, items, k, kind, diverse, rerank).join(items.drop("embedding"), "vec_id").drop("vec_id")
     if not expand:
         return found
     return ranking.expand_neighbours(found.select("query_id", "rank", "doc_id", "position"), chunks)
 
 
-def answer(queries: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, **options) -> DataFrame:
-    """query_id, strategy, strategy_label, answer, sources: each question (query_id, topics, text) under each strategy.
+def answered(queries: DataFrame, hits: DataFrame, strategy: str, generate: Callable[[Column, Column], Column], debug: bool = False) -> DataFrame:
+    """query_id, strategy, strategy_label, answer, sources and, with debug, debug_context, from hits (query_id, rank, doc_id, title, position, section, chunk_text)."""
+    hits = hits.withColumn("paper_id", F.col("doc_id"))
+    context = prompting.assemble_context(hits)
+    source = F.struct("rank", "doc_id", "title", "section", F.concat(F.lit("https://arxiv.org/abs/"), F.col("doc_id").cast("string")).alias("arxiv_url"))
+    sources = ranking.distinct_sources(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))  # some hits a query
+    made = queries.join(context, "query_id", "left").join(sources, "query_id", "left")
+    text = prompting.fallback_answer(F.when(F.col("context").isNotNull(), generate(prompting.prompt(F.col("text"), F.col("context")), F.col("context"))))
+    columns = [F.lit(strategy).alias("strategy"), strategy_label(F.lit(strategy)).alias("strategy_label"), text.alias("answer"), F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)).alias("sources")]
+    if debug:
+        shown = F.struct("rank", F.col("doc_id").cast("string").alias("paper_id"), "title", F.coalesce("section", F.lit("")).alias("section"), "position", "chunk_text")
+        used = hits.where("rank <= 10").groupBy("query_id").agg(F.array_sort(F.collect_list(shown)).alias("debug_context"))
+        made = made.join(used, "query_id", "left")
+        columns.append(F.coalesce("debug_context", F.array().cast(used.schema["debug_context"].dataType)).alias("debug_context"))
+    return made.select("query_id", *columns)
+
+
+def answer(queries: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, debug: bool = False, **options) -> DataFrame:
+    """Each question (query_id, topics, text) under each strategy, as `answered` gives it.
 
     docs: doc_id, title, text. Queries without a chunk get the fallback answer and no sources.
     """
     validate(queries)
-    out = None
+    parts = []
     for strategy in strategies:
         chunks = chunkers.index_chunks(docs, strategy).select("doc_id", "position", "section", "chunk_text")
-        hits = retrieve(queries, chunks, **options).join(docs.select("doc_id", "title"), "doc_id").withColumn("paper_id", F.col("doc_id"))
-        context = prompting.assemble_context(hits)
-        source = F.struct("rank", "doc_id", "title", "section")
-        sources = ranking.distinct_sources(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
-        made = queries.join(context, "query_id", "left").join(sources, "query_id", "left")
-        text = prompting.fallback_answer(F.when(F.col("context").isNotNull(), generate(prompting.prompt(F.col("text"), F.col("context")), F.col("context"))))
-        one = made.select("query_id", F.lit(strategy).alias("strategy"), strategy_label(F.lit(strategy)).alias("strategy_label"), text.alias("answer"), F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)).alias("sources"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def evaluate(queries: DataFrame, gold: DataFrame, docs: DataFrame, strategy: str, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+        hits = retrieve(queries, chunks, **options).join(docs.select("doc_id", "title"), "doc_id")
+        parts.append(answered(queries, hits, strategy, generate, debug))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def papers_for(queries: DataFrame, papers: DataFrame, embed: Callable[[Column], Column] = vectors.hash_embedding) -> DataFrame:
+    """query_id, doc_id, rank of the papers each question is answered from: of the first papers whose title or abstract has all its
+    topics, those whose abstracts are most like the question; ties go to the later paper. papers: doc_id, title, abstract, text."""
+    terms = queries.select("query_id", F.filter(F.transform(F.split(F.lower("topics"), ","), strip), lambda t: t != "").alias("terms"), embed(F.col("text")).alias("_q"))
+    listed = papers.select("doc_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("_t"), embed(F.coalesce("abstract", F.lit(""))).alias("_a"))
+    found = vectors.against_all(terms, listed).where(F.forall("terms", lambda t: F.contains("_t", t)))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    near = found.withColumn("_n", first).where(F.col("_n") <= S.search_results).withColumn("score", F.round(vectors.dot(F.col("_q"), F.col("_a")), 9))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id")))
+    return near.withColumn("rank", rank).where(F.col("rank") <= S.abstracts_kept).select("query_id", "doc_id", "rank")
+
+
+def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, debug: bool = False, **options) -> DataFrame:
+    """The whole path of a question (query_id, topics, text): search by topics, filter by abstract, chunk, retrieve from its own papers, answer.
+
+    papers: doc_id, title, abstract, text (null where it could not be loaded). Abstracts are chunks at position -1. A question without a
+    paper, or with none that could be loaded, gets one row, under the first strategy, that says so. Papers are chunked once, whichever questions they serve.
+    """
+    validate(queries)
+    chosen = staged(papers_for(queries, papers), "papers")
+    loaded = chosen.join(papers.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    state = queries.select("query_id").join(chosen.groupBy("query_id").agg(F.count("*").alias("_c")), "query_id", "left").join(loaded.groupBy("query_id").agg(F.count("*").alias("_l")), "query_id", "left")
+    own = papers.where("text IS NOT NULL").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = queries.join(loaded.select("query_id").distinct(), "query_id", "left_semi")
+    parts = []
+    for strategy in strategies:
+        chunks = staged(chunkers.index_chunks(own, strategy, own.select("doc_id", "abstract")).select("doc_id", "position", "section", "chunk_text"), "chunks")
+        hits = retrieve(asked, chunks, papers=loaded.select("query_id", "doc_id"), **options).join(papers.select("doc_id", "title"), "doc_id")
+        parts.append(answered(asked, hits, strategy, generate, debug))
+    good = reduce(DataFrame.unionByName, parts)
+    why = F.when(F.col("_c").isNull(), prompting.NO_PAPERS).when(F.col("_l").isNull(), prompting.NONE_LOADED)
+    lost = state.select("query_id", why.alias("answer")).where("answer IS NOT NULL")
+    fixed = {"strategy": F.lit("STRUCTURE_AWARE_OVERLAP"), "strategy_label": strategy_label(F.lit("STRUCTURE_AWARE_OVERLAP"))}
+    empty = {f.name: F.array().cast(f.dataType) for f in good.schema if f.name in ("sources", "debug_context")}
+    return good.unionByName(lost.withColumns(fixed | empty))
+
+
+def evaluate(
+    queries: DataFrame, gold: DataFrame, docs: DataFrame, strategy: str, ks: tuple[int, ...] = (3, 5, 10), diverse: bool = True, embed: Callable[[Column], Column] = vectors.hash_embedding,
+    passages: DataFrame | None = None, judge: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """config_id, query_id, metric, value of k x (dense, hybrid) x (with and without re-ranking) for a strategy.
 
-    gold: query_id, paper_id. Chunks and their embeddings are the same for all configurations.
+    gold: query_id, paper_id; passages: query_id, passage, judged by `judge`, which is another embedder than the one that searches if given. Chunks,
+    their embeddings and the scores of each kind are made once; each k is ranked by itself, as pools and diversity depend on it.
     """
     chunks = chunkers.index_chunks(docs, strategy).select("doc_id", "position", "section", "chunk_text")
-    out = None
+    items = staged(_items(chunks, embed), "items")
+    parts = []
     for kind in ("dense", "hybrid"):
+        scores = staged(_kind_scores(queries, items, kind, embed, None), "scores")
         for rerank in (False, True):
-            hits = retrieve(queries, chunks, max(ks), kind, True, rerank, False).withColumnRenamed("doc_id", "paper_id")
             for k in ks:
-                scores = metrics.retrieval_metrics(metrics.relevance(hits, gold), queries, gold, k)
-                one = metrics.long_scores(scores.withColumn("config_id", F.lit(f"{strategy}_{kind}_{'rerank' if rerank else 'plain'}_k{k}")), "config_id", "query_id")
-                out = one if out is None else out.unionByName(one)
-    return out
+                hits = _chosen(scores, queries, items, k, kind, diverse, rerank).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
+                similar = metrics.passage_similarity(hits, passages, judge or embed) if passages is not None else None
+                found = metrics.retrieval_metrics(metrics.relevance(hits, gold, similar), queries, gold, k)
+                parts.append(metrics.long_scores(found.withColumn("config_id", F.lit(f"{strategy}_{kind}_{'rerank' if rerank else 'plain'}_k{k}")), "config_id", "query_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def compare_models(queries: DataFrame, gold: DataFrame, docs: DataFrame, strategy: str, models: dict[str, Callable[[Column], Column]], k: int = 10, skip_broken: bool = True) -> tuple[DataFrame, list[str]]:
+    """(config_id, query_id, metric, value of dense search with each embedder; the models that could not be used). config_id is a model's name."""
+    parts, broken = [], []
+    chunks = staged(chunkers.index_chunks(docs, strategy).select("doc_id", "position", "section", "chunk_text"), "chunks")
+    for name, embed in models.items():
+        try:
+            items = staged(_items(chunks, embed), "items")
+        except Exception:
+            if not skip_broken:
+                raise
+            broken.append(name)
+            continue
+        hits = _chosen(_kind_scores(queries, items, "dense", embed, None), queries, items, k, "dense", False, False).join(items.select("vec_id", F.col("doc_id").alias("paper_id")), "vec_id")
+        found = metrics.retrieval_metrics(metrics.relevance(hits, gold), queries, gold, k)
+        parts.append(metrics.long_scores(found.withColumn("config_id", F.lit(name)), "config_id", "query_id"))
+    if not parts:
+        raise ValueError("no model could be used")
+    return reduce(DataFrame.unionByName, parts), broken

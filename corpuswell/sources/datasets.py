@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
@@ -66,3 +68,24 @@ def snapshot_papers(manifest: DataFrame) -> DataFrame:
     """Distinct papers of a snapshot, each once, in the order in which queries first name them."""
     first = manifest.select("ord", F.posexplode("paper_ids").alias("k", "paper_id")).groupBy("paper_id").agg(F.min(F.struct("ord", "k")).alias("f"))
     return first.select("paper_id", (F.row_number().over(Window.orderBy("f")) - 1).alias("position"))
+
+
+def snapshot_totals(manifest: DataFrame) -> DataFrame:
+    """One row: queries, papers named in all, and unique papers of a manifest (ord, paper_ids)."""
+    named = manifest.select("ord", F.explode_outer("paper_ids").alias("paper_id"))
+    return named.agg(F.count_distinct("ord").alias("queries"), F.count("paper_id").alias("named"), F.count_distinct("paper_id").alias("unique_papers"))
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Stores files (snapshot_id, paper_id, content) by snapshot and paper; those of a snapshot that is written replace it."""
+    files.select("snapshot_id", "paper_id", "content").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
+
+
+def stored_file(spark: SparkSession, path: str, snapshot_id: str, paper_id: str) -> DataFrame:
+    """The content of a stored file: a partition filter and a pushed one."""
+    return spark.read.parquet(path).where((F.col("snapshot_id") == snapshot_id) & (F.col("paper_id") == paper_id)).select("content")
+
+
+def extracted(files: DataFrame, extract: Callable[[Column], Column]) -> DataFrame:
+    """paper_id, text of files (paper_id, content): extract is a column function of the bytes; what it cannot read is empty."""
+    return files.select("paper_id", F.coalesce(extract(F.col("content")), F.lit("")).alias("text"))

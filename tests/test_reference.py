@@ -296,3 +296,122 @@ def test_service(spark):
     assert scores.count() == 2 * 2 * 2 * 2 * 5 and scores.where("metric = 'hit_at_k' AND value < 1").count() == 0
     html = prompting.transcripts(spark.createDataFrame([(1, 1, "user", "a<b\nc"), (1, 0, "assistant", "hi")], "conv_id long, turn long, role string, text string")).first().html
     assert html.index("hi") < html.index("a&lt;b<br>c")
+
+
+def test_answer_path_from_topics(spark):
+    words_ = ["quantum", "retrieval", "graph"]
+    papers = [(k, f"On {w}", f"About {w} systems.", f"The {w} paper tells of {w} things. " + f"More words on {w} follow here. " * 3) for k, w in enumerate(words_)]
+    papers.append((9, "On lost", "About lost systems", None))
+    papers = spark.createDataFrame(papers, "doc_id long, title string, abstract string, text string")
+    queries = spark.createDataFrame([(1, "systems, quantum", "tell of quantum things"), (2, "nothing here", "x"), (3, "lost", "y")], "query_id long, topics string, text string")
+    rows = {r.query_id: r for r in service.answer_topics(queries, papers, ("FIXED_WINDOW_OVERLAP",), debug=True).collect()}
+    # Few chunks keep the order of storage, in which the abstract is first.
+    assert rows[1].answer == "About quantum systems." and [c.position for c in rows[1].debug_context] == [-1, 0]
+    assert rows[2].answer == prompting.NO_PAPERS and rows[3].answer == prompting.NONE_LOADED and rows[2].sources == []
+    assert rows[1].sources[0].arxiv_url.endswith("/0")
+
+
+def test_answers_are_asked_again_with_fewer_hits(spark):
+    hits = spark.createDataFrame([(q, r, "p", "t", None, f"text {r}") for q in (1, 2) for r in range(1, 9)], "query_id long, rank int, paper_id string, title string, section string, chunk_text string")
+    queries = spark.createDataFrame([(1, "short"), (2, "broken")], "query_id long, text string")
+
+    def generate(prompt, context):
+        long = (F.length(context) > 120) & F.contains(prompt, F.lit("short"))
+        error = F.when(long, F.lit("maximum context length is 120")).when(F.contains(prompt, F.lit("Question: broken")), F.lit("no answer"))
+        return F.struct(F.lit("ok").alias("answer"), error.alias("error"))
+
+    got = {r.query_id: (r.answer, r.n_chunks) for r in prompting.answers(hits, queries, generate).collect()}
+    assert got == {1: ("ok", 2), 2: ("Error generating response: no answer", 8)}
+
+
+def test_text_pieces(spark):
+    assert one(spark, T.committed_topics, "a, b ,, c") == ["a", "b"] and one(spark, T.committed_topics, "abc") == []
+    assert one(spark, lambda c: T.topics_value(T.committed_topics(c), F.lit(" d ")), "a,b,") == "a, b, d"
+    assert one(spark, lambda c: T.topics_value(T.committed_topics(c), F.lit(" ")), "a,b,") == "a, b,"
+    assert one(spark, lambda c: T.step_line(F.lit(2), c, kept=F.lit(3), k=F.lit(6)), "Filter") == "2. Filter (kept=3 - k=6)"
+    assert one(spark, lambda c: T.step_line(F.lit(2), c), "Filter") == "2. Filter"
+    assert one(spark, lambda c: T.source_line(F.lit(None).cast("string"), c, F.lit("")), "7") == "[Source: Unknown (arxiv.org/abs/7), Section: -]"
+    assert [one(spark, lambda c, k=k: T.page_of(F.lit(k), F.length(c)), "abc") for k in (-1, 1, 7)] == [0, 1, 2]
+    sources = spark.sql("SELECT array(named_struct('title', 'T<', 'section', 'Abstract', 'arxiv_url', 'u'), named_struct('title', 'V', 'section', 'S', 'arxiv_url', 'w')) AS s")
+    html = sources.select(prompting.message_html(F.lit("assistant"), F.lit("x"), F.col("s")).alias("h")).first().h
+    assert "T&lt;</a></li>" in html and '<span class="source-section">(S)</span>' in html
+    results = sources.select(F.array(F.struct(F.lit("Label").alias("strategy_label"), F.lit("a\nb").alias("answer"), F.col("s").alias("sources"))).alias("r"))
+    shown = results.select(prompting.message_html(F.lit("assistant"), F.lit("x"), None, F.col("r")).alias("h")).first().h
+    assert '<h3 class="strategy-title">Label</h3><p class="content">a<br>b</p>' in shown
+    assert one(spark, lambda c: prompting.page_html(c, F.lit("body")), "t&").count("t&amp;") == 2
+
+
+def test_tokens_by_a_rank_file(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from corpuswell.operators import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tokens.encoding(path)
+    texts = ["One paragraph of words.\n\nAnother one, 1234567!\n\n" + "long words here " * 200, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.i for r in docs.orderBy("doc_id").select(tokens.token_ids(path, F.col("text")).alias("i")).collect()] == [own.encode_ordinary(texts[0]), [], None]
+    windows = [r.chunk_text for r in chunkers.fixed_window(docs, window=50, overlap=10, windows=tokens.token_windows(path)).orderBy("position").collect()]
+    ids = own.encode_ordinary(texts[0])
+    assert windows == [t for k in range(0, len(ids), 40) if (t := own.decode(ids[k : k + 50]).strip())]
+    packed = chunkers.chunk(docs, "STRUCTURE_AWARE_OVERLAP", count=tokens.token_counter(path)).count()
+    assert packed == 1 and chunkers.chunk(docs, "SEMANTIC_PARAGRAPH_GROUPING", embed=None).first().strategy == "STRUCTURE_AWARE_OVERLAP"
+
+
+def test_results_are_written_merged_and_shown(spark, tmp_path):
+    from corpuswell.plans import reporting
+
+    configs = spark.createDataFrame([("a", 0, 3, "dense", False), ("b", 1, 5, "hybrid", True)], "config_id string, ord int, top_k int, retrieval_type string, re_ranking boolean")
+    rows = [(c, q, m, float(c == "b" and q == 2)) for c in "ab" for q in (1, 2) for m in metrics.METRICS]
+    long = spark.createDataFrame(rows, "config_id string, query_id long, metric string, value double")
+    intervals = stats.bootstrap_ci(long.withColumnRenamed("query_id", "example_id"), ["config_id", "metric"], resamples=50)
+    made = reporting.result_rows(configs, long, intervals)
+    reporting.write_results({"phase2": made}, str(tmp_path / "a"), "t1")
+    reporting.merge_results(spark, str(tmp_path / "a"), {"phase3": made}, str(tmp_path / "b"), "t2")
+    document = json.loads(next((tmp_path / "b").glob("part-*")).read_text())
+    assert document["merged_from_created_utc"] == "t1" and document["phase2"] == document["phase3"]
+    assert document["phase2"][1]["config"] == {"top_k": 5, "retrieval_type": "hybrid", "re_ranking": True}
+    assert document["phase2"][1]["per_query"]["mrr"] == [0.0, 1.0] and document["phase2"][1]["metrics_ci"]["mrr"]["mean"] == 0.5
+    assert reporting.first_matching(configs, top_k=5, re_ranking=True).first().config_id == "b" and reporting.first_matching(configs, top_k=4).count() == 0
+    tests = spark.createDataFrame([(0, "phase3_baseline_vs_x_hit", "hit_at_k", "org/m_1", 0.01, -0.02, 0.03, 0.04, None)], "ord int, name string, metric string, model string, mean_diff double, lo double, hi double, p_value double, wilcoxon_p double")
+    latex = reporting.significance_table(tests).first().latex
+    assert "\\texttt{m_1} (Hit@k) & +0.0100 & [-0.0200, +0.0300] & \\textbf{0.0400} & -- \\\\" in latex.replace("\\texttt{m_1}}", "\\texttt{m_1}")
+    means = spark.createDataFrame([(0, "A_B", "dense", 10, False, "org/e", 64, 0.5, 0.1, 0.2, 0.3, 0.4), (1, "C", "dense", 10, False, "f", 32, 0.4, 0.1, 0.3, 0.2, 0.1)],
+        "ord int, chunking_strategy string, retrieval_type string, top_k int, re_ranking boolean, embedding_model string, embedding_dim int, hit_at_k double, paper_coverage double, precision_at_k double, mrr double, average_precision double")
+    one_ = reporting.phase1_table(means).first().latex
+    assert "\\texttt{A\\_B} & \\textbf{0.5000} & \\textbf{0.1000} & 0.2000" in one_ and one_.endswith("\\end{table}\n")
+    assert "(a b, dense, top-$k=10$, no rerank; fixed judge embedder)" in reporting.phase3_table(means).first().latex
+    assert reporting.phase1_table(means.where("false")).collect() == []
+
+
+def test_stores(spark, tmp_path):
+    papers = spark.createDataFrame([("p", "old", 1), ("p", "new", 2), ("", "x", 3)], "paper_id string, title string, n int")
+    first = index.save_papers(None, papers, "n")
+    assert [(r.paper_id, r.title, r.point_id) for r in first.collect()] == [("p", "new", str(uuid.uuid5(uuid.NAMESPACE_DNS, "paper_p")))]
+    again = index.save_papers(first, spark.createDataFrame([("p", "newest", 0), ("q", "t", 0)], "paper_id string, title string, n int"), "n")
+    assert sorted((r.paper_id, r.title) for r in again.collect()) == [("p", "newest"), ("q", "t")]
+    files = spark.createDataFrame([("s1", "a", bytearray(b"x")), ("s1", "b", bytearray(b"y")), ("s2", "a", bytearray(b"z"))], "snapshot_id string, paper_id string, content binary")
+    datasets.write_files(files, str(tmp_path / "f"))
+    assert bytes(datasets.stored_file(spark, str(tmp_path / "f"), "s2", "a").first().content) == b"z"
+    rest, gone = index.clear_snapshot(files, "s1")
+    assert rest.count() == 1 and gone.first().deleted == 2
+    index.ensure(spark, str(tmp_path / "t"), "a long")
+    index.ensure(spark, str(tmp_path / "t"), "a long")
+    with pytest.raises(ValueError):
+        index.ensure(spark, str(tmp_path / "t"), "b string")
+    manifest = spark.createDataFrame([(0, ["a", "b"]), (1, ["b"]), (2, [])], "ord int, paper_ids array<string>")
+    assert tuple(datasets.snapshot_totals(manifest).first()) == (3, 3, 2)
+    assert datasets.extracted(files.where("snapshot_id = 's2'"), lambda c: F.decode(c, "UTF-8")).first().text == "z"
+
+
+def test_models_are_compared_and_broken_ones_skipped(spark):
+    docs = spark.createDataFrame([(k, f"The {w} paper tells of {w} things in many words. " * 3) for k, w in enumerate(["quantum", "graph"])], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "x", "quantum things"), (2, "x", "graph")], "query_id long, topics string, text string")
+    gold = spark.createDataFrame([(1, 0), (2, 1)], "query_id long, paper_id long")
+
+    def broken(c):
+        raise OSError("no such model")
+
+    long, skipped = service.compare_models(queries, gold, docs, "FIXED_WINDOW_OVERLAP", {"base": vectors.hash_embedding, "wide": lambda c: vectors.hash_embedding(c, 128), "none": broken}, 1)
+    assert skipped == ["none"]
+    pairs = experiments.model_pairs(long, "base")
+    assert {(r.name, r.a, r.b) for r in pairs.collect()} == {(f"phase3_baseline_vs_wide_{m}", 1.0, 1.0) for m in ("hit", "map")}
