@@ -81,7 +81,7 @@ def pretoken_starts(joined: str, doc_starts: np.ndarray) -> tuple[np.ndarray, np
     apart contractions, runs of letters, numbers and other characters (each with the space before it), and white
     space, whose last character before other text is left to the next match.
     """
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(points)
     if not n:
         return points, np.zeros(0, np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -61,23 +62,34 @@ def unsqueeze(packed: bytes) -> np.ndarray:
 
 
 class Block:
-    """Some consecutive texts as their distinct pre-tokens and, per place, the pre-token's number."""
+    """Some consecutive texts as their distinct pre-tokens and, per place, the pre-token's number.
 
-    def __init__(self, texts: list[str]):
+    `added` are strings that are tokens of their own wherever they stand; the j-th becomes a pre-token of one character that no text
+    can hold, chr(0xD800 + j), and no other match crosses it.
+    """
+
+    def __init__(self, texts: list[str], added: tuple[str, ...] = ()):
+        find = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        number = {a: chr(0xD800 + j) for j, a in enumerate(added)}
         hashes, words, self.counts, chunk, size = [], [], [], [], 0
         self._spans: list[tuple[str, np.ndarray]] = []
+        marks: list[int] = []
         for k, text in enumerate(texts):
+            if find and find.search(text):
+                text = find.sub(lambda m: number[m[0]], text)
+                marks += [size + p for p, c in enumerate(text) if c in number.values()]
             chunk.append(text)
             size += len(text)
             if size >= CHUNK or k == len(texts) - 1:
                 joined = "".join(chunk)
                 firsts = np.cumsum([0, *map(len, chunk)])
-                points, starts = pretoken_starts(joined, firsts[:-1])
+                edges = np.unique(np.concatenate([firsts[:-1], np.array(marks, np.int64), np.array(marks, np.int64) + 1]))
+                points, starts = pretoken_starts(joined, edges)
                 ends = np.append(starts[1:], len(points))
                 hashes.append(segment_hashes(points, starts, ends[: len(starts)]))
                 self.counts.append(np.diff(np.searchsorted(starts, firsts)))
                 self._spans.append((joined, starts))
-                chunk, size = [], 0
+                chunk, size, marks = [], 0, []
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.codes, self.hashes = pd.factorize(every)
         self.counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
@@ -92,7 +104,7 @@ class Block:
         del self._spans
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[tuple[int, pa.Array, Block]]:
+def text_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK, added: tuple[str, ...] = ()) -> Iterator[tuple[int, pa.Array, Block]]:
     """(number, doc ids, block) over a task's rows of (doc_id, text)."""
     ids, texts, size, k = [], [], 0, TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -103,10 +115,10 @@ def text_blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterat
             texts += rows
             size += sum(map(len, rows))
             if size >= block:
-                yield k, pa.concat_arrays(ids), Block(texts)
+                yield k, pa.concat_arrays(ids), Block(texts, added)
                 ids, texts, size, k = [], [], 0, k + 1
     if texts:
-        yield k, pa.concat_arrays(ids), Block(texts)
+        yield k, pa.concat_arrays(ids), Block(texts, added)
 
 
 PACKS = "block long, bucket int, payload binary, counts binary, doc_ids array<long>"

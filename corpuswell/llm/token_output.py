@@ -31,17 +31,34 @@ _LOW = np.uint64(1 << 31)
 _U = np.uint64
 
 
+@lru_cache(1)
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizer file adds to its model, and their ids. Raises ValueError for one that also takes blanks or whole words only."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path).get_added_tokens_decoder()
+    if odd := [t.content for t in found.values() if t.lstrip or t.rstrip or t.single_word]:
+        raise ValueError(f"added tokens that match by their surroundings: {odd}")
+    return {t.content: i for i, t in sorted(found.items())}
+
+
 @lru_cache(1)
 def word_model(path: str):
     """A function from a pre-token to its ids by the model of a tokenizer file with byte-level pre-tokens."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
+    model, added = Tokenizer.from_file(path).model, list(added_tokens(path).values())
     # Bytes stand in the vocabulary as printable characters: printable Latin-1 as itself, others from 256 on.
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if b not in printable]
     letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
-    return lambda word: [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+
+    def ids(word: str) -> list[int]:
+        if "\ud800" <= word[0] <= "\udfff":  # an added token, see bpe.Block
+            return [added[ord(word[0]) - 0xD800]]
+        return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+
+    return ids
 
 
 class WordCache:
@@ -88,10 +105,11 @@ def _cache(path: str) -> WordCache:
 STAGED = "part int, seq int, doc_ids array<long>, doc_words binary, codes binary, word_tokens binary, word_ids binary"
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, with_added: bool):
     def run(batches):
         part, cache = TaskContext.get().partitionId(), _cache(path)
-        for seq, (_, doc_ids, block) in enumerate(text_blocks(batches, FRAME)):
+        added = tuple(added_tokens(path)) if with_added else ()
+        for seq, (_, doc_ids, block) in enumerate(text_blocks(batches, FRAME, added)):
             lengths, ids = cache.look_up(block.hashes, block.words)
             row = [part, seq, doc_ids.to_pylist(), squeeze(block.counts), squeeze(block.codes), squeeze(lengths), squeeze(ids)]
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
@@ -225,10 +243,11 @@ def _write_frames(freq: np.ndarray, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, key: str = "doc_id", text: str = "text") -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, key: str = "doc_id", text: str = "text", with_added: bool = True) -> str:
     """Writes the ids of whole texts, each document ended by end_id, in ascending doc_id order; returns the folder.
 
-    Documents are dealt by ranges of doc_id (equal ones by text), tokenised once and staged as distinct pre-tokens
+    As in the tokenizer's library, a string that its file adds as a token (`<|endoftext|>`) is that token wherever a text holds it;
+    with_added=False spells it out. Documents are dealt by ranges of doc_id (equal ones by how their texts begin, then in order of whole texts), tokenised once and staged as distinct pre-tokens
     and places; counts of ids over all documents make the shared table, which is at most the vocabulary; then
     frames are coded, each by itself. Null and empty texts are the end id alone; null keys come first;
     repeated rows are documents of their own; an empty table writes no frames; other columns are not read.
@@ -236,8 +255,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/corpuswell/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = staged(ordered.mapInArrow(_tokenise(tokenizer, end_id), STAGED), "tokenised")
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    tokens = staged(ordered.mapInArrow(_tokenise(tokenizer, with_added), STAGED), "tokenised")
     counts = tokens.mapInArrow(_count_ids(end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted((r["id"], r["n"]) for r in counts.collect())  # a row per id of the vocabulary at most
     freq = scaled_frequencies([i for i, _ in found], [n for _, n in found]) if found else np.array([1 << SCALE])

@@ -24,6 +24,18 @@ def test_files_hold_what_the_library_gives(spark, odd, none):
     assert to.read_tokens(spark, to.write_tokens(none, PATH)).collect() == []
 
 
+@pytest.mark.parametrize("with_added", [True, False])
+def test_added_tokens_as_the_library(spark, with_added):
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = not with_added
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x{end}", f"  {end}  y's {end}'s\n{end}\n", "<|endoftext|", f"plain {chr(0x10FFFF)} text", f"12{end}34 !{end}!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    path = to.write_tokens(docs, PATH, with_added=with_added)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in to.read_tokens(spark, path).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+
+
 @pytest.mark.parametrize("n", [1, 31, to.BLOCK - 1, to.BLOCK, 3 * to.BLOCK + 5])
 def test_codes_round_trip_and_show_damage(n):
     rng = np.random.default_rng(n)
