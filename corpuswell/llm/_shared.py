@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from corpuswell.staging import shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (tests on one machine) a local one is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='corpuswell-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: the lineage ends there, and a lost
-    executor costs no more than the tasks that it ran."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpuswell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["partitions", "shared_dir", "staged", "whole_text"]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,6 +19,9 @@ def test_licenses_as_brute_force(spark, odd, none):
     rng = random.Random(1)
     filler = ["the", "of", "license", "mit", "under", "apache", "version", "2", "cc", "by", "nc", "0", "public", "é中", "gnu"]
     texts = [" ".join(rng.choice(filler) for _ in range(rng.randint(0, 90))) for _ in range(120)]
+    mit, rest = ls.MIT.split(), ls.APACHE.split() + ls.BSD.split()
+    edited = [w for k, w in enumerate(mit) if k % 17] + ["and", "more", "words"]
+    texts += [" ".join(filler + edited + rest + filler), "The album was released under the label and its license expired", " ".join(mit[: len(mit) // 2])]
     texts += ["Released under the MIT License.", "x" * 50 + " Licensed under CC BY-NC 4.0\nLicensed under the Apache License, Version 2.0", "CC-BY", "MIT"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for table in (docs, odd):
@@ -26,19 +29,25 @@ def test_licenses_as_brute_force(spark, odd, none):
         got = ls.scan_licenses(table)
         assert got.count() == table.count()
         order = ls.token_order(table.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ls.TEMPLATES)
-        assert len(order) == len({w for t in ls.TEMPLATES.values() for w in t.split()})
+        assert len(order) == len({w for t in ls.TEMPLATES for w in plain_words(t.text)})
         want = []
         for i, text in table.select("doc_id", "text").collect():
             w = plain_words(text)
             places = sorted((k, label) for p, label in ls.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-            found = sorted(
-                (label, b, len(own & set(w[b : b + ls.BLOCK])) / len(own))
-                for label, t in ls.TEMPLATES.items() for own in [set(t.split())] for b in range(0, max(len(w), 1), ls.STEP)
-                if len(own & set(w[b : b + ls.BLOCK])) >= 0.8 * len(own) - 1e-9
-            )
+            found = []
+            for t in ls.TEMPLATES:
+                own, (size, step) = set(plain_words(t.text)), t.block()
+                for b in range(0, max(len(w), 1), step):
+                    held = own & set(w[b : b + size])
+                    if len(held) >= 0.8 * len(own) - 1e-9 and set(t.distinctive) <= held:
+                        found.append((t.label, b, len(held) / len(own)))
+            found.sort()
             want.append((i, len(w), places, found))
         have = [(r.doc_id, r.n_words, sorted((p.word, p.label) for p in r.places), sorted((m.label, m.word, m.containment) for m in r.matches)) for r in got.collect()]
         assert sorted(have, key=lambda r: key(r[:1]) + r[1:]) == sorted(want, key=lambda r: key(r[:1]) + r[1:]) and rows
+        if table is docs:
+            labels = {i: {x[0] for x in found} for i, _, _, found in want}
+            assert {"mit", "apache-2", "bsd-3"} <= labels[120] and not labels[121] and not labels[122]
     assert ls.scan_licenses(none).collect() == []
 
 
