@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswell.staging import shared_dir, staged
 
-__all__ = ["partitions", "shared_dir", "staged", "whole_text"]
+__all__ = ["digest", "partitions", "shared_dir", "staged", "text_bytes", "whole_text"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -18,3 +20,16 @@ def partitions(spark: SparkSession) -> int:
 def whole_text(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def text_bytes(rows: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts, by which a job is cut to tasks."""
+    return rows.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+
+
+def digest(*parts: bytes) -> int:
+    """64 bits that tell whether a block that was made twice has the same rows."""
+    h = hashlib.blake2b(digest_size=8)
+    for p in parts:
+        h.update(p)
+    return int.from_bytes(h.digest(), "little", signed=True)

@@ -15,11 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuswell.llm._shared import partitions, whole_text
+from corpuswell.llm._shared import digest, partitions, text_bytes, whole_text
 from corpuswell.llm._textkernels import pretoken_starts, ragged_take, segment_hashes
 
 #: Characters whose pre-tokens are found at once, and characters of a block.
 CHUNK, BLOCK = 1 << 20, 4 << 20
+#: Bytes of text for each share of the distinct pre-tokens, where partitions of a shuffle would get more; pre-tokens that a task remembers.
+PER_SHARE, KNOWN = 64 << 20, 1 << 20
 
 
 @lru_cache(2)
@@ -95,6 +97,7 @@ class Block:
         self.counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
         seen = np.full(len(self.hashes), len(every), np.int64)
         np.minimum.at(seen, self.codes, np.arange(len(every)))
+        self.mark = digest(self.codes.tobytes(), self.hashes.tobytes(), self.counts.tobytes())
         at, self.words = 0, []
         for joined, starts in self._spans:
             local = seen[(seen >= at) & (seen < at + len(starts))] - at  # ascending: codes count first uses
@@ -143,18 +146,20 @@ def _distinct_words(buckets: int):
             for b in range(buckets):
                 if ends[b] < ends[b + 1]:
                     words = [block.words[i].encode() for i in order[ends[b] : ends[b + 1]].tolist()]
-                    yield _pack(number, b, zstandard.compress(b"".join(words), 3), squeeze(np.array([len(w) for w in words])))
+                    yield _pack(number, b, zstandard.compress(b"".join(words), 3), squeeze(np.array([len(w) for w in words])), pa.array([block.mark]))
 
     return run
 
 
 def _encode_words(path: str):
-    """Packs of words to packs of ids; a word that came before is not encoded again."""
+    """Packs of words to packs of ids; a word that came before is not encoded again, as long as KNOWN words are enough."""
 
     def run(batches):
         encode, known = word_encoder(path), {}
         for batch in batches:
             for row in batch.to_pylist():
+                if len(known) > KNOWN:
+                    known.clear()
                 joined, lengths, ids = zstandard.decompress(row["payload"]), unsqueeze(row["counts"]), []
                 ends = np.cumsum(lengths).tolist()
                 for s, e in zip([0, *ends[:-1]], ends):
@@ -162,7 +167,7 @@ def _encode_words(path: str):
                     if (found := known.get(word)) is None:
                         found = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
                     ids.append(found)
-                yield _pack(row["block"], row["bucket"], squeeze(np.frombuffer(b"".join(ids), "<u4")), squeeze(np.array([len(x) // 4 for x in ids])))
+                yield _pack(row["block"], row["bucket"], squeeze(np.frombuffer(b"".join(ids), "<u4")), squeeze(np.array([len(x) // 4 for x in ids])), pa.array(row["doc_ids"]))
 
     return run
 
@@ -174,7 +179,7 @@ def _places(buckets: int):
         for number, ids, block in text_blocks(batches):
             rank = np.empty(len(block.hashes), np.int64)
             rank[np.argsort(_bucket(block.hashes, buckets), kind="stable")] = np.arange(len(rank))
-            yield _pack(number, -1, squeeze(rank[block.codes]), squeeze(np.append(len(rank), block.counts)), ids)
+            yield _pack(number, -1, squeeze(rank[block.codes]), squeeze(np.concatenate([[len(rank)], block.counts, np.array([block.mark], "<i8").view("<u4")])), ids)
 
     return run
 
@@ -183,10 +188,12 @@ def _reassemble(path: str):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         own, packs = rows[0], rows[1:]
-        n_words, *counts = unsqueeze(own["counts"]).tolist()
+        sizes = unsqueeze(own["counts"])
+        n_words, *counts = sizes[:-2].tolist()
+        mark = sizes[-2:].view("<i8").tolist()
         lengths = np.concatenate([np.zeros(0, np.int64), *[unsqueeze(r["counts"]) for r in packs]]).astype(np.int64)
-        if own["bucket"] != -1 or len(lengths) != n_words:
-            raise ValueError("the words of a block are incomplete: docs must give the same rows each time it is read")
+        if own["bucket"] != -1 or len(lengths) != n_words or any(r["doc_ids"] != mark for r in packs):
+            raise ValueError("the words of a block are not those of its texts: docs must give the same rows each time it is read")
         ids = np.concatenate([np.zeros(0, "<u4"), *[unsqueeze(r["payload"]) for r in packs]])
         tokens, ends = ragged_take(ids, np.append(0, np.cumsum(lengths)), unsqueeze(own["payload"]))
         doc_token = np.append(0, ends)[np.append(0, np.cumsum(counts)).astype(np.int64)]
@@ -202,7 +209,7 @@ def _reassemble(path: str):
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, ids (array of int) of the whole text and decoded (binary), the bytes of these ids.
 
-    docs must give the same rows each time it is read (a table does). Blocks of texts become distinct pre-tokens
+    docs must give the same rows each time it is read (a table does; a digest of each block tells if it does not). Blocks of texts become distinct pre-tokens
     and places. The distinct ones are dealt by hash, so that a very common word comes once from each block;
     a task encodes each word of its share once. Ids go back to their blocks, where places become ids and,
     by the token-byte table, bytes again. Texts themselves are not shuffled.
@@ -211,8 +218,10 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     other columns are not read. A text is held whole, so a task needs about 50 times its largest text's size.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    buckets = partitions(docs.sparkSession)
+    least = partitions(docs.sparkSession)
+    buckets = max(least, -(-text_bytes(rows) // PER_SHARE))
     words = rows.mapInArrow(_distinct_words(buckets), PACKS)
     encoded = words.repartitionById(buckets, F.col("bucket")).mapInArrow(_encode_words(path), PACKS)
     blocks = rows.mapInArrow(_places(buckets), PACKS).unionAll(encoded)
+    blocks = blocks.repartition(buckets, "block") if buckets > least else blocks
     return blocks.groupBy("block").applyInArrow(_reassemble(path), "doc_id long, ids array<int>, decoded binary")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuswell.llm._shared import partitions, staged, whole_text
+from corpuswell.llm._shared import digest, partitions, staged, text_bytes, whole_text
 from corpuswell.llm._textkernels import _power_tables, mix
 from corpuswell.llm.bpe import squeeze, unsqueeze
 
@@ -26,6 +26,8 @@ LEFT = SPAN - GRAM
 CHUNK, BLOCK = 1 << 20, 3 << 20
 #: Shares of the contexts for each partition of a shuffle: a share is sorted in memory, at about 1 KB a context.
 SHARES = 4
+#: Bytes of text for each bucket of grams and each partition of blocks, and for each share of contexts, where partitions of a shuffle would get more.
+PER_BUCKET, PER_SHARE = 64 << 20, 8 << 20
 #: How carried columns are written as JSON, so that times lose no digit.
 CARRIED = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 _U = np.uint64
@@ -255,34 +257,39 @@ def _shares(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((hashes * _U(buckets)) >> _U(48), np.arange(buckets + 1))
 
 
+def _digest_of(data: np.ndarray, lengths: np.ndarray) -> int:
+    return digest(data.tobytes(), lengths.astype("<i8").tobytes())
+
+
 def _send_grams(buckets: int):
     """Per block and bucket the distinct gram hashes, sorted, 6 bytes each."""
 
     def run(batches):
         for number, _, texts, _ in _blocks(batches):
+            mark = [_digest_of(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))]
             grams = np.unique(_block_anchors(texts)[2])
             ends = _shares(grams, buckets)
             for b in range(buckets):
                 own = grams[ends[b] : ends[b + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                yield _row(number, b, own.tobytes(), None, None)
+                yield _row(number, b, own.tobytes(), None, mark)
 
     return run
 
 
 def _find_repeats(batches):
     """Per block and bucket a bit for each gram: whether another block has it."""
-    packs = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+    packs = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))]
     grams = []
-    for _, _, p in packs:
+    for _, _, p, _ in packs:
         wide = np.zeros((len(p) // 6, 8), np.uint8)
         wide[:, :6] = np.frombuffer(p, np.uint8).reshape(-1, 6)
         grams.append(wide.view("<u8").ravel())
     every = np.sort(np.concatenate([np.zeros(0, "<u8"), *grams]))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
-    for (block, bucket, _), own in zip(packs, grams):
+    for (block, bucket, _, mark), own in zip(packs, grams):
         at = np.searchsorted(twice, own)
         bits = np.append(twice, 0)[at] == own if len(twice) else np.zeros(len(own), bool)
-        yield _row(block, bucket, np.packbits(bits).tobytes(), np.array([len(own)], "<u4").tobytes(), None)
+        yield _row(block, bucket, np.packbits(bits).tobytes(), np.array([len(own)], "<u4").tobytes(), mark)
 
 
 def _send_texts(batches):
@@ -302,12 +309,13 @@ def _send_contexts(buckets: int):
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         own = rows[0]
         data, cuts = _unpack_texts(own)
+        mark = _digest_of(data, np.diff(cuts))
         data, places, hashes = _block_anchors([data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
         grams, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         bits = [np.unpackbits(np.frombuffer(r["payload"], np.uint8))[: np.frombuffer(r["more"], "<u4")[0]] for r in rows[1:]]
         repeats = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
-        if own["bucket"] != -1 or len(repeats) != len(grams):
-            raise ValueError("a block's grams are incomplete: docs must give the same rows each time it is read")
+        if own["bucket"] != -1 or len(repeats) != len(grams) or any(r["doc_ids"] != [mark] for r in rows[1:]):
+            raise ValueError("a block's grams are not those of its texts: docs must give the same rows each time it is read")
         kept = (repeats | (counts > 1))[inverse]
         at, gram = places[kept], hashes[kept]
         doc = np.searchsorted(cuts, at, side="right") - 1
@@ -327,7 +335,7 @@ def _send_contexts(buckets: int):
         alone = np.zeros(len(at), bool)
         alone[first] = True
         copies = np.flatnonzero(~alone & (left + right >= SPAN))
-        out = [_row(own["block"], -1, squeeze(at[copies] - left[copies]), squeeze(at[copies] + right[copies]), None)]
+        out = [_row(own["block"], -1, squeeze(at[copies] - left[copies]), squeeze(at[copies] + right[copies]), None, [str(mark)])]
         rest = np.sort(first)
         rest = rest[np.argsort(gram[rest], kind="stable")]
         ends = _shares(gram[rest], buckets)
@@ -369,6 +377,9 @@ def _remove(whole_characters: bool):
         rows = sorted(table.to_pylist(), key=lambda r: r["doc_ids"] is None)
         own = rows[0]
         data, cuts = _unpack_texts(own)
+        marks = [r["carried"] for r in rows[1:] if r["carried"] is not None]
+        if own["doc_ids"] is None or marks != [[str(_digest_of(data, np.diff(cuts)))]]:
+            raise ValueError("a block's spans are not those of its texts: docs must give the same rows each time it is read")
         depth = np.zeros(len(data) + 1, np.int32)
         for r in rows[1:]:
             np.add.at(depth, unsqueeze(r["payload"]).astype(np.int64), 1)
@@ -405,7 +416,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
 
     Shuffled are the grams of one anchor in about 25 bytes, compressed texts twice, and contexts of anchors that repeat. A
     block sends each gram and each context once, so a passage in a third of all documents comes once per block and
-    equal contexts. docs must give the same rows each time it is read (a table does).
+    equal contexts. docs must give the same rows each time it is read (a table does); a digest of each block's texts tells if it does not.
 
     Null and empty texts, and those under SPAN bytes, lose nothing; of repeated rows all but the first lose
     everything from SPAN bytes on; an empty table gives no rows. Columns named in carry come along as a JSON
@@ -413,12 +424,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", who
     """
     carried = F.to_json(F.struct(*carry), CARRIED) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"), carried.alias("carried"))
-    buckets, shares = partitions(docs.sparkSession), SHARES * partitions(docs.sparkSession)
+    least, total = partitions(docs.sparkSession), text_bytes(rows)
+    buckets, shares = max(least, -(-total // PER_BUCKET)), max(SHARES * least, -(-total // PER_SHARE))
+    # As many partitions as the data need, where the session's are too few.
+    dealt = lambda df: df.repartition(buckets, "block") if buckets > least else df
     repeats = rows.mapInArrow(_send_grams(buckets), PACKS).repartitionById(buckets, F.col("bucket")).mapInArrow(_find_repeats, PACKS)
     texts = rows.mapInArrow(_send_texts, PACKS)
-    contexts = staged(texts.unionAll(repeats).groupBy("block").applyInArrow(_send_contexts(shares), PACKS), "contexts")
+    contexts = staged(dealt(texts.unionAll(repeats)).groupBy("block").applyInArrow(_send_contexts(shares), PACKS), "contexts")
     sorted_ = contexts.where("bucket >= 0").repartitionById(shares, F.col("bucket")).mapInArrow(_sort_contexts, PACKS)
     spans = contexts.where("bucket < 0").unionAll(sorted_)
-    return texts.unionAll(spans).groupBy("block").applyInArrow(
+    return dealt(texts.unionAll(spans)).groupBy("block").applyInArrow(
         _remove(whole_characters), "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary, carried string"
     )

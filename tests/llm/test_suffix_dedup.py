@@ -2,6 +2,10 @@ import random
 
 import numpy as np
 
+import public_tokenizers as P
+import pytest
+
+from corpuswell.llm import bpe
 from corpuswell.llm import suffix_dedup as sd
 from tests.llm.conftest import key
 
@@ -43,6 +47,21 @@ def test_as_brute_force(spark, tmp_path):
     assert sorted(found(sd.remove_repeats(spark.read.parquet(str(tmp_path / "d"))))) == brute(rows)
 
 
+def test_tasks_follow_the_bytes(spark, odd, monkeypatch):
+    want = sorted(found(sd.remove_repeats(odd)), key=key)
+    monkeypatch.setattr(sd, "PER_BUCKET", 1 << 12)
+    monkeypatch.setattr(sd, "PER_SHARE", 1 << 11)
+    assert sorted(found(sd.remove_repeats(odd)), key=key) == want
+
+
+def test_rows_that_change_between_reads_are_an_error(spark):
+    docs = spark.range(0, 40, 1, 2).mapInPandas(lambda parts: (p.assign(doc_id=p["id"], text=[f"{random.random():.9f} " * 30 for _ in p["id"]])[["doc_id", "text"]] for p in parts), "doc_id long, text string")
+    with pytest.raises(Exception, match="must give the same rows"):
+        sd.remove_repeats(docs).collect()
+    with pytest.raises(Exception, match="must give the same rows"):
+        bpe.encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken")).collect()
+
+
 def test_odd_rows(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     want, got = sorted(brute(rows), key=key), sorted(found(sd.remove_repeats(odd)), key=key)
