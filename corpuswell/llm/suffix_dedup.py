@@ -295,7 +295,7 @@ def _find_repeats(batches):
 def _send_texts(batches):
     """Per block, in the bucket -1, its documents and texts."""
     for number, ids, texts, carried in _blocks(batches):
-        yield _row(number, -1, zstandard.compress(b"".join(texts), 3), squeeze(np.array([len(t) for t in texts])), ids, carried)
+        yield _row(number, -1, zstandard.compress(b"".join(texts), 9), squeeze(np.array([len(t) for t in texts])), ids, carried)
 
 
 def _unpack_texts(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -343,7 +343,7 @@ def _send_contexts(buckets: int):
             pick = rest[ends[b] : ends[b + 1]]
             if len(pick):
                 body = np.concatenate([doc_ids[doc[pick]].astype("<i8").view(np.uint8), at[pick].astype("<i8").view(np.uint8), sized[pick].ravel()])
-                out.append(_row(own["block"], b, zstandard.compress(body.tobytes(), 1), np.array([len(pick)], "<u4").tobytes(), None))
+                out.append(_row(own["block"], b, zstandard.compress(body.tobytes(), 3), np.array([len(pick)], "<u4").tobytes(), None))
         return pa.Table.from_batches(out)
 
     return run
