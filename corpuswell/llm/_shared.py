@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from corpuswell.staging import shared_dir, staged
 
-__all__ = ["digest", "partitions", "shared_dir", "staged", "text_bytes", "whole_text"]
+__all__ = ["dealt_join", "digest", "partitions", "shared_dir", "staged", "text_bytes", "whole_text"]
+
+#: A key that holds more than one in SHARE rows of a join is dealt to several tasks; there are fewer than SHARE such keys.
+SHARE = 1024
 
 
 def partitions(spark: SparkSession) -> int:
@@ -27,6 +30,20 @@ def text_bytes(rows: DataFrame, text: str = "text") -> int:
     return rows.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
+def dealt_join(rows: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with small, which has few rows a key, without a task that gets a hot key whole.
+
+    counts has one row for each key, with how many rows hold it in c; total is the sum of c or more. The rows of a hot key
+    are dealt to pieces by a hash of all their columns, and small's rows are copied to each piece. What is broadcast has
+    fewer than SHARE rows, at every size of the tables. Keys are not null.
+    """
+    hot = counts.where(F.col("c") * SHARE > total).select(*keys, F.ceil(F.col("c") * SHARE / F.lit(max(total, 1))).cast("int").alias("_pieces"))
+    piece = F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), "_pieces").cast("int"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", piece).drop("_pieces")
+    copies = small.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return dealt.join(copies, [*keys, "_piece"], how).drop("_piece")
+
+
 def digest(*parts: bytes) -> int:
     """64 bits that tell whether a block that was made twice has the same rows."""
     h = hashlib.blake2b(digest_size=8)

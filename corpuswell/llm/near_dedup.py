@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuswell.llm._shared import staged, whole_text
+from corpuswell.llm._shared import dealt_join, staged, whole_text
 from corpuswell.llm._textkernels import mix, segment_hashes, space_words
 
 #: Registers of a sketch (a power of two), bits of a register's mantissa, registers of a band.
@@ -208,17 +208,19 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
 
     Large-star and small-star steps alternate until no link changes; each is aggregates and joins on narrow rows,
     written to the shared folder, and their number grows as the logarithm of the longest chain. A node with
-    very many links is pre-aggregated and joined, never collected.
+    very many links is pre-aggregated, and its links are dealt to several tasks.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = staged(edges, "edges")
     before = None
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(small, "u")
+        total = 2 * edges.count()
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c")), "low")
+        large = dealt_join(both.where("v > u"), low.select("u", "m"), ["u"], low, total)
+        large = staged(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "small")
+        kept = dealt_join(large, small.select("u", "m"), ["u"], small, total)
         edges = staged(kept.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(kept.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
@@ -276,8 +278,10 @@ def _regroup(seen: DataFrame) -> DataFrame:
     """(key, node): nodes compared with leader a meet by a shingle that a lacks. Of each node's such shingles the `enough`
     rarest among the leader's company will do: an exact prefix filter, ordered by frequency."""
     extra = seen.repartition("a", "b").select("a", "b", "enough", F.explode("extra").alias("s"))
-    counted = extra.withColumn("f", F.count("*").over(Window.partitionBy("a", "s")))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "s"))
+    counts = staged(extra.groupBy("a", "s").agg(F.count("*").alias("c")).where("c > 1"), "company")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    counted = dealt_join(extra, counts.select("a", "s", F.col("c").alias("f")), ["a", "s"], counts, total, "left")
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("f", F.lit(1)), "s"))
     rarest = counted.withColumn("rank", rank).where("rank <= enough AND f > 1")
     return rarest.select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("node"))
 
@@ -290,7 +294,8 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: tupl
     a leader, the node with most company; a pair of the rest can be linked only if (1) both hold a shingle that the leader
     lacks, so that they meet again by such a shingle, or (2) both share so much with the leader that
     |y| + |z| <= (1 + den/num) min(shared). What meets again is mostly small enough to be joined in one
-    task; else it goes by another leader. So the work follows the members of a group, not its pairs.
+    task; else it goes by another leader. So the work follows the members of a group, not its pairs. Rows of a large group
+    are dealt to several tasks wherever they are joined with what is known of the group.
     """
     num, den = similarity
     groups = staged(sets.select(F.explode("bands").alias("key"), "node"), "bands")
@@ -306,14 +311,18 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: tupl
             n_links, labels = n, staged(components(sets.select("node"), links), "labels")
 
     while True:
-        labelled = groups.join(labels, "node").join(sets.select("node", "n"), "node")
+        labelled = staged(groups.join(labels, "node").join(sets.select("node", "n"), "node"), "labelled")
+        total = labelled.count()
         parts = labelled.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("key")
-        spread = parts.agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+        spread = parts.agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.sum("n").alias("n"), F.count("*").alias("k"), F.max_by("label", F.struct("m", "label")).alias("main"))
         way = F.when(F.col("c") * F.col("c") - F.col("squares") <= 2 * DIRECT * F.col("c"), "pairs").when(F.lit(again) & (F.col("n") <= IN_TASK), "task").otherwise("leader")
-        members = staged(labelled.drop("n").join(spread.select("key", "c", way.alias("way")), "key"), "members")
-        few = members.where("way = 'pairs'").select("key", "node", "label")
-        other = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-        direct = few.join(other, "key").where("node < b AND label <> lb").select(F.col("node").alias("a"), "b")
+        spread = staged(spread.where("k > 1").select("key", "c", "main", way.alias("way")), "spread")
+        members = staged(dealt_join(labelled.drop("n"), spread, ["key"], spread, total), "members")
+        # Pairs of different labels have a member outside the group's largest label; few are, so a large label is not paired with itself.
+        few = members.where("way = 'pairs'").select("key", "node", "label", "main")
+        other = few.where("label <> main").select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
+        met = dealt_join(few, other, ["key"], spread.where("way = 'pairs'"), total)
+        direct = met.where("label <> lb AND (label = main OR node < b)").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
         found = [verified(plausible(direct.distinct(), sets, similarity), texts, size, similarity)]
         if again:
             bounded = members.where("way = 'task'").select("key", "node", "label").join(texts, "node")
@@ -322,7 +331,7 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: tupl
         company = many.groupBy("node").agg(F.sum("c").alias("company"))
         ranked = many.join(company, "node").select("key", "node", F.struct("company", (-F.col("node")).alias("k")).alias("r"))
         leaders = ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", (-F.col("r.k")).alias("a"))
-        star = many.join(leaders, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        star = dealt_join(many.select("key", "node"), leaders, ["key"], spread.where("way = 'leader'"), total).where("node <> a").select("a", F.col("node").alias("b")).distinct()
         seen = staged(compared(star, texts, size, similarity), "stars")
         joined(*found, seen.where("linked").select("a", "b"))
         if seen.isEmpty():

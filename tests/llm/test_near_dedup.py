@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from corpuswell.llm import near_dedup as nd
+from corpuswell.llm._shared import dealt_join
 
 
 def sets_of(rows, size):
@@ -83,3 +84,14 @@ def test_estimates_and_registers():
         regs = nd.registers([np.unique(a), np.unique(b)])
         assert abs(nd.estimate(regs[:1], regs[1:], np.array([3000.0]), np.array([3000.0]))[0] - share) < 0.2
     assert len(set(nd.band_keys(nd.registers([np.array([5], np.uint64)]))[0].tolist())) == nd.BANDS
+
+
+def test_hot_keys_are_dealt_and_join_alike(spark):
+    rows = spark.range(4000).selectExpr("id AS node", "if(id < 3000, 0, id % 700) AS key")
+    counts = rows.groupBy("key").count().withColumnRenamed("count", "c")
+    small = rows.select("key").distinct().where("key % 2 = 0").selectExpr("key", "key * 3 AS told")
+    small = small.unionAll(small.selectExpr("key", "told + 1"))
+    for how in ("inner", "left"):
+        dealt = dealt_join(rows, small, ["key"], counts, 4000, how)
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, rows.join(small, "key", how).collect()))
+    assert dealt_join(rows.limit(0), small, ["key"], counts.limit(0), 0).collect() == []
