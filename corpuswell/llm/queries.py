@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswell.llm import bpe, chat, license_scan, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, topk
+from corpuswell.llm import bpe, chat, chat_repair, hard_negatives, license_scan, lm_score, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, topk
 from corpuswell.llm._shared import whole_text
 
 
@@ -87,6 +87,22 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.katz_scores(_table(spark, sf_dir, "documents"))[0]
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = hard_negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return chat_repair.repair_conversations(chat_repair.damaged(turns), turns)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -98,6 +114,9 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_mixing": op9_mixing,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
