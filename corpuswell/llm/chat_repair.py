@@ -257,8 +257,11 @@ def damaged(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(F.col("d") == 3, 2).otherwise(1))).alias("_copy")).drop("_copy")
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["conv_id"].eqNullSafe(b["conv_id"])
+def _joined(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which conv_id may be null; the columns of rows and, of other, those that are no keys."""
+    renamed = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(renamed, on, how).drop(*[f"_{k}" for k in keys])
 
 
 def repair_conversations(turns: DataFrame, every: DataFrame | None = None) -> DataFrame:
@@ -283,22 +286,22 @@ def repair_conversations(turns: DataFrame, every: DataFrame | None = None) -> Da
     order = ["conv_id", "turn", "role", "text", "salt"]
     pieces = staged(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order[:4]).drop("salt").mapInArrow(_pieces, PIECES), "pieces")
     several = staged(pieces.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select("conv_id"), "several")
-    done = pieces.join(several, _same(pieces, several), "left_anti").mapInArrow(_repair, REPAIRED)
-    long = pieces.join(several, _same(pieces, several), "left_semi")
+    done = _joined(pieces, several, ["conv_id"], "left_anti").mapInArrow(_repair, REPAIRED)
+    long, piece = _joined(pieces, several, ["conv_id"], "left_semi"), ["conv_id", "piece"]
     turn = F.posexplode(F.arrays_zip("roles", "texts"))
     key = [F.xxhash64(F.lit(s), "t.roles", "t.texts").alias(f"h{s}") for s in (1, 2)]
-    held = staged(long.select("conv_id", "piece", turn.alias("k", "t")).select("conv_id", "piece", "k", *key).groupBy("conv_id", "piece", "h1", "h2").agg(F.min("k").alias("k")), "held")
+    held = staged(long.select(*piece, turn.alias("k", "t")).select(*piece, "k", *key).groupBy(*piece, "h1", "h2").agg(F.min("k").alias("k")), "held")
     first = held.groupBy("conv_id", "h1", "h2").agg(F.min("piece").alias("first"))
-    later = held.join(first, _same(held, first) & (held["h1"] == first["h1"]) & (held["h2"] == first["h2"])).where("piece > first")
-    seen = later.select(held["conv_id"], "piece", "k").groupBy("conv_id", "piece").agg(F.collect_list("k").alias("seen"))  # SPAN turns at most
-    known = long.join(seen, _same(long, seen) & (long["piece"] == seen["piece"]), "left").select(long["conv_id"], long["piece"], "turns", "roles", "texts", "seen")
-    in_order = lambda df: df.repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "piece")
+    later = _joined(held, first, ["conv_id", "h1", "h2"]).where("piece > first")
+    seen = later.groupBy(*piece).agg(F.collect_list("k").alias("seen"))  # SPAN turns at most
+    known = _joined(long, seen, piece, "left").select(*piece, "turns", "roles", "texts", "seen")
+    in_order = lambda df: df.repartition(partitions(spark), "conv_id").sortWithinPartitions(*piece)
     folded = staged(in_order(known.mapInArrow(_step, STEP)).mapInArrow(_fold, FOLDED), "edits")
-    edits = folded.where("piece IS NOT NULL").select("conv_id", "piece", "edits", "before", "system")
-    edited = long.join(edits, _same(long, edits) & (long["piece"] == edits["piece"])).select(long["conv_id"], long["piece"], "roles", "texts", "edits", "before", "system")
+    edits = folded.where("piece IS NOT NULL").select(*piece, "edits", "before", "system")
+    edited = _joined(long, edits, piece).select(*piece, "roles", "texts", "edits", "before", "system")
     hashes = in_order(edited).mapInArrow(_hash, "conv_id long, repaired_sha256 string")
-    whole = folded.where("piece IS NULL")
-    done = done.unionByName(whole.join(hashes, _same(whole, hashes)).select(whole["conv_id"], *COUNTS, F.col("edits").alias("audit"), "repaired_sha256"))
+    whole = folded.where("piece IS NULL").select("conv_id", *COUNTS, F.col("edits").alias("audit"))
+    done = done.unionByName(_joined(whole, hashes, ["conv_id"]))
     every = (turns if every is None else every).select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     filled = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTS]
-    return every.join(done, _same(every, done), "left").select(every["conv_id"], *filled, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+    return _joined(every, done, ["conv_id"], "left").select("conv_id", *filled, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
