@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuswell.llm._shared import dealt_join, staged, whole_text
+from corpuswell.llm._shared import dealt_join, partitions, staged, whole_text
 from corpuswell.llm._textkernels import mix, segment_hashes, space_words
 
 #: Registers of a sketch (a power of two), bits of a register's mantissa, registers of a band.
@@ -231,6 +231,8 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
     return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("label"))
 
 
+#: Where the stand-ins of null ids begin.
+STAND_INS = 1 << 62
 #: A group is compared pair by pair if that makes no more than this many pairs a member.
 DIRECT = 16
 #: A group of up to this many shingles in all its sets is joined in one task.
@@ -345,12 +347,19 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: tupl
 
 
 def document_node(key: str = "doc_id", text: str = "text") -> Column:
-    """What identifies a document: its doc_id, or a stand-in above all doc_ids, from the text, where that is null."""
-    return F.coalesce(F.col(key).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(whole_text(text)), 2))
+    """What identifies a document: its doc_id, or a stand-in from the text, at STAND_INS or above, where that is null."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(STAND_INS) + F.shiftrightunsigned(F.xxhash64(whole_text(text)), 2))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """id, number of the distinct ids of rows (id), which are not null: numbers below STAND_INS in the order of the ids."""
+    ids = rows.select("id").distinct()
+    # Partitions of a range come in order, and so do the rows that are sorted in each.
+    return staged(ids.repartitionByRange(partitions(rows.sparkSession), "id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id()), "numbers")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles (size of its shingle set), component_id, kept and node (document_node).
+    """Per row of docs: doc_id, n_shingles (size of its shingle set), component_id, kept and node (document_node, or a number in the order of the doc_ids).
 
     Two documents are linked if their sets of `size`-word shingles reach the Jaccard similarity; component_id is the smallest
     doc_id that links reach, and kept marks the rows with doc_id = component_id. Equal sets are one node from the
@@ -358,9 +367,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
 
     Null and empty texts have no shingles and no links. Rows of equal doc_id count as one document. Null doc_ids
     take part and come last: their component_id is null if only such are linked, and kept is false then unless
-    the row is alone. Repeated rows give a row each; an empty table gives none; other columns are not read.
+    the row is alone. doc_ids may be any long: where some are at STAND_INS or above and others null, nodes are
+    numbers in the order of the ids. Repeated rows give a row each; an empty table gives none; other columns are not read.
     """
-    rows = docs.select(document_node(key, text).alias("node"), whole_text(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), document_node(key, text).alias("node"), whole_text(text).alias("text"))
+    about = rows.agg(F.max("id").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    numbers = None
+    if about["nulls"] and (about["most"] or 0) >= STAND_INS:
+        numbers = numbered(rows.where("id IS NOT NULL"))
+        rows = rows.join(numbers, "id", "left").select("id", F.coalesce("number", "node").alias("node"), "text")
+    rows = rows.drop("id")
     every = staged(sketches(rows, size), "sketches")
     sets = every.where("n > 0").groupBy("digest").agg(F.min("node").alias("own"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
     sets = staged(sets.withColumnRenamed("own", "node"), "sets")
@@ -372,7 +388,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     by_set = sets.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     marked = every.select("node", "n", "digest").join(by_set, "digest", "left")
     component = F.coalesce("label", "node")
-    real = lambda c: F.when(c < F.lit(1 << 62), c)
-    return marked.select(
-        real(F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("node") == component).alias("kept"), "node"
-    )
+    kept = marked.select("node", F.col("n").alias("n_shingles"), component.alias("component"), (F.col("node") == component).alias("kept"))
+    if numbers is not None:
+        named = lambda c: numbers.select(F.col("number").alias(c), F.col("id").alias(f"{c}_id"))
+        both = kept.join(named("node"), "node", "left").join(named("component"), "component", "left")
+        return both.select(F.col("node_id").alias("doc_id"), "n_shingles", F.col("component_id"), "kept", "node")
+    real = lambda c: F.when(F.col(c) < STAND_INS, F.col(c)) if about["nulls"] else F.col(c)
+    return kept.select(real("node").alias("doc_id"), "n_shingles", real("component").alias("component_id"), "kept", "node")

@@ -95,3 +95,14 @@ def test_hot_keys_are_dealt_and_join_alike(spark):
         dealt = dealt_join(rows, small, ["key"], counts, 4000, how)
         assert sorted(map(str, dealt.collect())) == sorted(map(str, rows.join(small, "key", how).collect()))
     assert dealt_join(rows.limit(0), small, ["key"], counts.limit(0), 0).collect() == []
+
+
+def test_ids_of_the_whole_range_of_longs(spark):
+    texts = family(8, 6, 60, 2)
+    ids = [1, (1 << 62) + 5, (1 << 62) + 9, -(1 << 63), (1 << 63) - 1, (1 << 62) + 5]
+    none_last = lambda t: tuple((v is None, v) for v in t)
+    for extra in ([], [(None, texts[3]), (None, "alone and without an id at all"), (None, texts[4])]):
+        rows = [*zip(ids, [texts[0], "another text with words", texts[1], "a third one stands here", texts[2], "another text with words"]), *extra]
+        got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (70, 100)).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=none_last) == sorted(brute(rows, 3, 70, 100), key=none_last)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
