@@ -12,8 +12,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Measures of a document that have an adaptive upper fence. Rates count per word.
 MEASURES = ["symbol_rate", "dup_line_rate", "word_length"]
 
-#: Rows that a group's parent counts as when the fence of a group is drawn towards that of its parent.
-PARENT_ROWS = 20
+#: Rows from which on a group has a fence of its own; the fence of a smaller one is drawn towards that of its parent.
+OWN_ROWS = 50
 
 #: By how much of a fence an estimate may be above it, as equal figures differ by rounding.
 ROUNDING = 1e-9
@@ -62,31 +62,32 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _bounds(measured: DataFrame) -> tuple[dict[str, Column], dict[str, Column]]:
-    """(upper, lower) estimates of each measure: a count plus one and less one, as a text shows its rate no finer than that."""
+    """(upper, lower) estimates of each measure: a text shows a rate no finer than one occurrence more or less, and its words'
+    mean length no finer than by one in the root of their number."""
     words, some = F.col("n_words"), F.greatest("n_words", F.lit(1))
-    length = F.col("word_chars") / some
+    length, error = F.col("word_chars") / some, 1 / F.sqrt(some)
     counts = {"symbol_rate": F.col("n_symbols"), "dup_line_rate": F.col("n_dup_lines")}
-    upper = {m: (c + 1) / (words + 1) for m, c in counts.items()} | {"word_length": length}
-    lower = {m: (c - 1) / some for m, c in counts.items()} | {"word_length": length}
+    upper = {m: (c + 1) / (words + 1) for m, c in counts.items()} | {"word_length": length * (1 + error)}
+    lower = {m: (c - 1) / some for m, c in counts.items()} | {"word_length": length * (1 - error)}
     return upper, lower
 
 
-def adaptive_fences(measured: DataFrame, by: list[str], spread: float = 6.0, accuracy: int = 10_000) -> DataFrame:
+def adaptive_fences(measured: DataFrame, by: list[str], spread: float = 8.0, accuracy: int = 10_000) -> DataFrame:
     """Per group of `by` an upper fence for each measure, max_ and its name.
 
-    Groups nest: leaving out the last names of `by` one after the other gives their parents, the outermost being all rows. A
-    level's fence is the upper quartile of the upper estimates plus `spread` interquartile ranges, drawn towards the parent's as a
-    geometric mean: the group counts with its rows, the parent with PARENT_ROWS. The tightest fence of a group and its parents holds, so
-    that neither a small group nor one that is mostly junk lets its worst rows pass. No width is fixed: where
-    most texts have no symbol at all, quartiles still tell how finely texts of such lengths show a rate.
+    Groups nest: leaving out the last names of `by` one after the other gives their parents, the outermost being all rows. The
+    fence of a level is the median of the upper estimates plus `spread` times its distance from the lowest tenth. Only the lower half decides, so
+    that up to half of a group may be junk without moving its fence. From OWN_ROWS rows on it is the group's alone, however much noisier the group
+    is than the corpus; a smaller group's is the geometric mean of its own and its parent's, the own weighing as its rows to OWN_ROWS. No width is
+    fixed: where most texts have no symbol at all, quantiles still tell how finely texts of such lengths show a rate.
 
-    Quartiles come from Greenwald-Khanna sketches, which Spark merges from map-side parts: a group with a third of
+    Quantiles come from Greenwald-Khanna sketches, which Spark merges from map-side parts: a group with a third of
     all rows costs no more than another.
     """
     upper = measured.select(*by, *[c.alias(m) for m, c in _bounds(measured)[0].items()])
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in MEASURES]
+    quantiles = [F.percentile_approx(m, [0.1, 0.5], accuracy).alias(m) for m in MEASURES]
     own = [(F.col(m)[1] + (F.col(m)[1] - F.col(m)[0]) * spread).alias(m) for m in MEASURES]
-    levels = staged(upper.rollup(*by).agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quartiles).select(*by, "_level", "_n", *own), "fences")
+    levels = staged(upper.rollup(*by).agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quantiles).select(*by, "_level", "_n", *own), "fences")
     found = None
     for depth in range(len(by) + 1):
         level = levels.where(F.col("_level") == 2 ** (len(by) - depth) - 1).select(*by[:depth], "_n", *MEASURES)
@@ -95,13 +96,13 @@ def adaptive_fences(measured: DataFrame, by: list[str], spread: float = 6.0, acc
             continue
         parent = found.select(*[F.col(c).alias(f"_p{c}") for c in by[: depth - 1]], *[F.col(f"max_{m}").alias(f"_p{m}") for m in MEASURES])
         same = [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in by[: depth - 1]] or F.lit(True)
-        weight = F.col("_n") / (F.col("_n") + PARENT_ROWS)
+        weight = F.least(F.lit(1.0), F.col("_n") / OWN_ROWS)
         drawn = lambda m: F.pow(m, weight) * F.pow(f"_p{m}", 1 - weight)
-        found = level.join(parent, same).select(*by[:depth], *[F.least(drawn(m), f"_p{m}").alias(f"max_{m}") for m in MEASURES])
+        found = level.join(parent, same).select(*by[:depth], *[drawn(m).alias(f"max_{m}") for m in MEASURES])
     return found
 
 
-def judge_quality(docs: DataFrame, by: list[str] = ["lang", "source"], text: str = "text", spread: float = 6.0, carry: list[str] | None = None) -> DataFrame:  # noqa: B006
+def judge_quality(docs: DataFrame, by: list[str] = ["lang", "source"], text: str = "text", spread: float = 8.0, carry: list[str] | None = None) -> DataFrame:  # noqa: B006
     """Every row of docs with its measures, base_failed, failed_by (names of the failed rules) and kept.
 
     A document is kept if it passes the base rules (10 words or more; no more than a fifth of the words

@@ -153,24 +153,23 @@ ORACLE = {
             coalesce(n, 0)::BIGINT AS n_repeat_words
           FROM w LEFT JOIN cov USING (rid)),
         r AS (
-          SELECT *, (n_symbols + 1) / (n_words + 1) AS sr, (n_dup_lines + 1) / (n_words + 1) AS dr, word_chars / greatest(n_words, 1) AS wl FROM m),
+          SELECT *, (n_symbols + 1) / (n_words + 1) AS sr, (n_dup_lines + 1) / (n_words + 1) AS dr,
+            word_chars / greatest(n_words, 1) * (1 + 1 / sqrt(greatest(n_words, 1))) AS wl, word_chars / greatest(n_words, 1) * (1 - 1 / sqrt(greatest(n_words, 1))) AS low_wl FROM m),
         q AS (
           SELECT lang, source, grouping(lang) + grouping(source) AS level, count(*) AS n,
             list(sr ORDER BY sr) AS s, list(dr ORDER BY dr) AS d, list(wl ORDER BY wl) AS w
           FROM r GROUP BY ROLLUP (lang, source)),
         f AS (
-          SELECT lang, source, level, n, s[hi] + 6 * (s[hi] - s[lo]) AS s, d[hi] + 6 * (d[hi] - d[lo]) AS d, w[hi] + 6 * (w[hi] - w[lo]) AS w
-          FROM (SELECT *, ceil(0.25 * n)::BIGINT AS lo, ceil(0.75 * n)::BIGINT AS hi FROM q)),
+          SELECT lang, source, level, least(1.0, n / 50) AS n, s[hi] + 8 * (s[hi] - s[lo]) AS s, d[hi] + 8 * (d[hi] - d[lo]) AS d, w[hi] + 8 * (w[hi] - w[lo]) AS w
+          FROM (SELECT *, ceil(0.1 * n)::BIGINT AS lo, ceil(0.5 * n)::BIGINT AS hi FROM q)),
         f1 AS (
-          SELECT c.lang, least(pow(c.s, c.n / (c.n + 20)) * pow(p.s, 20 / (c.n + 20)), p.s) AS s, least(pow(c.d, c.n / (c.n + 20)) * pow(p.d, 20 / (c.n + 20)), p.d) AS d,
-            least(pow(c.w, c.n / (c.n + 20)) * pow(p.w, 20 / (c.n + 20)), p.w) AS w
+          SELECT c.lang, pow(c.s, c.n) * pow(p.s, 1 - c.n) AS s, pow(c.d, c.n) * pow(p.d, 1 - c.n) AS d, pow(c.w, c.n) * pow(p.w, 1 - c.n) AS w
           FROM f c, f p WHERE c.level = 1 AND p.level = 2),
         f0 AS (
-          SELECT c.lang, c.source, least(pow(c.s, c.n / (c.n + 20)) * pow(p.s, 20 / (c.n + 20)), p.s) AS s, least(pow(c.d, c.n / (c.n + 20)) * pow(p.d, 20 / (c.n + 20)), p.d) AS d,
-            least(pow(c.w, c.n / (c.n + 20)) * pow(p.w, 20 / (c.n + 20)), p.w) AS w
+          SELECT c.lang, c.source, pow(c.s, c.n) * pow(p.s, 1 - c.n) AS s, pow(c.d, c.n) * pow(p.d, 1 - c.n) AS d, pow(c.w, c.n) * pow(p.w, 1 - c.n) AS w
           FROM f c JOIN f1 p ON c.lang IS NOT DISTINCT FROM p.lang WHERE c.level = 0)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed,
-          NOT bad AND (n_symbols - 1) / greatest(n_words, 1) <= s * (1 + 1e-9) AND (n_dup_lines - 1) / greatest(n_words, 1) <= d * (1 + 1e-9) AND wl <= w * (1 + 1e-9) AS kept
+          NOT bad AND (n_symbols - 1) / greatest(n_words, 1) <= s * (1 + 1e-9) AND (n_dup_lines - 1) / greatest(n_words, 1) <= d * (1 + 1e-9) AND low_wl <= w * (1 + 1e-9) AS kept
         FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS bad FROM r) r
         JOIN f0 ON r.lang IS NOT DISTINCT FROM f0.lang AND r.source IS NOT DISTINCT FROM f0.source""",
     "op8_exact_topk": r"""

@@ -34,12 +34,12 @@ def test_measures_and_base_rule(spark, odd, none):
     assert quality.judge_quality(none).collect() == []
 
 
-def plain_fences(rows, spread=6, parent_rows=20):
+def plain_fences(rows, spread=8, own_rows=50):
     """(lang, source) -> fences, from rows (lang, source, upper estimates)."""
 
     def own(values):
         v = sorted(values)
-        lo, hi = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+        lo, hi = v[-(-len(v) // 10) - 1], v[-(-len(v) // 2) - 1]
         return hi + spread * (hi - lo)
 
     out = {}
@@ -47,14 +47,15 @@ def plain_fences(rows, spread=6, parent_rows=20):
         nested = [rows, [r for r in rows if r[0] == lang], [r for r in rows if r[:2] == (lang, source)]]
         fences = [own(r[2 + k] for r in rows) for k in range(3)]
         for level in nested[1:]:
-            n = len(level)
-            fences = [min((own(r[2 + k] for r in level) ** n * f**parent_rows) ** (1 / (n + parent_rows)), f) for k, f in enumerate(fences)]
+            weight = min(1, len(level) / own_rows)
+            fences = [own(r[2 + k] for r in level) ** weight * f ** (1 - weight) for k, f in enumerate(fences)]
         out[lang, source] = fences
     return out
 
 
 def upper_estimates(r):
-    return (r.n_symbols + 1) / (r.n_words + 1), (r.n_dup_lines + 1) / (r.n_words + 1), r.word_chars / max(r.n_words, 1)
+    some = max(r.n_words, 1)
+    return (r.n_symbols + 1) / (r.n_words + 1), (r.n_dup_lines + 1) / (r.n_words + 1), r.word_chars / some * (1 + some**-0.5)
 
 
 def noisy_docs(spark, symbols=1, length=1):
@@ -101,6 +102,19 @@ def test_fences_reject_what_small_and_bad_groups_hide(spark):
     assert len(kept) == docs.count() and {k for k, v in kept.items() if not v} == junk
 
 
+def test_minority_groups_keep_their_own_texts(spark):
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choices("abcdefghij", k=rng.randint(a, b)))
+    prose = lambda n, a, b: [word(a, b) for _ in range(n)]
+    rows = [("en", "web", " ".join(prose(rng.randint(30, 80), 2, 8))) for _ in range(900)]
+    rows += [("zh", "web", " ".join(prose(rng.randint(30, 80), 20, 40))) for _ in range(100)]
+    rows += [("en", "code", " ".join(w for x in prose(rng.randint(30, 80), 2, 8) for w in (x, "#" * rng.randint(0, 2)) if w)) for _ in range(100)]
+    junk = [("en", "web", " ".join(prose(40, 2, 8) + ["# | $"] * 40)), ("zh", "web", " ".join(prose(40, 20, 40) + ["# | $"] * 40)), ("zh", "web", " ".join(prose(40, 300, 400))), ("en", "code", " ".join(["w ####### %%%%%%%%"] * 3 + prose(20, 2, 8)))]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows + junk)], "doc_id long, lang string, source string, text string")
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(docs).collect()}
+    assert {k for k, v in kept.items() if not v} == set(range(1100, 1104))
+
+
 def test_pipeline_rejects_labelled_junk(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL")
