@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import words
+from corpuswell.operators.postings import bm25
 from corpuswell.operators.vectors import cosine_scores
+from corpuswell.staging import staged
 
-#: Distinct query words that are broadcast at most.
-BROADCAST_TERMS = 500_000
+__all__ = ["bm25", "distinct_sources", "expand_neighbours", "hybrid", "latest_wins", "min_max", "mmr", "pool_size", "ranked", "rerank", "word_overlap"]
 
 
 def ranked(scores: DataFrame, k: Column | int, item: str = "vec_id") -> DataFrame:
@@ -23,47 +24,28 @@ def ranked(scores: DataFrame, k: Column | int, item: str = "vec_id") -> DataFram
     return scores.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def _scaled(score: str, low: str, high: str) -> Column:
+    """A score scaled to 0 to 1 between its bounds; 1 where those are equal."""
+    span = F.col(high) - F.col(low)
+    return F.when(span < 1e-12, F.lit(1.0)).otherwise((F.col(score) - F.col(low)) / (span + 1e-12))
+
+
 def min_max(scores: DataFrame) -> DataFrame:
     """score of each query scaled to 0 to 1; 1 throughout where all are equal. The bounds are aggregates, joined back."""
+    scores = staged(scores, "scores")
     bounds = scores.groupBy("query_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    scaled = F.when(span < 1e-12, F.lit(1.0)).otherwise((F.col("score") - F.col("_lo")) / (span + 1e-12))
-    return scores.join(bounds, "query_id").withColumn("score", scaled).drop("_lo", "_hi")
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """query_id, doc_id, score of documents that share a word with a query (others score 0).
-
-    queries: query_id, text; docs: doc_id, text. Okapi weights; a negative idf becomes epsilon times the mean idf of
-    the vocabulary; words that a query repeats count as often. One pass over the texts counts in how many each word stands; a
-    second counts the words of queries, which are broadcast up to BROADCAST_TERMS, by count, and else joined.
-    """
-    listed = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    total = docs.agg(F.count("*").alias("n"))
-    lengths = listed.agg(F.sum(F.size("words")).alias("words"))
-    corpus = total.crossJoin(lengths).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row each
-    df = listed.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
-    idf = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    own = asked.select("term").distinct().withColumn("_asked", F.lit(True))
-    few = own.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hint = F.broadcast if few else (lambda x: x)
-    # Of the vocabulary only its mean and the words of queries are needed: one row, and a row for each such word.
-    part = idf.join(hint(own), "term", "left").groupBy(F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("raw").alias("raw"), F.count("*").alias("c"), F.first("avgdl").alias("avgdl"))
-    means = part.agg((F.sum("raw") / F.sum("c")).alias("mean"))
-    weights = part.where("term IS NOT NULL").crossJoin(F.broadcast(means)).select("term", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    found = listed.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(hint(own.select("term")), "term")
-    postings = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    share = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(hint(asked.join(weights, "term")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(share), 9).alias("score"))
+    return scores.join(bounds, "query_id").withColumn("score", _scaled("score", "_lo", "_hi")).drop("_lo", "_hi")
 
 
 def hybrid(dense: DataFrame, lexical: DataFrame, weight: float = S.hybrid_weight, item: str = "doc_id") -> DataFrame:
-    """Weighted sum of both scores, each scaled per query. dense has all items of a query; missing lexical scores are 0."""
-    both = dense.select("query_id", item, F.col("score").alias("_d")).join(lexical.select("query_id", item, F.col("score").alias("_l")), ["query_id", item], "left")
-    d = min_max(both.select("query_id", item, F.col("_d").alias("score"))).withColumnRenamed("score", "_d")
-    x = min_max(both.select("query_id", item, F.coalesce("_l", F.lit(0.0)).alias("score"))).withColumnRenamed("score", "_l")
-    return d.join(x, ["query_id", item]).select("query_id", item, F.round(weight * F.col("_d") + (1 - weight) * F.col("_l"), 9).alias("score"))
+    """Weighted sum of both scores, each scaled per query. dense has all items of a query; missing lexical scores are 0. The
+    scores are staged once, and one aggregate gives the bounds of both."""
+    lexical = lexical.select("query_id", item, F.col("score").alias("_l"))
+    both = dense.select("query_id", item, F.col("score").alias("_d")).join(lexical, ["query_id", item], "left")
+    both = staged(both.withColumn("_l", F.coalesce("_l", F.lit(0.0))), "both")
+    bounds = both.groupBy("query_id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("_d", "_l") for f in (F.min, F.max)])
+    fused = weight * _scaled("_d", "_d_min", "_d_max") + (1 - weight) * _scaled("_l", "_l_min", "_l_max")
+    return both.join(bounds, "query_id").select("query_id", item, F.round(fused, 9).alias("score"))
 
 
 def _greedy(k: int, weight: float, pool: int):

@@ -175,7 +175,7 @@ def mmr_topk(spark, sf):
 
 
 def bm25_scores(spark, sf):
-    top = ranking.ranked(ranking.bm25(_items(spark, sf), _docs(spark, sf).select("doc_id", "text")), S.top_k, "doc_id")
+    top = ranking.ranked(ranking.bm25(_items(spark, sf), _docs(spark, sf).select("doc_id", "text"), S.top_k), S.top_k, "doc_id")
     return top.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -283,20 +283,21 @@ def rerank_pool(spark, sf):
 
 def rerank_topk(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "text")
-    found = ranking.rerank(ranking.bm25(_items(spark, sf), docs), _items(spark, sf), docs)
+    found = ranking.rerank(ranking.bm25(_items(spark, sf), docs, S.pool_most), _items(spark, sf), docs)
     return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _chunk_hits(spark, sf):
-    chunks = chunkers.index_chunks(_docs(spark, sf), "FIXED_WINDOW_OVERLAP").select("doc_id", "position", "section", "chunk_id", "chunk_text")
-    scores = ranking.bm25(_items(spark, sf), chunks.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text")))
-    top = ranking.ranked(scores, S.top_k, "doc_id").select("query_id", "rank", F.col("doc_id").alias("chunk_id"))
+    """(the best chunks of each item, all chunks). Chunks are made and staged once; searches read their texts, and what follows looks hits up by key."""
+    chunks = staged(chunkers.index_chunks(_docs(spark, sf), "FIXED_WINDOW_OVERLAP").select("doc_id", "position", "section", "chunk_id", "chunk_text"), "chunks")
+    scores = ranking.bm25(_items(spark, sf), chunks.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text")), S.top_k)
+    top = staged(ranking.ranked(scores, S.top_k, "doc_id").select("query_id", "rank", F.col("doc_id").alias("chunk_id")), "hits")
     return top.join(chunks.select("chunk_id", "doc_id", "position"), "chunk_id"), chunks
 
 
 def neighbor_expand(spark, sf):
     hits, chunks = _chunk_hits(spark, sf)
-    return ranking.expand_neighbours(hits.select("query_id", "rank", "doc_id", "position"), chunks).select("query_id", "rank", "doc_id", "position")
+    return ranking.expand_neighbours(hits.select("query_id", "rank", "doc_id", "position"), chunks.select("doc_id", "position")).select("query_id", "rank", "doc_id", "position")
 
 
 def distinct_sources(spark, sf):
