@@ -15,7 +15,7 @@ from corpuswell.llm._shared import digest, partitions, staged, text_bytes, whole
 from corpuswell.llm._textkernels import mix, segment_hashes, space_words
 
 #: Bytes of text of a block, and bytes of text for each share of the n-grams where partitions of a shuffle would get more.
-BLOCK, PER_SHARE = 12 << 20, 32 << 20
+BLOCK, PER_SHARE = 6 << 20, 32 << 20
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 _U = np.uint64

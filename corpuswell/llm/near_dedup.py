@@ -276,16 +276,44 @@ def _join_group(size: int, num: int, den: int):
     return run
 
 
+def _meet(table: pa.Table) -> pa.Table:
+    """(key, node) of one leader's company: see _regroup. Pairs that are both linked with the leader are connected already, so a shingle counts only if
+    one of those that hold it is not."""
+    linked, extra = table["linked"].to_numpy(), table["extra"].combine_chunks()
+    sizes = np.diff(extra.offsets.to_numpy())
+    owner, s = np.repeat(np.arange(len(sizes)), sizes), extra.flatten().to_numpy()
+    nothing = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], ["key", "node"])
+    if linked.all() or not len(s):
+        return nothing
+    _, code, count = np.unique(s, return_inverse=True, return_counts=True)
+    order = np.lexsort((s, count[code], owner))
+    first = np.append(0, np.cumsum(sizes))[:-1]
+    rank = np.arange(len(s)) - np.repeat(first, sizes)
+    order = order[(rank < np.repeat(table["enough"].to_numpy(), sizes)) & (count[code[order]] > 1)]
+    held = np.bincount(code[order], minlength=len(count))
+    free = np.bincount(code[order], weights=~linked[owner[order]], minlength=len(count))
+    order = order[(held[code[order]] > 1) & (free[code[order]] > 0)]
+    key = mix(s[order].view(_U) + mix(table["a"].to_numpy()[:1].view(_U)))
+    return pa.table([pa.array(key.view(np.int64)), table["b"].combine_chunks().take(pa.array(owner[order]))], ["key", "node"])
+
+
 def _regroup(seen: DataFrame) -> DataFrame:
     """(key, node): nodes compared with leader a meet by a shingle that a lacks. Of each node's such shingles the `enough`
-    rarest among the leader's company will do: an exact prefix filter, ordered by frequency."""
-    extra = seen.repartition("a", "b").select("a", "b", "enough", F.explode("extra").alias("s"))
+    rarest among the leader's company will do: an exact prefix filter, ordered by frequency. Company with up to IN_TASK such shingles meets
+    in one task; of larger company each shingle is a row."""
+    sizes = staged(seen.groupBy("a").agg(F.sum(F.size("extra").cast("long")).alias("n")), "company-sizes")
+    large = sizes.where(F.col("n") > IN_TASK).select("a")
+    columns = seen.select("a", "b", "linked", "enough", "extra")
+    if large.isEmpty():
+        return columns.groupBy("a").applyInArrow(_meet, "key long, node long")
+    met = columns.join(large, "a", "left_anti").groupBy("a").applyInArrow(_meet, "key long, node long")
+    extra = columns.join(large, "a", "left_semi").repartition("a", "b").select("a", "b", "enough", F.explode("extra").alias("s"))
     counts = staged(extra.groupBy("a", "s").agg(F.count("*").alias("c")).where("c > 1"), "company")
     total = counts.agg(F.sum("c")).first()[0] or 0
     counted = dealt_join(extra, counts.select("a", "s", F.col("c").alias("f")), ["a", "s"], counts, total, "left")
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("f", F.lit(1)), "s"))
     rarest = counted.withColumn("rank", rank).where("rank <= enough AND f > 1")
-    return rarest.select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("node"))
+    return met.unionAll(rarest.select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("node")))
 
 
 def similar_links(sets: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
