@@ -266,6 +266,7 @@ def test_manifest_and_dataset(spark, tmp_path):
 
 
 def test_index_and_stream(spark, tmp_path):
+    from corpuswell.sources.versions import VersionedIndex
     from corpuswell.streaming.ingest import ingest_stream
 
     head = "h" * 50
@@ -281,7 +282,7 @@ def test_index_and_stream(spark, tmp_path):
         spark.createDataFrame([(k, text), (7, f"{text} again")], schema).write.mode("append").json(str(tmp_path / "in"))
         docs = spark.readStream.schema(schema).json(str(tmp_path / "in"))
         ingest_stream(docs, "FIXED_WINDOW_OVERLAP", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
-    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out/version=1")).collect()) == [0, 1, 7, 7]
+    assert sorted(r.doc_id for r in VersionedIndex(spark, str(tmp_path / "out")).snapshot().collect()) == [0, 1, 7, 7]
 
 
 def test_service(spark):
