@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuswell.config import SETTINGS as S
 from corpuswell.config import STRATEGIES
 from corpuswell.functions import text as T
-from corpuswell.operators import chunkers, metrics, prompting, ranking, stats, structure, tokens, vectors
+from corpuswell.operators import chunkers, containment, metrics, prompting, ranking, stats, structure, tokens, vectors
 from corpuswell.plans import experiments, reporting
 from corpuswell.sources import index
 from corpuswell.staging import staged
@@ -191,9 +191,8 @@ def hybrid_topk(spark, sf):
 
 
 def _contained(spark, sf):
-    """Documents that hold an item's text are its gold papers. Items are few, and every document is looked at for each."""
-    items = _items(spark, sf).select("query_id", F.col("text").alias("item"))
-    found = vectors.against_all(items, _docs(spark, sf).select("doc_id", "text")).where(F.contains("text", "item"))
+    """Documents that hold an item's text are its gold papers."""
+    found = containment.containing(_items(spark, sf).withColumnRenamed("text", "item"), _docs(spark, sf).select("doc_id", "text"))
     return found.select("query_id", F.col("doc_id").alias("paper_id")).distinct()
 
 

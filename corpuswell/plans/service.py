@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuswell.config import SETTINGS as S
 from corpuswell.config import STRATEGIES
 from corpuswell.functions.text import strategy_label, strip
-from corpuswell.operators import chunkers, metrics, prompting, ranking, vectors
+from corpuswell.operators import chunkers, containment, metrics, prompting, ranking, vectors
 from corpuswell.staging import staged
 
 
@@ -116,11 +116,15 @@ def answer(queries: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = tu
 def papers_for(queries: DataFrame, papers: DataFrame, embed: Callable[[Column], Column] = vectors.hash_embedding) -> DataFrame:
     """query_id, doc_id, rank of the papers each question is answered from: of the first papers whose title or abstract has all its
     topics, those whose abstracts are most like the question; ties go to the later paper. papers: doc_id, title, abstract, text."""
-    terms = queries.select("query_id", F.filter(F.transform(F.split(F.lower("topics"), ","), strip), lambda t: t != "").alias("terms"), embed(F.col("text")).alias("_q"))
-    listed = papers.select("doc_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("_t"), embed(F.coalesce("abstract", F.lit(""))).alias("_a"))
-    found = vectors.against_all(terms, listed).where(F.forall("terms", lambda t: F.contains("_t", t)))
+    terms = F.array_distinct(F.filter(F.transform(F.split(F.lower("topics"), ","), strip), lambda t: t != ""))
+    wanted = queries.select("query_id", F.when(F.size(terms) > 0, terms).otherwise(F.array(F.lit(""))).alias("terms"))
+    listed = papers.select("doc_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("text"))
+    held = containment.containing(wanted.select(F.struct("query_id", F.size("terms").alias("n")).alias("query_id"), F.explode("terms").alias("item")), listed)
+    found = held.groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).where("c = query_id.n").select("query_id.query_id", "doc_id")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
-    near = found.withColumn("_n", first).where(F.col("_n") <= S.search_results).withColumn("score", F.round(vectors.dot(F.col("_q"), F.col("_a")), 9))
+    kept = found.withColumn("_n", first).where(F.col("_n") <= S.search_results).drop("_n")
+    own = kept.join(papers.select("doc_id", embed(F.coalesce("abstract", F.lit(""))).alias("_a")), "doc_id").join(queries.select("query_id", embed(F.col("text")).alias("_q")), "query_id")
+    near = own.withColumn("score", F.round(vectors.dot(F.col("_q"), F.col("_a")), 9))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id")))
     return near.withColumn("rank", rank).where(F.col("rank") <= S.abstracts_kept).select("query_id", "doc_id", "rank")
 
