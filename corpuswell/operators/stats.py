@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
+from corpuswell.staging import staged
 
 
-#: Numbers that a task draws at a time.
+#: 32-bit numbers that a task draws at a time (even); a group that needs more is dealt to tasks.
 DRAWN = 1 << 22
 
 
@@ -23,33 +24,105 @@ def _means(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     return np.concatenate([values[rng.integers(0, n, size=(min(some, resamples - at), n))].mean(axis=1) for at in range(0, resamples, some)])
 
 
+def picks(seed: int, block: int, n: int) -> np.ndarray:
+    """What the block-th DRAWN numbers of the generator pick out of n. The generator is advanced to where the block begins; whether a number picks or is thrown
+    away, so that all of n are equally likely, depends on that number only."""
+    source = np.random.PCG64(seed)
+    source.advance(block * (DRAWN // 2))
+    scaled = source.random_raw(DRAWN // 2).view(np.uint32).astype(np.uint64) * np.uint64(n)
+    return (scaled[(scaled & np.uint64(0xFFFFFFFF)) >= (1 << 32) % n] >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt_means(values: DataFrame, by: list[str], resamples: int, seed: int) -> DataFrame:
+    """by, means (array), value (the mean) and n of groups that need many numbers. values: by, _o, _v.
+
+    A group is sorted and packed once; its draws are dealt to tasks in blocks. What blocks of draws pick is counted first, which tells at which place of which
+    resample each begins; then the blocks give sums of resamples, which meet by resample.
+    """
+    keys = ", ".join(f"`{c}` {t}" for c, t in values.dtypes if c in by)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("_o")["_v"].to_numpy("<f8")
+        if len(v) >= 1 << 32:
+            raise ValueError("a group has 2**32 values or more")
+        return pd.DataFrame([[*pdf.iloc[0][by], len(v), v.mean(), v.tobytes()]], columns=[*by, "n", "value", "packed"])
+
+    def count(frames):
+        for pdf in frames:
+            pdf["picked"] = [len(picks(seed, b, n)) for b, n in zip(pdf["block"], pdf["n"])]
+            yield pdf
+
+    def add(frames):
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                v, n = np.frombuffer(row["packed"], "<f8"), row["n"]
+                own = v[picks(seed, row["block"], n)][: max(0, resamples * n - row["start"])]
+                place = (row["start"] + np.arange(len(own))) // n
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))[: len(own)]
+                if len(own):
+                    yield pd.DataFrame({**{c: [row[c]] * len(first) for c in by}, "resample": place[first], "total": np.add.reduceat(own, first)})
+
+    packed = staged(values.groupBy(*by).applyInPandas(pack, f"{keys}, n long, value double, packed binary"), "packed")
+    # So many numbers are thrown away on average; a block more is far beyond chance.
+    thrown = F.pmod(F.lit(1 << 32), F.col("n")) / (1 << 32)
+    last = F.ceil(resamples * F.col("n") / (1 - thrown) / DRAWN).cast("int")
+    blocks = packed.select(*by, "n", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    counted = blocks.repartition(*by, "block").mapInPandas(count, f"{keys}, n long, block int, picked long")
+    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    started = counted.withColumn("start", F.coalesce(F.sum("picked").over(before), F.lit(0))).where(F.col("start") < resamples * F.col("n"))
+    same = [started[c].eqNullSafe(packed[c]) for c in by]
+    work = started.join(packed.select(*by, "packed"), same).select(*[started[c] for c in by], "n", "block", "start", "packed") if by else started.crossJoin(packed.select("packed"))
+    sums = work.repartition(*by, "block").mapInPandas(add, f"{keys}, resample long, total double")
+    each = sums.groupBy(*by, "resample").agg(F.sum("total").alias("total"))
+    totals = each.groupBy(*by).agg(F.collect_list("total").alias("means"))  # a number for each resample
+    found = totals.join(packed.select(*by, "n", "value"), [totals[c].eqNullSafe(packed[c]) for c in by]).select(*[totals[c] for c in by], "n", "value", F.transform("means", lambda x: x / F.col("n")).alias("means"))
+    return found.withColumn("means", F.when(F.size("means") == resamples, F.col("means")).otherwise(F.raise_error(F.lit("resamples are missing"))))
+
+
+def _resampled(values: DataFrame, by: list[str], finish, columns: str, resamples: int, seed: int) -> DataFrame:
+    """by and what finish(mean, means of resamples or None, n) gives for each group of values (by, _o, _v). Groups that need no more than DRAWN numbers are done whole."""
+    ordered = [c for c, _ in values.dtypes if c in by]
+    keys = ", ".join(f"`{c}` {t}" for c, t in values.dtypes if c in by)
+    names = [*ordered, *[c.split()[0] for c in columns.split(", ")]]
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("_o")["_v"].to_numpy(float)
+        return pd.DataFrame([[*pdf.iloc[0][ordered], *finish(v.mean(), _means(v, resamples, seed) if len(v) > 1 else None, len(v))]], columns=names)
+
+    def dealt(frames):
+        for pdf in frames:
+            yield pd.DataFrame([[*[r[c] for c in ordered], *finish(r["value"], np.asarray(r["means"]), r["n"])] for r in pdf.to_dict("records")], columns=names)
+
+    large = values.groupBy(*ordered).agg(F.count("*").alias("_n")).where(F.col("_n") * resamples > DRAWN).select(*[F.col(c).alias(f"_{c}") for c in ordered])
+    if large.isEmpty():
+        return values.groupBy(*ordered).applyInPandas(whole, f"{keys}, {columns}")
+    large = staged(large, "large")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ordered]
+    few = values.join(F.broadcast(large) if large.count() < 10_000 else large, same, "left_anti").groupBy(*ordered).applyInPandas(whole, f"{keys}, {columns}")
+    many = _dealt_means(values.join(large, same, "left_semi"), ordered, resamples, seed).mapInPandas(dealt, f"{keys}, {columns}")
+    return few.unionByName(many)
+
+
 def bootstrap_ci(scores: DataFrame, by: list[str], value: str = "value", order: str = "example_id", resamples: int = S.resamples, seed: int = S.seed, alpha: float = 0.05) -> DataFrame:
     """by, mean, lo, hi: percentile bootstrap of the mean. A group is the examples of one configuration and metric."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        lo = hi = v.mean()
-        if len(v) > 1:
-            lo, hi = np.percentile(_means(v, resamples, seed), [100 * alpha / 2, 100 * (1 - alpha / 2)])
-        return pd.DataFrame([[*pdf.iloc[0][by], v.mean(), lo, hi]], columns=[*by, "mean", "lo", "hi"])
+    def finish(mean, means, n):
+        return (mean, *np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])) if n > 1 else (mean, mean, mean)
 
-    keys = ", ".join(f"`{c}` {t}" for c, t in scores.dtypes if c in by)
-    ordered = [c for c, _ in scores.dtypes if c in by]
-    return scores.groupBy(*ordered).applyInPandas(run, f"{keys}, mean double, lo double, hi double")
+    values = scores.select(*by, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    return _resampled(values, by, finish, "mean double, lo double, hi double", resamples, seed)
 
 
 def paired_bootstrap(pairs: DataFrame, by: list[str], order: str = "example_id", resamples: int = S.resamples, seed: int = S.seed, alpha: float = 0.05) -> DataFrame:
     """pairs (by, example_id, a, b): by, mean_diff, lo, hi, p_value (two-sided, of shifts as large as the one seen), n."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf.sort_values(order)["a"] - pdf.sort_values(order)["b"]).to_numpy(float)
-        means, seen = _means(d, resamples, seed), d.mean()
+    def finish(seen, means, n):
+        means = np.full(1, seen) if means is None else means
         lo, hi = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
-        p = float((np.abs(means - seen) >= abs(seen)).mean())
-        return pd.DataFrame([[*pdf.iloc[0][by], seen, lo, hi, p, len(d)]], columns=[*by, "mean_diff", "lo", "hi", "p_value", "n"])
+        return seen, lo, hi, float((np.abs(means - seen) >= abs(seen)).mean()), n
 
-    keys = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes if c in by)
-    return pairs.groupBy(*by).applyInPandas(run, f"{keys}, mean_diff double, lo double, hi double, p_value double, n int")
+    values = pairs.select(*by, F.col(order).alias("_o"), (F.col("a") - F.col("b")).cast("double").alias("_v"))
+    return _resampled(values, by, finish, "mean_diff double, lo double, hi double, p_value double, n int", resamples, seed)
 
 
 def normal_tail(z: Column) -> Column:
