@@ -34,18 +34,23 @@ def dealt_join(rows: DataFrame, small: DataFrame, keys: list[str], counts: DataF
     """rows joined with small, which has few rows a key, without a task that gets a hot key whole.
 
     counts has one row for each key, with how many rows hold it in c; total is the sum of c or more. The rows of a hot key
-    are dealt to pieces by a hash of all their columns, and small's rows are copied to each piece. Hot keys are fewer than SHARE at every
-    size of the tables, so they are looked up first; without any it is a plain join. Keys are not null.
+    are dealt to pieces, a power of two of them, by a hash of all their columns, and small's rows are copied to each piece. Hot keys are fewer than SHARE at
+    every size of the tables, so they are looked up first and told by their hashes; without any it is a plain join. Keys are not null.
     """
-    hot = counts.where(F.col("c") * SHARE > total).select(*keys, F.ceil(F.col("c") * SHARE / F.lit(max(total, 1))).cast("int").alias("_pieces"))
-    found = hot.collect()
-    if not found:
+    pieces = F.ceil(F.log2(F.col("c") * SHARE / F.lit(max(total, 1)))).cast("int")
+    hot: dict[int, list[int]] = {}
+    for row in counts.where(F.col("c") * SHARE > total).select(F.xxhash64(*keys).alias("h"), F.greatest(pieces, F.lit(1)).alias("p")).collect():
+        hot.setdefault(row["p"], []).append(row["h"])
+    if not hot:
         return rows.join(small, keys, how)
-    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
-    piece = F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), "_pieces").cast("int"))
-    dealt = rows.join(hot, keys, "left").withColumn("_piece", piece).drop("_pieces")
-    copies = small.join(hot, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
-    return dealt.join(copies, [*keys, "_piece"], how).drop("_piece")
+    piece, copies = F.lit(0), F.lit(1)
+    for power, hashes in hot.items():
+        held = F.xxhash64(*keys).isin(hashes)
+        piece = F.when(held, F.pmod(F.xxhash64(*rows.columns), F.lit(1 << power)).cast("int")).otherwise(piece)
+        copies = F.when(held, F.lit(1 << power)).otherwise(copies)
+    dealt = rows.withColumn("_piece", piece)
+    copied = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.join(copied, [*keys, "_piece"], how).drop("_piece")
 
 
 def digest(*parts: bytes) -> int:

@@ -203,17 +203,37 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, similarity: tuple[in
     return _with_texts(pairs, texts).mapInArrow(_compare(size, *similarity, True), "a long, b long, na long, nb long, shared long, linked boolean, enough long, extra array<long>")
 
 
+#: Distinct links whose components are found in one task; more go by rounds of joins.
+SETTLED_AT_ONCE = 1 << 20
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """u, v of links as u, the smallest node that it reaches, of all nodes."""
+    nodes, at = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+    a, b = at[: len(table)], at[len(table) :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, label[end], low)
+        while (label[label] != label).any():
+            label = label[label]
+    return pa.table([pa.array(nodes), pa.array(nodes[label])], ["u", "v"])
+
+
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, label: the smallest node that links (a, b) reach from it.
 
-    Large-star and small-star steps alternate until no link changes; each is aggregates and joins on narrow rows,
+    Up to SETTLED_AT_ONCE links, by count, are settled in one task. Of more, large-star and small-star steps alternate until no link changes; each is aggregates and joins on narrow rows,
     written to the shared folder, and their number grows as the logarithm of the longest chain. A node with
     very many links is pre-aggregated, and its links are dealt to several tasks.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = staged(edges, "edges")
-    before = None
-    for _ in range(most_rounds):
+    before, few = None, edges.count() <= SETTLED_AT_ONCE
+    if few:
+        edges = edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_settle, "u long, v long")
+    for _ in range(0 if few else most_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         total = 2 * edges.count()
         low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c")), "low")
@@ -227,7 +247,8 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
             break
         before = state
     else:
-        raise RuntimeError("links did not settle")
+        if not few:
+            raise RuntimeError("links did not settle")
     return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("label"))
 
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpuswell.llm import near_dedup as nd
 from corpuswell.llm._shared import dealt_join
@@ -68,6 +69,20 @@ def test_in_task_join_and_further_leaders_agree(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(docs, 3, (85, 100)).collect()) == want
 
 
+def test_components_by_rounds_and_at_once(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(k, k + 1) for k in range(200, 300)] + [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(400, k) for k in range(401, 440)] + [(7, 7)]
+    frame, nodes = spark.createDataFrame(links, "a long, b long"), spark.range(450).select(F.col("id").alias("node"))
+    root = list(range(450))
+    for _ in range(450):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(nd, "SETTLED_AT_ONCE", most)
+        assert [r.label for r in nd.components(nodes, frame).orderBy("node").collect()] == root
+        assert all(r.node == r.label for r in nd.components(nodes, frame.where("false")).collect())
+
+
 def test_odd_rows(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = nd.near_duplicates(odd, 5, (80, 100)).collect()
