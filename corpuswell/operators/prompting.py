@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import html_escaped, source_line, truncated
+from corpuswell.sources.files import Files
+from corpuswell.staging import staged
 
 CONTEXT_CHARS = int(max(500, S.context_tokens - S.answer_tokens - S.prompt_tokens) * 3.5)
 # The instruction of a prompt and the system message that goes with it.
@@ -54,24 +57,50 @@ def messages(question: Column, context: Column) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), prompt(question, context).alias("content")))
 
 
-def answers(hits: DataFrame, queries: DataFrame, generate: Callable[[Column, Column], Column], most: int = 10, retries: int = 2) -> DataFrame:
-    """query_id, answer, n_chunks: the answer that `generate` (prompt, context) gives from the first `most` hits.
+def calls(prompts: DataFrame, generate: Callable[[Column, Column], Column], log: str | None = None) -> DataFrame:
+    """query_id, n_chunks, answer, error of prompts (query_id, n_chunks, prompt, context): what a model gives for each, called once for equal prompts.
 
-    generate returns a struct (answer, error). Queries whose error is that the context is too long are asked again with half as many
-    hits, `retries` times at most and as long as there is more than one; other errors are told in the answer.
+    generate is a column function of (prompt, context) that gives a string, or a struct (answer, error). What it gives is written before anything reads
+    it, so no later step calls again. With a log, a table of (key, answer, error) by the SHA-256 of prompts, calls that it holds are not made, in this run or a later one, and new
+    ones are added. Only a task that is lost before it has written repeats its own calls.
     """
-    done, left = None, queries.select("query_id", "text")
+    spark = prompts.sparkSession
+    keyed = prompts.withColumn("key", F.sha2("prompt", 256))
+    asked = keyed.groupBy("key").agg(F.any_value("prompt").alias("prompt"), F.any_value("context").alias("context"))
+    known = spark.read.parquet(log) if log and Files(spark, log).names(log) else None
+    if known is not None:
+        asked = asked.join(known.select("key"), "key", "left_anti")
+    given = asked.select("key", generate(F.col("prompt"), F.col("context")).alias("r"))
+    if given.schema["r"].dataType.typeName() == "struct":
+        given = given.select("key", "r.answer", "r.error")
+    else:
+        given = given.select("key", F.col("r").alias("answer"), F.lit(None).cast("string").alias("error"))
+    made = staged(given, "calls")
+    if log:
+        made.write.mode("append").parquet(log)
+    every = made if known is None else made.unionByName(known.select("key", "answer", "error"))
+    return keyed.select("query_id", "n_chunks", "key").join(every, "key").drop("key")
+
+
+def answers(hits: DataFrame, queries: DataFrame, generate: Callable[[Column, Column], Column], most: int = 10, retries: int = 2, log: str | None = None) -> DataFrame:
+    """query_id, answer, n_chunks: the answer that `generate` (see calls) gives from the first `most` hits; queries without hits have no row.
+
+    Queries whose error is that the context is too long are asked again with half as many hits, `retries` times at most and as long as there is more than
+    one; other errors are told in the answer. Each round's calls are made once.
+    """
+    done, left = [], queries.select("query_id", "text")
     for turn in range(retries + 1):
         made = left.join(assemble_context(hits, most), "query_id")
-        asked = made.select("query_id", "n_chunks", generate(prompt(F.col("text"), F.col("context")), F.col("context")).alias("r"))
-        long = F.contains(F.coalesce(F.col("r.error"), F.lit("")), F.lit(OVERFLOW))
+        asked = staged(calls(made.select("query_id", "n_chunks", prompt(F.col("text"), F.col("context")).alias("prompt"), "context"), generate, log), "asked")
+        long = F.contains(F.coalesce("error", F.lit("")), F.lit(OVERFLOW))
         last = turn == retries or most == 1
-        good = (asked if last else asked.where(~long)).select("query_id", F.when(F.col("r.error").isNull(), F.col("r.answer")).otherwise(failed_answer(F.col("r.error"))).alias("answer"), "n_chunks")
-        done = good if done is None else done.unionByName(good)
-        if last:
+        good = asked if last else asked.where(~long)
+        done.append(good.select("query_id", F.when(F.col("error").isNull(), F.col("answer")).otherwise(failed_answer(F.col("error"))).alias("answer"), "n_chunks"))
+        again = asked.where(long).select("query_id")
+        if last or again.isEmpty():
             break
-        left, most = left.join(asked.where(long).select("query_id"), "query_id", "left_semi"), max(1, most // 2)
-    return done
+        left, most = left.join(again, "query_id", "left_semi"), max(1, most // 2)
+    return reduce(DataFrame.unionByName, done)
 
 
 def source_item(title: Column, section: Column, url: Column) -> Column:

@@ -27,16 +27,11 @@ def validate(queries: DataFrame) -> None:
         raise ValueError(f"query and topics are needed: {[r['query_id'] for r in bad]}")
 
 
-def chunk_number(doc: Column, position: Column) -> Column:
-    """A number that orders chunks by document and position, which breaks ties as an index does that keeps them so; documents without a number
-    order by a hash."""
-    return F.shiftleft(doc.cast("long"), 20) + position + 1
-
-
 def _items(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
-    numbered = dict(chunks.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
-    number = chunk_number(F.col("doc_id"), F.col("position")) if numbered else F.xxhash64("doc_id", "position", "chunk_text")
-    return chunks.withColumns({"vec_id": number, "embedding": embed(F.col("chunk_text"))})
+    """chunks with their vectors and vec_id, a number in the order of document and position, which breaks ties as an index does that keeps them so. Each row has
+    its own number once the result is staged."""
+    ordered = chunks.repartitionByRange(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "position").sortWithinPartitions("doc_id", "position")
+    return ordered.withColumn("vec_id", F.monotonically_increasing_id()).withColumn("embedding", embed(F.col("chunk_text")))
 
 
 def _kind_scores(queries: DataFrame, items: DataFrame, kind: str, embed: Callable[[Column], Column], papers: DataFrame | None) -> DataFrame:
@@ -82,14 +77,16 @@ def retrieve(
     return ranking.expand_neighbours(found.select("query_id", "rank", "doc_id", "position"), chunks)
 
 
-def answered(queries: DataFrame, hits: DataFrame, strategy: str, generate: Callable[[Column, Column], Column], debug: bool = False) -> DataFrame:
-    """query_id, strategy, strategy_label, answer, sources and, with debug, debug_context, from hits (query_id, rank, doc_id, title, position, section, chunk_text)."""
-    hits = hits.withColumn("paper_id", F.col("doc_id"))
-    context = prompting.assemble_context(hits)
+def answered(queries: DataFrame, hits: DataFrame, strategy: str, generate: Callable[[Column, Column], Column], debug: bool = False, log: str | None = None) -> DataFrame:
+    """query_id, strategy, strategy_label, answer, sources and, with debug, debug_context, from hits (query_id, rank, doc_id, title, position, section, chunk_text).
+
+    Calls are made once (see prompting.answers); contexts that are too long are halved, errors are told as answers, and a query without hits has the fallback answer."""
+    hits = staged(hits.withColumn("paper_id", F.col("doc_id")), "hits")
+    given = prompting.answers(hits, queries, generate, log=log).select("query_id", "answer")
     source = F.struct("rank", "doc_id", "title", "section", F.concat(F.lit("https://arxiv.org/abs/"), F.col("doc_id").cast("string")).alias("arxiv_url"))
     sources = ranking.distinct_sources(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))  # some hits a query
-    made = queries.join(context, "query_id", "left").join(sources, "query_id", "left")
-    text = prompting.fallback_answer(F.when(F.col("context").isNotNull(), generate(prompting.prompt(F.col("text"), F.col("context")), F.col("context"))))
+    made = queries.join(given, "query_id", "left").join(sources, "query_id", "left")
+    text = prompting.fallback_answer(F.col("answer"))
     columns = [F.lit(strategy).alias("strategy"), strategy_label(F.lit(strategy)).alias("strategy_label"), text.alias("answer"), F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)).alias("sources")]
     if debug:
         shown = F.struct("rank", F.col("doc_id").cast("string").alias("paper_id"), "title", F.coalesce("section", F.lit("")).alias("section"), "position", "chunk_text")
@@ -99,7 +96,7 @@ def answered(queries: DataFrame, hits: DataFrame, strategy: str, generate: Calla
     return made.select("query_id", *columns)
 
 
-def answer(queries: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, debug: bool = False, **options) -> DataFrame:
+def answer(queries: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, debug: bool = False, log: str | None = None, **options) -> DataFrame:
     """Each question (query_id, topics, text) under each strategy, as `answered` gives it.
 
     docs: doc_id, title, text. Queries without a chunk get the fallback answer and no sources.
@@ -109,7 +106,7 @@ def answer(queries: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = tu
     for strategy in strategies:
         chunks = chunkers.index_chunks(docs, strategy).select("doc_id", "position", "section", "chunk_text")
         hits = retrieve(queries, chunks, **options).join(docs.select("doc_id", "title"), "doc_id")
-        parts.append(answered(queries, hits, strategy, generate, debug))
+        parts.append(answered(queries, hits, strategy, generate, debug, log))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -129,7 +126,7 @@ def papers_for(queries: DataFrame, papers: DataFrame, embed: Callable[[Column],
     return near.withColumn("rank", rank).where(F.col("rank") <= S.abstracts_kept).select("query_id", "doc_id", "rank")
 
 
-def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, debug: bool = False, **options) -> DataFrame:
+def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, debug: bool = False, log: str | None = None, **options) -> DataFrame:
     """The whole path of a question (query_id, topics, text): search by topics, filter by abstract, chunk, retrieve from its own papers, answer.
 
     papers: doc_id, title, abstract, text (null where it could not be loaded). Abstracts are chunks at position -1. A question without a
@@ -145,7 +142,7 @@ def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str,
     for strategy in strategies:
         chunks = staged(chunkers.index_chunks(own, strategy, own.select("doc_id", "abstract")).select("doc_id", "position", "section", "chunk_text"), "chunks")
         hits = retrieve(asked, chunks, papers=loaded.select("query_id", "doc_id"), **options).join(papers.select("doc_id", "title"), "doc_id")
-        parts.append(answered(asked, hits, strategy, generate, debug))
+        parts.append(answered(asked, hits, strategy, generate, debug, log))
     good = reduce(DataFrame.unionByName, parts)
     why = F.when(F.col("_c").isNull(), prompting.NO_PAPERS).when(F.col("_l").isNull(), prompting.NONE_LOADED)
     lost = state.select("query_id", why.alias("answer")).where("answer IS NOT NULL")
@@ -177,21 +174,31 @@ def evaluate(
     return reduce(DataFrame.unionByName, parts)
 
 
-def compare_models(queries: DataFrame, gold: DataFrame, docs: DataFrame, strategy: str, models: dict[str, Callable[[Column], Column]], k: int = 10, skip_broken: bool = True) -> tuple[DataFrame, list[str]]:
-    """(config_id, query_id, metric, value of dense search with each embedder; the models that could not be used). config_id is a model's name."""
+def compare_models(
+    queries: DataFrame, gold: DataFrame, docs: DataFrame, strategy: str, models: dict[str, Callable[[Column], Column]], k: int = 10, kind: str = "dense", diverse: bool = False, rerank: bool = False,
+    skip_broken: bool = True, passages: DataFrame | None = None, judge: Callable[[Column], Column] | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """(config_id, query_id, metric, value of a search under one configuration with each embedder; the models that could not be loaded). config_id is a model's name.
+
+    A model is a function that loads what it needs and gives a column. One that raises then is left out if skip_broken; errors of Spark's jobs, a lost executor or a
+    full disk among them, are never taken for a broken model. passages (query_id, passage) are graded by `judge`, one and the same for all models.
+    """
     parts, broken = [], []
     chunks = staged(chunkers.index_chunks(docs, strategy).select("doc_id", "position", "section", "chunk_text"), "chunks")
     for name, embed in models.items():
         try:
-            items = staged(_items(chunks, embed), "items")
+            embed(F.col("chunk_text"))
         except Exception:
             if not skip_broken:
                 raise
             broken.append(name)
             continue
-        hits = _chosen(_kind_scores(queries, items, "dense", embed, None), queries, items, k, "dense", False, False).join(items.select("vec_id", F.col("doc_id").alias("paper_id")), "vec_id")
-        found = metrics.retrieval_metrics(metrics.relevance(hits, gold), queries, gold, k)
+        items = staged(_items(chunks, embed), "items")
+        scores = staged(_kind_scores(queries, items, kind, embed, None), "scores")
+        hits = _chosen(scores, queries, items, k, kind, diverse, rerank).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
+        similar = metrics.passage_similarity(hits, passages, judge or vectors.hash_embedding) if passages is not None else None
+        found = metrics.retrieval_metrics(metrics.relevance(hits, gold, similar), queries, gold, k)
         parts.append(metrics.long_scores(found.withColumn("config_id", F.lit(name)), "config_id", "query_id"))
     if not parts:
-        raise ValueError("no model could be used")
+        raise ValueError("no model could be loaded")
     return reduce(DataFrame.unionByName, parts), broken
