@@ -558,15 +558,30 @@ def _both_sql(width: str = "64") -> str:
         CASE WHEN max(l) OVER w - min(l) OVER w < 1e-12 THEN 1.0 ELSE (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w + 1e-12) END AS l FROM b WINDOW w AS (PARTITION BY query_id)),
       gold AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text))"""
 
+def _diverse_sql(k: int, key: str = "doc_id") -> str:
+    """picks (query_id, doc_id, rank) of a greedy selection from n (query_id, doc_id, dense), with the vectors of dv (key, vec)."""
+    parts = ["z1 AS MATERIALIZED (SELECT query_id, arg_min(doc_id, (-dense, doc_id)) AS doc_id FROM n GROUP BY query_id)"]
+    near = f"round(list_inner_product(a.vec, b.vec), 9) AS near FROM {{0}} w JOIN z{{1}} z ON z.query_id = w.query_id JOIN dv a ON a.{key} = w.doc_id JOIN dv b ON b.{key} = z.doc_id WHERE w.doc_id <> z.doc_id"
+    parts.append("w1 AS MATERIALIZED (SELECT w.query_id, w.doc_id, w.dense, " + near.format("n", 1) + ")")
+    for r in range(2, k + 1):
+        parts.append(f"z{r} AS MATERIALIZED (SELECT query_id, arg_min(doc_id, (-round(0.7 * dense - 0.3 * near, 9), doc_id)) AS doc_id FROM w{r - 1} GROUP BY query_id)")
+        parts.append(f"w{r} AS MATERIALIZED (SELECT w.query_id, w.doc_id, w.dense, greatest(w.near, " + near.format(f"w{r - 1}", r).replace(" AS near", ") AS near", 1) + ")")
+    return ", ".join(parts) + ", picks AS (" + " UNION ALL ".join(f"SELECT query_id, doc_id, {r} AS rank FROM z{r}" for r in range(1, k + 1)) + ")"
+
 
-_PHASE2 = _both_sql() + f""",
+def _phase2_sql(width: str = "64", diverse: bool = False) -> str:
+    """CTEs that end in m, the metrics by configuration and query as columns, and l, the same as rows."""
+    both = _both_sql().replace("% 64", f"% {width}").replace("range(64)", f"range({width})")
+    picked = ", " + _diverse_sql(10) if diverse else ""
+    hits = "UNION ALL SELECT 'dense_plain_k' || k, 4 * i, k, query_id, doc_id, rank FROM picks, (VALUES (3, 0), (5, 1), (10, 2)) AS c(k, i) WHERE rank <= k" if diverse else ""
+    return both + picked + f""",
       scored AS (SELECT 'dense' AS kind, 0 AS place, query_id, doc_id, dense AS score FROM n UNION ALL SELECT 'hybrid', 1, query_id, doc_id, round(0.5 * d + 0.5 * l, 9) FROM n),
       placed AS (SELECT *, row_number() OVER (PARTITION BY kind, query_id ORDER BY score DESC, doc_id) AS r FROM scored QUALIFY r <= 64),
       likened AS (SELECT kind, place, query_id, placed.doc_id, r, round(2.0 * len(list_intersect(q, t)) / (len(q) + len(t)), 9) AS overlap FROM (
         SELECT placed.*, list_distinct({_WORDS.format("b.text")}) AS q, list_distinct({_WORDS.format("d.text")}) AS t
         FROM placed JOIN documents d ON d.doc_id = placed.doc_id JOIN benchmark b ON b.item_id = query_id) AS placed),
       hit AS (
-        SELECT kind || '_plain_k' || k AS config_id, (4 * i + 2 * place) AS ord, k, query_id, doc_id, r AS rank FROM likened, (VALUES (3, 0), (5, 1), (10, 2)) AS c(k, i) WHERE r <= k
+        SELECT kind || '_plain_k' || k AS config_id, (4 * i + 2 * place) AS ord, k, query_id, doc_id, r AS rank FROM likened, (VALUES (3, 0), (5, 1), (10, 2)) AS c(k, i) WHERE r <= k {"AND kind <> 'dense'" if diverse else ''} {hits}
         UNION ALL
         SELECT config_id, ord, k, query_id, doc_id, rank FROM (
           SELECT kind || '_rerank_k' || k AS config_id, (4 * i + 2 * place + 1) AS ord, k, query_id, doc_id, row_number() OVER (PARTITION BY kind, k, query_id ORDER BY overlap DESC, doc_id) AS rank
@@ -578,6 +593,9 @@ _PHASE2 = _both_sql() + f""",
           sum(rel::INT) / any_value(k) AS precision_at_k, coalesce(1.0 / min(rank) FILTER (rel), 0) AS mrr, coalesce(avg(cum / rank) FILTER (rel), 0) AS average_precision
         FROM graded LEFT JOIN size USING (query_id) GROUP BY config_id, ord, query_id),
       l AS (UNPIVOT m ON hit_at_k, paper_coverage, precision_at_k, mrr, average_precision INTO NAME metric VALUE value)"""
+
+
+_PHASE2 = _phase2_sql()
 _CELL = "CASE WHEN abs({0} - max({0}) OVER ()) <= 1e-12 THEN '\\textbf{{' || printf('%.4f', {0}) || '}}' ELSE printf('%.4f', {0}) END"
 
 _PARSED = _parse_sql("SELECT doc_id, text FROM documents")

@@ -20,12 +20,13 @@ def dense_sweep(scores: DataFrame, items: DataFrame, gold: DataFrame, ks: tuple[
     return metrics.long_scores(reduce(DataFrame.unionByName, map(one, ks)), "config_id", "query_id")
 
 
-def phase2_sweep(scores: dict[str, DataFrame], queries: DataFrame, docs: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5, 10), similarity: DataFrame | None = None) -> DataFrame:
+def phase2_sweep(scores: dict[str, DataFrame], queries: DataFrame, docs: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5, 10), similarity: DataFrame | None = None, diverse: dict[str, DataFrame] | None = None) -> DataFrame:
     """config_id, ord, query_id, metric, value of k x kinds of scores x (with and without re-ranking).
 
     scores: kind to (query_id, doc_id, score); queries: query_id, text; docs: doc_id, text; gold: query_id, paper_id. Re-ranking for k looks at the
     pool that belongs to k. Of each kind only the largest pool of a query is staged; all configurations are made of it, and a text is
-    scored for re-ranking once. Diversity is not applied.
+    scored for re-ranking once. diverse: kind to (query_id, doc_id, rank), what a selection for diversity chooses of it for the largest k; as it chooses one
+    after the other, its first k are those for k.
     """
     pools = []
     for place, (kind, own) in enumerate(scores.items()):
@@ -37,6 +38,12 @@ def phase2_sweep(scores: dict[str, DataFrame], queries: DataFrame, docs: DataFra
     name = lambda way: F.concat("kind", F.lit(f"_{way}_k"), F.col("k").cast("string")).alias("config_id")
     order = 4 * F.col("i") + 2 * F.col("k_place")
     plain = every.where("place <= k").select(name("plain"), order.alias("ord"), "k", "query_id", F.col("doc_id").alias("paper_id"), F.col("place").alias("rank"))
+    for place, (kind, chosen) in enumerate((k, (diverse or {}).get(k)) for k in scores):
+        if chosen is not None:
+            own = chosen.select("*", F.posexplode(F.array(*[F.lit(k) for k in ks])).alias("i", "k")).where("rank <= k")
+            named = F.concat(F.lit(f"{kind}_plain_k"), F.col("k").cast("string")).alias("config_id")
+            own = own.select(named, (4 * F.col("i") + 2 * place).alias("ord"), "k", "query_id", F.col("doc_id").alias("paper_id"), "rank")
+            plain = plain.where(~F.col("config_id").startswith(f"{kind}_plain_k")).unionAll(own)
     best = F.row_number().over(Window.partitionBy("kind", "k", "query_id").orderBy(F.desc("overlap"), "doc_id"))
     again = every.where(F.col("place") <= ranking.pool_size(F.col("k"), F.lit(S.pool_most))).withColumn("rank", best).where("rank <= k")
     again = again.select(name("rerank"), (order + 1).alias("ord"), "k", "query_id", F.col("doc_id").alias("paper_id"), "rank")
@@ -61,6 +68,12 @@ def preregistered_pairs(long: DataFrame) -> DataFrame:
     return F.broadcast(named).join(one("a"), "a_config").join(one("b"), ["b_config", "example_id"]).select("name", F.lit("hit_at_k").alias("metric"), "a_config", "b_config", "example_id", "a", "b")
 
 
+def best_config(long: DataFrame) -> str:
+    """The configuration with the best mean hit rate, then reciprocal rank, then precision; of equals the earlier one (config_id, ord, query_id, metric, value)."""
+    means = long.groupBy("config_id", "ord").pivot("metric", ["hit_at_k", "mrr", "precision_at_k"]).agg(F.avg("value"))
+    return means.orderBy(*[F.desc(F.round(m, 9)) for m in ("hit_at_k", "mrr", "precision_at_k")], "ord").first()["config_id"]
+
+
 def model_pairs(long: DataFrame, baseline: str) -> DataFrame:
     """name, metric, a_config, b_config, example_id, a, b: the baseline model with each other, by hit rate and average precision. config_id names a model."""
     own = long.where(F.col("config_id") == baseline).select("query_id", "metric", F.col("value").alias("a"))

@@ -151,6 +151,22 @@ def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str,
     return good.unionByName(lost.withColumns(fixed | empty))
 
 
+def compare_chunkers(
+    queries: DataFrame, gold: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), k: int = S.top_k, diverse: bool = True,
+    embed: Callable[[Column], Column] = vectors.hash_embedding, passages: DataFrame | None = None, judge: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """config_id, query_id, metric, value of dense search without re-ranking over the chunks of each strategy; config_id is the strategy. See evaluate."""
+    parts = []
+    for strategy in strategies:
+        items = staged(_items(chunkers.index_chunks(docs, strategy).select("doc_id", "position", "section", "chunk_text"), embed), "items")
+        scores = staged(_kind_scores(queries, items, "dense", embed, None), "scores")
+        hits = _chosen(scores, queries, items, k, "dense", diverse, False).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
+        similar = metrics.passage_similarity(hits, passages, judge or embed) if passages is not None else None
+        found = metrics.retrieval_metrics(metrics.relevance(hits, gold, similar), queries, gold, k)
+        parts.append(metrics.long_scores(found.withColumn("config_id", F.lit(strategy)), "config_id", "query_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluate(
     queries: DataFrame, gold: DataFrame, docs: DataFrame, strategy: str, ks: tuple[int, ...] = (3, 5, 10), diverse: bool = True, embed: Callable[[Column], Column] = vectors.hash_embedding,
     passages: DataFrame | None = None, judge: Callable[[Column], Column] | None = None,
