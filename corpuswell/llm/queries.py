@@ -119,7 +119,75 @@ QUERIES = {
     "op13_conversation_repair": op13_conversation_repair,
 }
 
+
+def _repair_sql() -> str:
+    """The damage, the faults and the cheapest edits of conversations; a recursive step for each turn holds the best way to each of the four states."""
+    then = lambda way, cost, edit: f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{edit}'}}"
+    best = lambda *ways: f"list_sort(list_filter([{', '.join(ways)}], lambda x: x.c IS NOT NULL))[1]"
+    fit = lambda way, role: f"{{'c': CASE WHEN role[:1] = '{role}' THEN {way}.c + late END, 'a': {way}.a || 'K'}}"
+    free = lambda x: f"{{'c': CASE WHEN fault NOT IN ('b', 'd') THEN {x}.c END, 'a': {x}.a}}"
+    kept = lambda way, role: free(fit(way, role))
+    cast = lambda way, role: free(then(way, "3 + late", "R"))
+    step = {"n0": [then("s0", 4, "D")], "n1": [then("s1", 4, "D"), kept("s0", "s")], "n2": [then("s2", 4, "D")], "n3": [then("s3", 4, "D"), kept("s2", "a"), cast("s2", "a")]}
+    step["n2"] += [f(s, "u") for s in ("s0", "s1", "s3") for f in (kept, cast)]
+    moved = ", ".join(f"{best(*ways)} AS {n}" for n, ways in step.items())
+    opened = lambda a, b: best(a, *[then(x, 3, "I") for x in ("n0", "n1", b)])
+    return rf"""
+        WITH RECURSIVE key AS (
+          SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        hit AS (
+          SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)), lambda c, b:
+            list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 20 AS d FROM key),
+        damaged AS (
+          SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy,
+            CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+          FROM hit WHERE d <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+        judged AS (
+          SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+            WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+            lag(role[:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[:1] AS pair
+          FROM placed),
+        told AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+            count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM judged GROUP BY conv_id),
+        way AS (
+          SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS s0, {{'c': NULL::BIGINT, 'a': ''}} AS s1, {{'c': 3::BIGINT, 'a': 'I'}} AS s2, {{'c': 6::BIGINT, 'a': 'II'}} AS s3
+          FROM conversations
+          UNION ALL
+          SELECT conv_id, i, n0, n1, {opened("u2", "u3")}, {best("u3", then(opened("u2", "u3"), 3, "I"))} FROM (
+            SELECT *, {best("n3", then("u2", 3, "I"))} AS u3 FROM (
+              SELECT *, {opened("n2", "n3")} AS u2 FROM (
+                SELECT conv_id, i, {moved} FROM (
+                  SELECT way.*, role, fault, 3 * (fault = 't')::BIGINT AS late, j.i AS i_ FROM way JOIN judged j ON j.conv_id IS NOT DISTINCT FROM way.conv_id AND j.i = way.i + 1) AS w(conv_id, i__, s0, s1, s2, s3, role, fault, late, i))))),
+        done AS (SELECT conv_id, {best("s0", "s3")} AS e FROM way QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        edit AS (
+          SELECT conv_id, p, e.a[p] AS edit, length(replace(e.a[:p], 'I', '')) AS i, length(replace(e.a[:p], 'D', '')) AS o, length(replace(e.a, 'D', '')) % 2 AS sys
+          FROM done, range(1, 1000000) AS r(p) WHERE p <= length(e.a)),
+        line AS (
+          SELECT edit.conv_id, p, CASE WHEN edit = 'K' THEN role WHEN (o - 1 - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+          FROM edit LEFT JOIN judged j ON edit <> 'I' AND j.conv_id IS NOT DISTINCT FROM edit.conv_id AND j.i = edit.i WHERE edit <> 'D'),
+        whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS text FROM line GROUP BY conv_id)
+        SELECT done.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+          e.c AS cost, e.a AS audit, sha256(coalesce(whole.text, '')) AS repaired_sha256
+        FROM done LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM done.conv_id LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+
 ORACLE = {
+    "op12_hard_negatives": r"""
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+          FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM (
+          SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+          FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+        WHERE rank <= 5""",
+    "op13_conversation_repair": _repair_sql(),
     "op3_chat_format": r"""
         WITH t AS (
           SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS idx

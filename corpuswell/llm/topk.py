@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from corpuswell.llm._shared import partitions
 
-#: Vectors of a candidate block and of a query block.
-CANDIDATES, QUERIES = 2048, 128
-#: Candidate blocks of a group, which a task holds.
-HELD = 16
+#: Vectors of a candidate block and of a query block at most, and bytes of either's components.
+CANDIDATES, QUERIES, BLOCK_BYTES = 2048, 128, 2 << 20
+#: Bytes of the components of a group's candidates, which a task holds three times over: as rows, sorted, and their places.
+HELD_BYTES = 16 << 20
 #: Shares of a list that are read when bounds are looked at: small first steps for skewed lists, small last ones for even lists.
 ROUNDS = [1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 13 / 16, 7 / 8, 29 / 32, 15 / 16, 31 / 32, 1]
 _LONG = (-(1 << 63), (1 << 63) - 1)
@@ -114,13 +114,15 @@ def _blocks(size: int, scale: int):
         return pa.record_batch([pa.array([number], pa.int64()), *keys, pa.array([packed.tobytes()]), pa.array([width], pa.int32())], _NAMES)
 
     def run(batches):
-        number, kept = TaskContext.get().partitionId() << 32, []
+        number, kept, width = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for i, c, m, v in zip(*(batch.column(j).to_pylist() for j in range(3)), batch.column(3)):
-                kept.append((i, c, m, v.values.to_numpy()))
-                if len(kept) == size:
+                v = v.values.to_numpy()
+                width = max(width, len(v))
+                if kept and (len(kept) == size or (len(kept) + 1) * 8 * width > BLOCK_BYTES):
                     yield block(number, kept)
-                    number, kept = number + 1, []
+                    number, kept, width = number + 1, [], len(v)
+                kept.append((i, c, m, v))
         if kept:
             yield block(number, kept)
 
@@ -165,7 +167,7 @@ def whole_vector(vector: str | Column = "embedding") -> Column:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, groups: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row its k best other rows by inner product of floor(scale * x).
 
-    Candidates and queries are packed into blocks. Candidate blocks are dealt to groups of about HELD, as many groups as it takes; a task
+    Candidates and queries are packed into blocks by bytes. Candidate blocks are dealt to groups of about HELD_BYTES, as many groups as it takes; a task
     holds a group and reads the query blocks, which go to each group, one after the other. The k-th best score that a block gives
     prunes in the next. The best k of each group meet per query. Ties go to the smaller id.
 
@@ -181,7 +183,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     # Of equal query rows the first is the query's own row; k more are all that can be among its best.
     again = asked.select("id", F.explode(F.sequence(F.lit(1), F.least("rows", F.lit(k + 1)).cast("int"))).alias("j"), "v")
     candidates = rows.where("NOT q").select("id", none.alias("copy"), one.alias("rows"), "v").unionAll(again.select("id", F.when(F.col("j") == 1, mark).otherwise(none), one, "v"))
-    groups = groups or max(partitions(vectors.sparkSession), -(-rows.count() // (HELD * CANDIDATES)))
+    total = rows.agg(F.sum(8 * F.size("v").cast("long"))).first()[0] or 0
+    groups = groups or max(partitions(vectors.sparkSession), -(-total // HELD_BYTES))
     # Blocks are numbered by partition and place in it, which deals them evenly.
     group = F.pmod(F.shiftright("number", 32) + F.col("number").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(groups)).cast("int")
     blocks = candidates.mapInArrow(_blocks(CANDIDATES, scale), BLOCKS).withColumns({"asks": F.lit(False), "g": group})

@@ -97,6 +97,16 @@ def test_top_k_of_large_components(spark):
     assert found_top_k(spark.createDataFrame([*vectors, (200, [3e38] * 4)], SCHEMA)) == brute_top_k([*vectors, (200, [3e38] * 4)])
 
 
+def test_blocks_of_wide_vectors_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1 << 12)
+    rng = np.random.default_rng(2)
+    vectors = [(k, rng.normal(size=100 if k % 7 else 3).astype(np.float32).tolist()) for k in range(120)]
+    table = spark.createDataFrame(vectors, SCHEMA).repartition(2)
+    rows = table.selectExpr("vec_id AS id", "0L AS copy", "1L AS rows", "cast(embedding AS array<double>) AS v").mapInArrow(topk._blocks(2048, 256), topk.BLOCKS).collect()
+    assert sum(len(r["ids"]) // 8 for r in rows) == 120 and all(len(r["vectors"]) <= 1 << 12 for r in rows)
+    assert found_top_k(table) == brute_top_k(vectors)
+
+
 def test_top_k_stops_before_the_end_of_the_lists():
     rng = np.random.default_rng(8)
     vectors = np.floor(256 * rng.pareto(1.5, (4000, 16)))
