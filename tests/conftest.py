@@ -8,6 +8,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
+from corpuswell.staging import clean  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,4 +19,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean(session)
     session.stop()
