@@ -99,26 +99,28 @@ def _kept(audit: str) -> int:
     return len(audit) - audit.count("D")
 
 
-def _pieces(batches):
+def _pieces(span: int, chars: int):
     """Sorted turns (conv_id, turn, role, text) of a partition as pieces of conversations, numbered in order over all partitions."""
-    number = TaskContext.get().partitionId() << 32
-    held: tuple[list, list, list] = ([], [], [])
-    owner, size = None, 0
 
-    def piece():
+    def piece(owner, number, held):
         return pa.record_batch([pa.array([x], t) for x, t in zip((owner, number, *held), _PIECE)], ["conv_id", "piece", "turns", "roles", "texts"])
 
-    for batch in batches:
-        for conv, turn, role, text in zip(*(batch.column(j).to_pylist() for j in range(4))):
-            if held[0] and (conv != owner or len(held[0]) >= SPAN or size >= SPAN_CHARS):
-                yield piece()
-                number, held, size = number + 1, ([], [], []), 0
-            owner = conv
-            for column, x in zip(held, (turn, role, text)):
-                column.append(x)
-            size += len(text)
-    if held[0]:
-        yield piece()
+    def run(batches):
+        number, owner, size = TaskContext.get().partitionId() << 32, None, 0
+        held: tuple[list, list, list] = ([], [], [])
+        for batch in batches:
+            for conv, turn, role, text in zip(*(batch.column(j).to_pylist() for j in range(4))):
+                if held[0] and (conv != owner or len(held[0]) >= span or size >= chars):
+                    yield piece(owner, number, held)
+                    number, held, size = number + 1, ([], [], []), 0
+                owner = conv
+                for column, x in zip(held, (turn, role, text)):
+                    column.append(x)
+                size += len(text)
+        if held[0]:
+            yield piece(owner, number, held)
+
+    return run
 
 
 PIECES = "conv_id long, piece long, turns array<long>, roles array<string>, texts array<string>"
@@ -284,7 +286,7 @@ def repair_conversations(turns: DataFrame, every: DataFrame | None = None) -> Da
     spark = turns.sparkSession
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("salt", F.spark_partition_id())
     order = ["conv_id", "turn", "role", "text", "salt"]
-    pieces = staged(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order[:4]).drop("salt").mapInArrow(_pieces, PIECES), "pieces")
+    pieces = staged(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order[:4]).drop("salt").mapInArrow(_pieces(SPAN, SPAN_CHARS), PIECES), "pieces")
     several = staged(pieces.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select("conv_id"), "several")
     done = _joined(pieces, several, ["conv_id"], "left_anti").mapInArrow(_repair, REPAIRED)
     long, piece = _joined(pieces, several, ["conv_id"], "left_semi"), ["conv_id", "piece"]

@@ -161,7 +161,7 @@ def _pack(block: int, kind: str, level: int, share: int, mark: int, a: bytes, b:
     return pa.record_batch([pa.array([x], t) for x, t in zip((block, kind, level, share, mark, a, b, c), kinds)], _NAMES)
 
 
-def _text_blocks(batches):
+def _text_blocks(batches, most: int):
     """(number, ids, which are null, training, texts) of a task's rows (doc_id, training, text)."""
     ids, training, texts, size, k = [], [], [], 0, TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -170,18 +170,18 @@ def _text_blocks(batches):
             training.append(t)
             texts.append(x.as_py())
             size += len(texts[-1]) + 1
-            if size >= BLOCK:
+            if size >= most:
                 yield k, ids, np.array(training, bool), texts
                 ids, training, texts, size, k = [], [], [], 0, k + 1
     if texts:
         yield k, ids, np.array(training, bool), texts
 
 
-def _grams(order: int, shares: int):
+def _grams(order: int, shares: int, most: int):
     """Of each block, level and share the distinct n-grams and how often they stand in training texts there."""
 
     def run(batches):
-        for number, _, training, texts in _text_blocks(batches):
+        for number, _, training, texts in _text_blocks(batches, most):
             block = Block(texts, training, order)
             for n, level in enumerate(block.levels, 1):
                 ends = _shares(level.keys, shares).tolist()
@@ -240,11 +240,15 @@ def _weigh(batches):
             yield _pack(row["block"], "weight", n, row["share"], row["mark"], _planes(weight[at]), np.packbits(spare[at] > 0).tobytes())
 
 
-def _texts(batches):
+def _texts(most: int):
     """Blocks of texts, compressed, which meet what the shares answered."""
-    for number, ids, training, texts in _text_blocks(batches):
-        about = np.array([[i or 0, i is None, t, len(x)] for i, t, x in zip(ids, training, texts)], "<i8")
-        yield _pack(number, "text", 0, -1, 0, zstandard.compress(b"".join(texts), 3), _planes(about.ravel()))
+
+    def run(batches):
+        for number, ids, training, texts in _text_blocks(batches, most):
+            about = np.array([[i or 0, i is None, t, len(x)] for i, t, x in zip(ids, training, texts)], "<i8")
+            yield _pack(number, "text", 0, -1, 0, zstandard.compress(b"".join(texts), 3), _planes(about.ravel()))
+
+    return run
 
 
 def _with_answers(order: int, use):
@@ -345,7 +349,7 @@ def katz_scores(docs: DataFrame, training: Column | None = None, order: int = 2,
     least = partitions(docs.sparkSession)
     shares = max(least, -(-text_bytes(rows) // PER_SHARE))
     dealt = lambda packs: packs.repartitionById(shares, F.col("share"))
-    found = staged(dealt(rows.mapInArrow(_grams(order, shares), PACKS)).mapInArrow(_count, PACKS), "ngrams")
+    found = staged(dealt(rows.mapInArrow(_grams(order, shares, BLOCK), PACKS)).mapInArrow(_count, PACKS), "ngrams")
     sizes: dict[int, np.ndarray] = {n: np.zeros(DISCOUNTED + 3, np.int64) for n in range(1, order + 1)}
     # A row of eight numbers for each share and level.
     for row in found.where("kind = 'histogram'").select("level", "a").toLocalIterator():
@@ -361,6 +365,6 @@ def katz_scores(docs: DataFrame, training: Column | None = None, order: int = 2,
 
 def _by_block(rows: DataFrame, found: DataFrame, shares: int, least: int):
     """Blocks of texts together with the answers to them."""
-    both = rows.mapInArrow(_texts, PACKS).unionAll(found.where("block >= 0"))
+    both = rows.mapInArrow(_texts(BLOCK), PACKS).unionAll(found.where("block >= 0"))
     both = both.repartition(shares, "block") if shares > least else both
     return both.groupBy("block")
