@@ -34,24 +34,24 @@ def least_grams(data: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def _spans(texts: pa.Array):
+def _spans(texts: pa.Array, chunk: int):
     """Some texts at a time as (first row, bytes, where each text begins and at last ends)."""
     raw = pc.fill_null(texts, "").cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
     lo = 0
     while lo < len(raw):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, "right")) - 1)
         yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
 
-def _text_grams(lengths: list[int]):
+def _text_grams(lengths: list[int], chunk: int = CHUNK):
     """Of each text the distinct least grams at all its places."""
 
     def run(batches):
         for batch in batches:
-            for lo, data, edges in _spans(batch.column(1)):
+            for lo, data, edges in _spans(batch.column(1), chunk):
                 for n in lengths:
                     least = least_grams(data, n)
                     owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[: len(least)]
@@ -97,7 +97,7 @@ def containing(items: DataFrame, docs: DataFrame, text: str | Column = "text") -
     kinds = {c: t for df in (docs, items) for c, t in df.dtypes}
     anchors = some.mapInArrow(_item_grams, f"query_id {kinds['query_id']}, item string, length int, gram long")
     lengths = sorted(r["length"] for r in anchors.select("length").distinct().collect())  # some of GRAMS
-    grams = rows.mapInArrow(_text_grams(lengths), f"doc_id {kinds['doc_id']}, length int, gram long")
+    grams = rows.mapInArrow(_text_grams(lengths, CHUNK), f"doc_id {kinds['doc_id']}, length int, gram long")
     met = grams.join(anchors, ["length", "gram"]).select("doc_id", "query_id", "item").distinct()
     found = rows.join(met, "doc_id").where(F.contains("text", "item")).select("doc_id", "query_id")
     empty = items.where("item = ''").select("query_id", F.lit(0).alias("_all"))

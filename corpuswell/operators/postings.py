@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from corpuswell.functions.text import words
 from corpuswell.staging import staged
 
-#: Words of a segment, documents of a block of postings, query words that meet a segment at a time.
-SEGMENT, BLOCK, QUERY_WORDS = 2_000_000, 256, 1_000_000
+#: Words of a segment, rows that are taken up at a time, documents of a block of postings, query words that meet a segment at a time.
+SEGMENT, STEP, BLOCK, QUERY_WORDS = 2_000_000, 1024, 256, 1_000_000
 #: Distinct query words that are broadcast at most.
 BROADCAST_TERMS = 500_000
 #: Okapi's parameters: how fast repeated words saturate, how much length counts, what share of the mean weight a negative one becomes.
@@ -75,19 +75,24 @@ def _segment(number: int, ids: pa.Array, listed: pa.Array) -> Iterator[pa.Record
     yield pa.record_batch(columns, _NAMES)
 
 
-def _segments(batches):
-    number, ids, listed, size = TaskContext.get().partitionId() << 32, [], [], 0
-    for batch in batches:
-        for lo in range(0, len(batch), 1024):
-            part = batch.slice(lo, 1024)
-            ids.append(part.column(0))
-            listed.append(part.column(1))
-            size += len(pc.list_flatten(part.column(1)))
-            if size >= SEGMENT:
-                yield from _segment(number, pa.concat_arrays(ids), pa.concat_arrays(listed))
-                number, ids, listed, size = number + 1, [], [], 0
-    if ids:
-        yield from _segment(number, pa.concat_arrays(ids), pa.concat_arrays(listed))
+def _segments(most: int, step: int):
+    """Rows of a task (doc_id, words) as segments, each ended by the rows with which it gets `most` words."""
+
+    def run(batches):
+        number, ids, listed, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                ids.append(part.column(0))
+                listed.append(part.column(1))
+                size += len(pc.list_flatten(part.column(1)))
+                if size >= most:
+                    yield from _segment(number, pa.concat_arrays(ids), pa.concat_arrays(listed))
+                    number, ids, listed, size = number + 1, [], [], 0
+        if ids:
+            yield from _segment(number, pa.concat_arrays(ids), pa.concat_arrays(listed))
+
+    return run
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def segments(docs: DataFrame) -> DataFrame:
     words; each row is a document.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).mapInArrow(_segments, _schema(kind))
+    return docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).mapInArrow(_segments(SEGMENT, STEP), _schema(kind))
 
 
 def write_index(docs: DataFrame, path: str, mode: str = "error") -> DataFrame:

@@ -24,12 +24,12 @@ def _means(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     return np.concatenate([values[rng.integers(0, n, size=(min(some, resamples - at), n))].mean(axis=1) for at in range(0, resamples, some)])
 
 
-def picks(seed: int, block: int, n: int) -> np.ndarray:
-    """What the block-th DRAWN numbers of the generator pick out of n. The generator is advanced to where the block begins; whether a number picks or is thrown
+def picks(seed: int, block: int, n: int, drawn: int) -> np.ndarray:
+    """What the block-th `drawn` numbers of the generator pick out of n. The generator is advanced to where the block begins; whether a number picks or is thrown
     away, so that all of n are equally likely, depends on that number only."""
     source = np.random.PCG64(seed)
-    source.advance(block * (DRAWN // 2))
-    scaled = source.random_raw(DRAWN // 2).view(np.uint32).astype(np.uint64) * np.uint64(n)
+    source.advance(block * (drawn // 2))
+    scaled = source.random_raw(drawn // 2).view(np.uint32).astype(np.uint64) * np.uint64(n)
     return (scaled[(scaled & np.uint64(0xFFFFFFFF)) >= (1 << 32) % n] >> np.uint64(32)).astype(np.int64)
 
 
@@ -39,7 +39,7 @@ def _dealt_means(values: DataFrame, by: list[str], resamples: int, seed: int) ->
     A group is sorted and packed once; its draws are dealt to tasks in blocks. What blocks of draws pick is counted first, which tells at which place of which
     resample each begins; then the blocks give sums of resamples, which meet by resample.
     """
-    keys = ", ".join(f"`{c}` {t}" for c, t in values.dtypes if c in by)
+    keys, drawn = ", ".join(f"`{c}` {t}" for c, t in values.dtypes if c in by), DRAWN
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("_o")["_v"].to_numpy("<f8")
@@ -49,14 +49,14 @@ def _dealt_means(values: DataFrame, by: list[str], resamples: int, seed: int) ->
 
     def count(frames):
         for pdf in frames:
-            pdf["picked"] = [len(picks(seed, b, n)) for b, n in zip(pdf["block"], pdf["n"])]
+            pdf["picked"] = [len(picks(seed, b, n, drawn)) for b, n in zip(pdf["block"], pdf["n"])]
             yield pdf
 
     def add(frames):
         for pdf in frames:
             for row in pdf.to_dict("records"):
                 v, n = np.frombuffer(row["packed"], "<f8"), row["n"]
-                own = v[picks(seed, row["block"], n)][: max(0, resamples * n - row["start"])]
+                own = v[picks(seed, row["block"], n, drawn)][: max(0, resamples * n - row["start"])]
                 place = (row["start"] + np.arange(len(own))) // n
                 first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))[: len(own)]
                 if len(own):
@@ -65,7 +65,7 @@ def _dealt_means(values: DataFrame, by: list[str], resamples: int, seed: int) ->
     packed = staged(values.groupBy(*by).applyInPandas(pack, f"{keys}, n long, value double, packed binary"), "packed")
     # So many numbers are thrown away on average; a block more is far beyond chance.
     thrown = F.pmod(F.lit(1 << 32), F.col("n")) / (1 << 32)
-    last = F.ceil(resamples * F.col("n") / (1 - thrown) / DRAWN).cast("int")
+    last = F.ceil(resamples * F.col("n") / (1 - thrown) / drawn).cast("int")
     blocks = packed.select(*by, "n", F.explode(F.sequence(F.lit(0), last)).alias("block"))
     counted = blocks.repartition(*by, "block").mapInPandas(count, f"{keys}, n long, block int, picked long")
     before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuswell.config import SETTINGS as S
 from corpuswell.config import STRATEGIES
 from corpuswell.functions import text as T
-from corpuswell.operators import chunkers, containment, metrics, prompting, ranking, stats, structure, tokens, vectors
+from corpuswell.operators import balls, chunkers, containment, metrics, prompting, ranking, stats, structure, tokens, vectors
 from corpuswell.plans import experiments, reporting
 from corpuswell.sources import index
 from corpuswell.staging import staged
@@ -166,6 +166,11 @@ def dense_topk(spark, sf):
     return ranking.ranked(_scores(spark, sf, S.top_k), S.top_k).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def dense_topk_balls(spark, sf):
+    found = balls.nearest(_queries(spark, sf), balls.balls(_vectors(spark, sf)), S.top_k, exclude_self=True)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 def minmax_norm(spark, sf):
     return ranking.min_max(_scores(spark, sf)).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
@@ -731,6 +736,7 @@ ORACLE = {
     "strategy_scan": _FIXED_INDEX + " SELECT chunk_id, position::INT AS position, length(chunk_text) AS n FROM x",
     "hash_embed": "SELECT doc_id, slot::INT AS slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM (SELECT doc_id, slot, count(*)::DOUBLE AS n FROM (SELECT doc_id, " + _SLOT + " AS slot FROM (SELECT doc_id, unnest(" + _WORDS.format("text") + ") AS w FROM documents)) GROUP BY ALL)",
     "cosine_scores": _OTHERS + "SELECT query_id, vec_id, round(score, 6) AS score FROM s",
+    "dense_topk_balls": _OTHERS + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM h WHERE rank <= 8",
     "dense_topk": _OTHERS + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM h WHERE rank <= 8",
     "minmax_norm": _OTHERS + """SELECT query_id, vec_id, round(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo + 1e-12) END, 6) AS score
         FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM s)""",
@@ -782,7 +788,7 @@ QUERIES = {
     for f in (
         papers_topic_search, topics_to_search, abstract_filter_topk, metadata_scan, page_text_extract, strategy_labels, token_counts, paragraph_split,
         remove_references, point_ids, source_links, parse_hierarchy, text_without_abstract, chunk_fixed_window, chunk_structure_aware, chunk_semantic,
-        chunk_section_level, chunk_all_strategies, abstract_chunk_union, index_upsert_dedupe, strategy_scan, hash_embed, cosine_scores, dense_topk,
+        chunk_section_level, chunk_all_strategies, abstract_chunk_union, index_upsert_dedupe, strategy_scan, hash_embed, cosine_scores, dense_topk, dense_topk_balls,
         minmax_norm, mmr_topk, bm25_scores, hybrid_topk, rerank_pool, rerank_topk, neighbor_expand, distinct_sources, context_budget, context_assembly,
         transcript_html, relevance_grades, retrieval_metrics, mean_metrics, config_sweep, phase_winner, report_cells, wilcoxon_stat, significance_pairs,
         bootstrap_ci, paired_bootstrap, wilcoxon_p_values, manifest_join, corpus_union, gold_passage_contains, graded_passages, phase2_sweep,

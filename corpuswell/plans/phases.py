@@ -82,9 +82,35 @@ def _models_sql() -> str:
       SELECT model, config_id, metric, round(avg(value), 6) AS value FROM long GROUP BY ALL"""
 
 
-QUERIES = {f.__name__: f for f in (phase1_sweep, phase2_diverse_sweep, phase3_sweep)}
+def answers_by_topic(spark, sf):
+    """The whole path of a question, for each benchmark item: its first word is the topic, papers are found by it, and the item is answered from them."""
+    asked = C._items(spark, sf).withColumn("topics", F.regexp_extract("text", "[A-Za-z]+", 0)).where("topics <> ''")
+    papers = C._docs(spark, sf).select("doc_id", F.col("source").alias("title"), F.col("text").alias("abstract"), "text")
+    given = service.answer_topics(asked, papers, ("FIXED_WINDOW_OVERLAP",), diverse=False, expand=False)
+    return given.select("query_id", "strategy_label", F.md5("answer").alias("answer"), F.size("sources").cast("long").alias("n_sources"), F.array_min("sources.doc_id").alias("least_source"))
+
+
+_ANSWERS = C._FIXED_INDEX + f""",
+  topic AS (SELECT item_id AS query_id, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS topic FROM benchmark WHERE regexp_extract(text, '[A-Za-z]+', 0) <> ''),
+  qv AS MATERIALIZED {C._VEC.format(id="item_id", table="benchmark", words=C._WORDS.format("text"))}, av AS MATERIALIZED {C._VEC.format(id="doc_id", table="documents", words=C._WORDS.format("text"))},
+  found AS (SELECT query_id, doc_id FROM topic JOIN documents ON contains(lower(source || ' ' || text), topic) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 20),
+  kept AS (SELECT query_id, found.doc_id FROM found JOIN qv ON item_id = query_id JOIN av ON av.doc_id = found.doc_id
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(qv.vec, av.vec), 9) DESC, found.doc_id DESC) <= 6),
+  own AS (SELECT doc_id, position, chunk_text FROM x UNION ALL SELECT doc_id, -1, text FROM documents WHERE {C._STRIP.format("text")} <> '' AND doc_id IN (SELECT doc_id FROM x)),
+  ch AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, position) AS vid FROM own WHERE doc_id IN (SELECT doc_id FROM kept)),
+  cv AS MATERIALIZED {C._VEC.format(id="vid", table="ch", words=C._WORDS.format("chunk_text"))},
+  hits AS (SELECT query_id, ch.doc_id, chunk_text, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(qv.vec, cv.vec), 9) DESC, vid) AS rank
+    FROM kept JOIN ch USING (doc_id) JOIN cv USING (vid) JOIN qv ON item_id = query_id QUALIFY rank <= 8),
+  told AS (SELECT query_id, greatest(2000, (18004 - 80 * count(*)) // count(*)) AS most, count(DISTINCT doc_id) AS n_sources, min(doc_id) AS least_source, arg_min(chunk_text, rank) AS t FROM hits GROUP BY query_id)
+  SELECT topic.query_id, '{C.STRATEGIES["FIXED_WINDOW_OVERLAP"]}' AS strategy_label, n_sources, least_source,
+    md5(regexp_extract(split_part(CASE WHEN length(t) > most THEN t[:most] || '...' ELSE t END, chr(10), 1), '^(.*?[.!?])(?:\s|$)', 1)) AS answer
+  FROM topic JOIN told USING (query_id)
+  UNION ALL SELECT query_id, '{C.STRATEGIES["STRUCTURE_AWARE_OVERLAP"]}', 0, NULL, md5('No papers found for this query.') FROM topic WHERE query_id NOT IN (SELECT query_id FROM kept)"""
+
+QUERIES = {f.__name__: f for f in (phase1_sweep, phase2_diverse_sweep, phase3_sweep, answers_by_topic)}
 ORACLE = {
     "phase1_sweep": "SELECT config_id, metric, round(avg(value), 6) AS value FROM (" + " UNION ALL ".join(_chunker_sql(s, *own) for s, own in _CHUNKERS.items()) + ") GROUP BY ALL",
     "phase2_diverse_sweep": C._phase2_sql(diverse=True) + " SELECT config_id, metric, round(avg(value), 6) AS value FROM l GROUP BY ALL",
     "phase3_sweep": _models_sql(),
+    "answers_by_topic": _ANSWERS,
 }

@@ -8,10 +8,9 @@ from corpuswell.operators import stats
 
 
 @pytest.mark.parametrize("n", [2, 7, 49, 1000, 3_000_000_001])
-def test_picks_are_those_of_one_generator(monkeypatch, n):
-    monkeypatch.setattr(stats, "DRAWN", 512)
+def test_picks_are_those_of_one_generator(n):
     want = np.random.default_rng(42).integers(0, n, size=2000)
-    got = np.concatenate([stats.picks(42, b, n) for b in range(20)])
+    got = np.concatenate([stats.picks(42, b, n, 512) for b in range(20)])
     assert len(got) >= 2000 and (got[:2000] == want).all()  # of three thousand millions many numbers are thrown away
     assert n < 3e9 or len(got) < 0.8 * 20 * 512
 

@@ -48,7 +48,7 @@ QUERIES = [(1, "the w1 w2 w2"), (2, "w7 w300 unknown"), (3, "The the the"), (4,
 @pytest.mark.parametrize("k", [None, 1, 5])
 def test_search_as_plain_okapi(spark, monkeypatch, segment, k):
     monkeypatch.setattr(P, "SEGMENT", segment)
-    monkeypatch.setattr(P, "BLOCK", 7)
+    monkeypatch.setattr(P, "STEP", 8)
     docs = some_docs() + [(900, None), (901, " \n")]
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = P.bm25(spark.createDataFrame(QUERIES, "query_id long, text string"), table, k)
