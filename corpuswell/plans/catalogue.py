@@ -57,7 +57,7 @@ def papers_topic_search(spark, sf):
 
 
 def topics_to_search(spark, sf):
-    topics = F.concat_ws(",", F.col("lang"), F.concat(F.lit("  "), F.left("text", F.lit(12)), F.lit(" ")), F.lit(" "), F.col("source"))
+    topics = F.concat_ws(",", F.col("lang"), F.concat(F.lit("  "), F.col("text"), F.lit(" ")), F.lit(" "), F.col("source"))
     return _docs(spark, sf).select("doc_id", T.search_query(topics).alias("query"))
 
 
@@ -76,8 +76,10 @@ def page_text_extract(spark, sf):
 
 
 def strategy_labels(spark, sf):
-    rows = spark.createDataFrame([(s,) for s in [*STRATEGIES, "OTHER"]], "strategy string")
-    return rows.select("strategy", T.strategy_label(F.col("strategy")).alias("label"))
+    """A strategy for each document, one of them without a label, and what it is called."""
+    names = F.array(*[F.lit(x) for x in [*STRATEGIES, "OTHER"]])
+    rows = _docs(spark, sf).select("doc_id", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")).alias("strategy"))
+    return rows.select("doc_id", "strategy", T.strategy_label(F.col("strategy")).alias("label"))
 
 
 def token_counts(spark, sf):
@@ -140,7 +142,7 @@ def chunk_all_strategies(spark, sf):
 
 def abstract_chunk_union(spark, sf):
     docs = _docs(spark, sf)
-    abstracts = docs.select("doc_id", F.left("text", F.lit(40)).alias("abstract"))
+    abstracts = docs.select("doc_id", F.col("text").alias("abstract"))
     return chunkers.index_chunks(docs, "FIXED_WINDOW_OVERLAP", abstracts).select("doc_id", "chunk_id", "position", "section", F.md5("chunk_text").alias("digest"))
 
 
@@ -407,9 +409,9 @@ def wilcoxon_p_values(spark, sf):
 def manifest_join(spark, sf):
     """Dataset rows matched to a manifest by id, else by (topics, question); both are views of the benchmark."""
     items = _table(spark, sf, "benchmark")
-    dataset = items.select(F.concat(F.lit("ex_"), F.col("item_id").cast("string")).alias("id"), F.left("text", F.lit(20)).alias("topics"), F.col("text").alias("question"))
+    dataset = items.select(F.concat(F.lit("ex_"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("topics"), F.col("text").alias("question"))
     manifest = items.select(
-        F.concat(F.when(F.col("item_id") % 2 == 0, "ex_").otherwise("q_"), F.col("item_id").cast("string")).alias("id"), F.left("text", F.lit(20)).alias("topics"),
+        F.concat(F.when(F.col("item_id") % 2 == 0, "ex_").otherwise("q_"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("topics"),
         F.col("text").alias("question"), F.array(F.concat(F.lit("p"), (F.col("item_id") % 7).cast("string")), F.concat(F.lit("p"), (F.col("item_id") % 5).cast("string"))).alias("paper_ids"),
         F.col("item_id").alias("ord"),
     )
@@ -715,14 +717,14 @@ ORACLE = {
         FROM (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('paper_' || paper_id)) AS h FROM last)""",
     "source_list": "SELECT doc_id, '<a href=\"https://arxiv.org/abs/' || doc_id || '\" target=\"_blank\" rel=\"noopener noreferrer\" class=\"source-link\">' || source || CASE WHEN doc_id % 3 = 1 THEN ' <span class=\"source-section\">(' || lang || ')</span>' ELSE '' END || '</a>' AS html FROM documents",
     "papers_topic_search": """SELECT doc_id, 'the "of the"' AS query FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'of the') ORDER BY doc_id LIMIT 20""",
-    "topics_to_search": f"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(concat_ws(',', lang, '  ' || text[:12] || ' ', ' ', source), ','),
+    "topics_to_search": f"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(concat_ws(',', lang, '  ' || text || ' ', ' ', source), ','),
         lambda t: {_STRIP.format("t")}), lambda t: t <> ''), lambda t: CASE WHEN contains(t, ' ') THEN '"' || t || '"' ELSE t END), ' ') AS query FROM documents""",
     "abstract_filter_topk": _DENSE.format(where="") + "SELECT query_id, r::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) AS r FROM s) WHERE r <= 6",
     "metadata_scan": "SELECT doc_id::VARCHAR AS paper_id, lang, source, coalesce(n_chars::VARCHAR, 'None') AS n_chars FROM documents",
     "page_text_extract": r"""SELECT page_id, split_part(list_last(string_split(url, '/')), 'v', 1) AS name, trim(regexp_replace(replace(replace(replace(replace(replace(
         regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
         '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""",
-    "strategy_labels": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in [*STRATEGIES.items(), ("OTHER", "OTHER")]) + ") AS t(strategy, label)",
+    "strategy_labels": "WITH t(k, strategy, label) AS (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate([*STRATEGIES.items(), ("OTHER", "OTHER")])) + ") SELECT doc_id, strategy, label FROM documents JOIN t ON k = doc_id % 5",
     "token_counts": "SELECT doc_id, length(text) // 4 AS tokens FROM documents",
     "paragraph_split": f"""SELECT doc_id, unnest(range(0, len(p)))::INT AS position, unnest(p) AS paragraph FROM (SELECT doc_id, CASE WHEN len(a) <= 1 AND length(text) > 500 THEN b ELSE a END AS p FROM (
         SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS a,
@@ -731,7 +733,7 @@ ORACLE = {
     "source_links": "SELECT doc_id, '[Source: ' || replace(source, '_', '\\_') || ' (arxiv.org/abs/' || doc_id || '), Section: -]' AS line, " + _HTML.format("CASE WHEN length(text) > 60 THEN text[:60] || '...' ELSE text END") + " AS html FROM documents",
     "chunk_fixed_window": "WITH " + _FIXED + " SELECT doc_id, 'FIXED_WINDOW_OVERLAP' AS strategy, position::INT AS position, length(chunk_text) AS n, md5(chunk_text) AS digest FROM c",
     "abstract_chunk_union": _FIXED_INDEX + f""" SELECT doc_id, chunk_id, position::INT AS position, NULL::VARCHAR AS section, md5(chunk_text) AS digest FROM x
-        UNION ALL SELECT doc_id, doc_id || '_FIXED_WINDOW_OVERLAP_abstract', -1, 'Abstract', md5(text[:40]) FROM documents WHERE {_STRIP.format("text[:40]")} <> '' AND doc_id IN (SELECT doc_id FROM x)""",
+        UNION ALL SELECT doc_id, doc_id || '_FIXED_WINDOW_OVERLAP_abstract', -1, 'Abstract', md5(text) FROM documents WHERE {_STRIP.format("text")} <> '' AND doc_id IN (SELECT doc_id FROM x)""",
     "index_upsert_dedupe": "SELECT source, text[:50] AS head, max(doc_id) AS doc_id FROM documents GROUP BY ALL",
     "strategy_scan": _FIXED_INDEX + " SELECT chunk_id, position::INT AS position, length(chunk_text) AS n FROM x",
     "hash_embed": "SELECT doc_id, slot::INT AS slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM (SELECT doc_id, slot, count(*)::DOUBLE AS n FROM (SELECT doc_id, " + _SLOT + " AS slot FROM (SELECT doc_id, unnest(" + _WORDS.format("text") + ") AS w FROM documents)) GROUP BY ALL)",
@@ -779,7 +781,13 @@ ORACLE = {
         r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY pair ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS r FROM t),
         s AS (SELECT pair, least(sum(r * up), sum(r * t) - sum(r * up)) AS w, sum(t)::DOUBLE AS n, sum(t::DOUBLE * t * t - t) AS ties FROM r GROUP BY pair)
         SELECT pair, round(w, 1) AS statistic, round((w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 6) AS z FROM s""",
-    "manifest_join": f"SELECT 'ex_' || item_id AS id, a || ',' || b AS paper_ids FROM (SELECT item_id, {_MANIFEST} FROM benchmark)",
+    "manifest_join": """
+        WITH m AS (
+          SELECT CASE WHEN item_id % 2 = 0 THEN 'ex_' ELSE 'q_' END || item_id AS id, text AS topics, text AS question, 'p' || item_id % 7 || ',' || 'p' || item_id % 5 AS papers, item_id AS ord FROM benchmark),
+        by_id AS (SELECT id, arg_max(papers, ord) AS a FROM m GROUP BY id),
+        by_text AS (SELECT topics, question, arg_max(papers, ord) AS b FROM m GROUP BY ALL)
+        SELECT 'ex_' || item_id AS id, coalesce(a, b) AS paper_ids
+        FROM benchmark LEFT JOIN by_id ON by_id.id = 'ex_' || item_id LEFT JOIN by_text ON topics = text AND question = text""",
     "corpus_union": f"SELECT paper_id, row_number() OVER (ORDER BY min(f))::BIGINT AS position FROM (SELECT a AS paper_id, (item_id, 0) AS f FROM (SELECT item_id, {_MANIFEST} FROM benchmark) UNION ALL SELECT b, (item_id, 1) FROM (SELECT item_id, {_MANIFEST} FROM benchmark)) GROUP BY paper_id",
 }
 

@@ -87,7 +87,7 @@ def answers_by_topic(spark, sf):
     asked = C._items(spark, sf).withColumn("topics", F.regexp_extract("text", "[A-Za-z]+", 0)).where("topics <> ''")
     papers = C._docs(spark, sf).select("doc_id", F.col("source").alias("title"), F.col("text").alias("abstract"), "text")
     given = service.answer_topics(asked, papers, ("FIXED_WINDOW_OVERLAP",), diverse=False, expand=False)
-    return given.select("query_id", "strategy_label", F.md5("answer").alias("answer"), F.size("sources").cast("long").alias("n_sources"), F.array_min("sources.doc_id").alias("least_source"))
+    return given.select("query_id", "strategy_label", F.md5("answer").alias("answer"), F.size("sources").cast("long").alias("n_sources"), F.coalesce(F.array_min("sources.doc_id"), F.lit(-1)).alias("least_source"))
 
 
 _ANSWERS = C._FIXED_INDEX + f""",
@@ -105,7 +105,7 @@ _ANSWERS = C._FIXED_INDEX + f""",
   SELECT topic.query_id, '{C.STRATEGIES["FIXED_WINDOW_OVERLAP"]}' AS strategy_label, n_sources, least_source,
     md5(regexp_extract(split_part(CASE WHEN length(t) > most THEN t[:most] || '...' ELSE t END, chr(10), 1), '^(.*?[.!?])(?:\s|$)', 1)) AS answer
   FROM topic JOIN told USING (query_id)
-  UNION ALL SELECT query_id, '{C.STRATEGIES["STRUCTURE_AWARE_OVERLAP"]}', 0, NULL, md5('No papers found for this query.') FROM topic WHERE query_id NOT IN (SELECT query_id FROM kept)"""
+  UNION ALL SELECT query_id, '{C.STRATEGIES["STRUCTURE_AWARE_OVERLAP"]}', 0, -1, md5('No papers found for this query.') FROM topic WHERE query_id NOT IN (SELECT query_id FROM kept)"""
 
 QUERIES = {f.__name__: f for f in (phase1_sweep, phase2_diverse_sweep, phase3_sweep, answers_by_topic)}
 ORACLE = {
