@@ -126,11 +126,12 @@ def papers_for(queries: DataFrame, papers: DataFrame, embed: Callable[[Column],
     return near.withColumn("rank", rank).where(F.col("rank") <= S.abstracts_kept).select("query_id", "doc_id", "rank")
 
 
-def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, debug: bool = False, log: str | None = None, **options) -> DataFrame:
+def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), generate: Callable[[Column, Column], Column] = first_sentence, debug: bool = False, log: str | None = None, chunking: dict[str, dict] | None = None, **options) -> DataFrame:
     """The whole path of a question (query_id, topics, text): search by topics, filter by abstract, chunk, retrieve from its own papers, answer.
 
     papers: doc_id, title, abstract, text (null where it could not be loaded). Abstracts are chunks at position -1. A question without a
     paper, or with none that could be loaded, gets one row, under the first strategy, that says so. Papers are chunked once, whichever questions they serve.
+    chunking: options of chunkers by strategy.
     """
     validate(queries)
     chosen = staged(papers_for(queries, papers), "papers")
@@ -140,7 +141,7 @@ def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str,
     asked = queries.join(loaded.select("query_id").distinct(), "query_id", "left_semi")
     parts = []
     for strategy in strategies:
-        chunks = staged(chunkers.index_chunks(own, strategy, own.select("doc_id", "abstract")).select("doc_id", "position", "section", "chunk_text"), "chunks")
+        chunks = staged(chunkers.index_chunks(own, strategy, own.select("doc_id", "abstract"), **(chunking or {}).get(strategy, {})).select("doc_id", "position", "section", "chunk_text"), "chunks")
         hits = retrieve(asked, chunks, papers=loaded.select("query_id", "doc_id"), **options).join(papers.select("doc_id", "title"), "doc_id")
         parts.append(answered(asked, hits, strategy, generate, debug, log))
     good = reduce(DataFrame.unionByName, parts)
@@ -153,12 +154,13 @@ def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str,
 
 def compare_chunkers(
     queries: DataFrame, gold: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = tuple(STRATEGIES), k: int = S.top_k, diverse: bool = True,
-    embed: Callable[[Column], Column] = vectors.hash_embedding, passages: DataFrame | None = None, judge: Callable[[Column], Column] | None = None,
+    embed: Callable[[Column], Column] = vectors.hash_embedding, passages: DataFrame | None = None, judge: Callable[[Column], Column] | None = None, chunking: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """config_id, query_id, metric, value of dense search without re-ranking over the chunks of each strategy; config_id is the strategy. See evaluate."""
+    """config_id, query_id, metric, value of dense search without re-ranking over the chunks of each strategy; config_id is the strategy. chunking: options
+    of chunkers by strategy. See evaluate."""
     parts = []
     for strategy in strategies:
-        items = staged(_items(chunkers.index_chunks(docs, strategy).select("doc_id", "position", "section", "chunk_text"), embed), "items")
+        items = staged(_items(chunkers.index_chunks(docs, strategy, **(chunking or {}).get(strategy, {})).select("doc_id", "position", "section", "chunk_text"), embed), "items")
         scores = staged(_kind_scores(queries, items, "dense", embed, None), "scores")
         hits = _chosen(scores, queries, items, k, "dense", diverse, False).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
         similar = metrics.passage_similarity(hits, passages, judge or embed) if passages is not None else None
