@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import words
 from corpuswell.operators.postings import bm25
-from corpuswell.operators.vectors import cosine_scores
+from corpuswell.operators.vectors import BLOCK, blocks_with, cosine_scores, unit_rows, wide
 from corpuswell.staging import staged
 
-__all__ = ["bm25", "distinct_sources", "expand_neighbours", "hybrid", "latest_wins", "min_max", "mmr", "pool_size", "ranked", "rerank", "word_overlap"]
+__all__ = ["bm25", "distinct_sources", "diverse", "expand_neighbours", "hybrid", "latest_wins", "min_max", "mmr", "pool_size", "ranked", "rerank", "word_overlap"]
 
 
 def ranked(scores: DataFrame, k: Column | int, item: str = "vec_id") -> DataFrame:
@@ -54,10 +55,10 @@ def _greedy(k: int, weight: float, pool: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", ignore_index=True)
         ids, score = rows["vec_id"].to_numpy(), rows["score"].to_numpy(float)
-        outside = -np.inf
-        if len(rows) > pool:  # the worst by bound stands for all that are not here
-            worst = rows["bound"].to_numpy(float).argmin()
-            outside = rows["bound"][worst]
+        outside, last = -np.inf, -1
+        if len(rows) > pool:  # the worst by bound, of equals the largest id, stands for all that are not here
+            outside = rows["bound"].min()
+            last = ids[rows["bound"].to_numpy(float) == outside].max()
         if len(rows) <= k:
             picks, exact = list(range(len(rows))), True
         else:
@@ -68,7 +69,7 @@ def _greedy(k: int, weight: float, pool: int):
                 value = score.copy() if near is None else np.round(weight * score - (1 - weight) * near, 9)
                 value[picks] = -np.inf
                 best = int(value.argmax())
-                exact &= near is None or value[best] > outside
+                exact &= near is None or value[best] > outside or (value[best] == outside and ids[best] <= last)
                 picks.append(best)
                 similar = np.round(v @ v[best], 9)
                 near = similar if near is None else np.maximum(near, similar)
@@ -107,6 +108,95 @@ def mmr(scores: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: float =
         bounded, size = bounded.join(again, "query_id", "left_semi"), 4 * size
 
 
+def _pack_picked(batches):
+    """Rows (query, the vector of its first choice, its own) as blocks of unit vectors; the first choices' ids stand beside."""
+    for batch in batches:
+        for lo in range(0, len(batch), BLOCK):
+            part = batch.slice(lo, BLOCK)
+            own, first = unit_rows(part.column(2)), unit_rows(part.column(3))
+            ids = [pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)]
+            yield pa.record_batch([*ids, pa.array([own.tobytes()]), pa.array([first.tobytes()])], ["q_ids", "picks", "q_vectors", "p_vectors"])
+
+
+class _Best:
+    """The rows with the `most` best bounds of each of n queries, of equal bounds those with smaller ids; what comes is kept until there is enough to sort."""
+
+    def __init__(self, n: int, most: int):
+        self.most, self.floor, self.rows, self.sorted = most, np.full(n, -np.inf), [], 0
+
+    def add(self, ids: np.ndarray, score: np.ndarray, bound: np.ndarray) -> None:
+        floor = self.floor
+        if not self.rows and len(ids) > self.most:
+            floor = -np.partition(-bound, self.most - 1, axis=1)[:, self.most - 1]
+        who, which = np.nonzero((bound >= floor[:, None]) & (bound > -np.inf))
+        self.rows.append((who, ids[which], score[who, which], bound[who, which]))
+        if sum(len(r[0]) for r in self.rows) > max(2 * self.sorted, self.most * len(self.floor)):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        who, ids, score, bound = (np.concatenate(c) for c in zip(*self.rows))
+        order = np.lexsort((ids, -bound, who))
+        who = who[order]
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))[: len(who)]
+        place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+        kept = place < self.most
+        self.rows = [(who[kept], ids[order][kept], score[order][kept], bound[order][kept])]
+        full = place == self.most - 1
+        self.floor[who[full]] = bound[order][full]
+        self.sorted = len(self.rows[0][0])
+        return self.rows[0]
+
+
+def _bounds(most: int, weight: float, exclude_self: bool):
+    """Of the vectors that a task meets, those with the `most` best bounds for each query: query_id, vec_id, score, bound."""
+
+    def run(batches):
+        best: dict[bytes, _Best] = {}
+        for batch in batches:
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]
+                ids, asked, picks = (np.array(row[c], np.int64) for c in ("ids", "q_ids", "picks"))
+                v, q, p = (np.frombuffer(row[c]).reshape(n, -1) for c, n in (("vectors", len(ids)), ("q_vectors", len(asked)), ("p_vectors", len(asked))))
+                by = lambda x: np.round(x[:, : min(x.shape[1], v.shape[1])] @ v[:, : min(x.shape[1], v.shape[1])].T, 9) + 0.0
+                score = by(q)
+                bound = np.round(weight * score - (1 - weight) * by(p), 9)
+                bound[ids[None, :] == picks[:, None]] = np.inf  # the first choice is always in the pool
+                if exclude_self:
+                    bound[ids[None, :] == asked[:, None]] = -np.inf
+                best.setdefault(asked.tobytes(), _Best(len(asked), most)).add(ids, score, bound)
+        for key, own in best.items():
+            who, ids, score, bound = own.settle()
+            table = pa.table([np.frombuffer(key, np.int64)[who], ids, score, bound], ["query_id", "vec_id", "score", "bound"])
+            yield from table.to_batches(1 << 16)
+
+    return run
+
+
+def diverse(queries: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: float = S.mmr_lambda, exclude_self: bool = False, pool: int = 64) -> DataFrame:
+    """query_id, rank, vec_id: what `mmr` chooses of the cosine scores of all vectors (vec_id, embedding), without a row for each pair.
+
+    The first choice is found as a search for the best; a second pass over the vectors, block by block, gives score and bound of each at once. A task hands on
+    no more than pool + 1 rows of a query, those with the best bounds of all the vectors that it met, so what is shuffled grows with queries and tasks.
+    """
+    own = staged(vectors.select("vec_id", "embedding"), "own")
+    first = ranked(cosine_scores(queries, own, exclude_self, 1), 1).select("query_id", F.col("vec_id").alias("pick"))
+    asked = first.join(wide(queries).withColumnRenamed("vec_id", "query_id"), "query_id").join(wide(own).select(F.col("vec_id").alias("pick"), F.col("embedding").alias("_p")), "pick")
+    asked = staged(asked.select("query_id", "pick", "embedding", "_p"), "picked")
+    done, size = None, max(pool, k)
+    while True:
+        packed = asked.mapInArrow(_pack_picked, "q_ids array<bigint>, picks array<bigint>, q_vectors binary, p_vectors binary")
+        bounded = blocks_with(asked, packed, own, 2).mapInArrow(_bounds(size + 1, weight, exclude_self), "query_id long, vec_id long, score double, bound double")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id"))
+        pools = bounded.withColumn("_n", place).where(F.col("_n") <= size + 1).drop("_n").join(own, "vec_id")
+        found = staged(pools.groupBy("query_id").applyInPandas(_greedy(k, weight, size), "query_id long, rank int, vec_id long, exact boolean"), "chosen")
+        again = found.where("NOT exact").select("query_id").distinct()
+        good = found.where("exact").select("query_id", "rank", "vec_id")
+        done = good if done is None else done.unionByName(good)
+        if again.isEmpty():
+            return done
+        asked, size = staged(asked.join(again, "query_id", "left_semi"), "picked"), 4 * size
+
+
 def pool_size(k: Column | int, n: Column) -> Column:
     """How many candidates are re-ranked for k results out of n."""
     k = F.lit(k) if isinstance(k, int) else k
