@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswell.functions.text import words
+from corpuswell.operators.vectors import unit_rows
 from corpuswell.staging import staged
 
 #: Words of a segment, rows that are taken up at a time, documents of a block of postings, query words that meet a segment at a time.
@@ -41,10 +42,13 @@ def _cells(numbers: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers, "<i4"))])
 
 
-def _segment(number: int, ids: pa.Array, listed: pa.Array) -> Iterator[pa.RecordBatch]:
-    """The rows of a segment: its documents in the order of their ids, then the blocks of each term, those of high impact first."""
+def _segment(number: int, ids: pa.Array, listed: pa.Array, vectors: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of a segment: its documents in the order of their ids, then the blocks of each term, those of high impact first. With vectors the row of
+    the documents has theirs too, one after the other."""
     order = pc.sort_indices(ids)
     ids, listed = ids.take(order), listed.take(order)
+    more = [] if vectors is None else [pa.array([unit_rows(vectors.take(order)).astype("<f8").tobytes()], pa.binary())]
+    names = [*_NAMES, "vectors"] if more else _NAMES
     dl = np.asarray(pc.fill_null(pc.list_value_length(listed), 0), np.int64)
     coded = pc.list_flatten(listed).dictionary_encode()
     dictionary, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -58,7 +62,7 @@ def _segment(number: int, ids: pa.Array, listed: pa.Array) -> Iterator[pa.Record
     term, doc, tf = term[order], doc[order], tf[order]
     nothing = [pa.array([None], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
     head = [pa.array([number], pa.int64()), pa.array([None], pa.string()), pa.array([len(dl)], pa.int32()), *nothing]
-    yield pa.record_batch([*head, pa.array([dl.astype("<i4").tobytes()], pa.binary()), pa.array([int(dl.sum())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], _NAMES)
+    yield pa.record_batch([*head, pa.array([dl.astype("<i4").tobytes()], pa.binary()), pa.array([int(dl.sum())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *more], names)
     if not len(term):
         return
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
@@ -70,27 +74,26 @@ def _segment(number: int, ids: pa.Array, listed: pa.Array) -> Iterator[pa.Record
     columns = [
         pa.array(np.full(blocks, number)), dictionary.take(pa.array(alphabetic[term[starts]])).cast(pa.string()), pa.array(n.astype(np.int32)),
         pa.array(np.maximum.reduceat(tf, starts).astype(np.int32)), pa.array(np.minimum.reduceat(dl[doc], starts).astype(np.int32)),
-        _cells(doc, starts), _cells(tf, starts), _cells(dl[doc], starts), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.list_(ids.type)),
+        _cells(doc, starts), _cells(tf, starts), _cells(dl[doc], starts), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.list_(ids.type)), *[pa.nulls(blocks, pa.binary()) for _ in more],
     ]
-    yield pa.record_batch(columns, _NAMES)
+    yield pa.record_batch(columns, names)
 
 
 def _segments(most: int, step: int):
     """Rows of a task (doc_id, words) as segments, each ended by the rows with which it gets `most` words."""
 
     def run(batches):
-        number, ids, listed, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, own, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for lo in range(0, len(batch), step):
                 part = batch.slice(lo, step)
-                ids.append(part.column(0))
-                listed.append(part.column(1))
+                own.append(part.columns)
                 size += len(pc.list_flatten(part.column(1)))
                 if size >= most:
-                    yield from _segment(number, pa.concat_arrays(ids), pa.concat_arrays(listed))
-                    number, ids, listed, size = number + 1, [], [], 0
-        if ids:
-            yield from _segment(number, pa.concat_arrays(ids), pa.concat_arrays(listed))
+                    yield from _segment(number, *map(pa.concat_arrays, zip(*own)))
+                    number, own, size = number + 1, [], 0
+        if own:
+            yield from _segment(number, *map(pa.concat_arrays, zip(*own)))
 
     return run
 
@@ -100,10 +103,11 @@ def segments(docs: DataFrame) -> DataFrame:
 
     Of a segment there is a row without term, with the ids and lengths of its documents, and rows for each term in the order of terms: blocks of BLOCK
     documents with their counts, lengths and what bounds their impact. Documents that are added make segments of their own. Null texts have no
-    words; each row is a document.
+    words; each row is a document. Where docs has a column embedding, segments hold the vectors too, for `fused`.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).mapInArrow(_segments(SEGMENT, STEP), _schema(kind))
+    kind, vectors = dict(docs.dtypes)["doc_id"], [F.col("embedding").cast("array<double>")] if "embedding" in docs.columns else []
+    rows = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words"), *vectors)
+    return rows.mapInArrow(_segments(SEGMENT, STEP), _schema(kind) + (", vectors binary" if vectors else ""))
 
 
 def write_index(docs: DataFrame, path: str, mode: str = "error") -> DataFrame:
@@ -184,13 +188,9 @@ def _search(mean: float, k: int | None):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """query_id, doc_id, score of queries (query_id, text) in an index: of each segment the k best documents of a query, or all that share a word with it.
-
-    Okapi weights; a negative one becomes EPSILON times the mean weight of the vocabulary; words that a query repeats count as often. Of the index only
-    the columns that count documents are read whole; of the postings, the blocks of words that are asked for, which meet the queries segment by
-    segment. No row is made for a pair of a query and a document that is not handed on. Scores are rounded to nine digits.
-    """
+def _meetings(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(rows of the index that are asked for, in groups (segment, g); the queries in the same groups, with their terms and weights; the mean length). A query
+    keeps its other columns than text; one without a word of the index has no terms."""
     spark = index.sparkSession
     corpus = index.where("term IS NULL").agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     n, mean = corpus["n"], max(corpus["words"], 1) / max(corpus["n"], 1)
@@ -206,11 +206,102 @@ def search(index: DataFrame, queries: DataFrame, k: int | None = None) -> DataFr
     groups = -(-size["all"] // QUERY_WORDS) or 1
     each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     lists = asked.join(hint(weighted), "term").groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("times") * F.col("idf")).alias("weights"))  # a query's words
+    others = queries.drop("text")
+    if len(others.columns) > 1:
+        lists = others.join(lists, "query_id", "left").withColumns({"terms": F.coalesce("terms", F.array().cast("array<string>")), "weights": F.coalesce("weights", F.array().cast("array<double>"))})
     heads = index.where("term IS NULL")
-    rows = blocks.select(*_NAMES).unionAll(heads.select(*_NAMES)).withColumn("g", each)
+    rows = blocks.select(*index.columns).unionAll(heads.select(*index.columns)).withColumn("g", each)
     met = lists.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).crossJoin(F.broadcast(heads.select("segment")))  # a row for each segment
-    kinds = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {index.schema['ids'].dataType.elementType.simpleString()}, score double"
-    return rows.groupBy("segment", "g").cogroup(met.groupBy("segment", "g")).applyInArrow(_search(mean, k), kinds)
+    return rows, met, mean
+
+
+def _kinds(index: DataFrame, queries: DataFrame) -> tuple[str, str]:
+    return dict(queries.dtypes)["query_id"], index.schema["ids"].dataType.elementType.simpleString()
+
+
+def search(index: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, doc_id, score of queries (query_id, text) in an index: of each segment the k best documents of a query, or all that share a word with it.
+
+    Okapi weights; a negative one becomes EPSILON times the mean weight of the vocabulary; words that a query repeats count as often. Of the index only
+    the columns that count documents are read whole; of the postings, the blocks of words that are asked for, which meet the queries segment by
+    segment. No row is made for a pair of a query and a document that is not handed on. Scores are rounded to nine digits.
+    """
+    rows, met, mean = _meetings(index.select(*_NAMES), queries.select("query_id", "text"))
+    query, doc = _kinds(index, queries)
+    return rows.groupBy("segment", "g").cogroup(met.groupBy("segment", "g")).applyInArrow(_search(mean, k), f"query_id {query}, doc_id {doc}, score double")
+
+
+def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, n: how many documents share a word with each query (none: no row), counted segment by segment."""
+    rows, met, mean = _meetings(index.select(*_NAMES), queries.select("query_id", "text"))
+
+    def count(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        found = np.zeros(len(asked), np.int64)
+        if len(blocks) and len(asked):
+            postings = Postings(blocks)
+            for j, terms in enumerate(asked["terms"].to_pylist()):
+                seen = np.zeros(postings.size, bool)
+                for t in terms:
+                    for _, _, docs, *_ in postings.terms.get(t, ()):
+                        seen[np.frombuffer(docs, "<i4")] = True
+                found[j] = seen.sum()
+        return pa.table([asked["query_id"].combine_chunks(), pa.array(found)], ["query_id", "n"])
+
+    each = rows.groupBy("segment", "g").cogroup(met.groupBy("segment", "g")).applyInArrow(count, f"query_id {_kinds(index, queries)[0]}, n long")
+    return each.groupBy("query_id").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+_LIMITS = ["_d_min", "_d_max", "_l_min", "_l_max"]
+
+
+def _both(mean: float, weight: float, k: int | None):
+    """Per segment and query the limits of both scores over all documents or, with k, the k best by their weighted sum."""
+
+    def scaled(x: np.ndarray, low: float, high: float) -> np.ndarray:
+        return np.ones(len(x)) if high - low < 1e-12 else (x - low) / (high - low + 1e-12)
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, there = [], len(blocks) and len(asked)
+        postings = Postings(blocks) if there else None
+        if there and postings.size:
+            v = np.frombuffer(pc.drop_null(blocks["vectors"])[0].as_py(), "<f8").reshape(postings.size, -1)
+            queries = unit_rows(asked["embedding"].combine_chunks())
+            width = min(v.shape[1], queries.shape[1])
+            for j, (terms, weights) in enumerate(zip(asked["terms"].to_pylist(), asked["weights"].to_pylist())):
+                dense, lexical = np.round(v[:, :width] @ queries[j, :width], 9) + 0.0, np.zeros(postings.size)
+                found, scores, _ = postings.best(terms, weights, mean, None)
+                lexical[found] = scores
+                if k is None:
+                    rows.append((j, dense.min(), dense.max(), lexical.min(), lexical.max()))
+                    continue
+                d_min, d_max, l_min, l_max = (asked[c][j].as_py() for c in _LIMITS)
+                score = np.round(weight * scaled(dense, d_min, d_max) + (1 - weight) * scaled(lexical, l_min, l_max), 9)
+                top = np.argsort(-score, kind="stable")[:k]
+                rows.append((np.full(len(top), j), top, score[top]))
+        name = lambda places: asked["query_id"].combine_chunks().take(pa.array(np.array(places, np.int64)))
+        if k is None:
+            return pa.table([name([r[0] for r in rows]), *[pa.array([float(r[c]) for r in rows], pa.float64()) for c in range(1, 5)]], ["query_id", *_LIMITS])
+        who, top, score = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        ids = postings.ids if there else pa.nulls(0, blocks.schema.field("ids").type.value_type)
+        return pa.table([name(who), ids.take(pa.array(top.astype(np.int64))), pa.array(score)], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def fused(index: DataFrame, queries: DataFrame, k: int, weight: float) -> DataFrame:
+    """query_id, doc_id, score: of each segment the k best documents of a query (query_id, text, embedding) by the weighted sum of cosine and Okapi scores, each
+    scaled to 0 to 1 between its limits over all documents; what shares no word scores 0 before that.
+
+    Both scores of a document are made where its segment is, once for the limits, of which there is a row for each query and segment, and once for the best; no row is
+    made for a pair that is not handed on. index: segments of documents with vectors.
+    """
+    rows, met, mean = _meetings(index, queries.select("query_id", "text", "embedding"))
+    query, doc = _kinds(index, queries)
+    met = staged(met, "met")
+    part = rows.groupBy("segment", "g").cogroup(met.groupBy("segment", "g")).applyInArrow(_both(mean, weight, None), ", ".join([f"query_id {query}", *[f"{c} double" for c in _LIMITS]]))
+    limits = staged(part.groupBy("query_id").agg(*[(F.min if c.endswith("min") else F.max)(c).alias(c) for c in _LIMITS]), "limits")
+    known = met.join(F.broadcast(limits), "query_id")  # a row for each query
+    return rows.groupBy("segment", "g").cogroup(known.groupBy("segment", "g")).applyInArrow(_both(mean, weight, k), f"query_id {query}, doc_id {doc}, score double")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import words
-from corpuswell.operators.postings import bm25
+from corpuswell.operators.postings import bm25, fused, matches, segments
 from corpuswell.operators.vectors import BLOCK, blocks_with, cosine_scores, unit_rows, wide
 from corpuswell.staging import staged
 
-__all__ = ["bm25", "distinct_sources", "diverse", "expand_neighbours", "hybrid", "latest_wins", "min_max", "mmr", "pool_size", "ranked", "rerank", "word_overlap"]
+__all__ = ["bm25", "distinct_sources", "diverse", "expand_neighbours", "hybrid", "hybrid_search", "latest_wins", "matches", "min_max", "mmr", "pool_size", "ranked", "rerank", "segments", "word_overlap"]
 
 
 def ranked(scores: DataFrame, k: Column | int, item: str = "vec_id") -> DataFrame:
@@ -49,6 +49,13 @@ def hybrid(dense: DataFrame, lexical: DataFrame, weight: float = S.hybrid_weight
     return both.join(bounds, "query_id").select("query_id", item, F.round(fused, 9).alias("score"))
 
 
+def hybrid_search(queries: DataFrame, docs: DataFrame, k: int, weight: float = S.hybrid_weight) -> DataFrame:
+    """query_id, doc_id, score of the k best documents (doc_id, text, embedding) of each query (query_id, text, embedding) by `hybrid` of their cosine and Okapi
+    scores, and of some more; both are made segment by segment, so all pairs are never rows. Texts and vectors are read once, into an index that is staged."""
+    index = staged(segments(docs.where("doc_id IS NOT NULL").select("doc_id", "text", "embedding")), "postings")
+    return fused(index, queries, k, weight)
+
+
 def _greedy(k: int, weight: float, pool: int):
     """The choices within a query's pool, with exact: whether no row outside it could have been chosen."""
 
@@ -177,8 +184,9 @@ def diverse(queries: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: fl
 
     The first choice is found as a search for the best; a second pass over the vectors, block by block, gives score and bound of each at once. A task hands on
     no more than pool + 1 rows of a query, those with the best bounds of all the vectors that it met, so what is shuffled grows with queries and tasks.
+    vectors are read some times, so they should be a table.
     """
-    own = staged(vectors.select("vec_id", "embedding"), "own")
+    own = vectors.select("vec_id", "embedding")
     first = ranked(cosine_scores(queries, own, exclude_self, 1), 1).select("query_id", F.col("vec_id").alias("pick"))
     asked = first.join(wide(queries).withColumnRenamed("vec_id", "query_id"), "query_id").join(wide(own).select(F.col("vec_id").alias("pick"), F.col("embedding").alias("_p")), "pick")
     asked = staged(asked.select("query_id", "pick", "embedding", "_p"), "picked")

@@ -34,11 +34,18 @@ def _items(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     return ordered.withColumn("vec_id", F.monotonically_increasing_id()).withColumn("embedding", embed(F.col("chunk_text")))
 
 
-def _kind_scores(queries: DataFrame, items: DataFrame, kind: str, embed: Callable[[Column], Column], papers: DataFrame | None) -> DataFrame:
-    """query_id, vec_id, score of dense or hybrid search, over all items or those of each query's own papers."""
-    asked = queries.select(F.col("query_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
+def _asked(queries: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    return queries.select(F.col("query_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
+
+
+def _kind_scores(queries: DataFrame, items: DataFrame, kind: str, embed: Callable[[Column], Column], papers: DataFrame | None, most: int) -> DataFrame:
+    """query_id, vec_id, score of dense or hybrid search: over all items the `most` best of each query and some more, or of all items of each query's own papers."""
+    asked = _asked(queries, embed)
     if papers is None:
-        scores = vectors.cosine_scores(asked, items)
+        if kind == "hybrid":
+            texts = items.select(F.col("vec_id").alias("doc_id"), F.col("chunk_text").alias("text"), "embedding")
+            return ranking.hybrid_search(queries.select("query_id", "text", embed(F.col("text")).alias("embedding")), texts, most).withColumnRenamed("doc_id", "vec_id")
+        return vectors.cosine_scores(asked, items, k=most)
     else:
         own = papers.join(items.select("doc_id", "vec_id", "embedding"), "doc_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
         scores = own.select("query_id", "vec_id", F.round(vectors.cosine(F.col("_q"), F.col("embedding")), 9).alias("score"))
@@ -48,13 +55,14 @@ def _kind_scores(queries: DataFrame, items: DataFrame, kind: str, embed: Callabl
     return scores
 
 
-def _chosen(scores: DataFrame, queries: DataFrame, items: DataFrame, k: int, kind: str, diverse: bool, rerank: bool) -> DataFrame:
-    """query_id, rank, vec_id of the k hits: re-ranked from the pool that belongs to k, or diverse (dense search only), or simply the best."""
+def _chosen(scores: DataFrame | None, queries: DataFrame, items: DataFrame, k: int, kind: str, diverse: bool, rerank: bool, asked: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, vec_id of the k hits: re-ranked from the pool that belongs to k, or diverse (dense search only), or simply the best. asked: the vectors of
+    queries that see all items; what is diverse is then chosen straight from vectors, not from scores."""
     if rerank:
         texts = items.select(F.col("vec_id").alias("doc_id"), F.col("chunk_text").alias("text"))
         hits = ranking.rerank(scores.withColumnRenamed("vec_id", "doc_id"), queries, texts, k).withColumnRenamed("doc_id", "vec_id")
     elif kind == "dense" and diverse:
-        hits = ranking.mmr(scores, items, k)
+        hits = ranking.mmr(scores, items, k) if asked is None else ranking.diverse(asked, items, k)
     else:
         hits = ranking.ranked(scores, k)
     return hits.select("query_id", "rank", "vec_id")
@@ -70,8 +78,10 @@ def retrieve(
     Re-ranking goes before fusion, fusion before diversity, and neighbours are added to what remains. Chunks are embedded once, and their vectors staged.
     """
     items = staged(_items(chunks, embed), "items")
-    scores = staged(_kind_scores(queries, items, kind, embed, papers), "scores")
-    found = _chosen(scores, queries, items, k, kind, diverse, rerank).join(items.drop("embedding"), "vec_id").drop("vec_id")
+    asked = None if papers is not None else staged(_asked(queries, embed), "asked")
+    straight = asked is not None and kind == "dense" and diverse and not rerank
+    scores = None if straight else staged(_kind_scores(queries, items, kind, embed, papers, max(k, S.pool_most)), "scores")
+    found = _chosen(scores, queries, items, k, kind, diverse, rerank, asked).join(items.drop("embedding"), "vec_id").drop("vec_id")
     if not expand:
         return found
     return ranking.expand_neighbours(found.select("query_id", "rank", "doc_id", "position"), chunks)
@@ -158,11 +168,11 @@ def compare_chunkers(
 ) -> DataFrame:
     """config_id, query_id, metric, value of dense search without re-ranking over the chunks of each strategy; config_id is the strategy. chunking: options
     of chunkers by strategy. See evaluate."""
-    parts = []
+    parts, asked = [], staged(_asked(queries, embed), "asked")
     for strategy in strategies:
         items = staged(_items(chunkers.index_chunks(docs, strategy, **(chunking or {}).get(strategy, {})).select("doc_id", "position", "section", "chunk_text"), embed), "items")
-        scores = staged(_kind_scores(queries, items, "dense", embed, None), "scores")
-        hits = _chosen(scores, queries, items, k, "dense", diverse, False).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
+        scores = None if diverse else _kind_scores(queries, items, "dense", embed, None, k)
+        hits = _chosen(scores, queries, items, k, "dense", diverse, False, asked).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
         similar = metrics.passage_similarity(hits, passages, judge or embed) if passages is not None else None
         found = metrics.retrieval_metrics(metrics.relevance(hits, gold, similar), queries, gold, k)
         parts.append(metrics.long_scores(found.withColumn("config_id", F.lit(strategy)), "config_id", "query_id"))
@@ -179,13 +189,13 @@ def evaluate(
     their embeddings and the scores of each kind are made once; each k is ranked by itself, as pools and diversity depend on it.
     """
     chunks = chunkers.index_chunks(docs, strategy).select("doc_id", "position", "section", "chunk_text")
-    items = staged(_items(chunks, embed), "items")
+    items, asked = staged(_items(chunks, embed), "items"), staged(_asked(queries, embed), "asked")
     parts = []
     for kind in ("dense", "hybrid"):
-        scores = staged(_kind_scores(queries, items, kind, embed, None), "scores")
+        scores = staged(_kind_scores(queries, items, kind, embed, None, max(*ks, S.pool_most)), "scores")
         for rerank in (False, True):
             for k in ks:
-                hits = _chosen(scores, queries, items, k, kind, diverse, rerank).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
+                hits = _chosen(scores, queries, items, k, kind, diverse, rerank, asked).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
                 similar = metrics.passage_similarity(hits, passages, judge or embed) if passages is not None else None
                 found = metrics.retrieval_metrics(metrics.relevance(hits, gold, similar), queries, gold, k)
                 parts.append(metrics.long_scores(found.withColumn("config_id", F.lit(f"{strategy}_{kind}_{'rerank' if rerank else 'plain'}_k{k}")), "config_id", "query_id"))
@@ -212,8 +222,8 @@ def compare_models(
             broken.append(name)
             continue
         items = staged(_items(chunks, embed), "items")
-        scores = staged(_kind_scores(queries, items, kind, embed, None), "scores")
-        hits = _chosen(scores, queries, items, k, kind, diverse, rerank).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
+        scores = staged(_kind_scores(queries, items, kind, embed, None, max(k, S.pool_most)), "scores")
+        hits = _chosen(scores, queries, items, k, kind, diverse, rerank, staged(_asked(queries, embed), "asked")).join(items.select("vec_id", F.col("doc_id").alias("paper_id"), F.col("chunk_text").alias("text")), "vec_id")
         similar = metrics.passage_similarity(hits, passages, judge or vectors.hash_embedding) if passages is not None else None
         found = metrics.retrieval_metrics(metrics.relevance(hits, gold, similar), queries, gold, k)
         parts.append(metrics.long_scores(found.withColumn("config_id", F.lit(name)), "config_id", "query_id"))
