@@ -62,3 +62,24 @@ def test_queries_make_no_table_of_all_pairs(spark):
     sf = "/root/testdata/sf0.001"
     pairs = C._docs(spark, sf).count() * C._items(spark, sf).count()
     assert C._dense_docs(spark, sf, 8).count() < pairs / 2 and C._hybrid_docs(spark, sf, 8).count() < pairs / 2
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_scaled_where_scores_are_made(spark, monkeypatch, most):
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", most)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [(40, [0.0] * 4), (41, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = table.where("vec_id % 10 = 0 OR vec_id = 41")
+    plan = vectors.scaled_scores(asked, table, True)
+    assert "Window" not in plan._jdf.queryExecution().toString() and "Aggregate" not in plan._jdf.queryExecution().toString()
+    key = lambda df: sorted((r.query_id, r.vec_id, round(r.score, 9)) for r in df.collect())
+    assert key(plan) == key(ranking.min_max(vectors.cosine_scores(asked, table, True)))
+
+
+def test_minmax_norm_writes_no_pairs_before_its_result(spark, monkeypatch):
+    from corpuswell.plans import catalogue as C
+
+    monkeypatch.setattr(ranking, "staged", lambda *_: pytest.fail("all pairs are staged"))
+    assert C.minmax_norm(spark, "/root/testdata/sf0.001").count() == 12475
