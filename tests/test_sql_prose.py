@@ -33,3 +33,14 @@ def test_lines_that_begin_with_numbers(spark, tables, name):
     got = __spark_entry__.queries()[name](spark, tables).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(want) > 0
     assert rows(got) == rows(want)
+
+
+def test_strip_takes_white_space_at_the_ends_only(spark):
+    """As the SQL does: a line separator at the end is not white space here, so a blank before it stays."""
+    from pyspark.sql import functions as F
+
+    from corpuswell.functions.text import strip
+
+    texts = ["a  ", " \x85a b\xa0\n", "\x1c\t", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(strip(F.col("t")).alias("t")).collect()
+    assert [r.t for r in rows] == ["a  ", "a b", "", "", None]
