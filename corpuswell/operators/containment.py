@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lengths of grams in bytes. An item is met by grams of the largest length n for which it has n of them, so 2 n - 1 bytes.
 GRAMS = (32, 16, 8, 4, 2, 1)
 #: Bytes of text that are hashed at once.
 CHUNK = 4 << 20
+#: Sets of terms, and bytes of them, that each task looks for by itself at most; more of them meet the texts by grams.
+SETS, SET_BYTES = 512, 1 << 20
+#: Rows after which a task looks again which sets can still gain a document.
+STEP = 256
 _U = np.uint64
 
 
@@ -104,3 +110,53 @@ def containing(items: DataFrame, docs: DataFrame, text: str | Column = "text") -
     if not empty.isEmpty():  # what is wanted of such are all texts for each
         found = found.unionByName(rows.select("doc_id", F.lit(0).alias("_all")).join(empty, "_all").select("doc_id", "query_id"))
     return found.select("query_id", "doc_id")
+
+
+def _first(sets: list[list[str]], k: int, step: int):
+    """Of the texts (doc_id, text) that a task meets, the k smallest doc_ids of those that hold all terms of each set. A set that has k of them is looked for only in texts of a smaller doc_id."""
+    wanted = [sorted((t.encode() for t in terms), key=len, reverse=True) for terms in sets]
+
+    def run(batches):
+        best: list[list] = [[] for _ in sets]
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                ids, texts = part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()
+                least = min(ids)
+                left = [(terms, own) for terms, own in zip(wanted, best) if len(own) < k or least < own[-1]]
+                if not left:
+                    continue
+                for doc, text in zip(ids, texts):
+                    for terms, own in left:
+                        if (len(own) < k or doc < own[-1]) and all(t in text for t in terms):
+                            at = bisect_left(own, doc)
+                            if at == len(own) or own[at] != doc:
+                                own.insert(at, doc)
+                                del own[k:]
+        if kind is not None:
+            terms = pa.array([x for x, own in zip(sets, best) for _ in own], pa.list_(pa.string()))
+            yield pa.record_batch([terms, pa.array([doc for own in best for doc in own], kind)], ["terms", "doc_id"])
+
+    return run
+
+
+def first_holding(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id of the k smallest doc_ids of documents (doc_id, text) that hold all terms of each query (query_id, terms: array of strings, not null).
+
+    Up to SETS different sets of terms, by measure, are looked for where texts are read, and a task hands on no more than k documents of a set; so a term that most
+    texts hold makes no row for each of them, and is hardly looked for once k are known. More sets meet the texts as in `containing`.
+    """
+    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    sets = wanted.select("terms").distinct()
+    size = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("terms", " "))), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= SETS and size["bytes"] <= SET_BYTES:
+        found = rows.mapInArrow(_first([r["terms"] for r in sets.collect()], k, STEP), f"terms array<string>, doc_id {dict(docs.dtypes)['doc_id']}").distinct()
+        place = F.row_number().over(Window.partitionBy("terms").orderBy("doc_id"))
+        return wanted.join(found.withColumn("_n", place).where(F.col("_n") <= k), "terms").select("query_id", "doc_id")
+    each = wanted.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("item"))
+    held = containing(each.select(F.struct("query_id", "n", "item").alias("query_id"), "item"), rows)
+    full = held.groupBy("query_id.query_id", "query_id.n", "doc_id").agg(F.count_distinct("query_id.item").alias("c")).where("c = n")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    return full.withColumn("_n", place).where(F.col("_n") <= k).select("query_id", "doc_id")

@@ -126,11 +126,10 @@ def papers_for(queries: DataFrame, papers: DataFrame, embed: Callable[[Column],
     terms = F.array_distinct(F.filter(F.transform(F.split(F.lower("topics"), ","), strip), lambda t: t != ""))
     wanted = queries.select("query_id", F.when(F.size(terms) > 0, terms).otherwise(F.array(F.lit(""))).alias("terms"))
     listed = papers.select("doc_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("text"))
-    held = containment.containing(wanted.select(F.struct("query_id", F.size("terms").alias("n")).alias("query_id"), F.explode("terms").alias("item")), listed)
-    found = held.groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).where("c = query_id.n").select("query_id.query_id", "doc_id")
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
-    kept = found.withColumn("_n", first).where(F.col("_n") <= S.search_results).drop("_n")
-    own = kept.join(papers.select("doc_id", embed(F.coalesce("abstract", F.lit(""))).alias("_a")), "doc_id").join(queries.select("query_id", embed(F.col("text")).alias("_q")), "query_id")
+    kept = staged(containment.first_holding(wanted, listed, S.search_results), "found")
+    # Only what was found is embedded.
+    abstracts = papers.select("doc_id", F.coalesce("abstract", F.lit("")).alias("_t")).join(kept.select("doc_id"), "doc_id", "left_semi")
+    own = kept.join(abstracts.select("doc_id", embed(F.col("_t")).alias("_a")), "doc_id").join(queries.select("query_id", embed(F.col("text")).alias("_q")), "query_id")
     near = own.withColumn("score", F.round(vectors.dot(F.col("_q"), F.col("_a")), 9))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id")))
     return near.withColumn("rank", rank).where(F.col("rank") <= S.abstracts_kept).select("query_id", "doc_id", "rank")
@@ -140,19 +139,19 @@ def answer_topics(queries: DataFrame, papers: DataFrame, strategies: tuple[str,
     """The whole path of a question (query_id, topics, text): search by topics, filter by abstract, chunk, retrieve from its own papers, answer.
 
     papers: doc_id, title, abstract, text (null where it could not be loaded). Abstracts are chunks at position -1. A question without a
-    paper, or with none that could be loaded, gets one row, under the first strategy, that says so. Papers are chunked once, whichever questions they serve.
+    paper, or with none that could be loaded, gets one row, under the first strategy, that says so. Papers that serve are read whole once and chunked once, whichever questions they serve.
     chunking: options of chunkers by strategy.
     """
     validate(queries)
     chosen = staged(papers_for(queries, papers), "papers")
-    loaded = chosen.join(papers.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    own = staged(papers.where("text IS NOT NULL").join(chosen.select("doc_id"), "doc_id", "left_semi"), "loaded")
+    loaded = chosen.join(own.select("doc_id"), "doc_id", "left_semi")
     state = queries.select("query_id").join(chosen.groupBy("query_id").agg(F.count("*").alias("_c")), "query_id", "left").join(loaded.groupBy("query_id").agg(F.count("*").alias("_l")), "query_id", "left")
-    own = papers.where("text IS NOT NULL").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = queries.join(loaded.select("query_id").distinct(), "query_id", "left_semi")
     parts = []
     for strategy in strategies:
         chunks = staged(chunkers.index_chunks(own, strategy, own.select("doc_id", "abstract"), **(chunking or {}).get(strategy, {})).select("doc_id", "position", "section", "chunk_text"), "chunks")
-        hits = retrieve(asked, chunks, papers=loaded.select("query_id", "doc_id"), **options).join(papers.select("doc_id", "title"), "doc_id")
+        hits = retrieve(asked, chunks, papers=loaded.select("query_id", "doc_id"), **options).join(own.select("doc_id", "title"), "doc_id")
         parts.append(answered(asked, hits, strategy, generate, debug, log))
     good = reduce(DataFrame.unionByName, parts)
     why = F.when(F.col("_c").isNull(), prompting.NO_PAPERS).when(F.col("_l").isNull(), prompting.NONE_LOADED)

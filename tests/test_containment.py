@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuswell.operators import containment as C
+from corpuswell.plans import service
 
 
 @pytest.mark.parametrize("chunk", [60, 4 << 20])
@@ -42,3 +43,44 @@ def test_few_grams_of_long_texts(spark):
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string").mapInArrow(C._text_grams([32]), "doc_id long, length int, gram long")
     assert rows.count() < 3 * len(text) / 33
     assert rows.where(F.col("length") != 32).isEmpty()
+
+
+@pytest.mark.parametrize("sets,step", [(512, 256), (512, 2), (0, 256)])
+def test_first_documents_that_hold_all_terms(spark, monkeypatch, sets, step):
+    monkeypatch.setattr(C, "SETS", sets)
+    monkeypatch.setattr(C, "STEP", step)
+    rng = random.Random(8)
+    texts = {d: " ".join(rng.choice(["the", "of", "été", "rare" if d % 29 == 0 else "word", "中文", ""]) for _ in range(rng.randint(0, 6))) for d in range(300)}
+    rows = [*texts.items(), (None, "the of"), (500, None)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = {1: ["the"], 2: ["the", "été"], 3: ["rare"], 4: [""], 5: ["nowhere"], 6: ["the"], 7: ["of", "the", "rare", "中"]}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+    want = sorted((q, d) for q, terms in asked.items() for d in [d for d in sorted(texts) if all(t in texts[d] for t in terms)][:5])
+    assert sorted(map(tuple, C.first_holding(queries, docs, 5).collect())) == want
+
+
+def test_a_term_that_all_texts_hold_makes_few_rows(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the text "), F.col("id").cast("string")).alias("text")).repartition(2)
+    part = docs.mapInArrow(C._first([["the"], ["text", "the"], ["4999"]], 20, C.STEP), "terms array<string>, doc_id long")
+    assert part.count() <= 2 * (20 + 20) + 1
+    queries = spark.createDataFrame([(1, ["the"])], "query_id long, terms array<string>")
+    assert sorted(r.doc_id for r in C.first_holding(queries, docs, 20).collect()) == list(range(20))
+
+
+def test_topics_search_embeds_only_what_it_finds(spark):
+    """Of many papers that hold a topic the embedder meets the first twenty."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(text):
+        @F.udf("array<double>")
+        def one(t):
+            seen.add(1)
+            return [1.0, float(len(t or ""))]
+
+        return one(text)
+
+    papers = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("Title").alias("title"), F.concat(F.lit("common "), F.col("id").cast("string")).alias("abstract"))
+    queries = spark.createDataFrame([(1, "common", "a question")], "query_id long, topics string, text string")
+    assert service.papers_for(queries, papers, embed).count() == 6
+    assert 0 < seen.value < 100
