@@ -14,6 +14,7 @@ from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import words
 from corpuswell.operators.postings import bm25, fused, matches, segments
 from corpuswell.operators.vectors import BLOCK, blocks_with, cosine_scores, unit_rows, wide
+from corpuswell.operators.vectors import Best as _Best
 from corpuswell.staging import staged
 
 __all__ = ["bm25", "distinct_sources", "diverse", "expand_neighbours", "hybrid", "hybrid_search", "latest_wins", "matches", "min_max", "mmr", "pool_size", "ranked", "rerank", "segments", "word_overlap"]
@@ -125,35 +126,6 @@ def _pack_picked(batches):
             yield pa.record_batch([*ids, pa.array([own.tobytes()]), pa.array([first.tobytes()])], ["q_ids", "picks", "q_vectors", "p_vectors"])
 
 
-class _Best:
-    """The rows with the `most` best bounds of each of n queries, of equal bounds those with smaller ids; what comes is kept until there is enough to sort."""
-
-    def __init__(self, n: int, most: int):
-        self.most, self.floor, self.rows, self.sorted = most, np.full(n, -np.inf), [], 0
-
-    def add(self, ids: np.ndarray, score: np.ndarray, bound: np.ndarray) -> None:
-        floor = self.floor
-        if not self.rows and len(ids) > self.most:
-            floor = -np.partition(-bound, self.most - 1, axis=1)[:, self.most - 1]
-        who, which = np.nonzero((bound >= floor[:, None]) & (bound > -np.inf))
-        self.rows.append((who, ids[which], score[who, which], bound[who, which]))
-        if sum(len(r[0]) for r in self.rows) > max(2 * self.sorted, self.most * len(self.floor)):
-            self.settle()
-
-    def settle(self) -> tuple[np.ndarray, ...]:
-        who, ids, score, bound = (np.concatenate(c) for c in zip(*self.rows))
-        order = np.lexsort((ids, -bound, who))
-        who = who[order]
-        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))[: len(who)]
-        place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-        kept = place < self.most
-        self.rows = [(who[kept], ids[order][kept], score[order][kept], bound[order][kept])]
-        full = place == self.most - 1
-        self.floor[who[full]] = bound[order][full]
-        self.sorted = len(self.rows[0][0])
-        return self.rows[0]
-
-
 def _bounds(most: int, weight: float, exclude_self: bool):
     """Of the vectors that a task meets, those with the `most` best bounds for each query: query_id, vec_id, score, bound."""
 

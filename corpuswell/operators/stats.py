@@ -67,12 +67,14 @@ def _dealt_means(values: DataFrame, by: list[str], resamples: int, seed: int) ->
     thrown = F.pmod(F.lit(1 << 32), F.col("n")) / (1 << 32)
     last = F.ceil(resamples * F.col("n") / (1 - thrown) / drawn).cast("int")
     blocks = packed.select(*by, "n", F.explode(F.sequence(F.lit(0), last)).alias("block"))
-    counted = blocks.repartition(*by, "block").mapInPandas(count, f"{keys}, n long, block int, picked long")
+    # Rows of blocks are few bytes and much work: their number of tasks is given, or adaptive execution makes one of them.
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), values.sparkSession.sparkContext.defaultParallelism)
+    counted = blocks.repartition(tasks, *by, "block").mapInPandas(count, f"{keys}, n long, block int, picked long")
     before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     started = counted.withColumn("start", F.coalesce(F.sum("picked").over(before), F.lit(0))).where(F.col("start") < resamples * F.col("n"))
     same = [started[c].eqNullSafe(packed[c]) for c in by]
     work = started.join(packed.select(*by, "packed"), same).select(*[started[c] for c in by], "n", "block", "start", "packed") if by else started.crossJoin(packed.select("packed"))
-    sums = work.repartition(*by, "block").mapInPandas(add, f"{keys}, resample long, total double")
+    sums = work.repartition(tasks, *by, "block").mapInPandas(add, f"{keys}, resample long, total double")
     each = sums.groupBy(*by, "resample").agg(F.sum("total").alias("total"))
     totals = each.groupBy(*by).agg(F.collect_list("total").alias("means"))  # a number for each resample
     found = totals.join(packed.select(*by, "n", "value"), [totals[c].eqNullSafe(packed[c]) for c in by]).select(*[totals[c] for c in by], "n", "value", F.transform("means", lambda x: x / F.col("n")).alias("means"))
@@ -93,6 +95,7 @@ def _resampled(values: DataFrame, by: list[str], finish, columns: str, resamples
         for pdf in frames:
             yield pd.DataFrame([[*[r[c] for c in ordered], *finish(r["value"], np.asarray(r["means"]), r["n"])] for r in pdf.to_dict("records")], columns=names)
 
+    values = staged(values, "values")  # read some times
     large = values.groupBy(*ordered).agg(F.count("*").alias("_n")).where(F.col("_n") * resamples > DRAWN).select(*[F.col(c).alias(f"_{c}") for c in ordered])
     if large.isEmpty():
         return values.groupBy(*ordered).applyInPandas(whole, f"{keys}, {columns}")

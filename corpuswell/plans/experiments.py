@@ -13,9 +13,9 @@ from corpuswell.staging import staged
 
 
 def dense_sweep(scores: DataFrame, items: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """config_id, query_id, metric, value for each k: hits are ranked once for the largest k and cut for the others."""
+    """config_id, query_id, metric, value for each k: hits are searched and ranked once for the largest k, staged, and cut for the others."""
     hits = ranking.ranked(scores, max(ks)).join(items.select("vec_id", F.col("label").alias("paper_id")), "vec_id")
-    graded = metrics.relevance(hits, gold)
+    graded = staged(metrics.relevance(hits, gold), "graded")
     one = lambda k: metrics.retrieval_metrics(graded, gold.select("query_id"), gold, k).withColumn("config_id", F.lit(f"dense_k{k}"))
     return metrics.long_scores(reduce(DataFrame.unionByName, map(one, ks)), "config_id", "query_id")
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswell.operators import stats
+from corpuswell.operators import stats, vectors
+from corpuswell.plans import experiments
 
 
 @pytest.mark.parametrize("n", [2, 7, 49, 1000, 3_000_000_001])
@@ -36,3 +37,33 @@ def test_one_large_group_runs_on_many_tasks(spark, monkeypatch):
     assert (found.mean, found.lo, found.hi) == pytest.approx((v.mean(), lo, hi), rel=1e-12)
     blocks = stats._dealt_means(table.select("g", F.col("example_id").alias("_o"), F.col("value").alias("_v")), ["g"], 20, 42)
     assert "block" in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_draws_have_tasks_of_their_own(spark, monkeypatch):
+    """Rows of blocks are small, so that adaptive execution would join them to one task."""
+    monkeypatch.setattr(stats, "DRAWN", 1 << 12)
+    table = spark.range(2000).select(F.lit("all").alias("g"), F.col("id").alias("_o"), (F.col("id") % 101).cast("double").alias("_v"))
+    plan = stats._dealt_means(table, ["g"], 200, 42)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "REPARTITION_BY_COL" not in plan
+
+
+def test_a_sweep_is_searched_once(spark):
+    rows = spark.range(60).select(F.col("id").alias("vec_id"), (F.col("id") % 3).cast("int").alias("label"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    queries = rows.where("vec_id % 20 = 0")
+    gold = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("paper_id"))
+    sweep = experiments.dense_sweep(vectors.cosine_scores(queries, rows, True, 10), rows, gold, (3, 5))
+    assert "MapInArrow" not in sweep._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [1, 4_000_000])
+@pytest.mark.parametrize("later", [False, True])
+def test_a_task_hands_on_the_best_of_all_its_blocks(spark, monkeypatch, later, held):
+    monkeypatch.setattr(vectors, "HELD", held)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rows = spark.range(500).coalesce(1).select(F.col("id").alias("vec_id"), F.array(F.sin(F.col("id") % 40), F.cos(F.col("id") % 40)).alias("embedding"))
+    queries = rows.where("vec_id % 50 = 0")
+    best = vectors.cosine_scores(queries, rows, True, 7, later).toPandas()
+    every = vectors.cosine_scores(queries, rows, True).toPandas()
+    order = [False, not later]
+    top = lambda df: df.sort_values(["score", "vec_id"], ascending=order).groupby("query_id").head(7).sort_values(["query_id", "vec_id"]).to_numpy().tolist()
+    assert top(best) == top(every) and len(best) == 7 * 10
