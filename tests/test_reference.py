@@ -416,3 +416,12 @@ def test_models_are_compared_and_broken_ones_skipped(spark):
     assert skipped == ["none"]
     pairs = experiments.model_pairs(long, "base")
     assert {(r.name, r.a, r.b) for r in pairs.collect()} == {(f"phase3_baseline_vs_wide_{m}", 1.0, 1.0) for m in ("hit", "map")}
+
+
+def test_blocks_are_parsed_once(spark):
+    """A filter on the size of the array of blocks would hold the whole parser once more."""
+    docs = spark.createDataFrame([(1, "1 One\nabc\n\\section{Two}\ndef\n\xa0\t 2.1 Sub\nghi\n\x85BIBLIOGRAPHY\nend"), (2, ""), (3, None)], "doc_id long, text string")
+    found = structure.parse_blocks(docs)
+    assert [(r.doc_id, r.block_no, r.section, r.subsection, r.text) for r in found.collect()] == [(1, 0, "One", None, "abc"), (1, 1, "Two", None, "def"), (1, 2, "Two", "Sub", "ghi")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1, plan
