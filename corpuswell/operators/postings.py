@@ -134,30 +134,37 @@ class Postings:
         head = rows.filter(pc.invert(there))
         self.ids, self.size = head["ids"].combine_chunks().flatten(), head["n"][0].as_py()
         self.terms: dict[str, list] = {}
+        self.decoded: dict[str, list] = {}
         blocks = rows.filter(there)
         for term, *cells in zip(blocks["term"].to_pylist(), *(blocks[c].to_pylist() for c in ("max_tf", "min_dl", "docs", "tfs", "dls"))):
             self.terms.setdefault(term, []).append(cells)
 
+    def blocks(self, term: str, mean: float) -> list:
+        """(bound, documents, impacts) of the blocks of a term, those of the highest bounds first, before the term's weight; made once for all queries, which have one mean."""
+        if term not in self.decoded:
+            own = [(impact(tf, dl, mean), *(np.frombuffer(x, "<i4") for x in cells)) for tf, dl, *cells in self.terms[term]]
+            self.decoded[term] = sorted(((bound, docs, impact(tfs, dls, mean)) for bound, docs, tfs, dls in own), key=lambda b: -b[0])
+        return self.decoded[term]
+
     def best(self, terms: list[str], weights: list[float], mean: float, k: int | None) -> tuple[np.ndarray, np.ndarray, int]:
         """(documents, scores, postings read) of a query: all that share a word with it, or the k best, of equal scores those with smaller ids.
 
         Terms are read by what they can add at most. A block is left where its bound and all that the other terms can add are under the k-th best score
         so far: no document in it can be among the k best, and, as impacts fall, none in the blocks after it.
         """
-        own = [(w, sorted(((max(w, 0.0) * impact(tf, dl, mean), x) for tf, dl, *x in self.terms[t]), key=lambda b: -b[0])) for t, w in zip(terms, weights) if t in self.terms]
-        own.sort(key=lambda x: -x[1][0][0])
-        total, scores, seen, read = sum(blocks[0][0] for _, blocks in own), np.zeros(self.size), np.zeros(self.size, bool), 0
+        own = [(w, max(w, 0.0), self.blocks(t, mean)) for t, w in zip(terms, weights) if t in self.terms]
+        own.sort(key=lambda x: -x[1] * x[2][0][0])
+        total, scores, seen, read = sum(most * blocks[0][0] for _, most, blocks in own), np.zeros(self.size), np.zeros(self.size, bool), 0
         # What is known of a document is a lower bound of its score only if no weight is below zero.
-        bounded = k is not None and all(w >= 0 for w, _ in own)
-        for w, blocks in own:
+        bounded = k is not None and all(w >= 0 for w, _, _ in own)
+        for w, most, blocks in own:
             floor = -np.inf
-            for j, (bound, (docs, tfs, dls)) in enumerate(blocks):
+            for j, (bound, docs, impacts) in enumerate(blocks):
                 if bounded and k <= self.size and j & (j - 1) == 0:  # after 0, 1, 2, 4, ... blocks, as it takes a look at all scores
                     floor = np.partition(scores, self.size - k)[self.size - k] - _SLACK
-                if total - blocks[0][0] + bound < floor:
+                if total - most * (blocks[0][0] - bound) < floor:
                     break
-                docs, tfs, dls = (np.frombuffer(x, "<i4") for x in (docs, tfs, dls))
-                scores[docs] += w * impact(tfs, dls, mean)
+                scores[docs] += w * impacts
                 seen[docs] = True
                 read += len(docs)
         found = np.flatnonzero(seen)

@@ -104,3 +104,12 @@ def test_reading_stops_by_the_bounds():
     # Blocks of a term fall in what bounds them.
     for blocks in own.terms.values():
         assert sum(len(b[2]) // 4 for b in blocks) == sum(1 for x in listed if next(t for t, o in own.terms.items() if o is blocks) in x)
+
+
+def test_hits_of_chunks_are_looked_up_once(spark):
+    """What is made of the hits meets no table of chunks again."""
+    from corpuswell.plans import catalogue
+
+    hits, _ = catalogue._chunk_hits(spark, "/root/testdata/sf0.001")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and {"query_id", "rank", "doc_id", "position", "section", "chunk_text"} <= set(hits.columns)
