@@ -113,3 +113,12 @@ def test_hits_of_chunks_are_looked_up_once(spark):
     hits, _ = catalogue._chunk_hits(spark, "/root/testdata/sf0.001")
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and {"query_id", "rank", "doc_id", "position", "section", "chunk_text"} <= set(hits.columns)
+
+
+def test_blocks_are_decoded_once_for_all_queries():
+    rows = pa.Table.from_batches(list(P._segment(0, pa.array([1, 2, 3]), pa.array([["a", "b"], ["a"], ["b", "b"]]))))
+    own = P.Postings(rows)
+    first = own.best(["a", "b"], [1.0, 2.0], 5 / 3, 2)
+    assert own.blocks("a", 5 / 3) is own.blocks("a", 5 / 3) and len(own.decoded) == 2
+    again = own.best(["a", "b"], [1.0, 2.0], 5 / 3, 2)
+    assert first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist()
