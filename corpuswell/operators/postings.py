@@ -42,24 +42,58 @@ def _cells(numbers: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers, "<i4"))])
 
 
+#: Which bytes are white space of `text.words`; there are two characters of two bytes more, which begin with 0xC2.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r\x1c\x1d\x1e\x1f"))
+
+
+def _listed(texts: pa.Array) -> pa.Array:
+    """`text.words` of texts that are in lower case and not null, by their bytes."""
+    texts = texts.cast(pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    blank = _BLANK[data]
+    wide = np.flatnonzero(data[:-1] == 0xC2)
+    wide = wide[np.isin(data[wide + 1], (0x85, 0xA0))]
+    blank[wide] = blank[wide + 1] = True
+    inside, edges = ~blank, offsets[(offsets > 0) & (offsets < len(data))]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= blank[:-1]
+    begins[edges] = inside[edges]
+    ends[:-1] &= blank[1:]
+    ends[edges - 1] = inside[edges - 1]
+    first = np.flatnonzero(begins)
+    cells = np.append(0, np.cumsum(np.flatnonzero(ends) + 1 - first)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(cells), pa.py_buffer(data[inside])])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, offsets).astype(np.int32)), found)
+
+
 def _segment(number: int, ids: pa.Array, listed: pa.Array, vectors: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of a segment: its documents in the order of their ids, then the blocks of each term, those of high impact first. With vectors the row of
     the documents has theirs too, one after the other."""
     order = pc.sort_indices(ids)
-    ids, listed = ids.take(order), listed.take(order)
+    ids, order = ids.take(order), order.to_numpy()
     more = [] if vectors is None else [pa.array([unit_rows(vectors.take(order)).astype("<f8").tobytes()], pa.binary())]
     names = [*_NAMES, "vectors"] if more else _NAMES
-    dl = np.asarray(pc.fill_null(pc.list_value_length(listed), 0), np.int64)
+    own = np.asarray(pc.fill_null(pc.list_value_length(listed), 0), np.int64)  # lengths as the rows came
+    dl, place = own[order], np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
     coded = pc.list_flatten(listed).dictionary_encode()
-    dictionary, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    dictionary, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     alphabetic = pc.sort_indices(dictionary).to_numpy()
     rank = np.empty(len(alphabetic), np.int64)
     rank[alphabetic] = np.arange(len(alphabetic))
-    docs = np.repeat(np.arange(len(dl)), dl)
-    held, tf = np.unique(rank[codes] * max(1, len(dl)) + docs, return_counts=True)
-    term, doc = held // max(1, len(dl)), held % max(1, len(dl))
-    order = np.lexsort((doc, -impact(tf, dl[doc], max(1.0, dl.mean() if len(dl) else 1.0)), term))
-    term, doc, tf = term[order], doc[order], tf[order]
+    met = rank[codes]
+    met *= max(1, len(dl))
+    met += np.repeat(place, own)
+    del listed, coded, codes
+    held, tf = np.unique(met, return_counts=True)
+    term, doc = np.divmod(held, max(1, len(dl)))
+    del met, held
+    # A term of one block needs no order in it; of the others, which stand together by term, the documents are put in order of impact.
+    many = np.flatnonzero((np.bincount(term) > BLOCK)[term]) if len(term) else term
+    order = many[np.lexsort((doc[many], -impact(tf[many], dl[doc[many]], max(1.0, dl.mean() if len(dl) else 1.0)), term[many]))]
+    doc[many], tf[many] = doc[order], tf[order]
     nothing = [pa.array([None], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
     head = [pa.array([number], pa.int64()), pa.array([None], pa.string()), pa.array([len(dl)], pa.int32()), *nothing]
     yield pa.record_batch([*head, pa.array([dl.astype("<i4").tobytes()], pa.binary()), pa.array([int(dl.sum())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *more], names)
@@ -74,21 +108,22 @@ def _segment(number: int, ids: pa.Array, listed: pa.Array, vectors: pa.Array | N
     columns = [
         pa.array(np.full(blocks, number)), dictionary.take(pa.array(alphabetic[term[starts]])).cast(pa.string()), pa.array(n.astype(np.int32)),
         pa.array(np.maximum.reduceat(tf, starts).astype(np.int32)), pa.array(np.minimum.reduceat(dl[doc], starts).astype(np.int32)),
-        _cells(doc, starts), _cells(tf, starts), _cells(dl[doc], starts), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.list_(ids.type)), *[pa.nulls(blocks, pa.binary()) for _ in more],
+        _cells(doc, starts), _cells(tf, starts), pa.nulls(blocks, pa.binary()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.list_(ids.type)), *[pa.nulls(blocks, pa.binary()) for _ in more],
     ]
     yield pa.record_batch(columns, names)
 
 
 def _segments(most: int, step: int):
-    """Rows of a task (doc_id, words) as segments, each ended by the rows with which it gets `most` words."""
+    """Rows of a task (doc_id, text in lower case) as segments, each ended by the rows with which it gets `most` words."""
 
     def run(batches):
         number, own, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for lo in range(0, len(batch), step):
-                part = batch.slice(lo, step)
-                own.append(part.columns)
-                size += len(pc.list_flatten(part.column(1)))
+                ids, texts, *vectors = batch.slice(lo, step).columns
+                listed = _listed(texts)
+                own.append([ids, listed, *vectors])
+                size += len(listed.values)
                 if size >= most:
                     yield from _segment(number, *map(pa.concat_arrays, zip(*own)))
                     number, own, size = number + 1, [], 0
@@ -102,11 +137,11 @@ def segments(docs: DataFrame) -> DataFrame:
     """The index of docs (doc_id, text), in one pass over the texts and without a shuffle: each task makes segments of what it reads.
 
     Of a segment there is a row without term, with the ids and lengths of its documents, and rows for each term in the order of terms: blocks of BLOCK
-    documents with their counts, lengths and what bounds their impact. Documents that are added make segments of their own. Null texts have no
+    documents with their counts and what bounds their impact. Documents that are added make segments of their own. Null texts have no
     words; each row is a document. Where docs has a column embedding, segments hold the vectors too, for `fused`.
     """
     kind, vectors = dict(docs.dtypes)["doc_id"], [F.col("embedding").cast("array<double>")] if "embedding" in docs.columns else []
-    rows = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words"), *vectors)
+    rows = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"), *vectors)
     return rows.mapInArrow(_segments(SEGMENT, STEP), _schema(kind) + (", vectors binary" if vectors else ""))
 
 
@@ -132,18 +167,19 @@ class Postings:
     def __init__(self, rows: pa.Table):
         there = pc.is_valid(rows["term"])
         head = rows.filter(pc.invert(there))
-        self.ids, self.size = head["ids"].combine_chunks().flatten(), head["n"][0].as_py()
+        self.ids, self.size, self.dl = head["ids"].combine_chunks().flatten(), head["n"][0].as_py(), np.frombuffer(head["dls"][0].as_py(), "<i4")
         self.terms: dict[str, list] = {}
-        self.decoded: dict[str, list] = {}
+        self.decoded: dict[str, tuple] = {}
         blocks = rows.filter(there)
-        for term, *cells in zip(blocks["term"].to_pylist(), *(blocks[c].to_pylist() for c in ("max_tf", "min_dl", "docs", "tfs", "dls"))):
+        for term, *cells in zip(blocks["term"].to_pylist(), *(blocks[c].to_pylist() for c in ("max_tf", "min_dl", "docs", "tfs"))):
             self.terms.setdefault(term, []).append(cells)
 
-    def blocks(self, term: str, mean: float) -> list:
-        """(bound, documents, impacts) of the blocks of a term, those of the highest bounds first, before the term's weight; made once for all queries, which have one mean."""
+    def blocks(self, term: str, mean: float) -> tuple:
+        """(bounds, ends, documents, impacts) of the blocks of a term, one after the other, those of the highest bounds first, before the term's weight; made once for all queries, which have one mean."""
         if term not in self.decoded:
-            own = [(impact(tf, dl, mean), *(np.frombuffer(x, "<i4") for x in cells)) for tf, dl, *cells in self.terms[term]]
-            self.decoded[term] = sorted(((bound, docs, impact(tfs, dls, mean)) for bound, docs, tfs, dls in own), key=lambda b: -b[0])
+            own = sorted(((impact(tf, dl, mean), *cells) for tf, dl, *cells in self.terms[term]), key=lambda b: -b[0])
+            docs, tfs = (np.frombuffer(b"".join(x), "<i4") for x in list(zip(*own))[1:])
+            self.decoded[term] = np.array([b[0] for b in own]), np.cumsum([len(b[1]) // 4 for b in own]), docs, impact(tfs, self.dl[docs], mean)
         return self.decoded[term]
 
     def best(self, terms: list[str], weights: list[float], mean: float, k: int | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -152,25 +188,32 @@ class Postings:
         Terms are read by what they can add at most. A block is left where its bound and all that the other terms can add are under the k-th best score
         so far: no document in it can be among the k best, and, as impacts fall, none in the blocks after it.
         """
-        own = [(w, max(w, 0.0), self.blocks(t, mean)) for t, w in zip(terms, weights) if t in self.terms]
-        own.sort(key=lambda x: -x[1] * x[2][0][0])
-        total, scores, seen, read = sum(most * blocks[0][0] for _, most, blocks in own), np.zeros(self.size), np.zeros(self.size, bool), 0
+        own = [(w, max(w, 0.0), *self.blocks(t, mean)) for t, w in zip(terms, weights) if t in self.terms]
+        own.sort(key=lambda x: -x[1] * x[2][0])
+        total, scores, seen, read, most = sum(m * bounds[0] for _, m, bounds, *_ in own), np.zeros(self.size), np.zeros(self.size, bool), 0, 0.0
         # What is known of a document is a lower bound of its score only if no weight is below zero.
-        bounded = k is not None and all(w >= 0 for w, _, _ in own)
-        for w, most, blocks in own:
-            floor = -np.inf
-            for j, (bound, docs, impacts) in enumerate(blocks):
-                if bounded and k <= self.size and j & (j - 1) == 0:  # after 0, 1, 2, 4, ... blocks, as it takes a look at all scores
+        bounded = k is not None and k <= self.size and all(w >= 0 for w, *_ in own)
+        for w, m, bounds, ends, docs, impacts in own:
+            left, end, j = total - m * (bounds[0] - bounds), len(bounds), 0  # left: what a document of each block can have at most
+            most += m * bounds[0]  # and any document by the terms so far
+            while j < end:
+                upto = min(max(1, 2 * j), end)
+                stop = upto
+                if bounded and left[upto - 1] < most:  # after 0, 1, 2, 4, ... blocks, and where it may tell, as it takes a look at all scores
                     floor = np.partition(scores, self.size - k)[self.size - k] - _SLACK
-                if total - most * (blocks[0][0] - bound) < floor:
+                    stop = j + int(np.count_nonzero(left[j:upto] >= floor))
+                lo, hi = ends[j - 1] if j else 0, ends[stop - 1] if stop else 0
+                scores[docs[lo:hi]] += w * impacts[lo:hi]
+                seen[docs[lo:hi]] = True
+                read += int(hi - lo)
+                if stop < upto:
                     break
-                scores[docs] += w * impacts
-                seen[docs] = True
-                read += len(docs)
+                j = upto
         found = np.flatnonzero(seen)
         scores = np.round(scores[found], 9)
         if k is not None and len(found) > k:
-            top = np.argsort(-scores, kind="stable")[:k]
+            near = np.flatnonzero(scores >= np.partition(scores, len(found) - k)[len(found) - k])
+            top = near[np.argsort(-scores[near], kind="stable")[:k]]
             found, scores = found[top], scores[top]
         return found, scores, read
 
@@ -203,13 +246,17 @@ def _meetings(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
     n, mean = corpus["n"], max(corpus["words"], 1) / max(corpus["n"], 1)
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     counted = lambda rows: rows.groupBy("term").agg(F.sum(F.col("n").cast("long")).alias("df"))
-    usual = counted(index.where("term IS NOT NULL").select("term", "n")).agg(F.avg(raw)).first()[0] or 0.0
     asked = staged(queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
     terms = asked.select("term").distinct()
     size = asked.agg(F.count("*").alias("all"), F.count_distinct("term").alias("terms")).first()
     hint = F.broadcast if size["terms"] <= BROADCAST_TERMS else (lambda x: x)
     blocks = index.where("term IS NOT NULL").join(hint(terms), "term", "left_semi")
-    weighted = counted(blocks.select("term", "n")).select("term", F.when(raw < 0, EPSILON * usual).otherwise(raw).alias("idf"))
+    # All terms are counted once: what is asked for stays a row, the others become one, which only their mean weight needs.
+    every = counted(index.where("term IS NOT NULL").select("term", "n")).select("term", raw.alias("raw"))
+    kept = every.join(hint(terms.select("term", F.lit(True).alias("asked"))), "term", "left").groupBy(F.expr("CASE WHEN asked THEN term END").alias("term"))
+    kept = staged(kept.agg(F.sum("raw").alias("raw"), F.count("*").alias("n")), "weights")
+    usual = kept.agg(F.sum("raw") / F.sum("n")).first()[0] or 0.0
+    weighted = kept.where("term IS NOT NULL").select("term", F.when(F.col("raw") < 0, EPSILON * usual).otherwise(F.col("raw")).alias("idf"))
     groups = -(-size["all"] // QUERY_WORDS) or 1
     each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     lists = asked.join(hint(weighted), "term").groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("times") * F.col("idf")).alias("weights"))  # a query's words
@@ -218,7 +265,7 @@ def _meetings(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
         lists = others.join(lists, "query_id", "left").withColumns({"terms": F.coalesce("terms", F.array().cast("array<string>")), "weights": F.coalesce("weights", F.array().cast("array<double>"))})
     heads = index.where("term IS NULL")
     rows = blocks.select(*index.columns).unionAll(heads.select(*index.columns)).withColumn("g", each)
-    met = lists.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).crossJoin(F.broadcast(heads.select("segment")))  # a row for each segment
+    met = lists.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).crossJoin(F.broadcast(heads.select(F.col("segment").alias("segment"))))  # a row for each segment, under a name of its own
     return rows, met, mean
 
 

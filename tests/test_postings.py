@@ -122,3 +122,71 @@ def test_blocks_are_decoded_once_for_all_queries():
     assert own.blocks("a", 5 / 3) is own.blocks("a", 5 / 3) and len(own.decoded) == 2
     again = own.best(["a", "b"], [1.0, 2.0], 5 / 3, 2)
     assert first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist()
+
+
+ODD = ["", " ", "\u0085", "one", " a\u00a0b\u0085c ", "\x1cx\x1f\x1fy\x0b", "\u00c2 \u00e9t\u00c9\u00a0\u0130\u2003z", None, "A\tB\nC\r\fD", "\u4e2d\u6587 \U0001f600", "end "]
+
+
+def test_words_of_texts_by_their_bytes(spark):
+    """Tasks take whole texts and find the words that the column function finds."""
+    from pyspark.sql import functions as F
+
+    from corpuswell.functions.text import words
+
+    text = F.coalesce("text", F.lit(""))
+    rows = spark.createDataFrame(list(enumerate(ODD)), "n int, text string").select("n", F.lower(text).alias("low"), words(text).alias("words")).toArrow().sort_by("n")
+    low, want = rows["low"].combine_chunks(), rows["words"].to_pylist()
+    for lo in range(len(want) + 1):
+        assert P._listed(low.slice(lo)).to_pylist() == want[lo:] and P._listed(low.slice(0, lo)).to_pylist() == want[:lo]
+    asked = spark.createDataFrame([(1, "a b x"), (2, "z one")], "query_id long, text string")
+    assert {(r.query_id, r.doc_id) for r in P.bm25(asked, spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")).collect()} == {(1, 4), (1, 5), (1, 8), (2, 3)}
+
+
+def test_postings_hold_no_lengths_and_all_scores_are_looked_at_where_it_may_tell(monkeypatch):
+    rng = random.Random(5)
+    listed = [[w for w in "abcdefgh" for _ in range(rng.randint(0, 3))] or ["a"] for _ in range(1500)]
+    rows = pa.Table.from_batches(list(P._segment(0, pa.array(range(1500)), pa.array(listed))))
+    assert rows.filter(pa.compute.is_valid(rows["term"]))["dls"].null_count == len(rows) - 1
+    own, mean, looks = P.Postings(rows), float(np.mean([len(x) for x in listed])), []
+    every, scores, _ = own.best(list("abcdefgh"), [1.0] * 8, mean, None)
+    whole = np.partition
+    monkeypatch.setattr(np, "partition", lambda x, k: (looks.append(len(x)), whole(x, k))[1])
+    found, best, _ = own.best(list("abcdefgh"), [1.0] * 8, mean, 6)
+    top = np.lexsort((every, -scores))[:6]
+    assert found.tolist() == every[top].tolist() and best.tolist() == scores[top].tolist()
+    assert len(looks) < 8 * 2  # of 4 for each of 8 words
+
+
+def test_all_terms_are_counted_in_one_pass(spark, tmp_path):
+    """Of the terms only what is asked for is kept, and one row for the others."""
+    index = P.write_index(spark.createDataFrame(some_docs(), "doc_id long, text string"), str(tmp_path / "index"))
+    asked, kept = spark.createDataFrame(QUERIES, "query_id long, text string"), {}
+    own = P.staged
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "staged", lambda df, name: kept.setdefault(name, own(df, name)))
+        near(sorted(map(tuple, P.search(index, asked).collect())), plain(QUERIES, some_docs()))
+    words = {w for _, t in QUERIES for w in t.lower().split()}
+    rows = kept["weights"].collect()
+    assert {r.term for r in rows} == {r.term for r in index.select("term").distinct().collect() if r.term in words} | {None}
+    assert sum(r.n for r in rows) == index.where("term IS NOT NULL").select("term").distinct().count()
+
+
+def test_chunks_are_stored_for_the_papers_of_hits_only(spark):
+    from corpuswell.plans import catalogue
+
+    hits, chunks = catalogue._chunk_hits(spark, "/root/testdata/sf0.001")
+    papers = {r.doc_id for r in hits.select("doc_id").collect()}
+    every = catalogue._windows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).select("doc_id", "position", "chunk_text")
+    want = sorted(tuple(r) for r in every.collect() if r.doc_id in papers)
+    assert sorted(map(tuple, chunks.select("doc_id", "position", "chunk_text").collect())) == want and every.count() > len(want)
+
+
+def test_papers_without_an_id_and_of_one_id_keep_their_hits(spark, tmp_path):
+    from corpuswell.plans import catalogue
+
+    docs = [(None, "lonely words of a paper that has no name but has fifty characters"), (1, "first words of a paper that shares its name with another, long enough"), (1, "second of the papers that share a name and is long enough as well ..."), (2, "nothing of that kind, only other terms, yet of more than fifty letters")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "lonely words"), (8, "second shares")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    hits, _ = catalogue._chunk_hits(spark, str(tmp_path))
+    got = {(r.query_id, r.doc_id, r.chunk_text.split()[0]) for r in hits.collect()}
+    assert got == {(7, None, "lonely"), (7, 1, "first"), (7, 1, "second"), (8, 1, "first"), (8, 1, "second")}
