@@ -10,10 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuswell.staging import staged
+
 #: Lengths of grams in bytes. An item is met by grams of the largest length n for which it has n of them, so 2 n - 1 bytes.
 GRAMS = (32, 16, 8, 4, 2, 1)
-#: Bytes of text that are hashed at once.
-CHUNK = 4 << 20
+#: Bytes of text that are hashed at once: what is made of them fits a core's cache.
+CHUNK = 64 << 10
 #: Sets of terms, and bytes of them, that each task looks for by itself at most; more of them meet the texts by grams.
 SETS, SET_BYTES = 512, 1 << 20
 #: Rows after which a task looks again which sets can still gain a document.
@@ -104,7 +106,8 @@ def containing(items: DataFrame, docs: DataFrame, text: str | Column = "text") -
     anchors = some.mapInArrow(_item_grams, f"query_id {kinds['query_id']}, item string, length int, gram long")
     lengths = sorted(r["length"] for r in anchors.select("length").distinct().collect())  # some of GRAMS
     grams = rows.mapInArrow(_text_grams(lengths, CHUNK), f"doc_id {kinds['doc_id']}, length int, gram long")
-    met = grams.join(anchors, ["length", "gram"]).select("doc_id", "query_id", "item").distinct()
+    # Staged, so that its size is known: texts are shuffled only where there is too much of it for a broadcast.
+    met = staged(grams.join(anchors, ["length", "gram"]).select("doc_id", "query_id", "item").distinct(), "met")
     found = rows.join(met, "doc_id").where(F.contains("text", "item")).select("doc_id", "query_id")
     empty = items.where("item = ''").select("query_id", F.lit(0).alias("_all"))
     if not empty.isEmpty():  # what is wanted of such are all texts for each

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswell.functions.text import words
+from corpuswell.operators.listing import listed as _listed
 from corpuswell.operators.vectors import unit_rows
 from corpuswell.staging import staged
 
@@ -42,32 +43,6 @@ def _cells(numbers: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers, "<i4"))])
 
 
-#: Which bytes are white space of `text.words`; there are two characters of two bytes more, which begin with 0xC2.
-_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r\x1c\x1d\x1e\x1f"))
-
-
-def _listed(texts: pa.Array) -> pa.Array:
-    """`text.words` of texts that are in lower case and not null, by their bytes."""
-    texts = texts.cast(pa.string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets -= offsets[0]
-    blank = _BLANK[data]
-    wide = np.flatnonzero(data[:-1] == 0xC2)
-    wide = wide[np.isin(data[wide + 1], (0x85, 0xA0))]
-    blank[wide] = blank[wide + 1] = True
-    inside, edges = ~blank, offsets[(offsets > 0) & (offsets < len(data))]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= blank[:-1]
-    begins[edges] = inside[edges]
-    ends[:-1] &= blank[1:]
-    ends[edges - 1] = inside[edges - 1]
-    first = np.flatnonzero(begins)
-    cells = np.append(0, np.cumsum(np.flatnonzero(ends) + 1 - first)).astype(np.int32)
-    found = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(cells), pa.py_buffer(data[inside])])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, offsets).astype(np.int32)), found)
-
-
 def _segment(number: int, ids: pa.Array, listed: pa.Array, vectors: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of a segment: its documents in the order of their ids, then the blocks of each term, those of high impact first. With vectors the row of
     the documents has theirs too, one after the other."""

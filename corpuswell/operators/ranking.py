@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import words
 from corpuswell.operators.postings import bm25, fused, matches, segments
-from corpuswell.operators.vectors import BLOCK, blocks_with, cosine_scores, unit_rows, wide
+from corpuswell.operators.vectors import BLOCK, blocks_with, cosine_scores, loosened, squeezed, unit_rows, wide
 from corpuswell.operators.vectors import Best as _Best
 from corpuswell.staging import staged
 
@@ -116,30 +117,47 @@ def mmr(scores: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: float =
         bounded, size = bounded.join(again, "query_id", "left_semi"), 4 * size
 
 
+#: Rows of pools that are broadcast at most.
+BROADCAST_POOLS = 500_000
+
+
 def _pack_picked(batches):
-    """Rows (query, the vector of its first choice, its own) as blocks of unit vectors; the first choices' ids stand beside."""
+    """Rows (query, vector, picks, their vectors) as blocks of unit vectors. All queries of a block have as many picks: the last stands again for those that are missing."""
     for batch in batches:
         for lo in range(0, len(batch), BLOCK):
             part = batch.slice(lo, BLOCK)
-            own, first = unit_rows(part.column(2)), unit_rows(part.column(3))
-            ids = [pa.array([part.column(c).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)]
-            yield pa.record_batch([*ids, pa.array([own.tobytes()]), pa.array([first.tobytes()])], ["q_ids", "picks", "q_vectors", "p_vectors"])
+            own, picks, chosen = unit_rows(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()
+            most, width = max(map(len, picks)), max((len(v) for c in chosen for v in c), default=0)
+            vectors = np.zeros((most, len(part), width))
+            for n, c in enumerate(chosen):
+                for j in range(most if c else 0):
+                    v = c[min(j, len(c) - 1)]
+                    vectors[j, n, : len(v)] = v
+            filled = [p + p[-1:] * (most - len(p)) for p in picks]
+            cells = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sum(filled, [])], pa.list_(pa.int64()))]
+            yield pa.record_batch([*cells, pa.array([own.tobytes()]), pa.array([vectors.tobytes()])], ["q_ids", "picks", "q_vectors", "p_vectors"])
 
 
 def _bounds(most: int, weight: float, exclude_self: bool):
-    """Of the vectors that a task meets, those with the `most` best bounds for each query: query_id, vec_id, score, bound."""
+    """Of the vectors that a task meets, those with the `most` best bounds for each query: query_id, vec_id, score, bound. Without picks the bound is the score."""
 
     def run(batches):
         best: dict[bytes, _Best] = {}
         for batch in batches:
             for at in range(len(batch)):
                 row = batch.slice(at, 1).to_pylist()[0]
-                ids, asked, picks = (np.array(row[c], np.int64) for c in ("ids", "q_ids", "picks"))
-                v, q, p = (np.frombuffer(row[c]).reshape(n, -1) for c, n in (("vectors", len(ids)), ("q_vectors", len(asked)), ("p_vectors", len(asked))))
-                by = lambda x: np.round(x[:, : min(x.shape[1], v.shape[1])] @ v[:, : min(x.shape[1], v.shape[1])].T, 9) + 0.0
-                score = by(q)
-                bound = np.round(weight * score - (1 - weight) * by(p), 9)
-                bound[ids[None, :] == picks[:, None]] = np.inf  # the first choice is always in the pool
+                ids, asked = (np.array(row[c], np.int64) for c in ("ids", "q_ids"))
+                picks = np.array(row["picks"], np.int64).reshape(len(asked), -1)
+                v, q = loosened(row["vectors"], len(ids), row["width"]), np.frombuffer(row["q_vectors"]).reshape(len(asked), -1)
+                by = lambda x: x[:, : min(x.shape[1], v.shape[1])] @ v[:, : min(x.shape[1], v.shape[1])].T
+                score = bound = np.round(by(q), 9) + 0.0
+                if picks.size:
+                    near = reduce(np.maximum, map(by, np.frombuffer(row["p_vectors"]).reshape(picks.shape[1], len(asked), -1)))
+                    bound = np.round(weight * score - (1 - weight) * (np.round(near, 9) + 0.0), 9)
+                else:
+                    bound = bound.copy()
+                which = np.flatnonzero(np.isin(ids, picks))
+                bound[:, which] = np.where((picks[:, :, None] == ids[which]).any(axis=1), -np.inf, bound[:, which])
                 if exclude_self:
                     bound[ids[None, :] == asked[:, None]] = -np.inf
                 best.setdefault(asked.tobytes(), _Best(len(asked), most)).add(ids, score, bound)
@@ -151,30 +169,67 @@ def _bounds(most: int, weight: float, exclude_self: bool):
     return run
 
 
+def _chosen(k: int, weight: float, pool: int):
+    """A query with the picks that its pool adds to those it has: of these each is sure, as no row outside the pool could have been chosen instead."""
+
+    def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):  # nothing to choose from
+            return pd.DataFrame({"query_id": [], "embedding": [], "picks": [], "chosen": [], "done": []})
+        rows = rows.sort_values("vec_id", ignore_index=True)
+        ids, score, bound = rows["vec_id"].to_numpy(), rows["score"].to_numpy(float), rows["bound"].to_numpy(float)
+        v, whole = unit_rows(pa.array(rows["embedding"], pa.list_(pa.float64()))), len(rows) <= pool
+        picks, chosen = list(state["picks"][0]), list(state["chosen"][0])
+        if whole and len(rows) <= k - len(picks) and not picks:
+            picks, chosen = list(ids), list(v)
+        else:
+            # The worst by bound, of equals the largest id, stands for all that are not here.
+            outside = -np.inf if whole else bound.min()
+            last = ids[bound == outside].max(initial=-1)
+            like = lambda x: np.round(v[:, : len(x)] @ x[: v.shape[1]], 9) + 0.0
+            near = reduce(np.maximum, map(like, chosen)) if chosen else None
+            value, used = bound.copy(), np.zeros(len(ids), bool)
+            while len(picks) < k and not used.all():
+                value[used] = -np.inf
+                best = int(value.argmax())
+                if not (value[best] > outside or value[best] == outside and ids[best] <= last):
+                    break
+                picks.append(ids[best])
+                chosen.append(v[best])
+                used[best] = True
+                if near is None and not whole:  # scores alone bound nothing after the first choice
+                    break
+                near = like(v[best]) if near is None else np.maximum(near, like(v[best]))
+                value = np.round(weight * score - (1 - weight) * near, 9)
+        return pd.DataFrame({"query_id": state["query_id"][:1], "embedding": state["embedding"][:1], "picks": [picks], "chosen": [chosen], "done": whole or len(picks) == k})
+
+    return run
+
+
 def diverse(queries: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: float = S.mmr_lambda, exclude_self: bool = False, pool: int = 64) -> DataFrame:
     """query_id, rank, vec_id: what `mmr` chooses of the cosine scores of all vectors (vec_id, embedding), without a row for each pair.
 
-    The first choice is found as a search for the best; a second pass over the vectors, block by block, gives score and bound of each at once. A task hands on
-    no more than pool + 1 rows of a query, those with the best bounds of all the vectors that it met, so what is shuffled grows with queries and tasks.
-    vectors are read some times, so they should be a table.
+    Vectors are packed once. A pass over them, block by block, gives what each is worth at most after the choices that a query has so far; a task hands on no more than
+    pool + 1 rows of a query, those with the best bounds of all the vectors that it met. Among them the query chooses on for as long as nothing outside could be chosen instead. The
+    best by bound always can be, so there are k passes at most, and pools never grow. vectors are read in each pass for those of the pools, so they should be a table.
     """
-    own = vectors.select("vec_id", "embedding")
-    first = ranked(cosine_scores(queries, own, exclude_self, 1), 1).select("query_id", F.col("vec_id").alias("pick"))
-    asked = first.join(wide(queries).withColumnRenamed("vec_id", "query_id"), "query_id").join(wide(own).select(F.col("vec_id").alias("pick"), F.col("embedding").alias("_p")), "pick")
-    asked = staged(asked.select("query_id", "pick", "embedding", "_p"), "picked")
-    done, size = None, max(pool, k)
-    while True:
-        packed = asked.mapInArrow(_pack_picked, "q_ids array<bigint>, picks array<bigint>, q_vectors binary, p_vectors binary")
-        bounded = blocks_with(asked, packed, own, 2).mapInArrow(_bounds(size + 1, weight, exclude_self), "query_id long, vec_id long, score double, bound double")
+    own, size = vectors.select("vec_id", "embedding"), max(pool, k)
+    blocks = staged(squeezed(own), "blocks")
+    state = staged(wide(queries).select(F.col("vec_id").alias("query_id"), "embedding", F.array().cast("array<bigint>").alias("picks"), F.array().cast("array<array<double>>").alias("chosen")), "asked")
+    parts = []
+    for n in range(k):
+        packed = state.mapInArrow(_pack_picked, "q_ids array<bigint>, picks array<bigint>, q_vectors binary, p_vectors binary")
+        bounded = blocks_with(state, packed, blocks, k + 1 if n else 1).mapInArrow(_bounds(size + 1, weight, exclude_self), "query_id long, vec_id long, score double, bound double")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id"))
-        pools = bounded.withColumn("_n", place).where(F.col("_n") <= size + 1).drop("_n").join(own, "vec_id")
-        found = staged(pools.groupBy("query_id").applyInPandas(_greedy(k, weight, size), "query_id long, rank int, vec_id long, exact boolean"), "chosen")
-        again = found.where("NOT exact").select("query_id").distinct()
-        good = found.where("exact").select("query_id", "rank", "vec_id")
-        done = good if done is None else done.unionByName(good)
-        if again.isEmpty():
-            return done
-        asked, size = staged(asked.join(again, "query_id", "left_semi"), "picked"), 4 * size
+        pools = bounded.withColumn("_n", place).where(F.col("_n") <= size + 1).drop("_n")
+        pools = wide(own).join(F.broadcast(pools) if state.count() * (size + 1) <= BROADCAST_POOLS else pools, "vec_id")
+        both = pools.groupBy("query_id").cogroup(state.groupBy("query_id"))
+        found = both.applyInPandas(_chosen(k, weight, size), "query_id long, embedding array<double>, picks array<bigint>, chosen array<array<double>>, done boolean")
+        state = staged(found, "chosen")
+        parts.append(state.where("done").select("query_id", F.posexplode("picks").alias("rank", "vec_id")).select("query_id", (F.col("rank") + 1).alias("rank"), "vec_id"))
+        state = state.where("NOT done").drop("done")
+        if state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pool_size(k: Column | int, n: Column) -> Column:

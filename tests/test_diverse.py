@@ -54,3 +54,21 @@ def test_best_of_blocks_with_ties_to_later_rows(spark, monkeypatch):
     assert got.count() < 30
     best = [r.vec_id for r in got.orderBy(F.desc("score"), F.desc("vec_id")).limit(2).collect()]
     assert best == [27, 24]
+
+
+def test_pools_do_not_grow(spark, monkeypatch):
+    """Each pass goes on from the choices made, also where nearly all candidates are worth about as much."""
+    made, bounds = [], ranking._bounds
+    monkeypatch.setattr(ranking, "_bounds", lambda most, *rest: made.append(most) or bounds(most, *rest))
+    v = np.random.default_rng(7).normal(size=(400, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table, got = table_of(spark, v), {}
+    for r in ranking.diverse(table.where("vec_id < 3"), table, 6, 0.3, True, 8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: plain_mmr({i: round(float(v[q] @ v[i]), 9) for i in range(len(v)) if i != q}, v, 6, 0.3) for q in range(3)}
+    assert set(made) == {9} and len(made) <= 6
+
+
+def test_null_vectors_may_be_chosen(spark):
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ranking.diverse(table.where("vec_id = 0"), table, 2, 0.7).orderBy("rank").collect()] == [0, 1]
