@@ -41,3 +41,10 @@ def test_more_queries_than_before_are_broadcast(spark):
     ids = spark.range(25_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
     found = vectors.cosine_scores(ids, ids.limit(2))
     assert "BroadcastNestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_minmax_norm_is_rounded_in_tasks(spark):
+    found = catalogue.minmax_norm(spark, SF)
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    plain = vectors.scaled_scores(catalogue._queries(spark, SF), catalogue._vectors(spark, SF), True).withColumn("score", F.round("score", 6))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
