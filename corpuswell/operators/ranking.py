@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpuswell.config import SETTINGS as S
 from corpuswell.functions.text import words
 from corpuswell.operators.postings import bm25, fused, matches, segments
-from corpuswell.operators.vectors import BLOCK, blocks_with, cosine_scores, loosened, squeezed, unit_rows, wide
+from corpuswell.operators.vectors import BLOCK, blocks_with, cosine_scores, loosened, size_of, squeezed, unit_rows, wide
 from corpuswell.operators.vectors import Best as _Best
 from corpuswell.staging import staged
 
@@ -217,18 +217,19 @@ def diverse(queries: DataFrame, vectors: DataFrame, k: int = S.top_k, weight: fl
     state = staged(wide(queries).select(F.col("vec_id").alias("query_id"), "embedding", F.array().cast("array<bigint>").alias("picks"), F.array().cast("array<array<double>>").alias("chosen")), "asked")
     parts = []
     for n in range(k):
+        asked = size_of(state)
+        if n and not asked["n"]:
+            break
         packed = state.mapInArrow(_pack_picked, "q_ids array<bigint>, picks array<bigint>, q_vectors binary, p_vectors binary")
-        bounded = blocks_with(state, packed, blocks, k + 1 if n else 1).mapInArrow(_bounds(size + 1, weight, exclude_self), "query_id long, vec_id long, score double, bound double")
+        bounded = blocks_with(state, packed, blocks, k + 1 if n else 1, asked).mapInArrow(_bounds(size + 1, weight, exclude_self), "query_id long, vec_id long, score double, bound double")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id"))
         pools = bounded.withColumn("_n", place).where(F.col("_n") <= size + 1).drop("_n")
-        pools = wide(own).join(F.broadcast(pools) if state.count() * (size + 1) <= BROADCAST_POOLS else pools, "vec_id")
+        pools = wide(own).join(F.broadcast(pools) if asked["n"] * (size + 1) <= BROADCAST_POOLS else pools, "vec_id")
         both = pools.groupBy("query_id").cogroup(state.groupBy("query_id"))
         found = both.applyInPandas(_chosen(k, weight, size), "query_id long, embedding array<double>, picks array<bigint>, chosen array<array<double>>, done boolean")
         state = staged(found, "chosen")
         parts.append(state.where("done").select("query_id", F.posexplode("picks").alias("rank", "vec_id")).select("query_id", (F.col("rank") + 1).alias("rank"), "vec_id"))
         state = state.where("NOT done").drop("done")
-        if state.isEmpty():
-            break
     return reduce(DataFrame.unionByName, parts)
 
 
